@@ -12,25 +12,20 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinetrace.operators.ordering import position, time_buckets
-
 VIEWS: dict[str, str] = {
     "b_frames": """
-SELECT run_id, frame_idx, frame_idx*1000 + o_orderkey%900 AS timestamp_ms, o_orderkey,
-  'frame_'||lpad(CAST(frame_idx AS VARCHAR),6,'0')||'.jpg' AS image_path,
-  (o_orderstatus='F' AND o_orderkey%4=0) AS is_keyframe, o_totalprice/10000.0 AS delta_score
-FROM (SELECT *, o_custkey AS run_id,
-  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate,o_orderkey)-1 AS frame_idx FROM orders)""",
+SELECT o_orderkey//100 AS run_id, o_orderkey%100 AS frame_idx, (o_orderkey%100)*1000 + o_custkey%900 AS timestamp_ms,
+  'frame_'||lpad(CAST(o_orderkey%100 AS VARCHAR),6,'0')||'.jpg' AS image_path,
+  (o_orderstatus='F' AND o_custkey%4=0) AS is_keyframe, o_totalprice/10000.0 AS delta_score FROM orders""",
     "b_detections": """
-SELECT f.run_id, f.frame_idx,
-  row_number() OVER (PARTITION BY f.run_id
-    ORDER BY f.frame_idx,l_linenumber,l_partkey,l_suppkey,l_extendedprice) AS detection_id,
+SELECT l_orderkey//100 AS run_id, l_orderkey%100 AS frame_idx,
+  ((((l_orderkey%100)*10+l_linenumber)*200000+l_partkey)*10000+l_suppkey)*100+CAST(l_quantity AS BIGINT) AS detection_id,
   CASE WHEN l_suppkey%5=0 THEN NULL ELSE l_suppkey%6 END AS track_id,
   l_returnflag||l_linestatus AS class_name,
   l_quantity/100.0 AS x1, l_discount*4 AS y1, l_quantity/100.0+0.3 AS x2, l_discount*4+0.4 AS y2,
   1-l_tax*8 AS confidence,
   CASE WHEN l_partkey%3=0 THEN NULL ELSE l_extendedprice/100000.0 END AS mean_depth
-FROM b_frames f JOIN lineitem ON l_orderkey=f.o_orderkey""",
+FROM lineitem""",
     "b_depth": """
 SELECT run_id, frame_idx, 'depth/'||CAST(frame_idx AS VARCHAR)||'.npy' AS depth_path
 FROM b_frames WHERE is_keyframe""",
@@ -44,9 +39,8 @@ SELECT conv_id AS run_id, turn AS frame_idx, turn*2000 AS timestamp_ms, text AS
   CASE WHEN length(text)%2=0 THEN turn*2000 + length(text)%700 + (length(text)%50)*100 END AS verified_ms
 FROM conversations""",
     "b_events": """
-SELECT user_id AS run_id, event_id, event_type AS behavior, value,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts,event_id)-1 AS frame_idx,
-  (epoch_us(ts)//1000 - min(epoch_us(ts)//1000) OVER (PARTITION BY user_id)) AS timestamp_ms,
+SELECT event_id//64 AS run_id, event_id, event_type AS behavior, value, event_id%64 AS frame_idx,
+  (event_id%64)*20000 + (epoch_us(ts)//1000)%15000 AS timestamp_ms,
   CAST(regexp_extract(props,'([0-9]+)',1) AS BIGINT) AS k FROM events""",
     "b_labels": """
 SELECT run_id, frame_idx, timestamp_ms, behavior, value/500.0 AS confidence,
@@ -54,7 +48,7 @@ SELECT run_id, frame_idx, timestamp_ms, behavior, value/500.0 AS confidence,
   CASE WHEN k%2=0 THEN 'default' ELSE 'alt' END AS profile_name FROM b_events""",
     "b_audio": """
 SELECT run_id, event_id AS segment_id, timestamp_ms AS start_ms,
-  timestamp_ms + CAST(floor(value*60000) AS BIGINT) AS end_ms, behavior||' '||k AS text FROM b_events""",
+  timestamp_ms + CAST(floor(value*100) AS BIGINT) AS end_ms, behavior||' '||k AS text FROM b_events""",
     "b_visual": """
 SELECT run_id, frame_idx AS ev_idx, behavior AS type,
   CASE WHEN k%3=0 THEN ['E'||k%7] ELSE ['E'||k%7,'E'||event_id%5] END AS entities,
@@ -147,39 +141,27 @@ class Tables:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
     def frames(self) -> DataFrame:
-        orders = self.read("orders").withColumn("run_id", F.col("o_custkey"))
-        day = F.unix_date(F.col("o_orderdate").cast("date"))
-        ranked = position(
-            orders,
-            ["run_id"],
-            [F.col("o_orderdate"), F.col("o_orderkey")],
-            [_div(day, 32), day],
-            "frame_idx",
-        )
-        idx = F.col("frame_idx")
-        return ranked.select(
-            "run_id",
-            "frame_idx",
-            (idx * 1000 + F.col("o_orderkey") % 900).alias("timestamp_ms"),
-            "o_orderkey",
+        key, cust = F.col("o_orderkey"), F.col("o_custkey")
+        idx = key % 100
+        return self.read("orders").select(
+            _div(key, 100).alias("run_id"),
+            idx.alias("frame_idx"),
+            (idx * 1000 + cust % 900).alias("timestamp_ms"),
             F.concat(F.lit("frame_"), F.lpad(_str(idx), 6, "0"), F.lit(".jpg")).alias("image_path"),
-            ((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 4 == 0)).alias("is_keyframe"),
+            ((F.col("o_orderstatus") == "F") & (cust % 4 == 0)).alias("is_keyframe"),
             (F.col("o_totalprice") / 10000.0).alias("delta_score"),
         )
 
     def detections(self) -> DataFrame:
-        keyed = self.frames().select("run_id", "frame_idx", F.col("o_orderkey").alias("l_orderkey"))
-        joined = self.read("lineitem").join(keyed, "l_orderkey")
-        order = ["frame_idx", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-        idx = F.col("frame_idx")
-        ranked = position(
-            joined, ["run_id"], [F.col(c) for c in order], [_div(idx, 4096), idx], "det"
-        )
+        key = F.col("l_orderkey")
+        idx = key % 100
+        ident = ((idx * 10 + F.col("l_linenumber")) * 200000 + F.col("l_partkey")) * 10000
+        ident = (ident + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("bigint")
         q, d = F.col("l_quantity") / 100.0, F.col("l_discount") * 4
-        return ranked.select(
-            "run_id",
-            "frame_idx",
-            (F.col("det") + 1).alias("detection_id"),
+        return self.read("lineitem").select(
+            _div(key, 100).alias("run_id"),
+            idx.alias("frame_idx"),
+            ident.alias("detection_id"),
             F.when(F.col("l_suppkey") % 5 != 0, F.col("l_suppkey") % 6).alias("track_id"),
             F.concat("l_returnflag", "l_linestatus").alias("class_name"),
             q.alias("x1"),
@@ -190,22 +172,6 @@ class Tables:
             F.when(F.col("l_partkey") % 3 != 0, F.col("l_extendedprice") / 100000.0).alias("mean_depth"),
         )
 
-    def raw_detections(self) -> DataFrame:
-        """Detections without ids: no ranking, for jobs that do not need the id."""
-        keyed = self.frames().select("run_id", "frame_idx", F.col("o_orderkey").alias("l_orderkey"))
-        q, d = F.col("l_quantity") / 100.0, F.col("l_discount") * 4
-        return self.read("lineitem").join(keyed, "l_orderkey").select(
-            "run_id",
-            "frame_idx",
-            F.when(F.col("l_suppkey") % 5 != 0, F.col("l_suppkey") % 6).alias("track_id"),
-            F.concat("l_returnflag", "l_linestatus").alias("class_name"),
-            q.alias("x1"),
-            d.alias("y1"),
-            (q + 0.3).alias("x2"),
-            (d + 0.4).alias("y2"),
-            (1 - F.col("l_tax") * 8).alias("confidence"),
-        )
-
     def depth(self) -> DataFrame:
         path = F.concat(F.lit("depth/"), _str(F.col("frame_idx")), F.lit(".npy"))
         return self.frames().filter("is_keyframe").select(
@@ -236,28 +202,17 @@ class Tables:
         return self.captions().select("run_id", "frame_idx", "timestamp_ms", "delta_score")
 
     def events(self) -> DataFrame:
-        raw = self.read("events").select(
-            F.col("user_id").alias("run_id"),
+        ident = F.col("event_id")
+        idx = ident % 64
+        return self.read("events").select(
+            _div(ident, 64).alias("run_id"),
             "event_id",
             F.col("event_type").alias("behavior"),
             "value",
-            "ts",
-            clock_ms(F.col("ts")).alias("ms"),
+            idx.alias("frame_idx"),
+            (idx * 20000 + clock_ms(F.col("ts")) % 15000).alias("timestamp_ms"),
             F.regexp_extract("props", "([0-9]+)", 1).cast("bigint").alias("k"),
         )
-        ranked = position(
-            raw, ["run_id"], [F.col("ts"), F.col("event_id")], time_buckets("ms"), "frame_idx"
-        )
-        first = raw.groupBy("run_id").agg(F.min("ms").alias("ms0"))
-        return ranked.join(first, "run_id").select(
-            "run_id",
-            "event_id",
-            "behavior",
-            "value",
-            "frame_idx",
-            (F.col("ms") - F.col("ms0")).alias("timestamp_ms"),
-            "k",
-        )
 
     def labels(self) -> DataFrame:
         k = F.col("k")
@@ -277,7 +232,7 @@ class Tables:
             "run_id",
             F.col("event_id").alias("segment_id"),
             start.alias("start_ms"),
-            (start + F.floor(F.col("value") * 60000)).alias("end_ms"),
+            (start + F.floor(F.col("value") * 100)).alias("end_ms"),
             F.concat("behavior", F.lit(" "), _str(F.col("k"))).alias("text"),
         )
 

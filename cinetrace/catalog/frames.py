@@ -36,7 +36,7 @@ feat AS (SELECT p.run_id, p.frame_idx, p.timestamp_ms, p.is_keyframe, p.delta_sc
 scored AS (SELECT *, 1.0*delta_score+2.0*class_change+2.0*track_churn+0.5*iou_drop AS score FROM feat)
 """
 
-RATE = 0.4
+RATE = 0.2
 
 
 def _features(t):
@@ -85,10 +85,10 @@ def _top1(t):
     return fr.select_scored(scored, RATE).withColumn("score", F.round("score", 6))
 
 
-@query("top1_fixed_k", f"WITH {_FEATURES}, {_SELECT.format(rate=RATE, room='4-forced')}")
+@query("top1_fixed_k", f"WITH {_FEATURES}, {_SELECT.format(rate=RATE, room='12-forced')}")
 def _top1k(t):
     scored = fr.frame_scores(t.frames(), t.detections())
-    return fr.select_top(scored, 4).withColumn("score", F.round("score", 6))
+    return fr.select_scored(scored, k=12).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -145,13 +145,6 @@ def _set1(t):
     return fr.merge_selection(t.frames().filter("is_keyframe"), fr.uniform_grid(t.media(), 0.02))
 
 
-def _picked(positions: str) -> str:
-    return f"""WITH p AS (SELECT run_id, frame_idx, row_number() OVER (PARTITION BY run_id ORDER BY frame_idx)-1 AS pos,
-      count(*) OVER (PARTITION BY run_id) AS total FROM b_frames),
-    i AS (SELECT DISTINCT run_id, {positions} AS pos FROM (SELECT DISTINCT run_id, total FROM p), range(7) r(i))
-    SELECT run_id, frame_idx FROM p LEFT JOIN i USING (run_id, pos) WHERE total<=7 OR i.pos IS NOT NULL"""
-
-
 _PICK_LINSPACE = """WITH p AS (SELECT run_id, frame_idx, row_number() OVER (PARTITION BY run_id ORDER BY frame_idx)-1 AS pos,
       count(*) OVER (PARTITION BY run_id) AS total FROM b_frames),
     i AS (SELECT DISTINCT run_id, CAST({at} AS BIGINT) AS pos, 1 AS hit FROM (SELECT DISTINCT run_id, total FROM p), range(7) r(i))
@@ -217,7 +210,7 @@ def _jon17(t):
     "win1_thumbnail_delta",
     """WITH p AS (SELECT run_id, frame_idx, thumb, lag(thumb) OVER (PARTITION BY run_id ORDER BY frame_idx) AS b FROM b_thumbs)
     SELECT run_id, frame_idx, CASE WHEN b IS NULL THEN 0.0 ELSE
-      round(list_sum(list_transform(list_zip(thumb,b), x -> abs(CAST(x[1] AS DOUBLE)-CAST(x[2] AS DOUBLE))))/len(thumb),6) END AS delta FROM p""",
+      round(list_sum(list_transform(list_zip(thumb,b), lambda x: abs(CAST(x[1] AS DOUBLE)-CAST(x[2] AS DOUBLE))))/len(thumb),6) END AS delta FROM p""",
 )
 def _win1(t):
     return fr.thumbnail_delta(t.thumbs()).withColumn("delta", F.round("delta", 6))
@@ -251,9 +244,9 @@ def _prj1(t):
     return joined.select("run_id", "frame_idx", frame_time_ms(F.col("frame_idx"), F.col("fps")).alias("timestamp_ms"))
 
 
-@query("flt9_point_lookup", "SELECT run_id, frame_idx, timestamp_ms, image_path FROM b_frames WHERE run_id=7 AND frame_idx=2")
+@query("flt9_point_lookup", "SELECT run_id, frame_idx, timestamp_ms, image_path FROM b_frames WHERE run_id=3 AND frame_idx=42")
 def _flt9(t):
-    return t.frames().filter("run_id = 7 AND frame_idx = 2").select("run_id", "frame_idx", "timestamp_ms", "image_path")
+    return t.frames().filter("run_id = 3 AND frame_idx = 42").select("run_id", "frame_idx", "timestamp_ms", "image_path")
 
 
 @query("agg18_duration", "SELECT run_id, coalesce(max(timestamp_ms),0)/1000.0 AS duration_s FROM b_frames GROUP BY 1")

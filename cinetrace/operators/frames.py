@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from cinetrace.functions.geometry import iou
 from cinetrace.operators.ordering import (
-    drop_halo,
     frame_position,
-    halo_window,
     neighbour,
     percentiles,
     position,
     score_buckets,
-    with_halo,
 )
 from cinetrace.settings import block_rows
 
@@ -22,80 +19,85 @@ from cinetrace.settings import block_rows
 DELTA_WEIGHT, CLASS_WEIGHT, TRACK_WEIGHT, OVERLAP_WEIGHT = 1.0, 2.0, 2.0, 0.5
 
 
-def _box() -> Column:
-    return F.struct("x1", "y1", "x2", "y2")
+def frame_sets(detections: DataFrame) -> DataFrame:
+    """Distinct classes and tracks per frame."""
+    classes = detections.select("run_id", "frame_idx", F.lit("class").alias("kind"), F.col("class_name").alias("item"))
+    tracks = detections.filter("track_id IS NOT NULL").select(
+        "run_id", "frame_idx", F.lit("track").alias("kind"), F.col("track_id").cast("string").alias("item")
+    )
+    return classes.union(tracks).distinct()
 
 
-def frame_contents(detections: DataFrame) -> DataFrame:
-    """Distinct classes and, per track, its last box: one row per frame with detections."""
-    per_track = detections.groupBy("run_id", "frame_idx", "class_name", "track_id").agg(
-        F.max(F.struct("detection_id", _box().alias("box"))).alias("last")
+def _items(frames: DataFrame, detections: DataFrame) -> DataFrame:
+    """One row per frame and class, and per frame and track with its last box."""
+    placed = detections.join(
+        frame_position(frames).select("run_id", "frame_idx", "pos"), ["run_id", "frame_idx"]
     )
-    listed = F.collect_list(
-        F.when(F.col("track_id").isNotNull(), F.struct("last.detection_id", "track_id", "last.box"))
+    keys = ["run_id", "frame_idx", "pos"]
+    corners = ("x1", "y1", "x2", "y2")
+    classes = (
+        placed.groupBy(*keys, "class_name")
+        .agg(F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>").alias("box"))
+        .select(*keys, F.lit("class").alias("kind"), F.col("class_name").alias("item"), "box")
     )
-    latest_first = F.sort_array(listed, asc=False)
-    tracks = F.array_distinct(F.transform(latest_first, lambda s: s["track_id"]))
-    box_of = lambda t: F.element_at(
-        F.filter(F.col("listed"), lambda s: s["track_id"] == t), 1
-    )["box"]
-    return (
-        per_track.groupBy("run_id", "frame_idx")
-        .agg(
-            F.array_sort(F.collect_set("class_name")).alias("classes"),
-            latest_first.alias("listed"),
-            tracks.alias("tracks"),
-        )
-        .select(
-            "run_id",
-            "frame_idx",
-            "classes",
-            F.array_sort("tracks").alias("tracks"),
-            F.map_from_entries(
-                F.transform("tracks", lambda t: F.struct(t.alias("k"), box_of(t).alias("v")))
-            ).alias("boxes"),
-        )
+    tracks = (
+        placed.filter("track_id IS NOT NULL")
+        .groupBy(*keys, "track_id")
+        .agg(*[F.max_by(c, "detection_id").alias(c) for c in corners])
+        .select(*keys, F.lit("track").alias("kind"), F.col("track_id").cast("string").alias("item"), F.struct(*corners).alias("box"))
     )
-
-
-def _gap(a: Column, b: Column) -> Column:
-    return F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    return classes.union(tracks)
 
 
 def frame_features(frames: DataFrame, detections: DataFrame) -> DataFrame:
     """Change against the previous frame: classes, tracks, box overlap.
 
-    One aggregate over the detections and one block window; no self-join on tracks.
+    Each class and track looks at its own previous and next frame, and reports to the frame
+    where it appears, stays or is gone; no sets are collected and no self-join is made.
     """
-    empty_s, empty_l = F.array().cast("array<string>"), F.array().cast("array<bigint>")
-    rows = (
-        frame_position(frames)
-        .join(frame_contents(detections), ["run_id", "frame_idx"], "left")
-        .withColumn("classes", F.coalesce("classes", empty_s))
-        .withColumn("tracks", F.coalesce("tracks", empty_l))
+    keys = ["run_id", "kind", "item"]
+    around = neighbour(
+        _items(frames, detections).drop("frame_idx"),
+        keys,
+        {"p_pos": ("pos", -1), "p_box": ("box", -1), "n_pos": ("pos", 1)},
     )
-    rows = neighbour(
-        rows,
-        ["run_id"],
-        {"p_classes": ("classes", -1), "p_tracks": ("tracks", -1), "p_boxes": ("boxes", -1)},
+    pos = F.col("pos")
+    stays = F.coalesce(F.col("p_pos") == pos - 1, F.lit(False))
+    goes_on = F.coalesce(F.col("n_pos") == pos + 1, F.lit(False))
+    is_class = F.col("kind") == "class"
+    overlap = F.when(stays & ~is_class, iou(F.col("p_box"), F.col("box")))
+    here = F.struct(
+        pos.alias("pos"),
+        (is_class & ~stays).cast("bigint").alias("c"),
+        (~is_class & ~stays).cast("bigint").alias("t"),
+        overlap.alias("iou"),
     )
-    first = F.col("pos") == 0
-    both = F.array_intersect("tracks", "p_tracks")
-    total = F.aggregate(
-        both,
-        F.lit(0.0),
-        lambda acc, t: acc + iou(F.col("boxes")[t], F.col("p_boxes")[t]),
+    gone = F.struct(
+        (pos + 1).alias("pos"),
+        is_class.cast("bigint").alias("c"),
+        (~is_class).cast("bigint").alias("t"),
+        F.lit(None).cast("double").alias("iou"),
     )
-    drop = F.when(first | (F.size(both) <= 0), 0.0).otherwise(1.0 - total / F.size(both))
-    return rows.select(
-        "run_id",
-        "frame_idx",
-        "timestamp_ms",
-        "is_keyframe",
-        F.coalesce("delta_score", F.lit(0.0)).alias("delta_score"),
-        F.when(first, 0).otherwise(_gap(F.col("classes"), F.col("p_classes"))).cast("bigint").alias("class_change"),
-        F.when(first, 0).otherwise(_gap(F.col("tracks"), F.col("p_tracks"))).cast("bigint").alias("track_churn"),
-        drop.alias("iou_drop"),
+    changes = (
+        around.select("run_id", F.inline(F.when(goes_on, F.array(here)).otherwise(F.array(here, gone))))
+        .groupBy("run_id", "pos")
+        .agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.avg("iou").alias("iou"))
+    )
+    later = pos > 0
+    count = lambda c: F.when(later, F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint")
+    return (
+        frame_position(frames)
+        .join(changes, ["run_id", "pos"], "left")
+        .select(
+            "run_id",
+            "frame_idx",
+            "timestamp_ms",
+            "is_keyframe",
+            F.coalesce("delta_score", F.lit(0.0)).alias("delta_score"),
+            count("c").alias("class_change"),
+            count("t").alias("track_churn"),
+            F.when(later, F.coalesce(1.0 - F.col("iou"), F.lit(0.0))).otherwise(0.0).alias("iou_drop"),
+        )
     )
 
 
@@ -110,37 +112,32 @@ def frame_scores(frames: DataFrame, detections: DataFrame) -> DataFrame:
     )
 
 
-def select_scored(scored: DataFrame, frames_per_second: float) -> DataFrame:
-    """All keyframes plus the best others up to ``max(1, round(duration * rate))`` per run.
+def select_scored(
+    scored: DataFrame, frames_per_second: float | None = None, k: int | None = None
+) -> DataFrame:
+    """All keyframes, then the best others up to ``k`` frames per run.
 
-    The duration is the last timestamp in seconds, at least 1.
+    Without ``k`` it is ``max(1, round(duration * frames_per_second))``, the duration being
+    the last timestamp in seconds and at least 1.
     """
+    seconds = F.greatest(F.lit(1.0), F.max("timestamp_ms") / 1000.0)
+    room = F.lit(k) if k is not None else F.bround(seconds * frames_per_second, 0)
     runs = scored.groupBy("run_id").agg(
-        F.greatest(F.lit(1), F.bround(F.greatest(F.lit(1.0), F.max("timestamp_ms") / 1000.0) * frames_per_second, 0).cast("bigint")).alias("k"),
-        F.count_if("is_keyframe").alias("forced"),
+        F.greatest(F.lit(1), room.cast("bigint"), F.count_if("is_keyframe")).alias("keep")
     )
-    return _take_best(scored.join(runs, "run_id"), F.greatest(F.lit(0), F.col("k") - F.col("forced")))
-
-
-def select_top(scored: DataFrame, k: int) -> DataFrame:
-    """All keyframes plus the best others, ``k`` in total where the keyframes leave room."""
-    runs = scored.groupBy("run_id").agg(F.count_if("is_keyframe").alias("forced"))
-    return _take_best(scored.join(runs, "run_id"), F.greatest(F.lit(0), F.lit(k) - F.col("forced")))
-
-
-def _take_best(rows: DataFrame, room: Column) -> DataFrame:
-    keep = ["run_id", "frame_idx", "score", "is_keyframe"]
-    rows = rows.withColumn("room", room)
-    others = rows.filter(~F.col("is_keyframe"))
+    forced = F.col("is_keyframe").cast("int")
+    tie = F.floor(F.col("frame_idx") / block_rows(scored))
     ranked = position(
-        others,
+        scored,
         ["run_id"],
-        [F.col("score").desc(), F.col("frame_idx")],
-        score_buckets(F.col("score"), F.floor(F.col("frame_idx") / block_rows(others))),
+        [forced.desc(), F.col("score").desc(), F.col("frame_idx")],
+        [-forced, *score_buckets(F.col("score"), tie)],
         "rank",
     )
-    return rows.filter("is_keyframe").select(keep).unionByName(
-        ranked.filter("rank < room").select(keep)
+    return (
+        ranked.join(runs, "run_id")
+        .filter("rank < keep")
+        .select("run_id", "frame_idx", "score", "is_keyframe")
     )
 
 
@@ -215,10 +212,9 @@ def _any_near(guess: Column, count: Column, at) -> Column:
 def linspace_pick(frames: DataFrame, n: int, order: str = "frame_idx") -> DataFrame:
     """At most ``n`` evenly spaced rows per run, first and last included.
 
-    A row decides from its own position whether it is picked; only the run sizes are joined.
+    A row decides from its own position and the run's size whether it is picked.
     """
-    sizes = frames.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
-    rows = frame_position(frames, order=order).join(sizes, "run_id")
+    rows = frame_position(frames, order=order, total="total")
     step = (F.col("total") - 1) / F.lit(n - 1)
     at = lambda i: (
         F.when(i == n - 1, F.col("total") - 1).otherwise(F.floor(i * step)) == F.col("pos")
@@ -229,8 +225,7 @@ def linspace_pick(frames: DataFrame, n: int, order: str = "frame_idx") -> DataFr
 
 def spread_pick(frames: DataFrame, n: int) -> DataFrame:
     """At most ``n`` rows per run at positions ``floor(i * total / n)``."""
-    sizes = frames.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
-    rows = frame_position(frames).join(sizes, "run_id")
+    rows = frame_position(frames, total="total")
     at = lambda i: F.floor(i * F.col("total") / n) == F.col("pos")
     picked = (F.col("total") <= n) | _any_near(F.col("pos") * n / F.col("total"), F.lit(n), at)
     return rows.filter(picked).drop("total", "pos")
@@ -304,23 +299,12 @@ def track_pairs(frames: DataFrame, detections: DataFrame) -> DataFrame:
 
     Several boxes of a track in one frame: the last by id counts.
     """
-    pos = frame_position(frames).select("run_id", "frame_idx", "pos")
-    boxes = (
-        detections.filter("track_id IS NOT NULL")
-        .groupBy("run_id", "frame_idx", "track_id")
-        .agg(F.max_by(_box(), "detection_id").alias("box"))
-        .join(pos, ["run_id", "frame_idx"])
-    )
-    keys = ["run_id", "track_id"]
-    halo = with_halo(boxes, keys, before=1)
-    spec = halo_window(keys)
-    prev = F.lag(F.struct("frame_idx", "pos", "box")).over(spec)
-    return drop_halo(halo.withColumn("prev", prev)).filter(F.col("prev.pos") == F.col("pos") - 1).select(
-        "run_id",
-        "track_id",
-        F.col("prev.frame_idx").alias("from_frame"),
-        "frame_idx",
-        iou(F.col("prev.box"), F.col("box")).alias("iou"),
+    boxes = _items(frames, detections).filter("kind = 'track'").withColumn("track_id", F.col("item").cast("bigint"))
+    shifted = {"p_pos": ("pos", -1), "from_frame": ("frame_idx", -1), "p_box": ("box", -1)}
+    return (
+        neighbour(boxes, ["run_id", "track_id"], shifted)
+        .filter("p_pos = pos - 1")
+        .select("run_id", "track_id", "from_frame", "frame_idx", iou(F.col("p_box"), F.col("box")).alias("iou"))
     )
 
 

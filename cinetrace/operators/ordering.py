@@ -23,73 +23,58 @@ def _sum_before(spec) -> Column:
     )
 
 
-def cumulative_before(
-    counts: DataFrame, keys: Sequence[str], levels: Sequence[str], name: str = "before"
-) -> DataFrame:
-    """Weight of everything ordered before each group.
-
-    ``counts`` has one row per (keys, levels) with its weight in ``__n``; ``levels``
-    run from coarse to fine, all ascending.  Each level is summed inside its
-    parent only, so no window is wider than the number of children of one parent.
-    """
-    keys, levels = list(keys), list(levels)
-    total = None
-    for depth in range(1, len(levels) + 1):
-        group = keys + levels[:depth]
-        table = (
-            counts
-            if depth == len(levels)
-            else counts.groupBy(*group).agg(F.sum("__n").alias("__n"))
-        )
-        spec = Window.partitionBy(*(keys + levels[: depth - 1])).orderBy(levels[depth - 1])
-        table = table.withColumn("__here", _sum_before(spec))
-        if total is not None:
-            table = table.join(total, keys + levels[: depth - 1]).withColumn(
-                "__here", F.col("__here") + F.col("__up")
-            )
-        if depth < len(levels):
-            total = table.select(*group, F.col("__here").alias("__up"))
-        else:
-            total = table.drop("__up").withColumnRenamed("__here", name)
-    return total
-
-
 def position(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
     buckets: Sequence[Column],
     name: str = "pos",
+    total: str | None = None,
 ) -> DataFrame:
     """0-based rank of every row inside ``keys``, in ``order``.
 
-    ``buckets`` are coarse-to-fine expressions that never decrease along ``order``;
-    the finest one bounds the widest window.
+    ``buckets`` never decrease along ``order``.  Rows are numbered inside their bucket;
+    the rows before the bucket come from one count per bucket, so the only window that
+    spans a whole key runs over bucket counts.  ``total`` also emits the size of the key.
     """
     keys = list(keys)
     levels = [f"__b{i}" for i in range(len(buckets))]
     rows = df.select("*", *[b.alias(n) for b, n in zip(buckets, levels)])
-    counts = rows.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = cumulative_before(counts, keys, levels, "__before").drop("__n")
-    spec = Window.partitionBy(*keys, *levels).orderBy(*order)
+    per_key = Window.partitionBy(*keys)
+    offsets = (
+        rows.groupBy(*keys, *levels)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select(
+            *keys,
+            *levels,
+            _sum_before(per_key.orderBy(*levels)).alias("__before"),
+            *([F.sum("__n").over(per_key).alias(total)] if total else []),
+        )
+    )
+    rank = F.row_number().over(Window.partitionBy(*keys, *levels).orderBy(*order))
     return (
-        rows.withColumn("__rn", F.row_number().over(spec))
+        rows.select("*", rank.alias("__rn"))
         .join(offsets, keys + levels)
-        .withColumn(name, (F.col("__before") + F.col("__rn") - 1).cast("bigint"))
-        .drop("__before", "__rn", *levels)
+        .select(
+            *df.columns,
+            (F.col("__before") + F.col("__rn") - 1).cast("bigint").alias(name),
+            *([total] if total else []),
+        )
     )
 
 
-def frame_position(df: DataFrame, name: str = "pos", order: str = "frame_idx") -> DataFrame:
+def frame_position(
+    df: DataFrame, name: str = "pos", order: str = "frame_idx", total: str | None = None
+) -> DataFrame:
     """0-based position of each frame of a run (one row per frame)."""
-    size = block_rows(df)
-    return position(df, ["run_id"], [F.col(order)], [F.floor(F.col(order) / size)], name)
+    block = F.floor(F.col(order) / block_rows(df))
+    return position(df, ["run_id"], [F.col(order)], [block], name, total)
 
 
 def time_buckets(column: str | Column) -> list[Column]:
-    """Hour, then second: order-keeping buckets for media milliseconds."""
+    """Order-keeping buckets of ten seconds for media milliseconds."""
     ms = F.col(column) if isinstance(column, str) else column
-    return [F.floor(ms / 3_600_000), F.floor(ms / 1000)]
+    return [F.floor(ms / 10_000)]
 
 
 def score_buckets(score: Column, tie_block: Column) -> list[Column]:
@@ -101,7 +86,6 @@ def score_buckets(score: Column, tie_block: Column) -> list[Column]:
     scaled = score * 1024
     off_grid = scaled != F.floor(scaled)
     return [
-        -F.floor(score),
         -(F.floor(scaled) * 2 + off_grid.cast("int")),
         F.when(off_grid, F.lit(0).cast("bigint")).otherwise(tie_block.cast("bigint")),
     ]
@@ -151,9 +135,11 @@ def neighbour(
     shifts = [s for _, s in columns.values()]
     halo = with_halo(df, keys, max([-s for s in shifts] + [0]), max(shifts + [0]), pos)
     spec = halo_window(keys, pos)
-    for new, (source, shift) in columns.items():
-        halo = halo.withColumn(new, F.lag(source, -shift).over(spec))
-    return drop_halo(halo)
+    return drop_halo(
+        halo.withColumns(
+            {new: F.lag(source, -shift).over(spec) for new, (source, shift) in columns.items()}
+        )
+    )
 
 
 def running(
@@ -219,7 +205,7 @@ def percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per ``keys``.
 
-    Works on counts per distinct value, ranked through two nested histograms over the
+    Works on counts per distinct value, ranked through a million-cell histogram over the
     group's own range, so no task ever holds the values of a whole group.
     """
     keys = list(keys)
@@ -232,22 +218,24 @@ def percentiles(
         .agg(F.count(F.lit(1)).alias("__n"))
         .join(bounds, keys)
         .withColumn(
-            "__x",
+            "__cell",
             F.when(
                 F.col("__hi") > F.col("__lo"),
-                (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 4096,
-            ).otherwise(0.0),
+                F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 1_048_576),
+            ).otherwise(0),
+        )
+    )
+    offsets = (
+        counts.groupBy(*keys, "__cell")
+        .agg(F.sum("__n").alias("__n"))
+        .select(
+            *keys, "__cell", _sum_before(Window.partitionBy(*keys).orderBy("__cell")).alias("__before")
         )
-        .withColumn("__c1", F.floor("__x"))
-        .withColumn("__c2", F.floor((F.col("__x") - F.col("__c1")) * 4096))
     )
-    cells = ["__c1", "__c2"]
-    cell_counts = counts.groupBy(*keys, *cells).agg(F.sum("__n").alias("__n"))
-    offsets = cumulative_before(cell_counts, keys, cells, "__before").drop("__n")
-    inside = Window.partitionBy(*keys, *cells).orderBy("__v")
+    inside = _sum_before(Window.partitionBy(*keys, "__cell").orderBy("__v"))
     ranked = (
-        counts.withColumn("__in", _sum_before(inside))
-        .join(offsets, keys + cells)
+        counts.select("*", inside.alias("__in"))
+        .join(offsets, keys + ["__cell"])
         .withColumn("__first", F.col("__before") + F.col("__in"))
         .withColumn("__last", F.col("__first") + F.col("__n") - 1)
     )
@@ -257,12 +245,13 @@ def percentiles(
         for side, rank in (("lo", F.floor(target)), ("hi", F.ceil(target))):
             hit = (F.col("__first") <= rank) & (rank <= F.col("__last"))
             picks.append(F.max(F.when(hit, F.col("__v"))).alias(f"__{name}_{side}"))
-    out = ranked.groupBy(*keys).agg(F.first("__all").alias("__all"), *picks)
+    out = ranked.groupBy(*keys).agg(F.max("__all").alias("__all"), *picks)
+    values = []
     for name, p in wanted.items():
         target = (F.col("__all") - 1) * F.lit(float(p))
         lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
-        out = out.withColumn(name, lo + (hi - lo) * (target - F.floor(target)))
-    return out.select(*keys, *wanted)
+        values.append((lo + (hi - lo) * (target - F.floor(target))).alias(name))
+    return out.select(*keys, *values)
 
 
 def text_parts(
