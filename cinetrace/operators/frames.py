@@ -209,12 +209,12 @@ def _any_near(guess: Column, count: Column, at) -> Column:
     return F.exists(near, lambda i: (i >= 0) & (i < count) & at(i))
 
 
-def linspace_pick(frames: DataFrame, n: int, order: str = "frame_idx") -> DataFrame:
+def linspace_pick(frames: DataFrame, n: int, order: str = "frame_idx", keys=("run_id",)) -> DataFrame:
     """At most ``n`` evenly spaced rows per run, first and last included.
 
     A row decides from its own position and the run's size whether it is picked.
     """
-    rows = frame_position(frames, order=order, total="total")
+    rows = frame_position(frames, order=order, total="total", keys=keys)
     step = (F.col("total") - 1) / F.lit(n - 1)
     at = lambda i: (
         F.when(i == n - 1, F.col("total") - 1).otherwise(F.floor(i * step)) == F.col("pos")

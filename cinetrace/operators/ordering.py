@@ -64,11 +64,15 @@ def position(
 
 
 def frame_position(
-    df: DataFrame, name: str = "pos", order: str = "frame_idx", total: str | None = None
+    df: DataFrame,
+    name: str = "pos",
+    order: str = "frame_idx",
+    total: str | None = None,
+    keys: Sequence[str] = ("run_id",),
 ) -> DataFrame:
     """0-based position of each frame of a run (one row per frame)."""
     block = F.floor(F.col(order) / block_rows(df))
-    return position(df, ["run_id"], [F.col(order)], [block], name, total)
+    return position(df, keys, [F.col(order)], [block], name, total)
 
 
 def time_buckets(column: str | Column) -> list[Column]:
