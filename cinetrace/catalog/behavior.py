@@ -10,9 +10,9 @@ from cinetrace.operators import behavior as be
 _BOUTS = """ord AS (SELECT *, row_number() OVER w - 1 AS pos, lag(behavior) OVER w AS pb, lead(timestamp_ms) OVER w AS next_ms
    FROM b_labels WINDOW w AS (PARTITION BY run_id, profile_name ORDER BY frame_idx)),
  isl AS (SELECT *, max(CASE WHEN pb IS DISTINCT FROM behavior THEN pos END) OVER (PARTITION BY run_id, profile_name ORDER BY pos) AS bout FROM ord),
- bt AS (SELECT run_id, profile_name, bout, behavior, min(timestamp_ms)/1000.0 AS start_s,
-   CASE WHEN arg_max(coalesce(next_ms,-1), pos)=-1 THEN greatest(max(timestamp_ms)/1000.0, min(timestamp_ms)/1000.0+0.1)
-     ELSE arg_max(next_ms,pos)/1000.0 END AS end_s, count(*) AS frames, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame
+ bt AS (SELECT run_id, profile_name, bout, behavior, min(timestamp_ms) AS start_ms,
+   CASE WHEN arg_max(coalesce(next_ms,-1), pos)=-1 THEN greatest(max(timestamp_ms), min(timestamp_ms)+100)
+     ELSE arg_max(next_ms,pos) END AS end_ms, count(*) AS frames, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame
    FROM isl GROUP BY 1,2,3,4)"""
 
 
@@ -23,9 +23,9 @@ def _win6(t):
 
 @query(
     "agg9_bout_statistics",
-    f"""WITH {_BOUTS} SELECT run_id, profile_name, behavior, count(*) AS bouts, round_even(sum(end_s-start_s),2) AS total_s,
-    round_even(avg(end_s-start_s),2) AS mean_s, round_even(median(end_s-start_s),2) AS median_s, round_even(min(end_s-start_s),2) AS min_s,
-    round_even(max(end_s-start_s),2) AS max_s FROM bt GROUP BY 1,2,3""",
+    f"""WITH {_BOUTS} SELECT run_id, profile_name, behavior, count(*) AS bouts, round_even(sum(end_ms-start_ms)/1000.0,2) AS total_s,
+    round_even(avg(end_ms-start_ms)/1000.0,2) AS mean_s, round_even(median(end_ms-start_ms)/1000.0,2) AS median_s, round_even(min(end_ms-start_ms)/1000.0,2) AS min_s,
+    round_even(max(end_ms-start_ms)/1000.0,2) AS max_s FROM bt GROUP BY 1,2,3""",
 )
 def _agg9(t):
     return be.bout_statistics(t.labels())

@@ -35,43 +35,40 @@ def _in_bouts(labels: DataFrame) -> DataFrame:
 
 
 def bouts(labels: DataFrame) -> DataFrame:
-    """Stretches of one behaviour: each ends where the next begins (seconds).
+    """Stretches of one behaviour: each ends where the next begins.
 
     The last bout of a profile ends at its last label, and lasts at least 0.1 s.
     """
-    start = F.min("timestamp_ms") / 1000.0
-    follower = F.max_by("next_ms", "pos") / 1000.0
-    last = F.max_by("timestamp_ms", "pos") / 1000.0
-    end = F.when(follower.isNull(), F.greatest(last, start + 0.1)).otherwise(follower)
+    start, last = F.min("timestamp_ms"), F.max_by("timestamp_ms", "pos")
+    follower = F.max_by("next_ms", "pos")
+    end = F.when(follower.isNull(), F.greatest(last, start + 100)).otherwise(follower)
     return (
         _in_bouts(labels)
         .groupBy(*KEYS, "bout", "behavior")
         .agg(
-            F.min_by("timestamp_ms", "pos").alias("start_ms"),
-            start.alias("start_s"),
-            end.alias("end_s"),
+            start.alias("start_ms"),
+            end.alias("end_ms"),
             F.count(F.lit(1)).alias("frames"),
             F.min("frame_idx").alias("first_frame"),
             F.max("frame_idx").alias("last_frame"),
         )
-        .drop("start_ms")
     )
 
 
 def bout_statistics(labels: DataFrame) -> DataFrame:
     """Count and duration figures per behaviour, rounded to 2 places."""
-    spans = bouts(labels).withColumn("duration", F.col("end_s") - F.col("start_s"))
+    spans = bouts(labels).withColumn("ms", F.col("end_ms") - F.col("start_ms"))
     keys = [*KEYS, "behavior"]
-    two = lambda c: round_to(c, 2)
+    seconds = lambda c: round_to(c / 1000.0, 2)
     basic = spans.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("bouts"),
-        two(F.sum("duration")).alias("total_s"),
-        two(F.avg("duration")).alias("mean_s"),
-        two(F.min("duration")).alias("min_s"),
-        two(F.max("duration")).alias("max_s"),
+        seconds(F.sum("ms")).alias("total_s"),
+        seconds(F.avg("ms")).alias("mean_s"),
+        seconds(F.min("ms")).alias("min_s"),
+        seconds(F.max("ms")).alias("max_s"),
     )
-    middle = percentiles(spans, keys, "duration", {"median_s": 0.5})
-    return basic.join(middle, keys).withColumn("median_s", two(F.col("median_s")))
+    middle = percentiles(spans, keys, "ms", {"median_ms": 0.5})
+    return basic.join(middle, keys).withColumn("median_s", seconds(F.col("median_ms"))).drop("median_ms")
 
 
 def bout_frames(labels: DataFrame, limit: int = 20) -> DataFrame:
