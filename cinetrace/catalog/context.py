@@ -183,7 +183,7 @@ def _fn15(t):
     return t.read("pages").select("page_id", tx.clean_query(noisy).alias("q"))
 
 
-@query("fn17_prompt_budget", "SELECT run_id, greatest(1024, least(CAST(floor((width*20)*0.7) AS BIGINT), width*20-4096-512)) AS budget FROM b_media")
+@query("fn17_prompt_budget", "SELECT run_id, greatest(1024, least(CAST(floor((width*20)*0.7::DOUBLE) AS BIGINT), width*20-4096-512)) AS budget FROM b_media")
 def _fn17(t):
     return t.media().select("run_id", cx.prompt_budget(F.col("width") * 20).alias("budget"))
 

@@ -8,14 +8,14 @@ from cinetrace.catalog import query
 from cinetrace.functions import times
 from cinetrace.operators import replies as rp
 
-_L = """ln AS (SELECT run_id, unit_id, at, trim(l[at]) AS line, text FROM (SELECT *, unnest(range(1, len(l)+1)) AS at
+_L = """ln AS (SELECT run_id, unit_id, nr, trim(l[nr]) AS line, text FROM (SELECT *, unnest(range(1, len(l)+1)) AS nr
   FROM (SELECT *, string_split(text, chr(10)) AS l FROM b_replies)))"""
 
 
 @query(
     "par3_chunk_frames",
     f"""WITH {_L} SELECT run_id, unit_id, CAST(regexp_extract(line, '(?i)^FRAME[_ ]?([0-9]+)\\s*[:-]\\s*(.+)$', 1) AS BIGINT) AS frame_idx,
-    arg_max(trim(regexp_extract(line, '(?i)^FRAME[_ ]?([0-9]+)\\s*[:-]\\s*(.+)$', 2)), at) AS caption FROM ln
+    arg_max(trim(regexp_extract(line, '(?i)^FRAME[_ ]?([0-9]+)\\s*[:-]\\s*(.+)$', 2)), nr) AS caption FROM ln
     WHERE regexp_matches(line, '(?i)^FRAME[_ ]?([0-9]+)\\s*[:-]\\s*(.+)$') GROUP BY 1,2,3""",
 )
 def _par3(t):
@@ -24,7 +24,7 @@ def _par3(t):
 
 @query(
     "par3_chunk_summaries",
-    f"""WITH {_L} SELECT run_id, unit_id, coalesce(arg_max(trim(regexp_extract(line, '(?i)^SUMMARY\\s*[:-]\\s*(.+)$', 1)), at) FILTER (WHERE regexp_matches(line, '(?i)^SUMMARY\\s*[:-]\\s*(.+)$')), '') AS summary
+    f"""WITH {_L} SELECT run_id, unit_id, coalesce(arg_max(trim(regexp_extract(line, '(?i)^SUMMARY\\s*[:-]\\s*(.+)$', 1)), nr) FILTER (WHERE regexp_matches(line, '(?i)^SUMMARY\\s*[:-]\\s*(.+)$')), '') AS summary
     FROM ln GROUP BY 1,2""",
 )
 def _par3s(t):
@@ -33,9 +33,9 @@ def _par3s(t):
 
 @query(
     "par4_new_entities",
-    f"""WITH {_L}, f AS (SELECT run_id, unit_id, arg_min(trim(regexp_extract(line, '^NEW_ENTITIES: (.+)$', 1)), at) AS raw FROM ln WHERE line LIKE 'NEW_ENTITIES: %' GROUP BY 1,2),
-    p AS (SELECT run_id, unit_id, trim(unnest(string_split(raw, ','))) AS pair, generate_subscripts(string_split(raw, ','),1) AS at FROM f WHERE lower(raw) NOT IN ('none','n/a','-',''))
-    SELECT run_id, unit_id, trim(split_part(pair,'=',1)) AS id, arg_max(trim(substr(pair, instr(pair,'=')+1)), at) AS description FROM p WHERE instr(pair,'=')>1 GROUP BY 1,2,3""",
+    f"""WITH {_L}, f AS (SELECT run_id, unit_id, arg_min(trim(regexp_extract(line, '^NEW_ENTITIES: (.+)$', 1)), nr) AS raw FROM ln WHERE line LIKE 'NEW_ENTITIES: %' GROUP BY 1,2),
+    p AS (SELECT run_id, unit_id, trim(unnest(string_split(raw, ','))) AS pair, generate_subscripts(string_split(raw, ','),1) AS nr FROM f WHERE lower(raw) NOT IN ('none','n/a','-',''))
+    SELECT run_id, unit_id, trim(split_part(pair,'=',1)) AS id, arg_max(trim(substr(pair, instr(pair,'=')+1)), nr) AS description FROM p WHERE instr(pair,'=')>1 GROUP BY 1,2,3""",
 )
 def _par4(t):
     return rp.new_entities(t.replies())
@@ -43,8 +43,8 @@ def _par4(t):
 
 @query(
     "par5_two_lines",
-    f"""WITH {_L} SELECT run_id, unit_id, coalesce(arg_max(trim(substr(line,7)), at) FILTER (WHERE line LIKE 'FRAME: %'), '(no caption)') AS caption,
-    arg_max(trim(substr(line,8)), at) FILTER (WHERE line LIKE 'CHANGE: %') AS change_line FROM ln GROUP BY 1,2""",
+    f"""WITH {_L} SELECT run_id, unit_id, coalesce(arg_max(trim(substr(line,7)), nr) FILTER (WHERE line LIKE 'FRAME: %'), '(no caption)') AS caption,
+    arg_max(trim(substr(line,8)), nr) FILTER (WHERE line LIKE 'CHANGE: %') AS change_line FROM ln GROUP BY 1,2""",
 )
 def _par5(t):
     return rp.two_lines(t.replies())
@@ -52,8 +52,8 @@ def _par5(t):
 
 @query(
     "par6_verdicts",
-    f"""WITH {_L}, v AS (SELECT run_id, unit_id, any_value(text) AS text, arg_min(lower(line), at) FILTER (WHERE lower(line) LIKE '%verdict:%') AS vl,
-      arg_min(line, at) FILTER (WHERE lower(line) LIKE '%caption:%') AS cl FROM ln GROUP BY 1,2)
+    f"""WITH {_L}, v AS (SELECT run_id, unit_id, any_value(text) AS text, arg_min(lower(line), nr) FILTER (WHERE lower(line) LIKE '%verdict:%') AS vl,
+      arg_min(line, nr) FILTER (WHERE lower(line) LIKE '%caption:%') AS cl FROM ln GROUP BY 1,2)
     SELECT run_id, unit_id, coalesce(vl LIKE '%agree%' AND vl NOT LIKE '%disagree%', true) AS agrees,
     CASE WHEN cl IS NOT NULL AND trim(substr(cl, instr(cl,':')+1))<>'' THEN trim(substr(cl, instr(cl,':')+1)) ELSE trim(text, chr(10)||' ') END AS caption FROM v""",
 )

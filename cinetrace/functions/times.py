@@ -45,10 +45,26 @@ def clean_clock(text: Column) -> Column:
     return F.concat(pad(minutes), F.lit(":"), pad(seconds))
 
 
+def hundredths(ms: Column) -> Column:
+    """Milliseconds to hundredths of a second, rounded as printing ``ms / 1000`` with two places.
+
+    A tie is decided by the binary value of the quotient: the sign of its rounding error.
+    """
+    s = ms / 1000.0
+    big = s * 134217729.0
+    high = big - (big - s)
+    product = s * 1000.0
+    error = (product - ms) + ((high * 1000.0 - product) + (s - high) * 1000.0)
+    down = F.floor(ms / 10)
+    up_on_tie = F.when(error > 0, 1).when(error < 0, 0).otherwise(down % 2)
+    return down + F.when(ms % 10 == 5, up_on_tie).otherwise((ms % 10 > 5).cast("int"))
+
+
 def clock_text(ms: Column) -> Column:
     """Milliseconds to "MM:SS.ss"."""
     minutes = F.floor(ms / 60000)
-    return F.format_string("%02d:%05.2f", minutes, (ms - minutes * 60000) / 1000.0)
+    part = hundredths(ms - minutes * 60000)
+    return F.format_string("%02d:%02d.%02d", minutes, F.floor(part / 100), part % 100)
 
 
 def duration_text(seconds: Column) -> Column:
