@@ -1 +1,122 @@
-"""Queries."""
+"""Dataset exports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cinetrace.catalog import query
+from cinetrace.catalog.keyed import _LINES, _chunk_docs
+from cinetrace.operators.captions import dense_timeline
+from cinetrace.operators.frames import keyframes_or_all
+from cinetrace.sources import export as ex
+from cinetrace.sources import readers as rd
+
+_CAT = "ct AS (SELECT run_id, class_name, dense_rank() OVER (PARTITION BY run_id ORDER BY class_name) AS id FROM (SELECT DISTINCT run_id, class_name FROM b_detections))"
+_IMG = "im AS (SELECT run_id, frame_idx, timestamp_ms, image_path, row_number() OVER (PARTITION BY run_id ORDER BY frame_idx)-1 AS id FROM b_frames WHERE delta_score>=5)"
+
+
+def _frames(t):
+    return t.frames().filter("delta_score >= 5")
+
+
+@query("win17_category_ids", f"WITH {_CAT} SELECT run_id, id, class_name AS name FROM ct")
+def _win17(t):
+    return ex.categories(t.detections())
+
+
+@query("win16_image_ids", f"WITH {_IMG} SELECT run_id, id, image_path AS file_name, 640 AS width, 360 AS height, frame_idx, timestamp_ms FROM im")
+def _win16(t):
+    return ex.images(_frames(t))
+
+
+_ANN = f"""{_CAT}, {_IMG}, an AS (SELECT d.run_id, d.detection_id AS id, im.id AS image_id, ct.id AS category_id, x1*640 AS px, y1*360 AS py, x2*640-x1*640 AS w, y2*360-y1*360 AS h, confidence, mean_depth
+  FROM b_detections d JOIN im USING (run_id, frame_idx) JOIN ct ON ct.run_id=d.run_id AND ct.class_name=d.class_name WHERE confidence>=0.5)"""
+
+
+def _ann(t):
+    return ex.annotations(_frames(t), t.detections(), 0.5)
+
+
+@query(
+    "snk10_coco_annotations",
+    f"""WITH {_ANN} SELECT run_id, id, image_id, category_id, round_even(px,1) AS x, round_even(py,1) AS y, round_even(w,1) AS w, round_even(h,1) AS h,
+    round_even(w*h,1) AS area, round_even(confidence,4) AS confidence, mean_depth FROM an""",
+)
+def _snk10(t):
+    b = F.col("bbox")
+    return _ann(t).select(
+        "run_id", "id", "image_id", "category_id", b[0].alias("x"), b[1].alias("y"), b[2].alias("w"), b[3].alias("h"), "area", "confidence", "mean_depth"
+    )
+
+
+@query("prj6_pixel_boxes", f"WITH {_ANN} SELECT run_id, id, round_even(w,1) AS w, round_even(h,1) AS h, round_even(w*h,1) AS area FROM an")
+def _prj6(t):
+    return _ann(t).select("run_id", "id", F.col("bbox")[2].alias("w"), F.col("bbox")[3].alias("h"), "area")
+
+
+_CORR = "(SELECT run_id, frame_idx AS correlation_idx, frame_idx AS visual_idx, CASE WHEN k%5=0 THEN NULL ELSE frame_idx+k END AS audio_idx FROM b_events)"
+
+
+def _lines(t):
+    k, idx = F.col("k"), F.col("frame_idx")
+    corr = t.events().select(
+        "run_id", idx.alias("correlation_idx"), idx.alias("visual_idx"), F.when(k % 5 != 0, idx + k).alias("audio_idx"), F.lit(None).cast("string").alias("description")
+    )
+    return ex.caption_lines(_chunk_docs(t), t.visual(), t.sounds(), corr)
+
+
+_TAGGED = f"""SELECT run_id, 'chunk_caption' AS type, chunk_id, NULL::BIGINT AS event_idx, behavior AS caption, NULL AS description, NULL AS speaker FROM {_LINES} WHERE k%4<>0
+  UNION ALL SELECT run_id, 'visual_event', NULL, ev_idx, NULL, description, NULL FROM b_visual
+  UNION ALL SELECT run_id, 'audio_event', NULL, ev_idx, NULL, NULL, coalesce(speaker,'unknown') FROM b_sounds
+  UNION ALL SELECT run_id, 'multimodal_correlation', NULL, NULL, NULL, '', NULL FROM {_CORR}"""
+
+
+@query("set6_tagged_rows", _TAGGED)
+def _set6(t):
+    return _lines(t).select("run_id", "type", "chunk_id", "event_idx", "caption", "description", "speaker")
+
+
+@query("snk11_caption_jsonl", f"SELECT run_id, type, count(*) AS n FROM ({_TAGGED}) GROUP BY 1,2")
+def _snk11(t):
+    path = rd.scratch_dir(t.spark, "captions-jsonl")
+    ex.write_json(_lines(t), path)
+    return rd.read_json(t.spark, path, "run_id bigint, type string").groupBy("run_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("snk12_frame_caption_jsonl", f"SELECT l.run_id, l.frame_idx, l.line AS caption, f.image_path FROM {_LINES} l JOIN b_frames f USING (run_id, frame_idx) WHERE lower(trim(line))<>'(no change)'")
+def _snk12(t):
+    path = rd.scratch_dir(t.spark, "frame-captions")
+    ex.write_json(ex.frame_captions(_chunk_docs(t), t.frames()), path)
+    return rd.read_json(t.spark, path, "run_id bigint, frame_idx bigint, caption string, image_path string")
+
+
+@query("snk13_export_manifest")
+def _snk13(t):
+    tables = {"images": ex.images(t.frames()), "categories": ex.categories(t.detections()), "annotations": _ann(t), "captions": _lines(t)}
+    return ex.export_all(tables, rd.scratch_dir(t.spark, "export"))
+
+
+@query(
+    "snk17_analysis_document",
+    """SELECT run_id, section, count(*) AS n FROM (SELECT run_id, 'entities' AS section FROM b_entities UNION ALL SELECT run_id, 'visual_events' FROM b_visual
+    UNION ALL SELECT run_id, 'audio_events' FROM b_sounds UNION ALL SELECT run_id, 'dense_timeline' FROM b_captions) GROUP BY 1,2""",
+)
+def _snk17(t):
+    path = rd.scratch_dir(t.spark, "analysis")
+    ex.write_json(ex.analysis_lines(t.entities(), t.visual(), t.sounds(), dense_timeline(t.captions())), path)
+    return rd.read_json(t.spark, path, "run_id bigint, section string").groupBy("run_id", "section").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SEL = "(SELECT run_id, frame_idx FROM (SELECT *, max(is_keyframe) OVER (PARTITION BY run_id) AS has FROM b_frames) WHERE is_keyframe OR NOT has)"
+
+
+@query("snk18_selected_lists", f"SELECT run_id, 0 AS part, '['||string_agg(frame_idx, ',' ORDER BY frame_idx)||']' AS value FROM {_SEL} GROUP BY 1")
+def _snk18(t):
+    return ex.selected_lists(keyframes_or_all(t.frames()))
+
+
+@query("snk18_load_lists", f"SELECT run_id, frame_idx FROM {_SEL}")
+def _snk18l(t):
+    broken = t.captions().select("run_id", F.lit("[1, oops").alias("value"))
+    stored = ex.selected_lists(keyframes_or_all(t.frames())).select("run_id", "value")
+    return ex.load_lists(stored.union(broken))

@@ -5,10 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +37,75 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+# Fixed value: file name endings of recordings.
+MEDIA_ENDINGS = ("mp4", "mov", "mkv", "avi", "webm", "m4v", "mpg")
+
+
+def _listing(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", str(recursive).lower())
+        .load(root)
+        .select("path", "length", "modificationTime")
+    )
+
+
+def discover_media(spark: SparkSession, root: str, endings: tuple[str, ...] = MEDIA_ENDINGS) -> DataFrame:
+    """Recordings directly under ``root``, by path.  File contents are not read."""
+    ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return _listing(spark, root, False).filter(ending.isin(*endings)).orderBy("path")
+
+
+def artifacts(spark: SparkSession, root: str) -> DataFrame:
+    """Every file under ``root`` with its size."""
+    return _listing(spark, root, True).select("path", "length").orderBy("path")
+
+
+def read_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """A stored table in its declared shape; a missing folder is an empty table."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], ddl)
+    return conform(spark.read.option("mergeSchema", "true").parquet(path), ddl)
+
+
+def conform(df: DataFrame, ddl: str) -> DataFrame:
+    """Declared columns and types; columns that older files lack are NULL."""
+    fields = T.StructType.fromDDL(ddl).fields
+    have = set(df.columns)
+    return df.select(
+        *[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    )
+
+
+def transcript_segments(documents: DataFrame) -> DataFrame:
+    """Speech documents of either layout to segments; empty texts are dropped."""
+    item = lambda start, end, text: F.struct(
+        start.cast("bigint").alias("start_ms"), end.cast("bigint").alias("end_ms"), F.trim(text).alias("text")
+    )
+    offsets = F.transform("transcription", lambda s: item(s["offsets"]["from"], s["offsets"]["to"], s["text"]))
+    seconds = F.transform("segments", lambda s: item(s["start"] * 1000, s["end"] * 1000, s["text"]))
+    return documents.select("run_id", F.posexplode(F.coalesce(offsets, seconds)).alias("at", "s")).select(
+        "run_id", F.col("at").cast("bigint").alias("at"), "s.*"
+    ).filter("text <> ''")
+
+
+def read_json(spark: SparkSession, path: str, ddl: str, multi_line: bool = False) -> DataFrame:
+    """JSON of a declared shape; unreadable records keep their text in ``_corrupt_record``."""
+    reader = spark.read.schema(ddl).option("mode", "PERMISSIVE").option("multiLine", str(multi_line).lower())
+    return reader.json(path)
+
+
+def with_fallback(preferred: DataFrame, fallback: DataFrame, column: str = "doc") -> DataFrame:
+    """One document per run: the preferred place, else the fallback."""
+    b = fallback.withColumnRenamed(column, "__other")
+    return preferred.join(b, "run_id", "full").withColumn(column, F.coalesce(column, "__other")).drop("__other")
+
+
+def chunk_documents(documents: DataFrame) -> DataFrame:
+    """Chunk documents with numeric frame keys."""
+    return documents.withColumn(
+        "per_frame_lines", F.transform_keys("per_frame_lines", lambda k, _v: k.cast("bigint"))
+    )
