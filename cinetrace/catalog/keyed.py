@@ -164,12 +164,12 @@ def _snk9c(t):
     return kw.cleared_profiles(labels, labels.filter("profile_name = 'alt'").select("run_id", "profile_name").distinct())
 
 
-@query("jon11_open_stages", f"WITH {_LEDGER}, al AS (SELECT DISTINCT r.run_id, s.stage AS stage_name FROM (SELECT DISTINCT run_id FROM b_timings) r, (SELECT DISTINCT stage FROM b_timings) s) SELECT * FROM al ANTI JOIN lg USING (run_id, stage_name)")
+@query("jon11_open_stages", f"WITH {_LEDGER}, al AS (SELECT DISTINCT r.run_id, s.stage AS stage_name FROM (SELECT DISTINCT run_id FROM b_timings) r, (SELECT DISTINCT stage FROM b_timings) s) SELECT * FROM al ANTI JOIN (SELECT * FROM lg WHERE n_units>0) d USING (run_id, stage_name)")
 def _jon11s(t):
     led = _ledger(t)
     stages = sorted(["signup", "click", "error", "purchase", "view"])
     wanted = led.select("run_id").distinct().select("run_id", F.explode(F.array(*[F.lit(s) for s in stages])).alias("stage_name"))
-    return wanted.join(led, ["run_id", "stage_name"], "left_anti")
+    return wanted.join(led.filter("n_units > 0"), ["run_id", "stage_name"], "left_anti")
 
 
 # --- readers ---------------------------------------------------------------------------
