@@ -1 +1,151 @@
-"""Queries."""
+"""Streams run to the end of their input, and their batch twins."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from cinetrace.catalog import query
+from cinetrace.catalog.captions import _SIM
+from cinetrace.catalog.summaries import _FACTS, _facts
+from cinetrace.operators import summaries as su
+from cinetrace.plans import hooks
+from cinetrace.sources.readers import scratch_dir
+from cinetrace.streaming import live
+
+_LIVE = """r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY created_ms DESC, verified_ms DESC NULLS LAST, frame_idx DESC) AS rank FROM b_captions),
+ v AS (SELECT run_id, string_agg(frame_idx, ',' ORDER BY rank) AS verdicts FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY verified_ms DESC, frame_idx DESC) AS rank FROM b_captions WHERE verified_ms IS NOT NULL) WHERE rank<=5 GROUP BY 1),
+ s AS (SELECT r.run_id, count(*) AS speech FROM r JOIN b_audio a ON a.run_id=r.run_id AND a.start_ms<r.timestamp_ms+1000 AND a.end_ms>r.timestamp_ms-1000 WHERE rank=1 GROUP BY 1)
+ SELECT r.run_id, r.frame_idx, r.caption, r.change_line, l.recent, coalesce(v.verdicts,'') AS verdicts, coalesce(s.speech,0) AS speech, c.total, c.escalated, c.verified FROM r
+ JOIN (SELECT run_id, string_agg(frame_idx, ',' ORDER BY rank) AS recent FROM r WHERE rank<=5 GROUP BY 1) l USING (run_id) LEFT JOIN v USING (run_id) LEFT JOIN s USING (run_id)
+ JOIN (SELECT run_id, count(*) AS total, count(*) FILTER (WHERE escalated) AS escalated, count(verified_ms) AS verified FROM b_captions GROUP BY 1) c USING (run_id) WHERE rank=1"""
+
+
+@query("str1_live_state", f"WITH {_LIVE}")
+def _str1(t):
+    return live.live_state(t.captions(), t.audio())
+
+
+@query("str1_live_feed", f"WITH {_LIVE}")
+def _str1f(t):
+    """The same rows through a stream of caption files."""
+    root = scratch_dir(t.spark, "feed")
+    t.captions().write.parquet(f"{root}/in")
+    stream = t.spark.readStream.schema(t.captions().schema).parquet(f"{root}/in")
+    store = t.spark.read.parquet(f"{root}/in")
+    feed = live.live_feed(
+        stream, lambda: store, t.audio, lambda df, _n: df.write.mode("overwrite").parquet(f"{root}/out"), f"{root}/ckpt"
+    )
+    feed.awaitTermination()
+    return t.spark.read.parquet(f"{root}/out")
+
+
+@query("str2_walker", f"WITH {_SIM} SELECT run_id, frame_idx, (delta_score>=9.0 OR coalesce(similarity<0.3,false)) AS escalate FROM sm")
+def _str2(t):
+    root = scratch_dir(t.spark, "walk")
+    rows = t.captions().select("run_id", "frame_idx", "caption", "delta_score", F.lit(9.0).alias("threshold"))
+    rows.write.parquet(f"{root}/in")
+    live.catch_up(live.walk(t.spark.readStream.schema(rows.schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/ckpt")
+    return t.spark.read.parquet(f"{root}/out")
+
+
+_TRIES = "at AS (SELECT run_id, frame_idx, count(*) AS n FROM (SELECT run_id, frame_idx, unnest(range(length(caption)%5)) FROM b_captions) GROUP BY 1,2)".replace("at AS", "tries AS")
+
+
+def _attempts(t):
+    n = F.length("caption") % 5
+    return t.captions().filter(n > 0).select("run_id", "frame_idx", F.explode(F.sequence(F.lit(1), n)).alias("attempt"))
+
+
+@query(
+    "str3_review_queue",
+    f"""WITH {_TRIES} SELECT run_id, frame_idx, rank FROM (SELECT run_id, frame_idx, row_number() OVER (PARTITION BY run_id ORDER BY frame_idx) AS rank FROM b_captions c
+    WHERE escalated AND verifier_agrees IS NULL AND NOT EXISTS (SELECT 1 FROM tries a WHERE a.run_id=c.run_id AND a.frame_idx=c.frame_idx AND a.n>=3)) WHERE rank<=2""",
+)
+def _str3(t):
+    return live.review_queue(t.captions(), _attempts(t), 2).select("run_id", "frame_idx", "rank")
+
+
+@query(
+    "str3_review_drain",
+    f"""WITH {_TRIES} SELECT run_id, frame_idx FROM b_captions c WHERE escalated AND verifier_agrees IS NULL
+    AND NOT EXISTS (SELECT 1 FROM tries a WHERE a.run_id=c.run_id AND a.frame_idx=c.frame_idx AND a.n>=3)""",
+)
+def _str3d(t):
+    return live.review_queue(t.captions(), _attempts(t), None).select("run_id", "frame_idx")
+
+
+@query("str3_attempt_counts", f"WITH {_TRIES} SELECT * FROM tries")
+def _str3a(t):
+    root = scratch_dir(t.spark, "attempts")
+    _attempts(t).write.parquet(f"{root}/in")
+    stream = t.spark.readStream.schema(_attempts(t).schema).parquet(f"{root}/in")
+    live.publish_status(live.attempt_counts(stream), f"{root}/out", f"{root}/ckpt", None).awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").drop("batch")
+
+
+_STATUS = """SELECT run_id, stage, max(event_id) AS seq, arg_max(CASE WHEN n_units=0 THEN 'error' ELSE 'done' END, event_id) AS status, arg_max(n_units, event_id) AS n_units, count(*) AS updates
+  FROM b_timings GROUP BY 1,2"""
+
+
+def _stage_events(t):
+    n = F.col("n_units")
+    return t.timings().select("run_id", "stage", F.col("event_id").alias("seq"), F.when(n == 0, "error").otherwise("done").alias("status"), "n_units")
+
+
+@query("str4_stage_status", _STATUS)
+def _str4(t):
+    return live.stage_status_batch(_stage_events(t))
+
+
+@query("str4_status_stream", _STATUS)
+def _str4s(t):
+    root = scratch_dir(t.spark, "status")
+    _stage_events(t).write.parquet(f"{root}/in")
+    stream = t.spark.readStream.schema(_stage_events(t).schema).parquet(f"{root}/in")
+    live.publish_status(live.stage_status(stream), f"{root}/out", f"{root}/ckpt", None).awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").drop("batch")
+
+
+@query("str5_catch_up", "SELECT run_id, frame_idx, delta_score FROM b_frames")
+def _str5(t):
+    """Two deliveries, two calls: each frame arrives once."""
+    root = scratch_dir(t.spark, "catchup")
+    rows = t.frames().select("run_id", "frame_idx", "delta_score")
+    for part in (rows.filter("delta_score < 10"), rows.filter("delta_score >= 10")):
+        part.write.mode("append").parquet(f"{root}/in")
+        live.catch_up(t.spark.readStream.schema(rows.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/ckpt")
+    return t.spark.read.parquet(f"{root}/out")
+
+
+class _Shout:
+    """A stand-in for a model."""
+
+    name = "shout"
+
+    def is_available(self) -> bool:
+        return True
+
+    def analyse(self, texts: pd.Series) -> pd.Series:
+        return texts.str.upper()
+
+    def cleanup(self) -> None:
+        pass
+
+
+@query("udf1_text_model", f"WITH {_FACTS} SELECT run_id, upper(coalesce(event_types,'none')) AS answer FROM fc")
+def _udf1(t):
+    rows = _facts(t).select("run_id", F.coalesce("event_types", F.lit("none")).alias("prompt"), F.lit("").alias("fallback"))
+    return hooks.enrich(rows, "prompt", "answer", _Shout, "fallback").select("run_id", "answer")
+
+
+@query("udf2_without_model", f"WITH {_FACTS} SELECT run_id, coalesce(nullif(summary,''),'Video analysis completed.') AS answer FROM fc")
+def _udf2(t):
+    lines = su.five_lines(_facts(t)).withColumn("text", F.split("text", "\n")[0])
+    return hooks.enrich(lines, "text", "answer", None, "text").select("run_id", "answer")
+
+
+@query("udf3_observed", "SELECT run_id, frame_idx FROM b_frames")
+def _udf3(t):
+    rows, _seen = hooks.observed(t.frames().select("run_id", "frame_idx"), "frames")
+    return rows
