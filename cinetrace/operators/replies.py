@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinetrace.functions.times import clean_clock
 
@@ -147,7 +148,7 @@ def single_labels(replies: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _balanced(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """First balanced ``{...}`` of each text."""
 
