@@ -19,6 +19,7 @@ from cinetrace.operators.ordering import (
     with_halo,
 )
 from cinetrace.settings import block_rows
+from cinetrace.sources.readers import checkpointed
 
 KEYS = ["run_id", "profile_name"]
 
@@ -56,8 +57,11 @@ def bouts(labels: DataFrame) -> DataFrame:
 
 
 def bout_statistics(labels: DataFrame) -> DataFrame:
-    """Count and duration figures per behaviour, rounded to 2 places."""
-    spans = bouts(labels).withColumn("ms", F.col("end_ms") - F.col("start_ms"))
+    """Count and duration figures per behaviour, rounded to 2 places.
+
+    The figures read the bouts several times, so the (much smaller) bout table is written once.
+    """
+    spans = checkpointed(bouts(labels).select(*KEYS, "behavior", (F.col("end_ms") - F.col("start_ms")).alias("ms")))
     keys = [*KEYS, "behavior"]
     seconds = lambda c: round_to(c / 1000.0, 2)
     basic = spans.groupBy(*keys).agg(

@@ -14,6 +14,7 @@ from cinetrace.operators.ordering import (
     score_buckets,
 )
 from cinetrace.settings import block_rows
+from cinetrace.sources.readers import checkpointed
 
 # Weights of the frame score.
 DELTA_WEIGHT, CLASS_WEIGHT, TRACK_WEIGHT, OVERLAP_WEIGHT = 1.0, 2.0, 2.0, 0.5
@@ -29,24 +30,23 @@ def frame_sets(detections: DataFrame) -> DataFrame:
 
 
 def _items(frames: DataFrame, detections: DataFrame) -> DataFrame:
-    """One row per frame and class, and per frame and track with its last box."""
-    placed = detections.join(
-        frame_position(frames).select("run_id", "frame_idx", "pos"), ["run_id", "frame_idx"]
+    """One row per frame and class, and per frame and track, with the last box by id."""
+    corners = ["x1", "y1", "x2", "y2"]
+    kind = lambda name, item: F.struct(
+        F.lit(name).alias("kind"), F.col(item).cast("string").alias("item")
     )
+    both = F.array(kind("class", "class_name"), kind("track", "track_id"))
     keys = ["run_id", "frame_idx", "pos"]
-    corners = ("x1", "y1", "x2", "y2")
-    classes = (
-        placed.groupBy(*keys, "class_name")
-        .agg(F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>").alias("box"))
-        .select(*keys, F.lit("class").alias("kind"), F.col("class_name").alias("item"), "box")
-    )
-    tracks = (
-        placed.filter("track_id IS NOT NULL")
-        .groupBy(*keys, "track_id")
+    return (
+        detections.join(
+            frame_position(frames).select("run_id", "frame_idx", "pos"), ["run_id", "frame_idx"]
+        )
+        .select(*keys, "detection_id", *corners, F.inline(both))
+        .filter("item IS NOT NULL")
+        .groupBy(*keys, "kind", "item")
         .agg(*[F.max_by(c, "detection_id").alias(c) for c in corners])
-        .select(*keys, F.lit("track").alias("kind"), F.col("track_id").cast("string").alias("item"), F.struct(*corners).alias("box"))
+        .select(*keys, "kind", "item", F.struct(*corners).alias("box"))
     )
-    return classes.union(tracks)
 
 
 def frame_features(frames: DataFrame, detections: DataFrame) -> DataFrame:
@@ -119,7 +119,11 @@ def select_scored(
 
     Without ``k`` it is ``max(1, round(duration * frames_per_second))``, the duration being
     the last timestamp in seconds and at least 1.
+
+    Ranking reads the scores twice.  They cost a pass over the detections, so the narrow score
+    table is written once instead.
     """
+    scored = checkpointed(scored.select("run_id", "frame_idx", "timestamp_ms", "is_keyframe", "score"))
     seconds = F.greatest(F.lit(1.0), F.max("timestamp_ms") / 1000.0)
     room = F.lit(k) if k is not None else F.bround(seconds * frames_per_second, 0)
     runs = scored.groupBy("run_id").agg(

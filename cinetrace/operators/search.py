@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cinetrace.functions.text import clean_query
 from cinetrace.functions.times import mmss_to_ms
 from cinetrace.operators.ordering import first_n
+from cinetrace.sources.readers import checkpointed
 
 K1, B = 1.2, 0.75  # Fixed values: BM25 parameters.
 FIELDS = ("content", "source_type", "timestamp_ms", "frame_idx")
@@ -23,12 +24,17 @@ def _accents() -> tuple[str, str]:
 
 
 _FROM, _TO = _accents()
+_LETTERS = r"[\p{L}\p{N}]+"
 
 
 def tokens(text: Column) -> Column:
     """Case-folded words without accents."""
-    folded = F.translate(F.lower(text), _FROM, _TO)
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.regexp_extract_all(F.translate(F.lower(text), _FROM, _TO), F.lit(_LETTERS), F.lit(0))
+
+
+def word_count(text: Column) -> Column:
+    """``size(tokens(text))`` without building the words; no text has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(_LETTERS)), F.lit(0))
 
 
 def documents(
@@ -70,7 +76,7 @@ def documents(
     for part in parts[1:]:
         union = union.unionByName(part)
     fields = FIELDS[:1] if clean else FIELDS
-    words = sum((F.size(tokens(F.coalesce(F.col(f).cast("string"), F.lit("")))) for f in fields), F.lit(0))
+    words = sum((word_count(F.col(f).cast("string")) for f in fields), F.lit(0))
     return union.filter("content <> ''").withColumn("len", words)
 
 
@@ -190,7 +196,8 @@ def search(docs: DataFrame, index: DataFrame, queries: DataFrame, limit: int = 2
     """
     terms = query_terms(queries)
     prefixes = not queries.filter(F.col("query").contains("*")).isEmpty()
-    hits = _hits(index, terms, prefixes)
+    # Read twice below, and far smaller than the index it is cut from: written once.
+    hits = checkpointed(_hits(index, terms, prefixes))
     lengths = docs.select("run_id", "doc_id", "len")
     runs = lengths.groupBy("run_id").agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
     found_in = hits.groupBy("run_id", "phrase_id").agg(F.count(F.lit(1)).alias("df"))
