@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cinetrace.catalog import query
+from cinetrace.functions import round_to
 from cinetrace.functions.geometry import iou, normalise_box
 from cinetrace.operators import detections as det
 from cinetrace.operators import frames as fr
@@ -236,13 +237,13 @@ def _norm(t):
 
 @query(
     "fn14_box_iou",
-    """SELECT run_id, detection_id, round(greatest(0,least(x2,0.7)-greatest(x1,0.2))*greatest(0,least(y2,0.7)-greatest(y1,0.2)) /
+    """SELECT run_id, detection_id, round_even(greatest(0,least(x2,0.7)-greatest(x1,0.2))*greatest(0,least(y2,0.7)-greatest(y1,0.2)) /
     ((x2-x1)*(y2-y1)+0.25-greatest(0,least(x2,0.7)-greatest(x1,0.2))*greatest(0,least(y2,0.7)-greatest(y1,0.2))),6) AS iou FROM b_detections""",
 )
 def _fn14(t):
     centre = F.struct(F.lit(0.2).alias("x1"), F.lit(0.2).alias("y1"), F.lit(0.7).alias("x2"), F.lit(0.7).alias("y2"))
     box = F.struct("x1", "y1", "x2", "y2")
-    return t.detections().select("run_id", "detection_id", F.round(iou(box, centre), 6).alias("iou"))
+    return t.detections().select("run_id", "detection_id", round_to(iou(box, centre), 6).alias("iou"))
 
 
 # --- masks: vectors thresholded at 0 are 8 x 8 masks -----------------------------------

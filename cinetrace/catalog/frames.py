@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cinetrace.catalog import query
+from cinetrace.functions import round_to
 from cinetrace.operators import frames as fr
-from cinetrace.operators.ordering import first_n
 
 _FEATURES = """
 pos AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY frame_idx)-1 AS pos FROM b_frames),
@@ -53,42 +53,42 @@ def _win3(t):
     return _features(t).select("run_id", "frame_idx", "track_churn")
 
 
-@query("win4_iou_drop", f"WITH {_FEATURES} SELECT run_id, frame_idx, round(iou_drop,6) AS iou_drop FROM feat")
+@query("win4_iou_drop", f"WITH {_FEATURES} SELECT run_id, frame_idx, round_even(iou_drop,6) AS iou_drop FROM feat")
 def _win4(t):
-    return _features(t).select("run_id", "frame_idx", F.round("iou_drop", 6).alias("iou_drop"))
+    return _features(t).select("run_id", "frame_idx", round_to(F.col("iou_drop"), 6).alias("iou_drop"))
 
 
-@query("win5_frame_score", f"WITH {_FEATURES} SELECT run_id, frame_idx, round(score,6) AS score FROM scored")
+@query("win5_frame_score", f"WITH {_FEATURES} SELECT run_id, frame_idx, round_even(score,6) AS score FROM scored")
 def _win5(t):
     return fr.frame_scores(t.frames(), t.detections()).select(
-        "run_id", "frame_idx", F.round("score", 6).alias("score")
+        "run_id", "frame_idx", round_to(F.col("score"), 6).alias("score")
     )
 
 
-@query("jon14_track_pairs", f"WITH {_FEATURES} SELECT run_id, track_id, from_frame, frame_idx, round(iou,6) AS iou FROM ious")
+@query("jon14_track_pairs", f"WITH {_FEATURES} SELECT run_id, track_id, from_frame, frame_idx, round_even(iou,6) AS iou FROM ious")
 def _jon14(t):
-    return fr.track_pairs(t.frames(), t.detections()).withColumn("iou", F.round("iou", 6))
+    return fr.track_pairs(t.frames(), t.detections()).withColumn("iou", round_to(F.col("iou"), 6))
 
 
 _SELECT = """
 runs AS (SELECT run_id, greatest(1, CAST(round_even(greatest(1.0, max(timestamp_ms)/1000.0)*{rate},0) AS BIGINT)) AS k,
   count(*) FILTER (WHERE is_keyframe) AS forced FROM scored GROUP BY 1),
 ranked AS (SELECT s.*, row_number() OVER (PARTITION BY s.run_id ORDER BY score DESC, frame_idx) AS rk FROM scored s WHERE NOT is_keyframe)
-SELECT run_id, frame_idx, round(score,6) AS score, is_keyframe FROM scored WHERE is_keyframe
-UNION ALL SELECT r.run_id, r.frame_idx, round(r.score,6), r.is_keyframe FROM ranked r JOIN runs USING (run_id) WHERE rk <= greatest(0, {room})
+SELECT run_id, frame_idx, round_even(score,6) AS score, is_keyframe FROM scored WHERE is_keyframe
+UNION ALL SELECT r.run_id, r.frame_idx, round_even(r.score,6), r.is_keyframe FROM ranked r JOIN runs USING (run_id) WHERE rk <= greatest(0, {room})
 """
 
 
 @query("top1_frame_scorer", f"WITH {_FEATURES}, {_SELECT.format(rate=RATE, room='k-forced')}")
 def _top1(t):
     scored = fr.frame_scores(t.frames(), t.detections())
-    return fr.select_scored(scored, RATE).withColumn("score", F.round("score", 6))
+    return fr.select_scored(scored, RATE).withColumn("score", round_to(F.col("score"), 6))
 
 
 @query("top1_fixed_k", f"WITH {_FEATURES}, {_SELECT.format(rate=RATE, room='12-forced')}")
 def _top1k(t):
     scored = fr.frame_scores(t.frames(), t.detections())
-    return fr.select_scored(scored, k=12).withColumn("score", F.round("score", 6))
+    return fr.select_scored(scored, k=12).withColumn("score", round_to(F.col("score"), 6))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cinetrace.catalog import query
+from cinetrace.functions import round_to
 from cinetrace.plans import media as md
 
 _PLAN = """pl AS (SELECT *, CASE WHEN duration_s<=180 THEN 'x' ELSE 'n' END AS detector_size, greatest(0.5::DOUBLE, least(3.0::DOUBLE, round_even(duration_s/30.0::DOUBLE,1))) AS detect_fps,
@@ -45,14 +46,14 @@ _EST = f"""{_MEDIA}, {_PLAN}, n AS (SELECT *, greatest(1, CAST(round_even(durati
   UNION ALL SELECT run_id, 'VLM autostart', 12.0 FROM n UNION ALL SELECT run_id, 'VLM captioning', ((cap+9)//10)*11.0 FROM n UNION ALL SELECT run_id, 'Aggregation', 4.0 FROM n)"""
 
 
-@query("pln3_stage_estimates", f"WITH {_EST} SELECT run_id, stage, round(seconds,6) AS seconds FROM st")
+@query("pln3_stage_estimates", f"WITH {_EST} SELECT run_id, stage, round_even(seconds,6) AS seconds FROM st")
 def _pln3(t):
-    return md.estimate_stages(md.derive_plan(_media(t))).withColumn("seconds", F.round("seconds", 6))
+    return md.estimate_stages(md.derive_plan(_media(t))).withColumn("seconds", round_to(F.col("seconds"), 6))
 
 
-@query("pln3_totals", f"WITH {_EST} SELECT run_id, round(sum(seconds),6) AS total_s FROM st GROUP BY 1")
+@query("pln3_totals", f"WITH {_EST} SELECT run_id, round_even(sum(seconds),6) AS total_s FROM st GROUP BY 1")
 def _pln3t(t):
-    return md.estimate_totals(md.derive_plan(_media(t))).withColumn("total_s", F.round("total_s", 6))
+    return md.estimate_totals(md.derive_plan(_media(t))).withColumn("total_s", round_to(F.col("total_s"), 6))
 
 
 @query(
