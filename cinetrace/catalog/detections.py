@@ -238,7 +238,7 @@ def _norm(t):
 @query(
     "fn14_box_iou",
     """SELECT run_id, detection_id, round_even(greatest(0,least(x2,0.7)-greatest(x1,0.2))*greatest(0,least(y2,0.7)-greatest(y1,0.2)) /
-    ((x2-x1)*(y2-y1)+0.25-greatest(0,least(x2,0.7)-greatest(x1,0.2))*greatest(0,least(y2,0.7)-greatest(y1,0.2))),6) AS iou FROM b_detections""",
+    ((x2-x1)*(y2-y1)+(0.7::DOUBLE-0.2::DOUBLE)*(0.7::DOUBLE-0.2::DOUBLE)-greatest(0,least(x2,0.7)-greatest(x1,0.2))*greatest(0,least(y2,0.7)-greatest(y1,0.2))),6) AS iou FROM b_detections""",
 )
 def _fn14(t):
     centre = F.struct(F.lit(0.2).alias("x1"), F.lit(0.2).alias("y1"), F.lit(0.7).alias("x2"), F.lit(0.7).alias("y2"))

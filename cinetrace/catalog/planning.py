@@ -51,9 +51,9 @@ def _pln3(t):
     return md.estimate_stages(md.derive_plan(_media(t))).withColumn("seconds", round_to(F.col("seconds"), 6))
 
 
-@query("pln3_totals", f"WITH {_EST} SELECT run_id, round_even(sum(seconds),6) AS total_s FROM st GROUP BY 1")
+@query("pln3_totals", f"WITH {_EST} SELECT run_id, round_even(sum(seconds),8) AS total_s FROM st GROUP BY 1")
 def _pln3t(t):
-    return md.estimate_totals(md.derive_plan(_media(t))).withColumn("total_s", round_to(F.col("total_s"), 6))
+    return md.estimate_totals(md.derive_plan(_media(t))).withColumn("total_s", round_to(F.col("total_s"), 8))
 
 
 @query(
