@@ -156,8 +156,8 @@ def _agg28(t):
 @query(
     "agg27_reconcile",
     f"""WITH c AS (SELECT f.run_id, f.n AS frames, coalesce(i.n,0) AS images, coalesce(d.n,0) AS depth_rows FROM {_N.format('b_frames')} f
-      LEFT JOIN (SELECT run_id, count(*) AS n FROM b_frames WHERE run_id%2=0 OR NOT is_keyframe GROUP BY 1) i USING (run_id)
-      LEFT JOIN (SELECT run_id, count(*) AS n FROM b_depth WHERE run_id%3=0 GROUP BY 1) d USING (run_id))
+      LEFT JOIN (SELECT run_id, count(*) AS n FROM b_frames WHERE delta_score>=0.2 GROUP BY 1) i USING (run_id)
+      LEFT JOIN (SELECT run_id, count(*) AS n FROM b_depth JOIN b_frames USING (run_id, frame_idx) WHERE delta_score>=45 GROUP BY 1) d USING (run_id))
     SELECT run_id, CASE WHEN images<>frames OR depth_rows>0 THEN 'FAIL' ELSE 'PASS' END AS result,
     CASE WHEN images<>frames THEN 'image count mismatch: '||images||' files vs '||frames||' rows' WHEN depth_rows>0 THEN 'depth table should be empty' END AS reason FROM c""",
 )
@@ -166,8 +166,8 @@ def _agg27(t):
     count = lambda df, name: df.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
     runs = (
         count(f, "frames")
-        .join(count(f.filter("run_id % 2 = 0 OR NOT is_keyframe"), "images"), "run_id", "left")
-        .join(count(t.depth().filter("run_id % 3 = 0"), "depth_rows"), "run_id", "left")
+        .join(count(f.filter("delta_score >= 0.2"), "images"), "run_id", "left")
+        .join(count(t.depth().join(f.filter("delta_score >= 45").select("run_id", "frame_idx"), ["run_id", "frame_idx"]), "depth_rows"), "run_id", "left")
         .fillna(0)
         .withColumn("analyses", F.lit(0))
     )

@@ -164,7 +164,7 @@ def previous_labels(labels: DataFrame, n: int = 10) -> DataFrame:
 def clean_labels(raw: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Map names to a vocabulary (name, position): exact, else ignoring case, else its last entry.
 
-    The vocabulary is joined by name, so it may be of any size.
+    The vocabulary is joined by name, so it may be of any size; ``last`` is a single row.
     """
     exact = vocabulary.select(F.col("name").alias("behavior"), F.col("name").alias("exact"))
     folded = vocabulary.groupBy(F.lower("name").alias("folded")).agg(F.max_by("name", "position").alias("loose"))
