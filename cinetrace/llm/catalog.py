@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinetrace.llm import lines, neardup, shards
+from cinetrace.llm import bpe, lines, neardup, shards
 from cinetrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +65,19 @@ def line_dedup(spark: SparkSession, root: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op6_byte_bpe")
+def byte_bpe(spark: SparkSession, root: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query("op10_minimax_shards")
 def minimax_shards(spark: SparkSession, root: str) -> DataFrame:
     return shards.assign(table(spark, root, "documents"))
