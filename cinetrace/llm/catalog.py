@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinetrace.llm import bpe, lines, neardup, shards
+from cinetrace.llm import bpe, lines, neardup, quality, shards
 from cinetrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,13 @@ def byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+@query("op7_quality_classifier")
+def quality_classifier(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    model = quality.train(docs, table(spark, root, "labels"))
+    return quality.grade(docs.select("doc_id", "text"), model).drop("text")
+
+
 @query("op10_minimax_shards")
 def minimax_shards(spark: SparkSession, root: str) -> DataFrame:
     return shards.assign(table(spark, root, "documents"))
