@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinetrace.llm import bpe, lines, neardup, quality, shards
+from cinetrace.llm import bpe, linecrf, lines, neardup, quality, shards
 from cinetrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,12 @@ def quality_classifier(spark: SparkSession, root: str) -> DataFrame:
     return quality.grade(docs.select("doc_id", "text"), model).drop("text")
 
 
+@query("op9_line_labels")
+def line_labels(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    return linecrf.judge(docs, linecrf.train(docs, table(spark, root, "labels"))).drop("text", "line_labels")
+
+
 @query("op10_minimax_shards")
 def minimax_shards(spark: SparkSession, root: str) -> DataFrame:
     return shards.assign(table(spark, root, "documents"))
