@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinetrace.llm import bpe, linecrf, lines, neardup, quality, shards
+from cinetrace.llm import bpe, linecrf, lines, neardup, quality, shards, toxicity
 from cinetrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,14 @@ def line_dedup(spark: SparkSession, root: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op5_toxicity")
+def toxic_scores(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, root, "labels"))
+    scored = toxicity.score(docs, model).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op6_byte_bpe")
 def byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
