@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinetrace.llm import bpe, linecrf, lines, neardup, quality, shards, toxicity
+from cinetrace.llm import bpe, linecrf, lines, neardup, ppm, quality, shards, toxicity
 from cinetrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,13 @@ def quality_classifier(spark: SparkSession, root: str) -> DataFrame:
     return quality.grade(docs.select("doc_id", "text"), model).drop("text")
 
 
+@query("op8_ppm_scores")
+def ppm_scores(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    scored = ppm.score(docs, docs.filter(~ppm.held_out(F.col("doc_id"))))
+    return scored.withColumn("held_out", ppm.held_out(F.col("doc_id")))
+
+
 @query("op9_line_labels")
 def line_labels(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text")
