@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinetrace.llm import bpe, linecrf, lines, neardup, ppm, quality, shards, toxicity
+from cinetrace.llm import bpe, decontaminate, linecrf, lines, neardup, ppm, quality, shards, toxicity
 from cinetrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+@query("op2_benchmark_leaks")
+def benchmark_leaks(spark: SparkSession, root: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
 @query(
     "op3_near_duplicates",
     f"""
