@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinetrace.llm import bpe, decontaminate, linecrf, lines, neardup, ppm, quality, shards, toxicity
-from cinetrace.llm.common import table
+from cinetrace.llm import bpe, decontaminate, linecrf, lines, merkle, neardup, ppm, quality, shards, toxicity
+from cinetrace.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,34 @@ _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+@query(
+    "op1_fixity_audit",
+    """
+WITH r AS (
+  SELECT page_id, page_id // 512 AS f, strlen('WARC/1.1' || 'WARC-Type: response' || 'WARC-Target-URI: ' || coalesce(url, '')
+    || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || coalesce(html, '')) + 14 AS n FROM pages),
+o AS (
+  SELECT page_id, f, n, coalesce(sum(n) OVER (PARTITION BY f ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM r)
+SELECT page_id, printf('segment-%010d', f) AS file, CAST(o AS BIGINT) AS "offset",
+  CASE page_id % 97 WHEN 3 THEN 'differs' WHEN 5 THEN 'differs' ELSE 'missing' END AS kind,
+  CAST(n AS BIGINT) AS length, CASE page_id % 97 WHEN 3 THEN CAST(n AS BIGINT) WHEN 5 THEN CAST(n // 2 AS BIGINT) END AS other_length
+FROM o WHERE page_id % 97 IN (3, 5, 8)""",
+)
+def fixity_audit(spark: SparkSession, root: str) -> DataFrame:
+    """A replica with flipped last bytes, cut records and lost ones against the archive of all pages."""
+    scratch = Scratch(spark, "archive")
+    records = scratch.keep(merkle.archive(table(spark, root, "pages")), "records")
+    record, n = F.col("record"), F.octet_length("record")
+    damage = F.pmod("record_id", F.lit(97))
+    replica = records.filter(~damage.eqNullSafe(F.lit(8))).withColumn(
+        "record",
+        F.when(damage == 3, F.concat(F.substring(record, F.lit(1), n - 1), F.lit(b"#")))
+        .when(damage == 5, F.substring(record, F.lit(1), (n / 2).cast("int")))
+        .otherwise(record),
+    )
+    return merkle.audit(merkle.leaves(records), merkle.leaves(replica)).withColumnRenamed("record_id", "page_id")
+
+
 @query("op2_benchmark_leaks")
 def benchmark_leaks(spark: SparkSession, root: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, root, "documents"), table(spark, root, "benchmark"))
