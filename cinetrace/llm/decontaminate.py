@@ -223,17 +223,19 @@ def without_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text"
 ) -> DataFrame:
     """``docs`` without the rows that hold an item; the columns stay as they are."""
-    spark = docs.sparkSession
     kept = docs
     for index in indexes(benchmark, text_col=item_text_col):
-        sent = spark.sparkContext.broadcast(index)  # bounded by SLICE_WORDS
+        kept = kept.filter(_clean(docs.sparkSession.sparkContext.broadcast(index))(text_col))  # bounded by SLICE_WORDS
+    return kept
 
-        def clean(texts: pa.Array, sent=sent) -> pa.Array:
-            own = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-            out: list[bool] = []
-            for at in range(0, len(own), 500):
-                out += [not m for m in sent.value.matches([words_of(t) for t in own[at : at + 500]])]
-            return pa.array(out, pa.bool_())
 
-        kept = kept.filter(F.arrow_udf(clean, "boolean")(text_col))
-    return kept
+def _clean(sent):
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        own = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+        out: list[bool] = []
+        for at in range(0, len(own), 500):
+            out += [not m for m in sent.value.matches([words_of(t) for t in own[at : at + 500]])]
+        return pa.array(out, pa.bool_())
+
+    return clean

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cinetrace.llm.common import Scratch, texts_of
+from cinetrace.llm.common import SPACE, Scratch, texts_of
 from cinetrace.llm.graph import components
 
 WORDS = 5
@@ -281,3 +282,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
         )
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group is kept.
+
+    The least id of a group stays, a null id only if there is no other.  Of repeated rows of that id
+    and text one stays.  Rows whose text has no word are in no group, so all of them stay.
+    """
+    scratch = Scratch(docs.sparkSession, "neardup")
+    rows = signed(docs, scratch, id_col, text_col)
+    roots = scratch.keep(set_roots(docs, rows, scratch, id_col, text_col), "set-roots")
+    best = rows.filter("set_key is not null").groupBy("set_key").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("best")
+    )
+    linked = roots.withColumnRenamed("node", "set_key")
+    best = best.join(linked, "set_key", "left").groupBy(F.coalesce("root", "set_key")).agg(F.min("best").alias("best"))
+    best = best.select(F.col("best.id").alias("__id"), F.col("best.text_hash").alias("__hash"), F.lit(True).alias("__best"))
+    own = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(text_col, F.lit("")))).withColumn(
+        "__none", F.length(F.translate(F.coalesce(text_col, F.lit("")), SPACE, "")) == 0
+    )
+    same = (F.col("__text_hash") == F.col("__hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    again = W.partitionBy(id_col, "__text_hash").orderBy(F.lit(0))
+    kept = own.join(best, same, "left").filter("__none or __best").withColumn("__n", F.row_number().over(again))
+    return kept.filter("__none or __n = 1").select(docs.columns)
