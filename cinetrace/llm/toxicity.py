@@ -23,6 +23,7 @@ MAX_TERMS = 2_000  # terms of the lexicon, the strongest first
 MAX_SPARED = 20_000  # spellings that clean documents use, the most frequent first
 STEMS = range(4, 9)  # lengths of stems in code points
 MIN_SUPPORT, MIN_PRECISION = 4, 0.8
+DISCOUNT = 0.8  # weight of a match for each misspelling
 WINDOW = 8  # words on either side of a match
 OPEN, CLOSE = "\"'“‘«„‹([", "\"'”’»“›)]"
 
@@ -161,15 +162,16 @@ class Model:
     def features(self, text: str) -> np.ndarray:
         found = self.spans(text)
         direct = [s for s in found if not s[3]]
+        # a misspelling counts less than the word itself, but in the same sums
+        strength = [DISCOUNT ** s[2] for s in direct]
         return np.array(
             [
                 1.0,
-                bool(found),
-                math.log1p(sum(s[2] == 0 for s in direct)),
-                math.log1p(sum(s[2] > 0 for s in direct)),
-                math.log1p(sum(s[3] for s in found)),
-                max((s[1] / (1 + s[2]) for s in direct), default=0.0),
+                max(strength, default=0.0),
+                math.log1p(sum(strength)),
+                max((s[1] * x for s, x in zip(direct, strength)), default=0.0),
                 math.log1p(max((s[4] for s in direct), default=0)),
+                math.log1p(len(found) - len(direct)),
             ]
         )
 
@@ -247,7 +249,7 @@ def train(
     """Learn lexicon, spared spellings and context weights from labelled rows that are not held out.
 
     At most ``max_labelled`` documents are used, chosen by the hash of their ids; copies count once.
-    Terms are counted by Spark; the driver gets the lexicon and seven features per document.
+    Terms are counted by Spark; the driver gets the lexicon and six features per document.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
@@ -294,7 +296,7 @@ def train(
     if sample:
         model.weights = _fit(np.array([r["x"] for r in sample]), np.array([r["toxic"] for r in sample], float))
     else:
-        model.weights = np.array([-5.0, 0, 0, 0, 0, 0, 0])  # nothing known: nothing is toxic
+        model.weights = np.array([-5.0, 0, 0, 0, 0, 0])  # nothing known: nothing is toxic
     return model
 
 
