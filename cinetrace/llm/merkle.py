@@ -36,7 +36,8 @@ def archive(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
         F.lit("\r\n\r\n"),
     )
     record = F.concat(head, html, F.lit("\r\n\r\n")).cast("binary")
-    file = F.coalesce(F.format_string("segment-%010d", F.expr(f"{id_col} div {SEGMENT}")), F.lit("segment-none"))
+    file = F.format_string("segment-%010d", F.expr(f"{id_col} div {SEGMENT}"))
+    file = F.when(F.col(id_col).isNull(), "segment-none").otherwise(file)
     rows = pages.select(file.alias("file"), F.col(id_col).alias("record_id"), record.alias("record"))
     before = W.partitionBy("file").orderBy("record_id", F.xxhash64("record")).rowsBetween(W.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.octet_length("record")).over(before), F.lit(0)).cast("long")
