@@ -16,7 +16,6 @@ _MODULES = (
     "bindings_check",
     "frames",
     "detections",
-    "joins",
     "captions",
     "behavior",
     "spans",
@@ -48,6 +47,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    if not QUERIES:
-        for module in _MODULES:
-            importlib.import_module(f"cinetrace.catalog.{module}")
+    """Register everything; importing a module again is free, whatever was imported before."""
+    for module in _MODULES:
+        importlib.import_module(f"cinetrace.catalog.{module}")

@@ -167,7 +167,7 @@ def _snk9c(t):
 @query("jon11_open_stages", f"WITH {_LEDGER}, al AS (SELECT DISTINCT r.run_id, s.stage AS stage_name FROM (SELECT DISTINCT run_id FROM b_timings) r, (SELECT DISTINCT stage FROM b_timings) s) SELECT * FROM al ANTI JOIN (SELECT * FROM lg WHERE n_units>0) d USING (run_id, stage_name)")
 def _jon11s(t):
     led = _ledger(t)
-    stages = sorted(["signup", "click", "error", "purchase", "view"])
+    stages = [r[0] for r in led.select("stage_name").distinct().collect()]  # the vocabulary of stages
     wanted = led.select("run_id").distinct().select("run_id", F.explode(F.array(*[F.lit(s) for s in stages])).alias("stage_name"))
     return wanted.join(led.filter("n_units > 0"), ["run_id", "stage_name"], "left_anti")
 
@@ -250,16 +250,6 @@ def _src7m(t):
     return t.frames().select("run_id", "frame_idx").join(none, ["run_id", "frame_idx"], "left")
 
 
-@query("src3_discover_media")
-def _src3(t):
-    return rd.discover_media(t.spark, t.root, ("parquet",))
-
-
-@query("src8_artifacts")
-def _src8(t):
-    return rd.artifacts(t.spark, t.root)
-
-
 @query("src9_timing_log", "SELECT run_id, stage, count(*) AS n, sum(n_units)::BIGINT AS units FROM b_timings GROUP BY 1,2")
 def _src9(t):
     log = _written_log(t)

@@ -122,7 +122,14 @@ def _analysis_replies(t):
     return t.events().select("run_id", F.col("frame_idx").alias("unit_id"), text.alias("text"))
 
 
-@query("par1_recover_json")
+@query(
+    "par1_recover_json",
+    """SELECT run_id, frame_idx AS unit_id, CASE WHEN k%6 NOT IN (4,5) THEN
+      '{"entities": [{"id": "E'||k||'", "type": "dog", "description": "d"}, {"id": "x"}], "visual_events": [{"type": "'
+      ||CASE WHEN k%2=0 THEN 'walking' ELSE behavior END||'", "entities": ["E1"], "start_time": "'||frame_idx||'", "end_time": "1:'||frame_idx
+      ||'.5s"}], "audio_events": [{"type": "'||CASE WHEN k%3=0 THEN 'speech' ELSE 'hum' END
+      ||'", "start_time": "0:3", "end_time": "00:04", "text": "hi"}], "multimodal_correlations": [{"visual_idx": 0, "audio_event": 0}], "summary": "s'||k||'"}' END AS json FROM b_events""",
+)
 def _par1(t):
     return rp.json_text(_analysis_replies(t))
 

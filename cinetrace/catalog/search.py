@@ -98,7 +98,10 @@ def _txt2c(t):
     return _shown(se.search(docs, se.postings(docs, True), _queries(t)))
 
 
-@query("flt8_search_source", f"WITH {_COMPAT}, {_IDX.format(text=_ALL)}, {_TERMS}, {_RANK.format(where=chr(32) + 'WHERE d.source_type=' + chr(39) + 'event' + chr(39))} {_OUT}")
+_EVENTS_ONLY = " WHERE d.source_type='event'"
+
+
+@query("flt8_search_source", f"WITH {_COMPAT}, {_IDX.format(text=_ALL)}, {_TERMS}, {_RANK.format(where=_EVENTS_ONLY)} {_OUT}")
 def _flt8(t):
     docs = _docs(t)
     return _shown(se.search(docs, se.postings(docs), _queries(t), source="event"))
@@ -119,7 +122,10 @@ def _txt3(t):
     return _shown(se.search(docs, se.postings(docs), words))
 
 
-@query("txt4_build_if_missing")
+@query(
+    "txt4_build_if_missing",
+    f"SELECT query_id, run_id, rank, doc_id FROM (WITH {_COMPAT}, {_IDX.format(text=_ALL)}, {_TERMS}, {_RANK.format(where='')} {_OUT})",
+)
 def _txt4(t):
     from cinetrace.sources.readers import scratch_dir
 

@@ -217,7 +217,7 @@ _ASKED = [
       UNION ALL SELECT 4, run_id, id, '- '||id||': first seen '||first_seen||', last seen '||last_seen FROM b_entities
       UNION ALL SELECT 5, run_id, '', CASE WHEN n_events=0 THEN 'No visual events detected.' ELSE 'Detected events:' END FROM fc
       UNION ALL SELECT 5, run_id, lpad(CAST(ev_idx AS VARCHAR),12,'0'), '- ['||start_time||'–'||end_time||'] '||type||': '||description FROM b_visual WHERE ev_idx<15
-      UNION ALL SELECT 6, run_id, '', 'Based on the analysis:'||chr(10)||chr(10)||summary||chr(10)||chr(10)||'- Entities: '||n_entities||chr(10)||'- Events: '||n_events||chr(10)||'- Audio events: '||n_audio FROM fc
+      UNION ALL SELECT 6, run_id, '', 'Based on the analysis:'||chr(10)||chr(10)||summary||chr(10)||chr(10)||'- Entities: '||n_entities||chr(10)||'- Events: '||n_events||chr(10)||'- Audio events: '||n_audio||chr(10)||chr(10)||'Try asking more specific questions like ''how many entities?'' or ''what types of events?''' FROM fc
       UNION ALL SELECT 7, run_id, '', 'There are '||n_chunks||' VLM caption chunks.' FROM fc
       UNION ALL SELECT 8, run_id, '', 'There are '||n_events||' visual events detected.' FROM fc)
     SELECT question_id, run_id, line, text FROM off""",

@@ -10,7 +10,8 @@ def iou(a: Column, b: Column) -> Column:
     """Intersection over union of two ``struct<x1,y1,x2,y2>``; 0 when the union is empty."""
     w = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]))
     h = F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
-    area = lambda s: (s["x2"] - s["x1"]) * (s["y2"] - s["y1"])
+    side = lambda lo, hi: F.greatest(F.lit(0.0), hi - lo)  # noqa: E731  an inverted box has no area
+    area = lambda s: side(s["x1"], s["x2"]) * side(s["y1"], s["y2"])
     union = area(a) + area(b) - w * h
     return F.when(union <= 0, 0.0).otherwise(w * h / union)
 

@@ -164,18 +164,17 @@ def previous_labels(labels: DataFrame, n: int = 10) -> DataFrame:
 def clean_labels(raw: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Map names to a vocabulary (name, position): exact, else ignoring case, else its last entry.
 
-    The vocabulary is joined by name, so it may be of any size; ``last`` is a single row.
+    The vocabulary is joined by name, so it may be of any size; only its last entry is looked up.
     """
     exact = vocabulary.select(F.col("name").alias("behavior"), F.col("name").alias("exact"))
     folded = vocabulary.groupBy(F.lower("name").alias("folded")).agg(F.max_by("name", "position").alias("loose"))
-    last = vocabulary.agg(F.max_by("name", "position").alias("fallback"))
+    last = vocabulary.agg(F.max_by("name", "position")).first()[0]
     return (
         raw.join(exact, "behavior", "left")
         .withColumn("folded", F.lower("behavior"))
         .join(folded, "folded", "left")
-        .join(last, F.lit(True))
-        .withColumn("clean", F.coalesce("exact", "loose", "fallback"))
-        .drop("exact", "loose", "fallback", "folded")
+        .withColumn("clean", F.coalesce("exact", "loose", F.lit(last)))
+        .drop("exact", "loose", "folded")
     )
 
 

@@ -219,9 +219,9 @@ def linspace_pick(frames: DataFrame, n: int, order: str = "frame_idx", keys=("ru
     A row decides from its own position and the run's size whether it is picked.
     """
     rows = frame_position(frames, order=order, total="total", keys=keys)
-    step = (F.col("total") - 1) / F.lit(n - 1)
+    step = (F.col("total") - 1) / F.lit(max(1, n - 1))  # a single pick is the first row
     at = lambda i: (
-        F.when(i == n - 1, F.col("total") - 1).otherwise(F.floor(i * step)) == F.col("pos")
+        F.when((i == n - 1) & (i > 0), F.col("total") - 1).otherwise(F.floor(i * step)) == F.col("pos")
     )
     picked = (F.col("total") <= n) | _any_near(F.col("pos") / step, F.lit(n), at)
     return rows.filter(picked).drop("total", "pos")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,6 @@ from cinetrace.operators.ordering import running
 from cinetrace.settings import block_ms
 
 _FACTOR = 8
-_LEVELS = 6
 
 
 def interval_join(
@@ -29,23 +29,20 @@ def interval_join(
     overlap, ``"both"`` counts touching ends, ``"start"`` is half-open
     (``span.start <= probe.end and span.end > probe.start``).
 
-    Probes must be no longer than ``base``.  A span is filed under cells of a
-    width that fits its own length (at most two cells below the top width), so neither
-    very long spans nor very long runs blow up; a pair that shares two cells is
-    reported in the cell of the later start only, which saves a de-duplication shuffle.
+    Probes must be no longer than ``base``.  A span is filed under cells of the first width,
+    ``base`` times a power of eight, that is no shorter than itself: at most two cells.  So neither
+    very long spans nor very long runs blow up.  Probes ask only the widths that occur; a pair that
+    shares two cells is reported in the cell of the later start only, which saves a
+    de-duplication shuffle.
     """
     keys = list(keys)
     ps, pe, ss, se = (F.col(c) for c in (*probe, *span))
-    widths = [float(base) * _FACTOR**i for i in range(_LEVELS)]
-    length = se - ss
-    level = F.lit(_LEVELS - 1)
-    for i in reversed(range(_LEVELS - 1)):
-        level = F.when(length <= widths[i], i).otherwise(level)
-    width = F.element_at(F.array(*[F.lit(w) for w in widths]), F.col("__lvl") + 1)
-    filed = spans.withColumn("__lvl", level).withColumn(
-        "__cell", F.explode(F.sequence(F.floor(ss / width), F.floor(se / width)))
-    )
-    asked = probes.withColumn("__lvl", F.explode(F.array(*[F.lit(i) for i in range(_LEVELS)])))
+    level = F.when(se - ss <= base, 0).otherwise(F.ceil(F.log((se - ss) / base) / math.log(_FACTOR) - 1e-9)).cast("int")
+    width = F.lit(float(base)) * F.pow(F.lit(float(_FACTOR)), F.col("__lvl"))
+    filed = spans.withColumn("__lvl", level)
+    occur = [r[0] for r in filed.select("__lvl").distinct().collect()]  # at most the log of the longest span
+    filed = filed.withColumn("__cell", F.explode(F.sequence(F.floor(ss / width), F.floor(se / width))))
+    asked = probes.withColumn("__lvl", F.explode(F.array(*[F.lit(i).cast("int") for i in occur]).cast("array<int>")))
     asked = asked.withColumn(
         "__cell", F.explode(F.sequence(F.floor(ps / width), F.floor(pe / width)))
     )

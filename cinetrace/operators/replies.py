@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -150,27 +151,37 @@ def single_labels(replies: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.StringType())
 def _balanced(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """First balanced ``{...}`` of each text."""
+    """First balanced ``{...}`` of each text, found from brace to brace."""
 
     def cut(text: str | None) -> str | None:
-        start = -1 if text is None else text.find("{")
-        depth = 0
-        for at in range(start, len(text)) if start >= 0 else ():
-            depth += (text[at] == "{") - (text[at] == "}")
+        depth, start = 0, None
+        for brace in _BRACES.finditer(text or ""):
+            if start is None and brace.group() == "}":
+                continue
+            start = brace.start() if start is None else start
+            depth += 1 if brace.group() == "{" else -1
             if depth == 0:
-                return text[start : at + 1]
+                return text[start : brace.end()]
         return None
 
     for batch in texts:
         yield batch.map(cut)
 
 
+_BRACES = re.compile("[{}]")
+
+
 def json_text(replies: DataFrame) -> DataFrame:
     """The JSON of analysis replies, repaired; NULL where there is none."""
     opened = replies.withColumn("bare", F.regexp_replace("text", r"(?s)<think>.*?</think>", "")).withColumn("bare", _from_brace())
-    fenced = F.regexp_extract("bare", r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    has_fence = F.col("bare").rlike(r"(?s)```.*```")
-    raw = F.when(has_fence, fenced).otherwise(_balanced("bare"))
+    # The order of fences and the repairs.
+    marked, plain = r"(?s)```json\s*(.*?)\s*```", r"(?s)```\s*(.*?)\s*```"
+    bare = F.col("bare")
+    raw = (
+        F.when(bare.rlike(marked), F.regexp_extract(bare, marked, 1))
+        .when(bare.rlike(plain), F.regexp_extract(bare, plain, 1))
+        .otherwise(_balanced("bare"))
+    )
     fixed = F.regexp_replace(raw, r",\s*([}\]])", "$1")
     fixed = F.regexp_replace(F.replace(fixed, F.lit("'"), F.lit('"')), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     return opened.select(*UNIT, fixed.alias("json"))

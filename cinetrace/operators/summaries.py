@@ -216,11 +216,13 @@ def intents(questions: DataFrame) -> DataFrame:
 def answers(questions: DataFrame, facts: DataFrame, entities: DataFrame, events: DataFrame) -> DataFrame:
     """Answer lines of every question for every run: question_id, run_id, line, text.
 
-    Each run offers its answer to each intent once; questions pick theirs by an equi-join.
+    Each run offers its answer to each intent once; questions pick theirs by an equi-join.  With a
+    ``run_id`` a question is put to that run, without one (or with NULL) to every run.
     """
     n = lambda c: F.col(c).cast("string")
     none = F.lit("No summary available for this run.")
     said = F.coalesce("summary", F.lit(""))
+    # The answer sentences.
     single = {
         "count_entities": F.concat(F.lit("There are "), n("n_entities"), F.lit(" entity/entities detected in this run.")),
         "count_events": F.concat(F.lit("There are "), n("n_events"), F.lit(" visual events detected.")),
@@ -237,6 +239,7 @@ def answers(questions: DataFrame, facts: DataFrame, entities: DataFrame, events:
         "facts": F.concat(
             F.lit("Based on the analysis:\n\n"), said, F.lit("\n\n- Entities: "), n("n_entities"),
             F.lit("\n- Events: "), n("n_events"), F.lit("\n- Audio events: "), n("n_audio"),
+            F.lit("\n\nTry asking more specific questions like 'how many entities?' or 'what types of events?'"),
         ),
     }
     heads = facts.select(
@@ -256,7 +259,16 @@ def answers(questions: DataFrame, facts: DataFrame, entities: DataFrame, events:
         F.format_string("- [%s–%s] %s: %s", "start_time", "end_time", "type", "description").alias("text"),
     )
     offers = heads.union(listed).union(seen).union(happened)
-    return intents(questions).join(offers, "intent").select("question_id", "run_id", "line", "text")
+    asked = intents(questions)
+    if "run_id" not in questions.columns:
+        return asked.join(offers, "intent").select("question_id", "run_id", "line", "text")
+    asked = asked.join(questions.select("question_id", F.col("run_id").alias("of_run")), "question_id")
+    one = asked.filter("of_run IS NOT NULL").join(
+        offers, (F.col("of_run") == offers["run_id"]) & (asked["intent"] == offers["intent"])
+    )
+    every = asked.filter("of_run IS NULL").drop("of_run").join(offers, "intent")
+    columns = ["question_id", "run_id", "line", "text"]
+    return one.select(*columns).unionByName(every.select(*columns))
 
 
 def context_lines(entities: DataFrame, events: DataFrame, audio: DataFrame) -> DataFrame:

@@ -97,8 +97,13 @@ def registry_versions(mentions: DataFrame) -> DataFrame:
 
 
 def registry_at(versions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The entities known to each given chunk."""
-    open_end = versions.withColumn("to", F.coalesce("valid_to", F.lit(2**31 - 1)))
+    """The entities known to each given chunk.
+
+    A version still in force ends with the last chunk of its run that is asked for.
+    """
+    last = chunks.groupBy("run_id").agg(F.max("chunk_id").alias("last"))
+    open_end = versions.join(last, "run_id").withColumn("to", F.coalesce("valid_to", "last")).drop("last")
+    open_end = open_end.filter("valid_from <= to")
     probes = chunks.select("run_id", "chunk_id", F.col("chunk_id").alias("p0"), F.col("chunk_id").alias("p1"))
     return interval_join(
         probes, open_end, ["run_id"], ("p0", "p1"), ("valid_from", "to"), "both", 64
@@ -197,7 +202,8 @@ def fit_blocks(prompts: DataFrame, budget: int, overhead: int = 0) -> DataFrame:
             over & (n > 6), F.filter(acc, lambda _l, i: _kept(i.cast("bigint"), n.cast("bigint"), keep))
         ).otherwise(acc)
 
-    halved = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.col("lines"), thin)
+    halvings = F.ceil(F.log2(F.size("lines") + 1)).cast("int")
+    halved = F.aggregate(F.sequence(F.lit(1), halvings), F.col("lines"), thin)
     rows = (
         prompts.withColumns({"lines": F.split("dense", "\n"), "other": other})
         .withColumn("dense", F.when(F.col("dense") == "", "").otherwise(text_of(halved)))

@@ -10,10 +10,15 @@ from cinetrace.settings import block_rows
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Whole-row replace: per key the new row, and of several new ones the last (``seq``)."""
+    """Whole-row replace: per key the new row, and of several new ones the last (``seq``).
+
+    ``old`` holds a key once.  Only ``new`` is ranked; the stored rows are filtered against its keys.
+    """
     columns = old.columns
-    rows = old.select(*columns, F.lit(-1).cast("bigint").alias("seq")).unionByName(new.select(*columns, "seq"))
-    return first_per_key(rows, keys, [F.col("seq").desc()]).select(*columns)
+    latest = first_per_key(new.select(*columns, "seq"), keys, [F.col("seq").desc()]).select(*columns)
+    replaced = latest.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return old.join(replaced, same, "left_anti").unionByName(latest)
 
 
 def append_with_ids(old: DataFrame, new: DataFrame, id_column: str, order: list[str]) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: the session's checkpoint setting.
 
-    Only where it is unset, as in tests on one machine, a temporary folder stands in.
+    Only where it is unset and everything runs on one machine, as in tests, a temporary folder
+    stands in; on a cluster executors would write to disks of their own, so it must be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -22,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
-        folder = tempfile.mkdtemp(prefix="cinetrace-", dir="/tmp")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="cinetrace-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
