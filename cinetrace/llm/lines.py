@@ -50,13 +50,16 @@ def drop_frequent_lines(
     exploded = docs.select(at.alias("at"), F.explode(hashed).alias("line"))
     found = exploded.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("line")
     found = scratch.keep(found, "frequent")
-    hits = exploded.join(found, "line").groupBy("at").agg(F.collect_set("line").alias("gone"))
+    hits = exploded.join(found, "line").groupBy("at").agg(F.collect_set("line").alias("__gone"))
     rows = docs.withColumn("__at", at).join(hits.withColumnRenamed("at", "__at"), "__at", "left")
-    lines = _lines(F.col(text_col))
-    gone = F.coalesce("gone", F.array().cast("array<struct<h:bigint,g:bigint>>"))
-    stays = F.filter(
-        lines, lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains(gone, _hash(line_key(x)))
-    )
-    out = {"n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size(stays)).cast("long")}
-    kept = F.when(F.col(text_col).isNull(), F.lit("")).otherwise(F.array_join(stays, "\n"))
-    return rows.withColumns(out | {text_col: kept}).drop("__at", "gone")
+    # one step at a time, so that no list is built twice; most texts have nothing to drop
+    rows = rows.withColumn("__lines", _lines(F.col(text_col)))
+    stays = F.filter("__lines", lambda x: ~F.array_contains("__gone", _hash(line_key(x))))
+    rows = rows.withColumn("__stays", F.when(F.col("__gone").isNotNull(), stays))
+    size, text = F.size("__lines"), F.coalesce(text_col, F.lit(""))
+    out = {
+        "n_lines": size.cast("long"),
+        "n_dropped": F.when(F.col("__gone").isNull(), 0).otherwise(size - F.size("__stays")).cast("long"),
+        text_col: F.when(F.col("__gone").isNull(), text).otherwise(F.array_join("__stays", "\n")),
+    }
+    return rows.withColumns(out).drop("__at", "__gone", "__lines", "__stays")
