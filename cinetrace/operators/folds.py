@@ -22,8 +22,6 @@ from cinetrace.sources.readers import checkpointed
 State = list[float] | None
 Step = Callable[[State, bool, pd.DataFrame], tuple[pd.DataFrame, State]]
 
-_ALL_ROUNDS = 4  # afterwards only the first open block of a run is folded again
-
 
 def carried_fold(
     df: DataFrame, keys: Sequence[str], order: str, step: Step, out: str, columns: Sequence[str]
@@ -32,7 +30,9 @@ def carried_fold(
 
     ``step(state, first, rows)`` gets the entry state (None: unknown or start), whether the block
     opens its key, and the block's rows in order; it returns the output rows and the exit state.
-    ``out`` is the schema of the output rows, ``columns`` the input columns it reads.
+    ``out`` is the schema of the output rows, ``columns`` the input columns it reads.  Each output
+    row also gets ``block``, the number of its block.  Rounds are few where states from different
+    guesses fall into step inside a block.
     """
     keys = list(keys)
     size = fold_rows(df)
@@ -52,8 +52,9 @@ def carried_fold(
         return head
 
     def outputs(pdf: pd.DataFrame) -> pd.DataFrame:
-        return step(*entry_of(pdf), pdf.sort_values(order))[0]
+        return step(*entry_of(pdf), pdf.sort_values(order))[0].assign(block=int(pdf["__blk"].iloc[0]))
 
+    out = f"{out}, block bigint"
     nothing = F.lit(None).cast("array<double>")
     if rows.filter("__blk > 0").isEmpty():
         return rows.withColumn("__entry", nothing).groupBy(*block).applyInPandas(outputs, out)
@@ -62,13 +63,9 @@ def carried_fold(
     folded = rows.withColumn("__entry", nothing).groupBy(*block).applyInPandas(exits, exit_ddl)
     states = checkpointed(folded.withColumn("entry", nothing))
     before = Window.partitionBy(*keys).orderBy("__blk")
-    round_no = 0
     while True:
         linked = states.withColumn("new_entry", F.lag("exit").over(before))
         stale = linked.filter(~F.col("entry").eqNullSafe(F.col("new_entry"))).select(*block, "new_entry")
-        if round_no >= _ALL_ROUNDS:
-            first = stale.groupBy(*keys).agg(F.min("__blk").alias("__blk"))
-            stale = stale.join(first, block, "left_semi")
         stale = checkpointed(stale)
         if stale.isEmpty():
             break
@@ -86,7 +83,6 @@ def carried_fold(
                 F.when(F.col("hit"), F.col("new_entry")).otherwise(F.col("entry")).alias("entry"),
             )
         )
-        round_no += 1
     entered = rows.join(states.select(*block, F.col("entry").alias("__entry")), block)
     return entered.groupBy(*block).applyInPandas(outputs, out)
 
@@ -125,7 +121,7 @@ def prune_redundant(thumbs: DataFrame, threshold: float = 0.92, scale: float = 2
 
     return carried_fold(
         thumbs, ["run_id"], "frame_idx", step, "run_id bigint, frame_idx bigint", ["frame_idx", "thumb", "is_keyframe"]
-    )
+    ).drop("block")
 
 
 # First guesses and template sizes of the token bookkeeping.
@@ -135,70 +131,75 @@ IMAGE_TOKENS, TEMPLATE_TOKENS, REPLY_TOKENS, ENTITY_TOKENS = 1500, 600, 500, 50
 def token_passes(usage: DataFrame, budget: int) -> DataFrame:
     """Token bookkeeping along a run's chunks: calibrated estimates, chunk size, pass number.
 
-    ``usage``: run_id, chunk_id, prompt_tokens, completion_tokens, n_images.  A pass ends when
-    the next chunk would exceed the budget.
+    ``usage``: run_id, chunk_id, prompt_tokens, completion_tokens, n_images, and optionally
+    entity_length, the characters of the entity list in the prompt.  A pass ends when the next chunk
+    would exceed the budget.
+
+    Only the estimates and the tokens spent in the pass are carried from block to block.  They do not
+    depend on how many passes came before, so passes begun at different rows soon end at the same
+    one; the pass number is a sum of block counts afterwards.
     """
+    if "entity_length" not in usage.columns:
+        usage = usage.withColumn("entity_length", F.lit(0))
 
     def step(state: State, first: bool, rows: pd.DataFrame) -> tuple[pd.DataFrame, State]:
-        image, reply, spent, pass_id = (
-            (IMAGE_TOKENS, REPLY_TOKENS, 0, 0) if state is None else (int(x) for x in state)
-        )
-        records = []
+        image, reply, spent = (IMAGE_TOKENS, REPLY_TOKENS, 0) if state is None else (int(x) for x in state)
+        ended, records = 0, []
         for r in rows.itertuples(index=False):
-            room = budget - TEMPLATE_TOKENS - ENTITY_TOKENS - reply
-            size = max(2, min(50, room // max(1, image)))
+            fixed = TEMPLATE_TOKENS + max(ENTITY_TOKENS, int(r.entity_length) // 3)
+            size = max(2, min(50, (budget - fixed - reply) // max(1, image)))
             if r.prompt_tokens > 0 and r.n_images > 0:
-                measured = (r.prompt_tokens - TEMPLATE_TOKENS - ENTITY_TOKENS) / r.n_images
-                image = int(0.3 * image + 0.7 * max(500, measured))
+                image = int(0.3 * image + 0.7 * max(500, (r.prompt_tokens - fixed) / r.n_images))
             if r.completion_tokens > 0:
                 reply = int(0.3 * reply + 0.7 * r.completion_tokens)
             spent += r.prompt_tokens + r.completion_tokens
-            records.append((r.run_id, r.chunk_id, pass_id, spent, image, reply, size))
-            if spent + TEMPLATE_TOKENS + ENTITY_TOKENS + size * image + reply > budget:
-                pass_id, spent = pass_id + 1, 0
-        names = ["run_id", "chunk_id", "pass_id", "cumulative", "image_tokens", "reply_tokens", "chunk_size"]
-        return pd.DataFrame(records, columns=names), [float(x) for x in (image, reply, spent, pass_id)]
-
-    return carried_fold(
+            over = spent + fixed + size * image + reply > budget
+            records.append((r.run_id, r.chunk_id, ended, spent, image, reply, size, ended + over))
+            if over:
+                ended, spent = ended + 1, 0
+        names = ["run_id", "chunk_id", "pass_id", "cumulative", "image_tokens", "reply_tokens", "chunk_size", "ended"]
+        return pd.DataFrame(records, columns=names), [float(x) for x in (image, reply, spent)]
+
+    rows = carried_fold(
         usage, ["run_id"], "chunk_id", step,
         "run_id bigint, chunk_id bigint, pass_id bigint, cumulative bigint, image_tokens bigint, "
-        "reply_tokens bigint, chunk_size bigint",
-        ["chunk_id", "prompt_tokens", "completion_tokens", "n_images"],
+        "reply_tokens bigint, chunk_size bigint, ended bigint",
+        ["chunk_id", "prompt_tokens", "completion_tokens", "n_images", "entity_length"],
+    )
+    before = Window.partitionBy("run_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("run_id", "block").agg(F.max("ended").alias("ended"))
+    blocks = blocks.select("run_id", "block", F.coalesce(F.sum("ended").over(before), F.lit(0)).alias("earlier"))
+    return (
+        rows.drop("ended").join(blocks, ["run_id", "block"])
+        .withColumn("pass_id", F.col("pass_id") + F.col("earlier"))
+        .drop("block", "earlier")
     )
-
-
-def _best(frames: DataFrame, n: int) -> DataFrame:
-    """Best ``n`` frames per run; a large ``n`` is taken per salt first, so a hot run is spread."""
-    order = [F.col("delta_score").desc(), F.col("frame_idx")]
-    if n > 1000:
-        salted = frames.withColumn("__salt", F.pmod(F.hash("frame_idx"), F.lit(256)))
-        frames = first_n(salted, ["run_id", "__salt"], order, n, "__r").drop("__salt", "__r")
-    return first_n(frames, ["run_id"], order, n)
 
 
 def highlight_spans(
-    frames: DataFrame, target_s: float = 60.0, gap_s: float = 3.0, pad_s: float = 1.5, first_try: int = 1000
+    frames: DataFrame, target_s: float = 60.0, gap_s: float = 3.0, pad_s: float = 1.5, at_once: int = 1000
 ) -> DataFrame:
     """Padded spans around the most changing frames, kept apart, up to a total duration.
 
     Frames are taken best first; a span that overlaps, touches or comes within the gap of an
-    accepted one is passed over.  Only the best frames of a run matter until the target is met, so
-    a first number of them is tried; runs that end short of the target with frames left are
-    tried again with eight times as many.
+    accepted one is passed over.  The best ``at_once`` frames of every run are decided in order; then
+    all frames that clash with an accepted span are filtered out and the next best are taken, until
+    the target is met or no frame is left.  So a row never holds more than ``at_once`` frames, and
+    the accepted spans are bounded by the target.
     """
     pad, gap, target = int(pad_s * 1000), int(gap_s * 1000), int(target_s * 1000)
     span = "array<struct<start_ms:bigint,end_ms:bigint>>"
-    sizes = frames.groupBy("run_id").agg(F.count(F.lit(1)).alias("frames"))
 
     def clash(a, b):
         meet = (a["start_ms"] <= b["end_ms"]) & (b["start_ms"] <= a["end_ms"])
         near = F.greatest(b["start_ms"] - a["end_ms"], a["start_ms"] - b["end_ms"]) < gap
         return meet | near
 
+    def padded(ts):
+        return F.struct(F.greatest(F.lit(0), ts - pad).cast("bigint").alias("start_ms"), (ts + pad).alias("end_ms"))
+
     def add(acc, f):
-        new = F.struct(
-            F.greatest(F.lit(0), f["ts"] - pad).cast("bigint").alias("start_ms"), (f["ts"] + pad).alias("end_ms")
-        )
+        new = padded(f["ts"])
         taken = (acc["total"] < target) & ~F.exists(acc["spans"], lambda s: clash(new, s))
         return F.when(
             taken,
@@ -208,30 +209,26 @@ def highlight_spans(
             ),
         ).otherwise(acc)
 
-    def attempt(part: DataFrame, n: int) -> DataFrame:
-        listed = F.sort_array(F.collect_list(F.struct("rank", F.col("timestamp_ms").alias("ts"))))
-        start = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast(span).alias("spans"))
-        return (
-            _best(part, n)
-            .groupBy("run_id")
-            .agg(listed.alias("best"))
-            .join(sizes, "run_id")
-            .select("run_id", "frames", F.aggregate("best", start, add).alias("r"))
-            .select("run_id", "r.spans", ((F.col("r.total") >= target) | (F.col("frames") <= n)).alias("final"))
-        )
-
-    done, part, n = None, frames, first_try
+    order = [F.col("delta_score").desc(), F.col("frame_idx")]
+    frames = frames.select("run_id", "frame_idx", "timestamp_ms", "delta_score")
+    listed = F.sort_array(F.collect_list(F.struct("rank", F.col("timestamp_ms").alias("ts")))).alias("best")
+    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast(span).alias("spans"))
+    chosen = None
     while True:
-        tried = attempt(part, n)
-        if sizes.filter(F.col("frames") > n).isEmpty():
-            settled, rest = tried, None
+        left = frames
+        if chosen is not None:
+            free = ~F.exists("r.spans", lambda s: clash(padded(F.col("timestamp_ms")), s))
+            left = frames.join(chosen.filter(F.col("r.total") < target), "run_id").filter(free).drop("r")
+        best = first_n(left, ["run_id"], order, at_once).groupBy("run_id").agg(listed)
+        if chosen is None:
+            tried = best.select("run_id", F.aggregate("best", start, add).alias("r"), F.size("best").alias("n"))
         else:
-            tried = checkpointed(tried)
-            settled, rest = tried.filter("final"), tried.filter("NOT final")
-            if rest.isEmpty():
-                rest = None
-        done = settled if done is None else done.unionByName(settled)
-        if rest is None:
-            break
-        part, n = frames.join(rest.select("run_id"), "run_id", "left_semi"), n * 8
-    return done.select("run_id", F.inline("spans"))
+            tried = chosen.join(best, "run_id", "left").select(
+                "run_id",
+                F.when(F.col("best").isNull(), F.col("r")).otherwise(F.aggregate("best", F.col("r"), add)).alias("r"),
+                F.coalesce(F.size("best"), F.lit(0)).alias("n"),
+            )
+        tried = checkpointed(tried)
+        chosen = tried.select("run_id", "r")
+        if tried.filter((F.col("n") >= at_once) & (F.col("r.total") < target)).isEmpty():
+            return chosen.select("run_id", F.inline("r.spans"))

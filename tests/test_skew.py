@@ -110,3 +110,27 @@ def test_unreadable_first_thumbnail_keeps_everything(spark):
     rows = [(1, i, None if i == 0 else [1.0, 1.0], False) for i in range(60)]
     df = spark.createDataFrame(rows, "run_id long, frame_idx long, thumb array<double>, is_keyframe boolean")
     assert folds.prune_redundant(df).count() == 60
+
+
+def test_token_passes_of_many_blocks(spark, monkeypatch):
+    """One run of 64 blocks settles in a few rounds and equals the plain loop."""
+    rows = [(1, i, 900 + (i * 7919) % 5000, (i * 104729) % 700, 1 + i % 4, (i * 31) % 900) for i in range(64 * 25)]
+    df = spark.createDataFrame(
+        rows, "run_id long, chunk_id long, prompt_tokens long, completion_tokens long, n_images long, entity_length long"
+    )
+    rounds = []
+    real = folds.checkpointed
+    monkeypatch.setattr(folds, "checkpointed", lambda d: rounds.append(1) or real(d))
+    got = folds.token_passes(df, 60_000).collect()
+    assert len(rounds) <= 2 + 2 * 8
+    image, reply, spent, number, want = 1500, 500, 0, 0, []
+    for run, chunk, prompt, said, n, length in rows:
+        fixed = 600 + max(50, length // 3)
+        size = max(2, min(50, (60_000 - fixed - reply) // max(1, image)))
+        image = int(0.3 * image + 0.7 * max(500, (prompt - fixed) / n))
+        reply = int(0.3 * reply + 0.7 * said) if said else reply
+        spent += prompt + said
+        want.append((run, chunk, number, spent, image, reply, size))
+        if spent + fixed + size * image + reply > 60_000:
+            number, spent = number + 1, 0
+    assert sorted(tuple(r) for r in got) == want
