@@ -13,6 +13,21 @@ from cinetrace.plans import hooks
 from cinetrace.sources.readers import scratch_dir
 from cinetrace.streaming import live
 
+
+
+def _delivered(spark, rows, parts, path):
+    """A stream that takes ``parts`` one after the other, a micro-batch each."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _thirds(rows):
+    """All rows in three parts by frame, and the middle part again."""
+    parts = [rows.filter(F.pmod("frame_idx", F.lit(3)) == k) for k in range(3)]
+    return [*parts, parts[1]]
+
+
 _LIVE = """r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY created_ms DESC, verified_ms DESC NULLS LAST, frame_idx DESC) AS rank FROM b_captions),
  v AS (SELECT run_id, string_agg(frame_idx, ',' ORDER BY rank) AS verdicts FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY verified_ms DESC, frame_idx DESC) AS rank FROM b_captions WHERE verified_ms IS NOT NULL) WHERE rank<=5 GROUP BY 1),
  s AS (SELECT r.run_id, count(*) AS speech FROM r JOIN b_audio a ON a.run_id=r.run_id AND a.start_ms<r.timestamp_ms+1000 AND a.end_ms>r.timestamp_ms-1000 WHERE rank=1 GROUP BY 1)
@@ -28,14 +43,11 @@ def _str1(t):
 
 @query("str1_live_feed", f"WITH {_LIVE}")
 def _str1f(t):
-    """The same rows through a stream of caption files."""
+    """The same rows through a stream of caption files: four deliveries, the last one repeated."""
     root = scratch_dir(t.spark, "feed")
-    t.captions().write.parquet(f"{root}/in")
-    stream = t.spark.readStream.schema(t.captions().schema).parquet(f"{root}/in")
-    store = t.spark.read.parquet(f"{root}/in")
-    feed = live.live_feed(
-        stream, lambda: store, t.audio, lambda df, _n: df.write.mode("overwrite").parquet(f"{root}/out"), f"{root}/ckpt"
-    )
+    caps = t.captions()
+    stream = _delivered(t.spark, caps, _thirds(caps), f"{root}/in")
+    feed = live.live_feed(stream, lambda: caps, t.audio, f"{root}/out", f"{root}/ckpt", None)
     feed.awaitTermination()
     return t.spark.read.parquet(f"{root}/out")
 
@@ -44,12 +56,13 @@ def _str1f(t):
 def _str2(t):
     root = scratch_dir(t.spark, "walk")
     rows = t.captions().select("run_id", "frame_idx", "caption", "delta_score", F.lit(9.0).alias("threshold"))
-    rows.write.parquet(f"{root}/in")
-    live.catch_up(live.walk(t.spark.readStream.schema(rows.schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/ckpt")
-    return t.spark.read.parquet(f"{root}/out")
+    # later frames first, and some of them twice
+    stream = _delivered(t.spark, rows, _thirds(rows)[::-1], f"{root}/in")
+    live.catch_up(live.walk(stream, size=4), f"{root}/out", f"{root}/ckpt")
+    return live.latest_rows(t.spark, f"{root}/out", ["run_id", "frame_idx"], "version")
 
 
-_TRIES = "at AS (SELECT run_id, frame_idx, count(*) AS n FROM (SELECT run_id, frame_idx, unnest(range(length(caption)%5)) FROM b_captions) GROUP BY 1,2)".replace("at AS", "tries AS")
+_TRIES = "tries AS (SELECT run_id, frame_idx, count(*) AS n FROM (SELECT run_id, frame_idx, unnest(range(length(caption)%5)) FROM b_captions) GROUP BY 1,2)"
 
 
 def _attempts(t):
@@ -78,10 +91,11 @@ def _str3d(t):
 @query("str3_attempt_counts", f"WITH {_TRIES} SELECT * FROM tries")
 def _str3a(t):
     root = scratch_dir(t.spark, "attempts")
-    _attempts(t).write.parquet(f"{root}/in")
-    stream = t.spark.readStream.schema(_attempts(t).schema).parquet(f"{root}/in")
+    tries = _attempts(t)
+    parts = [tries.filter(F.col("attempt") == n) for n in range(1, 5)]  # a frame's tries come one by one
+    stream = _delivered(t.spark, tries, parts, f"{root}/in")
     live.publish_status(live.attempt_counts(stream), f"{root}/out", f"{root}/ckpt", None).awaitTermination()
-    return t.spark.read.parquet(f"{root}/out").drop("batch")
+    return live.latest_rows(t.spark, f"{root}/out", ["run_id", "frame_idx"])
 
 
 _STATUS = """SELECT run_id, stage, max(event_id) AS seq, arg_max(CASE WHEN n_units=0 THEN 'error' ELSE 'done' END, event_id) AS status, arg_max(n_units, event_id) AS n_units, count(*) AS updates
@@ -101,10 +115,12 @@ def _str4(t):
 @query("str4_status_stream", _STATUS)
 def _str4s(t):
     root = scratch_dir(t.spark, "status")
-    _stage_events(t).write.parquet(f"{root}/in")
-    stream = t.spark.readStream.schema(_stage_events(t).schema).parquet(f"{root}/in")
+    events = _stage_events(t)
+    # the newest third comes first: late events count, but do not hide newer ones
+    parts = [events.filter(F.pmod("seq", F.lit(3)) == k) for k in (2, 0, 1)]
+    stream = _delivered(t.spark, events, parts, f"{root}/in")
     live.publish_status(live.stage_status(stream), f"{root}/out", f"{root}/ckpt", None).awaitTermination()
-    return t.spark.read.parquet(f"{root}/out").drop("batch")
+    return live.latest_rows(t.spark, f"{root}/out", ["run_id", "stage"])
 
 
 @query("str5_catch_up", "SELECT run_id, frame_idx, delta_score FROM b_frames")

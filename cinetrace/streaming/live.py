@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -46,51 +47,93 @@ def live_state(captions: DataFrame, segments: DataFrame, recent: int = 5, pad_ms
 
 def live_feed(
     stream: DataFrame, read_captions: Callable[[], DataFrame], read_segments: Callable[[], DataFrame],
-    publish: Callable[[DataFrame, int], None], checkpoint: str,
+    path: str, checkpoint: str, every: str | None = "1 second",
 ) -> StreamingQuery:
-    """Recompute the live state of the runs that each micro-batch touches."""
+    """Recompute the live state of the runs that each micro-batch touches.
+
+    Results of other runs stay as they are.  Where the stores are partitioned by run, only the
+    partitions of touched runs are read.
+    """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select("run_id").distinct()
         captions = read_captions().join(touched, "run_id", "left_semi")
-        publish(live_state(captions, read_segments().join(touched, "run_id", "left_semi")), batch_id)
+        state = live_state(captions, read_segments().join(touched, "run_id", "left_semi"))
+        _replace_runs(state, path)
+
+    return _started(stream.writeStream.foreachBatch(refresh), checkpoint, every)
+
 
-    return stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _replace_runs(rows: DataFrame, path: str) -> None:
+    """Write the runs in ``rows`` anew and leave all others."""
+    rows = rows.coalesce(1)  # one row per touched run
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id").parquet(path)
+
+
+def _started(writer, checkpoint: str, every: str | None) -> StreamingQuery:
+    """``every`` throttles, None drains what is there."""
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def _words(text: str | None) -> set[str]:
     return set((text or "").lower().split())
 
 
-def walk(stream: DataFrame, floor: float = 0.3) -> DataFrame:
-    """Escalation flags as captions arrive, against the previous caption of the run.
+WALK_FRAMES = 1024  # frames of a run that share a state
 
-    ``stream``: run_id, frame_idx, caption, delta_score, threshold.  The state of a run is its last
-    caption, so its size does not grow; captions of one micro-batch are taken in frame order.
-    """
 
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("frame_idx")
-        flags = []
-        for r in rows.itertuples(index=False):
-            flag = r.delta_score >= r.threshold
-            if last is not None:
-                a, b = _words(r.caption), _words(last)
+def walk(stream: DataFrame, floor: float = 0.3, size: int = WALK_FRAMES) -> DataFrame:
+    """Escalation flags as captions arrive in any order, against the previous frame of the run.
+
+    ``stream``: run_id, frame_idx, caption, delta_score, threshold.  A run is cut into blocks of
+    ``size`` frames with a state each, so a long run is walked by many tasks; the last frame of a
+    block is sent to the next one too.  A state holds the captions of its block by frame.  A frame is
+    decided against the frame before it; one that arrives late, or twice, decides its successor
+    again.  Rows are published as updates: the highest ``version`` of a frame counts, see
+    ``latest_rows``.
+    """
+    block = F.floor(F.col("frame_idx") / size)
+    edge = (F.col("frame_idx") + 1) % size == 0
+    sent = stream.withColumn(
+        "block", F.explode(F.when(edge, F.array(block, block + 1)).otherwise(F.array(block)))
+    ).withColumn("own", F.col("block") == block)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        version, known = (state.get[0], json.loads(state.get[1])) if state.exists else (0, {})
+        frames = {int(k): v for k, v in known.items()}
+        changed = set()
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                now = [r.caption, bool(r.delta_score >= r.threshold), bool(r.own)]
+                if frames.get(r.frame_idx) != now:
+                    frames[r.frame_idx] = now
+                    changed |= {r.frame_idx, r.frame_idx + 1}
+        out = []
+        for i in sorted(changed & frames.keys()):
+            caption, flag, own = frames[i]
+            if not own:
+                continue
+            if i - 1 in frames:
+                a, b = _words(caption), _words(frames[i - 1][0])
                 overlap = 1.0 if not a and not b else len(a & b) / len(a | b) if a and b else 0.0
                 flag = flag or overlap < floor
-            flags.append(bool(flag))
-            last = r.caption
-        state.update((last,))
-        yield rows[["run_id", "frame_idx"]].assign(escalate=flags)
+            out.append((key[0], i, flag, version + 1))
+        state.update((version + 1, json.dumps(frames)))
+        yield pd.DataFrame(out, columns=["run_id", "frame_idx", "escalate", "version"])
 
-    return stream.groupBy("run_id").applyInPandasWithState(
-        step, "run_id bigint, frame_idx bigint, escalate boolean", "last string", "append", GroupStateTimeout.NoTimeout
+    return sent.groupBy("run_id", "block").applyInPandasWithState(
+        step, "run_id bigint, frame_idx bigint, escalate boolean, version bigint",
+        "version bigint, frames string", "append", GroupStateTimeout.NoTimeout,
     )
 
 
+def latest_rows(spark: SparkSession, path: str, keys: list[str], version: str = "batch") -> DataFrame:
+    """Published rows, of each key the one with the highest version."""
+    return first_per_key(spark.read.parquet(path), keys, [F.col(version).desc()]).drop(version)
+
+
 def review_queue(captions: DataFrame, attempts: DataFrame, batch: int | None = 8, retries: int = 3) -> DataFrame:
     """Next reviews per run: pending escalations that failed fewer than ``retries`` times.
 
@@ -121,13 +164,15 @@ def stage_status_batch(events: DataFrame) -> DataFrame:
 
 
 def publish_status(status: DataFrame, path: str, checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
-    """Write the changed statuses of each trigger; ``every`` throttles, None drains what is there."""
+    """Write the changed statuses of each trigger; ``latest_rows`` reads the last of every key.
+
+    A trigger that is tried again writes its own folder again.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    writer = status.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    return _started(status.writeStream.outputMode("update").foreachBatch(write), checkpoint, every)
 
 
 def catch_up(stream: DataFrame, path: str, checkpoint: str) -> None:
