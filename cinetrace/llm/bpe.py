@@ -14,6 +14,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cinetrace.llm.common import Scratch
+from cinetrace.llm.common import Scratch, slices
 
 CHUNK = 65_536  # code points of a chunk without its overlap
 OVERLAP = 1_024
@@ -151,7 +152,8 @@ def encode(
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
-        return pa.array([codec.encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
+        found = [np.array(codec.encode(t or ""), np.int32) for part in slices(texts) for t in part.to_pylist()]
+        return pa.array(found, pa.list_(pa.int32()))
 
     is_long = F.coalesce(F.length(text_col) > chunk, F.lit(False))
     digest = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
@@ -173,6 +175,8 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col
 
     @F.arrow_udf("binary")
     def bytes_of(ids: pa.Array) -> pa.Array:
-        return pa.array([codec.encoder().decode_bytes(i or []) for i in ids.to_pylist()], pa.binary())
+        decode_bytes = codec.encoder().decode_bytes
+        found = [decode_bytes(i or []) for part in slices(ids) for i in part.to_pylist()]
+        return pa.array(found, pa.binary())
 
     return df.withColumn(out_col, bytes_of(ids_col))

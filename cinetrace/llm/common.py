@@ -68,7 +68,22 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+SLICE = 512  # rows whose derived values are held at once
+
+
+def slices(column: pa.Array) -> Iterator[pa.Array]:
+    """A column in slices of bounded length."""
+    for at in range(0, len(column), SLICE):
+        yield column.slice(at, SLICE)
+
+
 def texts_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Each batch with its texts as bytes; null is the empty text."""
+    """Slices of each batch with their texts as bytes; null is the empty text."""
     for batch in batches:
-        yield batch, [b or b"" for b in batch.column(column).cast(pa.binary()).to_pylist()]
+        for at in range(0, len(batch), SLICE):
+            part = batch.slice(at, SLICE)
+            yield part, text_bytes(part.column(column))
+
+
+def text_bytes(texts: pa.Array) -> list[bytes]:
+    return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
