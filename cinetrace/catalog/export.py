@@ -12,11 +12,7 @@ from cinetrace.sources import export as ex
 from cinetrace.sources import readers as rd
 
 _CAT = "ct AS (SELECT run_id, class_name, dense_rank() OVER (PARTITION BY run_id ORDER BY class_name) AS id FROM (SELECT DISTINCT run_id, class_name FROM b_detections))"
-_IMG = "im AS (SELECT run_id, frame_idx, timestamp_ms, image_path, row_number() OVER (PARTITION BY run_id ORDER BY frame_idx)-1 AS id FROM b_frames WHERE delta_score>=5)"
-
-
-def _frames(t):
-    return t.frames().filter("delta_score >= 5")
+_IMG = "im AS (SELECT run_id, frame_idx, timestamp_ms, image_path, row_number() OVER (PARTITION BY run_id ORDER BY frame_idx)-1 AS id FROM b_frames)"
 
 
 @query("win17_category_ids", f"WITH {_CAT} SELECT run_id, id, class_name AS name FROM ct")
@@ -26,15 +22,15 @@ def _win17(t):
 
 @query("win16_image_ids", f"WITH {_IMG} SELECT run_id, id, image_path AS file_name, 640 AS width, 360 AS height, frame_idx, timestamp_ms FROM im")
 def _win16(t):
-    return ex.images(_frames(t))
+    return ex.images(t.frames())
 
 
 _ANN = f"""{_CAT}, {_IMG}, an AS (SELECT d.run_id, d.detection_id AS id, im.id AS image_id, ct.id AS category_id, x1*640 AS px, y1*360 AS py, x2*640-x1*640 AS w, y2*360-y1*360 AS h, confidence, mean_depth
-  FROM b_detections d JOIN im USING (run_id, frame_idx) JOIN ct ON ct.run_id=d.run_id AND ct.class_name=d.class_name WHERE confidence>=0.5)"""
+  FROM b_detections d JOIN im USING (run_id, frame_idx) JOIN ct ON ct.run_id=d.run_id AND ct.class_name=d.class_name)"""
 
 
 def _ann(t):
-    return ex.annotations(_frames(t), t.detections(), 0.5)
+    return ex.annotations(t.frames(), t.detections())
 
 
 @query(
@@ -76,11 +72,14 @@ def _set6(t):
     return _lines(t).select("run_id", "type", "chunk_id", "event_idx", "caption", "description", "speaker")
 
 
-@query("snk11_caption_jsonl", f"SELECT run_id, type, count(*) AS n FROM ({_TAGGED}) GROUP BY 1,2")
+_TAG_FIELDS = "run_id bigint, type string, chunk_id bigint, event_idx bigint, caption string, description string, speaker string"
+
+
+@query("snk11_caption_jsonl", _TAGGED)
 def _snk11(t):
     path = rd.scratch_dir(t.spark, "captions-jsonl")
     ex.write_json(_lines(t), path)
-    return rd.read_json(t.spark, path, "run_id bigint, type string").groupBy("run_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    return rd.read_json(t.spark, path, _TAG_FIELDS)
 
 
 @query("snk12_frame_caption_jsonl", f"SELECT l.run_id, l.frame_idx, l.line AS caption, f.image_path FROM {_LINES} l JOIN b_frames f USING (run_id, frame_idx) WHERE lower(trim(line))<>'(no change)'")
@@ -90,7 +89,13 @@ def _snk12(t):
     return rd.read_json(t.spark, path, "run_id bigint, frame_idx bigint, caption string, image_path string")
 
 
-@query("snk13_export_manifest")
+@query(
+    "snk13_export_manifest",
+    f"""WITH {_ANN} SELECT run_id, count(*) AS rows, 'images' AS export FROM im GROUP BY 1
+    UNION ALL SELECT run_id, count(*), 'categories' FROM ct GROUP BY 1
+    UNION ALL SELECT run_id, count(*), 'annotations' FROM an GROUP BY 1
+    UNION ALL SELECT run_id, count(*), 'captions' FROM ({_TAGGED}) GROUP BY 1""",
+)
 def _snk13(t):
     tables = {"images": ex.images(t.frames()), "categories": ex.categories(t.detections()), "annotations": _ann(t), "captions": _lines(t)}
     return ex.export_all(tables, rd.scratch_dir(t.spark, "export"))
@@ -98,13 +103,28 @@ def _snk13(t):
 
 @query(
     "snk17_analysis_document",
-    """SELECT run_id, section, count(*) AS n FROM (SELECT run_id, 'entities' AS section FROM b_entities UNION ALL SELECT run_id, 'visual_events' FROM b_visual
-    UNION ALL SELECT run_id, 'audio_events' FROM b_sounds UNION ALL SELECT run_id, 'dense_timeline' FROM b_captions) GROUP BY 1,2""",
+    """SELECT run_id, 'entities' AS section, id, type, description, first_seen AS start_time, last_seen AS end_time, NULL AS text, NULL::BIGINT AS timestamp_ms FROM b_entities
+    UNION ALL SELECT run_id, 'visual_events', array_to_string(entities, ','), type, description, start_time, end_time, NULL, NULL FROM b_visual
+    UNION ALL SELECT run_id, 'audio_events', speaker, type, NULL, start_time, end_time, text, NULL FROM b_sounds
+    UNION ALL SELECT run_id, 'dense_timeline', NULL, NULL, NULL, NULL, NULL, CASE WHEN verifier_agrees=false AND verifier_caption<>'' THEN verifier_caption ELSE caption END, timestamp_ms FROM b_captions""",
 )
 def _snk17(t):
     path = rd.scratch_dir(t.spark, "analysis")
     ex.write_json(ex.analysis_lines(t.entities(), t.visual(), t.sounds(), dense_timeline(t.captions())), path)
-    return rd.read_json(t.spark, path, "run_id bigint, section string").groupBy("run_id", "section").agg(F.count(F.lit(1)).alias("n"))
+    e = F.from_json(
+        "element",
+        "struct<id:string,type:string,description:string,first_seen:string,last_seen:string,entities:array<string>,"
+        "start_time:string,end_time:string,speaker:string,text:string,timestamp_ms:bigint>",
+    )
+    rows = rd.read_json(t.spark, path, "run_id bigint, section string, element string").withColumn("e", e)
+    return rows.select(
+        "run_id", "section",
+        F.coalesce("e.id", F.array_join("e.entities", ","), "e.speaker").alias("id"),
+        "e.type", "e.description",
+        F.coalesce("e.start_time", "e.first_seen").alias("start_time"),
+        F.coalesce("e.end_time", "e.last_seen").alias("end_time"),
+        "e.text", "e.timestamp_ms",
+    )
 
 
 _SEL = "(SELECT run_id, frame_idx FROM (SELECT *, max(is_keyframe) OVER (PARTITION BY run_id) AS has FROM b_frames) WHERE is_keyframe OR NOT has)"

@@ -17,10 +17,14 @@ FIELDS = ("content", "source_type", "timestamp_ms", "frame_idx")
 
 
 def _accents() -> tuple[str, str]:
-    """Accented Latin letters and their base letters, by Unicode decomposition."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]
-    kept = [(a, b) for a, b in pairs if b != a and b.isascii()]
-    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+    """Latin letters with one mark and their base letters, by Unicode decomposition; then the marks.
+
+    Marks of their own have no counterpart and vanish; letters with two marks stay as they are.
+    """
+    parts = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    kept = [(a, b[0]) for a, b in parts if len(b) == 2 and b[0].isascii()]
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(a for a, _ in kept) + marks, "".join(b for _, b in kept)
 
 
 _FROM, _TO = _accents()
@@ -33,8 +37,8 @@ def tokens(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """``size(tokens(text))`` without building the words; no text has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(_LETTERS)), F.lit(0))
+    """``size(tokens(text))`` without building the words; no text has none.  Marks do not part words."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\u0300-\u036F]*")), F.lit(0))
 
 
 def documents(

@@ -70,3 +70,16 @@ def test_limit_and_source(spark, corpus):
     queries = spark.createDataFrame([(1, "dog")], "query_id long, query string")
     assert se.search(docs, index, queries, 3).count() == 3
     assert {r.source_type for r in se.search(docs, index, queries, source="caption").collect()} == {"caption"}
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("c\u1ea1n Cafe\u0301", ["can", "cafe"]),  # one mark, composed and decomposed
+        ("ti\u1ebfng", ["ti\u1ebfng"]),  # two marks stay
+        ("\u03ac\u03bb\u03c6\u03b1 x", ["\u03ac\u03bb\u03c6\u03b1", "x"]),  # other scripts stay
+    ],
+)
+def test_marks(spark, text, want):
+    row = spark.createDataFrame([(text,)], "t string").select(se.tokens(F.col("t")), se.word_count(F.col("t"))).first()
+    assert row[0] == want and row[1] == len(want)
