@@ -175,9 +175,8 @@ def _jon11s(t):
 # --- readers ---------------------------------------------------------------------------
 
 
-@query("src4_transcripts", "SELECT run_id, start_ms, end_ms, trim(text) AS text FROM b_audio UNION ALL SELECT conv_id, turn*1000+500, turn*1000+2250, trim(text) FROM conversations")
-def _src4(t):
-    """Documents of both layouts, written as JSON and read back."""
+def _transcripts(t):
+    """Documents of both layouts, written as JSON with broken lines between them, and read back."""
     path = rd.scratch_dir(t.spark, "transcripts")
     ex.write_json(ex.transcript_documents(t.audio()), path)
     turn = F.col("turn")
@@ -186,7 +185,19 @@ def _src4(t):
         F.array(F.struct((turn + 0.5).alias("start"), (turn + 2.25).alias("end"), F.concat(F.lit(" "), "text").alias("text"))).alias("segments"),
     )
     ex.write_json(other, path, "append")
-    return rd.transcript_segments(rd.read_json(t.spark, path, TRANSCRIPT)).drop("at")
+    broken = t.frames().filter("frame_idx = 0").select(F.format_string('{"run_id": %d, "segments": [', "run_id").alias("value"))
+    broken.write.mode("append").text(path)
+    return rd.read_documents(t.spark, path, TRANSCRIPT)
+
+
+@query("src4_transcripts", "SELECT run_id, start_ms, end_ms, trim(text) AS text FROM b_audio UNION ALL SELECT conv_id, turn*1000+500, turn*1000+2250, trim(text) FROM conversations")
+def _src4(t):
+    return rd.transcript_segments(_transcripts(t)[0]).drop("at")
+
+
+@query("src4_quarantine", """SELECT '{"run_id": '||run_id||', "segments": [' AS line FROM b_frames WHERE frame_idx=0""")
+def _src4q(t):
+    return _transcripts(t)[1]
 
 
 @query("snk15_transcript_sidecar", "SELECT run_id, segment_id, start_ms, end_ms, text FROM b_audio")
@@ -220,20 +231,31 @@ def _src6(t):
     return docs.select("run_id", "chunk_id", F.explode("per_frame_lines").alias("frame_idx", "line"))
 
 
+def _analyses(t):
+    """Documents of two places: in the first every third run is readable, in the second all are."""
+    path, run = rd.scratch_dir(t.spark, "analyses"), F.col("run_id")
+    runs = t.frames().select("run_id").distinct()
+    document = lambda text: F.to_json(F.struct("run_id", F.struct(F.lit(text).alias("summary")).alias("doc")))
+    broken = F.format_string("{broken %d", run)
+    runs.select(F.when(run % 3 == 0, document("main")).otherwise(broken).alias("value")).write.text(f"{path}/main")
+    runs.select(document("other").alias("value")).write.text(f"{path}/other")
+    return [rd.read_documents(t.spark, f"{path}/{p}", "run_id bigint, doc struct<summary:string>") for p in ("main", "other")]
+
+
 @query(
     "src5_analysis_fallback",
     """SELECT run_id, CASE WHEN run_id%3=0 THEN 'main' ELSE 'other' END AS summary FROM (SELECT DISTINCT run_id FROM b_frames)""",
 )
 def _src5(t):
-    """Every third run has a readable document in the first place, the others only a broken one."""
-    run = F.col("run_id")
-    runs = t.frames().select("run_id").distinct()
-    main = runs.select("run_id", F.from_json(F.when(run % 3 == 0, '{"summary": "main"}').otherwise("{broken"), "struct<summary:string>").alias("doc"))
-    main = main.withColumn("doc", F.when(F.col("doc.summary").isNotNull(), F.col("doc")))
-    other = runs.select("run_id", F.from_json(F.lit('{"summary": "other"}'), "struct<summary:string>").alias("doc"))
+    (main, _), (other, _) = _analyses(t)
     return rd.with_fallback(main, other).select("run_id", F.col("doc.summary").alias("summary"))
 
 
+@query("src5_quarantine", "SELECT DISTINCT '{broken '||run_id AS line FROM b_frames WHERE run_id%3<>0")
+def _src5q(t):
+    return _analyses(t)[0][1]
+
+
 @query("src7_schema_evolution", "SELECT run_id, frame_idx, caption, CAST(NULL AS VARCHAR) AS prompt FROM b_captions UNION ALL SELECT run_id, frame_idx, caption, 'p' FROM b_captions")
 def _src7(t):
     """Files of an older and a newer shape in one folder."""

@@ -101,6 +101,15 @@ def read_json(spark: SparkSession, path: str, ddl: str, multi_line: bool = False
     return reader.json(path)
 
 
+def read_documents(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines of a declared shape, and apart from them the lines that cannot be read (``line``)."""
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.from_json("value", f"{ddl}, __unread string", {"columnNameOfCorruptRecord": "__unread"}).alias("d")
+    )
+    good = lines.filter("d.__unread IS NULL").select("d.*").drop("__unread")
+    return good, lines.filter("d.__unread IS NOT NULL").select("line")
+
+
 def with_fallback(preferred: DataFrame, fallback: DataFrame, column: str = "doc") -> DataFrame:
     """One document per run: the preferred place, else the fallback."""
     b = fallback.withColumnRenamed(column, "__other")
