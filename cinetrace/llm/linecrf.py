@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinetrace.llm.common import slices, text_bytes
+
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of the words
 MIN_CONTENT = 0.5  # share of the words in content lines
@@ -232,12 +234,15 @@ def judge(docs: DataFrame, chain: Chain, text_col: str = "text", min_content: fl
 
     @F.arrow_udf(_RESULT)
     def judged(texts: pa.Array) -> pa.Array:
-        own = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-        base = np.array([base_counts(t) for t in own], np.int64).reshape(-1, 5)
-        lines = [line_features(t) for t in own]
-        labels = viterbi(sent.value, [bits for bits, _ in lines])
-        content = [int(n[l == 1].sum()) for (_, n), l in zip(lines, labels)]
-        columns = [pa.array(base[:, k]) for k in range(5)]
+        base, content, labels = [], [], []
+        for part in slices(texts):
+            own = text_bytes(part)
+            base += [base_counts(t) for t in own]
+            lines = [line_features(t) for t in own]
+            found = viterbi(sent.value, [bits for bits, _ in lines])
+            content += [int(n[l == 1].sum()) for (_, n), l in zip(lines, found)]
+            labels += found
+        columns = [pa.array([b[k] for b in base], pa.int64()) for k in range(5)]
         columns += [pa.array(content, pa.int64()), pa.array(labels, pa.list_(pa.int8()))]
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_words", "line_labels"]
         return pa.StructArray.from_arrays(columns, names=names)

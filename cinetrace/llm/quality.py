@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinetrace.llm.common import slices, text_bytes
+
 BUCKETS = 1 << 16
 MAX_LABELLED = 8_000  # rows that the fit sees at most: those with the smallest hashes of their ids
 GRADES = 3
@@ -45,7 +47,7 @@ _KNOWN: dict[bytes, tuple[int, int]] = {}
 
 def _buckets_of(word: bytes) -> tuple[int, int]:
     if word not in _KNOWN:
-        if len(_KNOWN) > 200_000:  # a cache of hashes, no state
+        if len(_KNOWN) > 100_000:  # a cache of hashes, no state
             _KNOWN.clear()
         shape = xxhash.xxh3_64_intdigest(_shape(word), seed=1) % BUCKETS
         _KNOWN[word] = xxhash.xxh3_64_intdigest(word.lower(), seed=2) % BUCKETS, shape
@@ -159,16 +161,15 @@ def train(
 
     @F.arrow_udf("struct<n:int,keys:binary,values:binary>")
     def hashed(texts: pa.Array) -> pa.Array:
-        starts, keys, values = _sparse([t or b"" for t in texts.cast(pa.binary()).to_pylist()])
-        spans = list(zip(starts[:-1], starts[1:]))
-        return pa.StructArray.from_arrays(
-            [
-                pa.array(np.diff(starts), pa.int32()),
-                pa.array([keys[a:b].astype(np.int32).tobytes() for a, b in spans], pa.binary()),
-                pa.array([values[a:b].astype(np.float32).tobytes() for a, b in spans], pa.binary()),
-            ],
-            names=["n", "keys", "values"],
-        )
+        n, k, v = [], [], []
+        for part in slices(texts):
+            starts, keys, values = _sparse(text_bytes(part))
+            for a, b in zip(starts[:-1], starts[1:]):
+                n.append(b - a)
+                k.append(keys[a:b].astype(np.int32).tobytes())
+                v.append(values[a:b].astype(np.float32).tobytes())
+        columns = [pa.array(n, pa.int32()), pa.array(k, pa.binary()), pa.array(v, pa.binary())]
+        return pa.StructArray.from_arrays(columns, names=["n", "keys", "values"])
 
     # one row for each id, whatever repeats
     rows = rows.select("id", "grade", F.xxhash64("text").alias("h"), hashed("text").alias("f"))
@@ -191,8 +192,8 @@ def grade(
 
     @F.arrow_udf("array<double>")
     def tails(texts: pa.Array) -> pa.Array:
-        found = sent.value.tails([t or b"" for t in texts.cast(pa.binary()).to_pylist()])
-        return pa.array(list(found), pa.list_(pa.float64()))
+        found = [row for part in slices(texts) for row in sent.value.tails(text_bytes(part))]
+        return pa.array(found, pa.list_(pa.float64()))
 
     scored = docs.withColumn("__tails", tails(text_col))
     return scored.withColumns(

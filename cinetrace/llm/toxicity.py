@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinetrace.llm.common import slices
+
 MAX_LABELLED = 12_000  # labelled rows of the fit: those with the smallest hashes of their ids
 MAX_TERMS = 2_000  # terms of the lexicon, the strongest first
 MAX_SPARED = 20_000  # spellings that clean documents use, the most frequent first
@@ -159,8 +161,8 @@ class Model:
         near = np.searchsorted(at, at + WINDOW, "right") - np.searchsorted(at, at - WINDOW, "left")
         return [(i, f[0], f[1], _quoted(words, i), int(n)) for (i, f), n in zip(hits, near)]
 
-    def features(self, text: str) -> np.ndarray:
-        found = self.spans(text)
+    def features(self, found: list[tuple[int, float, int, bool, int]]) -> np.ndarray:
+        """What the score knows of a text: sums over its matches."""
         direct = [s for s in found if not s[3]]
         # a misspelling counts less than the word itself, but in the same sums
         strength = [DISCOUNT ** s[2] for s in direct]
@@ -175,8 +177,8 @@ class Model:
             ]
         )
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts]).reshape(-1, len(self.weights))
+    def score(self, spans: list[list[tuple[int, float, int, bool, int]]]) -> np.ndarray:
+        x = np.array([self.features(s) for s in spans]).reshape(-1, len(self.weights))
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -35, 35)))
 
 
@@ -288,7 +290,7 @@ def train(
     model.spared = frozenset(r["word"] for r in clean.collect())
     model.cache = {}
     features = F.arrow_udf(
-        lambda t: pa.array([model.features(x or "").tolist() for x in t.to_pylist()], pa.list_(pa.float64())),
+        lambda t: pa.array([model.features(model.spans(x or "")).tolist() for x in t.to_pylist()], pa.list_(pa.float64())),
         "array<double>",
     )
     sample = sorted(rows.select("id", "toxic", features("text").alias("x")).collect())
@@ -311,11 +313,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<score:double,matches:array<struct<word:int,weight:double,edits:int,quoted:boolean,near:int>>>")
     def scored(texts: pa.Array) -> pa.Array:
-        own = [t or "" for t in texts.to_pylist()]
         names = ("word", "weight", "edits", "quoted", "near")
-        spans = [[dict(zip(names, s)) for s in sent.value.spans(t)] for t in own]
+        spans, scores = [], []
+        for part in slices(texts):
+            found = [sent.value.spans(t or "") for t in part.to_pylist()]
+            scores += sent.value.score(found).tolist()
+            spans += [[dict(zip(names, s)) for s in own] for own in found]
         return pa.StructArray.from_arrays(
-            [pa.array(sent.value.score(own), pa.float64()), pa.array(spans, pa.list_(span))], names=["score", "matches"]
+            [pa.array(scores, pa.float64()), pa.array(spans, pa.list_(span))], names=["score", "matches"]
         )
 
     out = docs.withColumn("__s", scored(text_col))
