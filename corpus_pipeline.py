@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written and read again as the
 next stage's ``docs``.  All but the last return the columns of ``documents``.
+
+Null texts count as empty: they pass the classifier by their length class, hold one empty line, are in
+no group, hold no item and have no token.  Null ids and repeated rows are rows like others, but of
+repeated rows of one id and text one stays.  Empty tables give empty tables.
 """
 
 from __future__ import annotations

@@ -98,3 +98,22 @@ def test_query_columns(spark, tables, name):
     df = catalog.QUERIES[name](spark, tables)
     assert set(df.columns) == want[name]
     assert name == "op2_benchmark_leaks" or df.count() == 243
+
+
+def test_bpe_digests(spark, tables):
+    import base64
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for r in spark.read.parquet(f"{tables}/documents.parquet").collect():
+        ids = enc.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), digest(",".join(map(str, ids)).encode()), digest((r.text or "").encode())))
+    got = catalog.QUERIES["op6_byte_bpe"](spark, tables).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
