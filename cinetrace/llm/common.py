@@ -52,6 +52,7 @@ class Scratch:
         self.spark = spark
         self.home = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex}"
         self._files = 0
+        self._kept: list[DataFrame] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self._files += 1
@@ -59,13 +60,19 @@ class Scratch:
         df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept.scratch_path = path
+        self._kept.append(kept)
         return kept
 
+    def only(self, *kept: DataFrame) -> None:
+        """Remove all tables but these; nothing unfinished may read the others."""
+        self.drop(*[df for df in self._kept if all(df is not k for k in kept)])
+
     def drop(self, *kept: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for df in kept:
             path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._kept = [k for k in self._kept if all(k is not df for df in kept)]
 
 
 SLICE = 512  # rows whose derived values are held at once

@@ -269,6 +269,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     scratch = Scratch(docs.sparkSession, "neardup")
     rows = signed(docs, scratch, id_col, text_col)
     roots = scratch.keep(set_roots(docs, rows, scratch, id_col, text_col), "set-roots")
+    scratch.only(rows, roots)
     least = rows.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("least"))
     rooted = _with_roots(least, roots)
     across = _with_roots(least.join(roots.select(F.col("node").alias("set_key")), "set_key", "left_semi"), roots)
@@ -293,6 +294,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     scratch = Scratch(docs.sparkSession, "neardup")
     rows = signed(docs, scratch, id_col, text_col)
     roots = scratch.keep(set_roots(docs, rows, scratch, id_col, text_col), "set-roots")
+    scratch.only(rows, roots)
     best = rows.filter("set_key is not null").groupBy("set_key").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("best")
     )
