@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index blocks, exact check.
 
 Every window of a document that is about as long as an item gets a 64-bit SimHash of its words.
-Items of one length class are fingerprinted at all their windows of the class length.  Fingerprints
+Items of one length class are fingerprinted at their first, middle and last windows of the class
+length, so that an edit near one end leaves the others whole.  Fingerprints
 are indexed by four blocks of 16 bits, each entered with all its one-bit variants: two fingerprints
 that differ in at most RADIUS = 7 bits agree up to one bit in some block, so none is missed.  Pairs
 within the radius are aligned and verified by the weighted Jaccard similarity of their bags of
@@ -19,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinetrace.llm.common import texts_of
+from cinetrace.llm.common import slices, text_bytes, texts_of
 
 SHINGLE = 5
 SIMILARITY = 0.75
 MIN_WORDS = 8  # shorter items would hit ordinary prose and are not searched
-GROWTH = 1.25  # from one length class to the next
+GROWTH = 1.5  # from one length class to the next
 BLOCKS, RADIUS = 4, 7
 SLICE_WORDS = 500_000  # benchmark words that travel to the tasks at once; more are searched in turn
 _STEP = 1 << 13  # windows fingerprinted together
@@ -55,13 +56,35 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return common / (int(a[1].sum()) + int(b[1].sum()) - common)
 
 
+_RUN = 64
+
+
+def bit_sums(words: np.ndarray) -> np.ndarray:
+    """Running sums of the words' bits as +1 and -1; row i sums the first i words.
+
+    Summed inside runs of _RUN words side by side, then over the runs.
+    """
+    n = len(words)
+    kind = np.int16 if n < 1 << 15 else np.int32
+    x = np.zeros((-(-(n + 1) // _RUN) * _RUN, 64), kind)
+    x[1 : n + 1] = np.unpackbits(words.view(np.uint8)).reshape(-1, 64)
+    x[1 : n + 1] *= 2
+    x[1 : n + 1] -= 1
+    runs = x.reshape(-1, _RUN, 64)
+    for k in range(1, _RUN):
+        runs[:, k] += runs[:, k - 1]
+    runs[1:] += np.cumsum(runs[:-1, -1], axis=0, dtype=kind)[:, None]
+    return x[: n + 1]
+
+
+def windows_of(sums: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of every window of ``size`` words: the majority of each bit."""
+    return np.packbits((sums[size:] > sums[:-size]).reshape(-1)).view(np.uint64)
+
+
 def fingerprints(words: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of every window of ``size`` words, from running sums of the words' bits."""
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16)
-    sums = np.zeros((len(words) + 1, 64), np.int16)
-    np.cumsum(2 * bits - 1, axis=0, dtype=np.int16, out=sums[1:])  # wraps; differences are right
-    over = (sums[size:] - sums[:-size]) > 0
-    return np.packbits(over, axis=1).view(np.uint64).ravel()
+    parts = [words[at : at + _STEP + size - 1] for at in range(0, len(words) - size + 1, _STEP)]
+    return np.concatenate([windows_of(bit_sums(p), size) for p in parts])
 
 
 @dataclass
@@ -77,27 +100,32 @@ class _Class:
         variants = np.concatenate(([0], 1 << np.arange(16)))
         self.files = []
         for b in range(BLOCKS):
-            block = (self.prints >> np.uint64(16 * b)).astype(np.int64) & 0xFFFF
+            block = self._block(self.prints, b).astype(np.int64)
             keys = (block[:, None] ^ variants[None, :]).ravel()
             order = np.argsort(keys, kind="stable")
             starts = np.searchsorted(keys[order], np.arange(65_537))
-            self.files.append((starts, order // len(variants)))
+            self.files.append((np.diff(starts) > 0, starts, order // len(variants)))
+
+    @staticmethod
+    def _block(prints: np.ndarray, b: int) -> np.ndarray:
+        return prints.view(np.uint16).reshape(-1, BLOCKS)[:, b]
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, entry, distance) of all pairs within the radius."""
         found = []
-        for b, (starts, entries) in enumerate(self.files):
-            block = (prints >> np.uint64(16 * b)).astype(np.int64) & 0xFFFF
-            n = starts[block + 1] - starts[block]
-            hit = np.flatnonzero(n)
-            if not len(hit):
-                continue
-            n = n[hit]
-            window = np.repeat(hit, n)
-            entry = entries[np.repeat(starts[block[hit]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            distance = np.bitwise_count(prints[window] ^ self.prints[entry])
-            ok = distance <= RADIUS
-            found.append(np.stack([window[ok], entry[ok], distance[ok]]))
+        for b, (used, starts, entries) in enumerate(self.files):
+            block = self._block(prints, b)
+            hit = np.flatnonzero(used[block])
+            key = block[hit].astype(np.int64)
+            first, n = starts[key], starts[key + 1] - starts[key]
+            while len(hit):  # the entries of a key one by one: the first, the second, ...
+                entry = entries[first]
+                distance = np.bitwise_count(prints[hit] ^ self.prints[entry])
+                ok = np.flatnonzero(distance <= RADIUS)
+                if len(ok):
+                    found.append(np.stack([hit[ok], entry[ok], distance[ok]]))
+                more = np.flatnonzero(n > 1)
+                hit, first, n = hit[more], first[more] + 1, n[more] - 1
         if not found:
             return (np.empty(0, np.int64),) * 3
         return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
@@ -114,16 +142,17 @@ class Index:
         sizes = [MIN_WORDS]
         while sizes[-1] * GROWTH <= max((len(w) for _, w in self.items), default=0):
             sizes.append(int(sizes[-1] * GROWTH))
-        parts: dict[int, list[tuple[np.ndarray, int]]] = {}
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
         for i, (_, w) in enumerate(self.items):
             size = max(s for s in sizes if s <= len(w))
-            parts.setdefault(size, []).append((fingerprints(w, size), i))
+            at = np.unique([0, (len(w) - size) // 2, len(w) - size])
+            parts.setdefault(size, []).append((fingerprints(w, size)[at], at, i))
         self.classes = [
             _Class(
                 size,
-                np.concatenate([p for p, _ in own]),
-                np.concatenate([np.full(len(p), i) for p, i in own]),
-                np.concatenate([np.arange(len(p)) for p, _ in own]),
+                np.concatenate([p for p, _, _ in own]),
+                np.concatenate([np.full(len(p), i) for p, _, i in own]),
+                np.concatenate([at for _, at, _ in own]),
             )
             for size, own in sorted(parts.items())
         ]
@@ -140,9 +169,15 @@ class Index:
         words = np.concatenate(docs) if docs else np.empty(0, np.uint64)
         bounds = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
         hits = []
-        for c in self.classes:
-            for at in range(0, len(words) - c.size + 1, _STEP):
-                window, entry, distance = c.near(fingerprints(words[at : at + _STEP + c.size - 1], c.size))
+        longest = max((c.size for c in self.classes), default=1)
+        for at in range(0, len(words), _STEP):
+            part = words[at : at + _STEP + longest - 1]
+            sums = bit_sums(part)  # shared by the length classes
+            for c in self.classes:
+                if len(part) < c.size:
+                    continue
+                windows = min(_STEP, len(part) - c.size + 1)
+                window, entry, distance = c.near(windows_of(sums[: windows + c.size], c.size))
                 doc = np.searchsorted(bounds, window + at, side="right") - 1
                 inside = window + at + c.size <= bounds[doc + 1]
                 item = c.items[entry]
@@ -203,14 +238,12 @@ def find_leaks(
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names = ["id", "item_id", "first_word", "words", "similarity", "distance"]
             for batch, texts in texts_of(batches, "text"):
-                ids = batch.column("id").to_pylist()
-                for at in range(0, len(texts), 500):
-                    matches = sent.value.matches([words_of(t) for t in texts[at : at + 500]])
-                    rows = [(i, *m) for i, own in zip(ids[at : at + 500], matches) for m in own]
-                    if rows:
-                        types = [pa.int64()] * 4 + [pa.float64(), pa.int32()]
-                        columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-                        yield pa.RecordBatch.from_arrays(columns, names=names)
+                matches = sent.value.matches([words_of(t) for t in texts])
+                rows = [(i, *m) for i, own in zip(batch.column("id").to_pylist(), matches) for m in own]
+                if rows:
+                    types = [pa.int64()] * 4 + [pa.float64(), pa.int32()]
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
         part = own.mapInArrow(search, _FOUND)
         found = part if found is None else found.unionByName(part)
@@ -232,10 +265,9 @@ def without_leaks(
 def _clean(sent):
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
-        own = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
         out: list[bool] = []
-        for at in range(0, len(own), 500):
-            out += [not m for m in sent.value.matches([words_of(t) for t in own[at : at + 500]])]
+        for part in slices(texts):
+            out += [not m for m in sent.value.matches([words_of(t) for t in text_bytes(part)])]
         return pa.array(out, pa.bool_())
 
     return clean
