@@ -121,3 +121,16 @@ def test_no_training_rows(docs):
     got = ppm.score(docs([(1, "ab")]), docs([])).first()
     assert got["n_known"] == 0 and got["train_tokens"] == 0 and got["score"] == pytest.approx(-3 * math.log10(255))
     assert ppm.score(docs([]), docs([])).count() == 0
+
+
+@pytest.mark.parametrize("bits", [30, 6, 1])
+def test_scores_use_every_count_at_any_size_of_the_shortcut(docs, monkeypatch, bits):
+    monkeypatch.setattr(ppm.train, "__defaults__", ("text", bits))  # what is frequent enough to travel
+    monkeypatch.setattr(ppm, "CHUNK", 50)
+    monkeypatch.setattr(ppm, "BUCKET_GRAMS", 100)
+    rows = corpus(40) + [(None, None), (90, ""), (91, "Unseen words THE"), (7, "the the"), (92, "zu\x00the ca" * 30)]
+    training = docs(rows[:30] + [(None, None)])
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in ppm.score(docs(rows), training).collect()}
+    brute = Brute([t.encode() for _, t in rows[:30]] + [b""], 1)
+    want = {(k, len((t or "").split()) + 1): brute.log10((t or "").encode()) for k, t in rows}
+    assert got == pytest.approx(want, rel=1e-5)
