@@ -1,12 +1,14 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index blocks, exact check.
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index blocks, shingle anchors, exact check.
 
 Every window of a document that is about as long as an item gets a 64-bit SimHash of its words.
 Items of one length class are fingerprinted at their first, middle and last windows of the class
 length, so that an edit near one end leaves the others whole.  Fingerprints
 are indexed by four blocks of 16 bits, each entered with all its one-bit variants: two fingerprints
-that differ in at most RADIUS = 7 bits agree up to one bit in some block, so none is missed.  Pairs
-within the radius are aligned and verified by the weighted Jaccard similarity of their bags of
-five-word shingles.
+that differ in at most RADIUS = 7 bits agree up to one bit in some block, so none is missed.  Windows
+beyond the radius are found by anchors: a window of similarity SIMILARITY holds that share of the
+item's shingles at least, so it holds one of any shingles that make up more than the rest, and those
+of each item are looked up exactly.  All these windows are verified by the weighted Jaccard
+similarity of their bags of five-word shingles.
 """
 
 from __future__ import annotations
@@ -39,14 +41,18 @@ def words_of(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def bag(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles and their weights, the times they occur; fewer words are one shingle."""
+def shingles(words: np.ndarray) -> np.ndarray:
+    """The shingle at each word that starts one; fewer words are one shingle."""
     width = min(SHINGLE, len(words))
     acc = np.zeros(len(words) - width + 1, np.uint64)
     for j in range(width):
         acc += words[j : len(words) - width + 1 + j] * _FACTORS[j]
-    acc = (acc ^ (acc >> np.uint64(32))) * _MIX
-    return np.unique(acc, return_counts=True)
+    return (acc ^ (acc >> np.uint64(32))) * _MIX
+
+
+def bag(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles and their weights, the times they occur."""
+    return np.unique(shingles(words), return_counts=True)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -131,6 +137,12 @@ class _Class:
         return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
 
 
+def _times(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """For each value of each set, the number of sets that hold it."""
+    _, back, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    return np.split(n[back], np.cumsum([len(x) for x in sets])[:-1])
+
+
 @dataclass
 class Index:
     """Items by number, with their words' bags, and the length classes."""
@@ -156,6 +168,59 @@ class Index:
             )
             for size, own in sorted(parts.items())
         ]
+        self.sizes = [max(s for s in sizes if s <= len(w)) for _, w in self.items]
+        times = _times([codes for codes, _ in self.bags])
+        anchors = []
+        for (codes, n), of in zip(self.bags, times):
+            order = np.argsort(of, kind="stable")  # those of fewest items first
+            total = int(n.sum())
+            # without these, less than SIMILARITY of the item is left
+            enough = 1 + np.searchsorted(np.cumsum(n[order]), total * (1 - SIMILARITY), "right")
+            anchors.append(codes[order[:enough]])
+        keys = np.concatenate(anchors)
+        order = np.argsort(keys, kind="stable")
+        self.owners = np.repeat(np.arange(len(anchors)), [len(a) for a in anchors])[order]
+        self.anchors, first = np.unique(keys[order], return_index=True)
+        self.firsts = np.append(first, len(keys))
+        self.used = np.zeros(1 << 20, bool)
+        self.used[self.anchors >> np.uint64(44)] = True
+
+    def anchored(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Columns (document, item, first word, distance) of all windows that may be similar enough."""
+        if len(words) < SHINGLE:
+            return np.empty((4, 0), np.int64)
+        own = shingles(words)
+        hit = np.flatnonzero(self.used[own >> np.uint64(44)])
+        key = np.minimum(np.searchsorted(self.anchors, own[hit]), len(self.anchors) - 1)
+        doc = np.searchsorted(bounds, hit, side="right") - 1
+        ok = (self.anchors[key] == own[hit]) & (hit + SHINGLE <= bounds[doc + 1])
+        hit, key, doc = hit[ok], key[ok], doc[ok]
+        n = self.firsts[key + 1] - self.firsts[key]
+        row = np.repeat(np.arange(len(hit)), n)
+        item = self.owners[self.firsts[key[row]] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+        order = np.lexsort((hit[row], item, doc[row]))
+        hit, doc, item = hit[row][order], doc[row][order], item[order]
+        new = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(item, prepend=-1))
+        found = []
+        for a, b in zip(new, np.append(new[1:], len(doc))):
+            d, i = int(doc[a]), int(item[a])
+            codes, weights = self.bags[i]
+            m = int(weights.sum())
+            low, end = max(int(bounds[d]), int(hit[a]) - m + 1), int(bounds[d + 1]) - SHINGLE + 1
+            part = own[low : min(end, int(hit[b - 1]) + m)]
+            sums = np.concatenate(([0], np.cumsum(np.isin(part, codes))))
+            start = np.arange(min(len(part), int(hit[b - 1]) + 1 - low))
+            stop = np.minimum(start + m, len(part))
+            common = sums[stop] - sums[start]  # at most so many in common
+            start = start[common * (1 + SIMILARITY) >= SIMILARITY * (m + stop - start)] + low
+            found += [(d, i, p, self._distance(words[p : bounds[d + 1]], i)) for p in start.tolist()]
+        return np.array(found, np.int64).reshape(-1, 4).T
+
+    def _distance(self, words: np.ndarray, i: int) -> int:
+        """Bits that differ between the beginnings of a window and of an item."""
+        size = min(self.sizes[i], len(words))
+        a, b = (fingerprints(w[:size], size)[0] for w in (words, self.items[i][1]))
+        return int(np.bitwise_count(a ^ b))
 
     def __getstate__(self):
         return self.items
@@ -183,6 +248,7 @@ class Index:
                 item = c.items[entry]
                 start = np.maximum(window + at - c.offsets[entry], bounds[doc])
                 hits.append(np.stack([doc, item, start, distance])[:, inside])
+        hits.append(self.anchored(words, bounds))
         best: list[dict[int, tuple]] = [{} for _ in docs]
         if hits:
             rows = np.concatenate(hits, axis=1)

@@ -102,3 +102,28 @@ def test_leaks_against_all_windows(spark, docs):
     assert clean.columns == df.columns
     assert {r["doc_id"] for r in clean.collect()} == {k for k, _ in rows + edges if k not in dirty}
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0 and decontaminate.find_leaks(docs([]), bench).count() == 0
+
+
+@pytest.mark.parametrize("size", [8, 12, 18, 27, 28, 40])
+def test_no_edit_within_the_similarity_hides_a_leak(size):
+    rnd = np.random.default_rng(size)
+    say = lambda n: rnd.integers(0, 2**64, n, dtype=np.uint64)
+    items = [(k, say(size)) for k in range(2)]
+    index = decontaminate.Index(items)
+    docs, truth = [], []
+    for k, item in items:
+        for at in range(size):
+            for far in (0, 1, size - 1):
+                own = item.copy()
+                own[[at, (at + far) % size]] = say(2)
+                if far == 1:  # a word left out
+                    own = np.delete(own, at)
+                docs.append(np.concatenate([say(9), own, say(int(rnd.integers(0, 9)))]))
+                whole = docs[-1]
+                best = max(
+                    decontaminate.similarity(decontaminate.bag(whole[p : p + size]), decontaminate.bag(item))
+                    for p in range(len(whole) - 4)
+                )
+                truth.append({k} if best >= 0.75 else set())
+    assert any(truth) or size < 11
+    assert [{m[0] for m in own} for own in index.matches(docs)] == truth
