@@ -49,57 +49,59 @@ def slack(term: str) -> int:
 class Automaton:
     """The trie of a lexicon times a Levenshtein automaton, determinised as words come.
 
-    A state is the set of (trie node, edits so far).  The first letter must be right.  ``stems``
-    match any word that begins with them, without edits.
+    A state is the set of (trie node, edits so far), without nodes below which no term bears
+    so many.  ``stems`` match any word that begins with them, without edits.
     """
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.children: list[dict[str, int]] = [{}]
         self.word: list[tuple[str, float] | None] = [None]
         self.stem: list[float | None] = [None]
+        self.most = [0]  # edits that a term below a node bears
         for entries, ends in ((words, "word"), (stems, "stem")):
             for term, weight in entries.items():
-                node = 0
+                node, most = 0, slack(term) if ends == "word" else 0
+                self.most[0] = max(self.most[0], most)
                 for c in term:
                     if c not in self.children[node]:
                         self.children[node][c] = len(self.children)
                         self.children.append({})
                         self.word.append(None)
                         self.stem.append(None)
+                        self.most.append(0)
                     node = self.children[node][c]
+                    self.most[node] = max(self.most[node], most)
                 getattr(self, ends)[node] = (term, weight) if ends == "word" else weight
-        self.most = max((slack(w) for w in words), default=0)
-        self.start = (frozenset({(0, 0)}), 0.0)
+        self.start = (self._closed({0: 0}), 0.0)
         self.steps: dict[tuple, dict[str, tuple | None]] = {}
 
     def _closed(self, found: dict[int, int]) -> frozenset:
         queue = list(found)
         while queue:  # letters of the term that the word leaves out
             node = queue.pop()
-            if found[node] < self.most:
+            edits = found[node] + 1
+            if edits <= self.most[node]:
                 for child in self.children[node].values():
-                    if found.get(child, self.most + 1) > found[node] + 1:
-                        found[child] = found[node] + 1
+                    if edits <= self.most[child] and found.get(child, edits + 1) > edits:
+                        found[child] = edits
                         queue.append(child)
         return frozenset(found.items())
 
     def _step(self, state: tuple, c: str) -> tuple | None:
         pairs, stem = state
-        first = state == self.start
         found: dict[int, int] = {}
 
         def reach(node: int, edits: int) -> None:
-            if edits <= self.most and found.get(node, self.most + 1) > edits:
+            if edits <= self.most[node] and found.get(node, edits + 1) > edits:
                 found[node] = edits
 
         for node, edits in pairs:
             for letter, child in self.children[node].items():
                 if letter == c:
                     reach(child, edits)
-                elif not first:
+                else:
                     reach(child, edits + 1)
-            if not first:
-                reach(node, edits + 1)
+            reach(node, edits + 1)
         stem = max([stem, *(self.stem[n] or 0.0 for n, e in found.items() if e == 0)])
         return (self._closed(found), stem) if found or stem else None
 
@@ -223,7 +225,7 @@ def lexicon(found: list[tuple[str, int, float]]) -> tuple[dict[str, float], dict
     """Words and stems with their weights, from (term, toxic documents, weight).
 
     A stem stands for its words unless one of them makes up most of it; of nested stems the
-    shortest stays.
+    shortest stays.  Words that a stem covers stay too, for their misspellings.
     """
     support = {term: t for term, t, _ in found}
     main: dict[str, int] = {}
@@ -233,7 +235,7 @@ def lexicon(found: list[tuple[str, int, float]]) -> tuple[dict[str, float], dict
                 main[term[:k]] = max(main.get(term[:k], 0), t)
     stems = {t[:-1]: w for t, n, w in found if t.endswith("*") and main.get(t[:-1], 0) < 0.7 * n}
     stems = {t: w for t, w in stems.items() if not any(t[:k] in stems for k in range(4, len(t)))}
-    words = {t: w for t, _, w in found if not t.endswith("*") and not any(t[:k] in stems for k in range(4, len(t)))}
+    words = {t: w for t, _, w in found if not t.endswith("*")}
     return words, stems
 
 

@@ -44,6 +44,17 @@ def test_stems_and_marks():
     assert model.spans("") == []
 
 
+def test_first_letters_and_words_below_stems_bear_edits():
+    words, stems = toxicity.lexicon([("snarling", 5, 2.0), ("snar*", 9, 1.0), ("bramble", 5, 2.0)])
+    assert set(words) == {"snarling", "bramble"} and set(stems) == {"snar"}
+    auto = toxicity.Automaton(words, stems)
+    assert [auto.match(w) for w in ("xramble", "ramble", "xbramble")] == [(2.0, 1)] * 3
+    assert auto.match("snrling") == auto.match("znarling") == (2.0, 1) and auto.match("snarls") == (1.0, 0)
+    for w in map("".join, itertools.product("bx", "bra", ["ramble", "amble", "mble"])):
+        d = min(distance(t, w) for t in ["bramble"])
+        assert (auto.match(w) is not None) == (d <= 1), w
+
+
 def toxic_rows():
     rnd = random.Random(7)
     plain = [f"word{i}" for i in range(300)]
