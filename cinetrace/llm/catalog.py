@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinetrace.llm import bpe, decontaminate, linecrf, lines, merkle, neardup, ppm, quality, shards, toxicity
+from cinetrace.llm import (
+    bpe,
+    decontaminate,
+    divergence,
+    licences,
+    linecrf,
+    lines,
+    merkle,
+    neardup,
+    partcodes,
+    ppm,
+    quality,
+    shards,
+    toxicity,
+)
 from cinetrace.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +156,90 @@ def line_labels(spark: SparkSession, root: str) -> DataFrame:
 @query("op10_minimax_shards")
 def minimax_shards(spark: SparkSession, root: str) -> DataFrame:
     return shards.assign(table(spark, root, "documents"))
+
+
+@query(
+    "op11_source_divergence",
+    f"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (
+  SELECT id, lang, source, {_LOWER.format("u")} AS term FROM (
+    SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS u FROM d)),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY 1, 2, 3),
+gn AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY 1, 2),
+p AS (
+  SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n,
+    1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (gn.total + 2 * v.v) AS p
+  FROM gn JOIN k ON k.lang = gn.lang JOIN v ON v.lang = gn.lang
+  LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+w AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2),
+wn AS (SELECT lang, sum(n) AS total FROM w GROUP BY 1),
+q AS (
+  SELECT w.lang, w.term, 1 + CAST(1000000000 AS HUGEINT) * (w.n + 2) // (wn.total + 2 * v.v) AS q
+  FROM w JOIN wn ON wn.lang = w.lang JOIN v ON v.lang = w.lang),
+pairs AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+  FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT x.lang, x.source, y.source, 0 FROM g x JOIN g y ON y.lang = x.lang AND y.source <> x.source
+  WHERE x.lang NOT IN (SELECT lang FROM v)),
+terms AS (
+  SELECT p.lang, p.source, p.term AS item, (p.p - q.q) * (p.p - q.q) // (p.p + q.q) AS value
+  FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q),
+r AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10""",
+)
+def source_divergence(spark: SparkSession, root: str) -> DataFrame:
+    return divergence.audit(table(spark, root, "documents"))
+
+
+@query("op12_license_scan")
+def license_scan(spark: SparkSession, root: str) -> DataFrame:
+    return licences.scan(table(spark, root, "documents")).drop("places", "expressions")
+
+
+def _codes_sql(rounds: int) -> str:
+    """The rounds of the codebooks, written out."""
+    gap = "list_sum(list_transform(range(1, len(e.x) + 1), lambda i: (e.x[i] - b.x[i]) * (e.x[i] - b.x[i])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+n{r} AS (SELECT e.row, e.p, min(CAST({gap} AS BIGINT) * 64 + b.e) AS m FROM e JOIN b{r} b ON b.p = e.p GROUP BY e.row, e.p)""")
+        if r < rounds:
+            steps.append(f"""
+u{r} AS (
+  SELECT p, c AS e, i, CAST(floor_div AS BIGINT) AS x FROM (
+    SELECT p, c, i, (s - ((s % n) + n) % n) // n AS floor_div FROM (
+      SELECT n.p, n.m % 64 AS c, i, sum(e.x[i]) AS s, count(*) AS n
+      FROM n{r} n JOIN e ON e.row = n.row AND e.p = n.p, (SELECT unnest(range(1, (SELECT max(len(x)) FROM e) + 1)) AS i) GROUP BY 1, 2, 3))),
+b{r + 1} AS (
+  SELECT b.p, b.e, coalesce(v.x, b.x) AS x FROM b{r} b
+  LEFT JOIN (SELECT p, e, list(x ORDER BY i) AS x FROM u{r} GROUP BY p, e) v ON v.p = b.p AND v.e = b.e)""")
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (
+  SELECT row, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM k, (SELECT unnest(range(16)) AS p)),
+b0 AS (SELECT p, row - 1 AS e, x FROM e WHERE row <= 64),{",".join(steps)},
+h AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM b{rounds}),
+c AS (
+  SELECT row, string_agg(lower(printf('%02x', m % 64)), '' ORDER BY p) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM n{rounds} GROUP BY row),
+l AS (SELECT k.label, CAST(sum(c.error) AS BIGINT) AS label_error FROM k JOIN c ON c.row = k.row GROUP BY k.label)
+SELECT k.vec_id, c.code, c.error, l.label_error, h.h AS codebooks_sha256
+FROM k JOIN c ON c.row = k.row JOIN l ON l.label IS NOT DISTINCT FROM k.label, h"""
+
+
+@query("op13_part_codes", _codes_sql(partcodes.ROUNDS))
+def part_codes(spark: SparkSession, root: str) -> DataFrame:
+    return partcodes.compress(table(spark, root, "embeddings"))
