@@ -2,87 +2,158 @@
 
 Chunk factorization: texts are cut at white space, which no term crosses.  Chunks are counted
 document by document and summed up inside a task, each globally distinct chunk is cut into terms
-once, and its terms are joined back to the sums.  A document that uses a term in several chunks
-counts once for it: chunks in few documents carry the numbers of these documents along, so that
-documents are told apart exactly wherever the threshold depends on it.
+once, and its terms are joined back to the sums.  A first pass counts the documents of every chunk, which
+tells the terms that may be kept; a second one counts the uses of their chunks by source.  A document that
+uses a term in several chunks counts once for it: where the threshold depends on that, the second pass
+brings the numbers of the documents.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cinetrace.llm.common import SLICE, Scratch, ascii_lower, text_bytes
+from cinetrace.llm.common import Scratch, ascii_lower
 
 TERM = r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)"
 MIN_DOCS = 10
 TOP = 10
 UNIT = 1_000_000_000
-HELD = 150_000  # distinct chunks that a task sums up before it passes them on
-OUT = 20_000  # rows of a batch
+PIECE = 24 << 20  # bytes of text that a task counts before it passes the sums on
+ROWS = 64  # rows that a piece grows by
 BLOCK = 256  # terms that are compared between sources at once
+BITS = 24  # of the chunk prints that spare the second pass needless chunks
 
-_CHUNKS = "lang string, source string, chunk string, n long, docs long, ids array<long>"
-_ARROW = pa.schema(
-    [("lang", pa.string()), ("source", pa.string()), ("chunk", pa.string())]
-    + [("n", pa.int64()), ("docs", pa.int64()), ("ids", pa.list_(pa.int64()))]
-)
-
-
-def _counts(min_docs: int):
-    """Sums of chunk uses over many documents of a task, in bounded pieces."""
-
-    def emit(groups: dict) -> Iterator[pa.RecordBatch]:
-        rows = ((g, c, u) for g, chunks in groups.items() for c, u in chunks.items())
-        while part := [r for _, r in zip(range(OUT), rows)]:
-            columns = [
-                pa.array([g[0] for g, _, _ in part], pa.string()),
-                pa.array([g[1] for g, _, _ in part], pa.string()),
-                pa.array([c for _, c, _ in part], pa.binary()).view(pa.string()),
-                pa.array([u[0] for _, _, u in part], pa.int64()),
-                pa.array([u[1] for _, _, u in part], pa.int64()),
-                pa.array([u[2] if u[1] < min_docs else None for _, _, u in part], _ARROW.field("ids").type),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+
+class _Uses(NamedTuple):
+    """Chunk uses of one piece: a row per document and distinct chunk."""
+
+    chunks: pa.Array  # by code
+    doc: np.ndarray
+    code: np.ndarray
+    n: np.ndarray
+    columns: dict[str, tuple[np.ndarray, pa.Array]]  # per document a code, and the values by code
+    first: int  # number of the first document
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[tuple[pa.Table, int]]:
+    """Rows of a task in pieces of bounded size, each with the number of its first row; no two rows share one."""
+    number, held, size = TaskContext.get().partitionId() << 40, [], 0
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            held.append(batch.slice(at, ROWS))
+            size += pc.sum(pc.binary_length(held[-1].column("text"))).as_py() or 0
+            if size > piece:
+                yield pa.Table.from_batches(held).combine_chunks(), number
+                number, held, size = number + sum(map(len, held)), [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks(), number
+
+
+def _marked(chunks: pa.Array, prints: np.ndarray) -> np.ndarray:
+    """Which chunks have their print in a bitmap of a power of two bits."""
+    shift = 33 - len(prints).bit_length()
+    return prints[np.array([zlib.crc32(c) >> shift for c in chunks.cast(pa.binary()).to_pylist()], np.int64)]
+
+
+def _uses(rows: pa.Table, first: int, wanted: np.ndarray | None = None) -> _Uses:
+    """Counts of the chunks of every document, of those whose print is ``wanted``."""
+    whole = lambda c: c.chunk(0) if c.num_chunks else pa.array([], c.type)
+    lists = pc.ascii_split_whitespace(whole(rows.column("text")))
+    coded = lists.flatten().dictionary_encode()
+    chunks, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    if wanted is None:
+        kept = pc.greater(pc.binary_length(chunks), 0).to_numpy(zero_copy_only=False)
+    else:
+        kept = _marked(chunks, wanted)
+    there = kept[code]
+    key = np.sort(doc[there] * len(chunks) + code[there])
+    fresh = np.flatnonzero(np.diff(key, prepend=-1))
+    n = np.diff(fresh, append=len(key))
+    columns = {}
+    for name in rows.column_names:
+        if name != "text":
+            values = whole(rows.column(name)).dictionary_encode()
+            columns[name] = (values.indices.to_numpy().astype(np.int64), values.dictionary)
+    size = max(1, len(chunks))
+    return _Uses(chunks, key[fresh] // size, key[fresh] % size, n, columns, first)
+
+
+def _document_counts(piece: int):
+    """lang, chunk, docs: in how many documents of a piece each chunk stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 40  # of the document, unlike all others
-        groups: dict[tuple[str, str], dict[bytes, list]] = {}
-        held = 0
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.slice(at, SLICE)
-                keys = zip(part.column("lang").to_pylist(), part.column("source").to_pylist())
-                for key, text in zip(keys, text_bytes(part.column("text"))):
-                    number += 1
-                    uses = groups.setdefault(key, {})
-                    held -= len(uses)
-                    for chunk, n in Counter(text.split()).items():
-                        use = uses.get(chunk)
-                        if use is None:
-                            uses[chunk] = [n, 1, [number]]
-                        else:
-                            use[0] += n
-                            use[1] += 1
-                            if use[1] < min_docs:
-                                use[2].append(number)
-                    held += len(uses)
-                    if held > HELD:
-                        yield from emit(groups)
-                        groups, held = {}, 0
-        yield from emit(groups)
+        for rows, first in _pieces(batches, piece):
+            uses = _uses(rows, first)
+            lang, langs = uses.columns["lang"]
+            size = max(1, len(uses.chunks))
+            key, docs = np.unique(lang[uses.doc] * size + uses.code, return_counts=True)
+            columns = [langs.take(pa.array(key // size)), uses.chunks.take(pa.array(key % size)), pa.array(docs.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "chunk", "docs"])
 
     return run
 
 
+def _source_counts(wanted: bytes, doubtful: bytes, piece: int):
+    """lang, chunk, sources, ns, ids: uses of each wanted chunk by source; documents of doubtful ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = [np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little").astype(bool) for b in (wanted, doubtful)]
+        for rows, first in _pieces(batches, piece):
+            uses = _uses(rows, first, bits[0])
+            (lang, langs), (source, sources) = uses.columns["lang"], uses.columns["source"]
+            size, most = max(1, len(uses.chunks)), max(1, len(sources))
+            key = (lang[uses.doc] * size + uses.code) * most + source[uses.doc]
+            order = np.argsort(key, kind="stable")
+            key, doc, n = key[order], uses.doc[order], uses.n[order]
+            each = np.flatnonzero(np.diff(key, prepend=-1))  # of lang, chunk and source
+            sums = np.add.reduceat(n, each) if len(n) else n
+            pair = key[each] // most
+            row = np.flatnonzero(np.diff(pair, prepend=-1))  # of lang and chunk
+            code = pair[row] % size
+            open_ = _marked(uses.chunks.take(pa.array(code)), bits[1])
+            spread = np.append(row, len(each))
+            docs = np.append(each[row], len(key))
+            told = np.repeat(open_, np.diff(docs))
+            upto = np.append(0, np.cumsum(np.diff(docs) * open_))
+            offsets = pa.array(spread.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    langs.take(pa.array(pair[row] // size)),
+                    uses.chunks.take(pa.array(code)),
+                    pa.ListArray.from_arrays(offsets, sources.take(pa.array(key[each] % most))),
+                    pa.ListArray.from_arrays(offsets, pa.array(sums.astype(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(first + doc[told])),
+                ],
+                ["lang", "chunk", "sources", "ns", "ids"],
+            )
+
+    return run
+
+
+def _prints(chunks: DataFrame, bits: int) -> bytes:
+    """The prints of all chunks as a bitmap of 2**bits bits, whatever their number."""
+    at = F.shiftrightunsigned(F.crc32(F.col("chunk").cast("binary")), 32 - bits)
+    words = chunks.groupBy(F.shiftright(at, 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))).alias("bits")
+    )
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for r in words.toLocalIterator():
+        out[r["word"]] = r["bits"]
+    return out.tobytes()
+
+
 def terms_of(chunk: Column) -> Column:
     return F.transform(F.regexp_extract_all(chunk, F.lit(TERM), 1), ascii_lower)
 
@@ -99,38 +170,40 @@ def _gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def count_terms(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS) -> DataFrame:
+def count_terms(
+    docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, piece: int = PIECE, bits: int = BITS
+) -> DataFrame:
     """(lang, term, source, n): uses of every term that stands in ``min_docs`` documents of its lang.
 
     ``docs`` has columns text, lang and source without nulls.  Let a term stand in the chunks c.
     Its documents are at least max(docs(c)) and at most sum(docs(c)); where the threshold lies
-    between the two, every chunk has fewer documents than the threshold, so all their numbers are
-    at hand and are counted without repeats.
+    between the two, the documents of its chunks, all of them rare, are told apart by their numbers.
     """
-    chunks = scratch.keep(docs.select("text", "lang", "source").mapInArrow(_counts(min_docs), _CHUNKS), "chunks")
-    sums = chunks.repartition("chunk").groupBy("chunk", "lang", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    vocabulary = chunks.select("chunk").distinct().withColumn("terms", terms_of(F.col("chunk"))).filter(F.size("terms") > 0)
-    found = scratch.keep(sums.join(vocabulary, "chunk"), "found")
-    by_chunk = found.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"), F.first("terms").alias("terms"))
-    by_chunk = by_chunk.select("lang", "chunk", "docs", F.explode(F.array_distinct("terms")).alias("term"))
-    by_chunk = scratch.keep(by_chunk, "by-chunk")
-    bounds = by_chunk.groupBy("lang", "term").agg(F.sum("docs").alias("most"), F.max("docs").alias("least"))
+    counted = docs.select("text", "lang").mapInArrow(_document_counts(piece), "lang string, chunk string, docs long")
+    counted = counted.repartition("chunk").groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"))
+    vocabulary = counted.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs"))
+    vocabulary = vocabulary.withColumn("terms", terms_of(F.col("chunk"))).filter(F.size("terms") > 0)
+    found = vocabulary.select("chunk", "terms", F.inline("langs")).select("lang", "chunk", "docs", F.explode("terms").alias("term"))
+    found = scratch.keep(found, "found")
+    bounds = found.groupBy("lang", "term").agg(F.sum("docs").alias("most"), F.max("docs").alias("least"))
     bounds = scratch.keep(bounds.filter(F.col("most") >= min_docs), "bounds")
-    open_ = bounds.filter(F.col("least") < min_docs).select("lang", "term")
-    told = (
-        chunks.select("lang", "chunk", "ids")
-        .join(by_chunk.join(open_, ["lang", "term"]).select("lang", "chunk", "term"), ["lang", "chunk"])
-        .select("lang", "term", F.explode("ids").alias("id"))
-        .distinct()
-        .groupBy("lang", "term")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= min_docs)
+    wanted = found.join(bounds, ["lang", "term"]).select("lang", "chunk", "term", (F.col("least") < min_docs).alias("open"))
+    wanted = scratch.keep(wanted, "wanted")
+    counts = docs.select("text", "lang", "source").mapInArrow(
+        _source_counts(_prints(wanted, bits), _prints(wanted.filter("open"), bits), piece),
+        "lang string, chunk string, sources array<string>, ns array<long>, ids array<long>",
     )
-    kept = bounds.filter(F.col("least") >= min_docs).select("lang", "term").unionByName(told.select("lang", "term"))
-    kept = scratch.keep(kept, "kept")
-    uses = found.select("lang", "source", F.explode("terms").alias("term"), "n")
-    uses = uses.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
-    counts = scratch.keep(uses.join(kept, ["lang", "term"]), "counts")
+    counts = scratch.keep(counts, "by-source")
+    told = counts.filter(F.size("ids") > 0).select("lang", "chunk", "ids").join(wanted.filter("open").distinct(), ["lang", "chunk"])
+    told = told.select("lang", "term", F.explode("ids").alias("id")).distinct().groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+    uses = counts.drop("ids").join(wanted, ["lang", "chunk"])
+    uses = uses.select("lang", "term", "open", F.inline(F.arrays_zip("sources", "ns")))
+    uses = uses.groupBy("lang", "term", "open", F.col("sources").alias("source")).agg(F.sum("ns").alias("n"))
+    uses = scratch.keep(uses, "uses")
+    kept = scratch.keep(told.filter(F.col("n") >= min_docs).select("lang", "term"), "told")
+    sure = uses.filter("NOT open").drop("open")
+    counts = sure.unionByName(uses.filter("open").drop("open").join(kept, ["lang", "term"]))
+    counts = scratch.keep(counts, "counts")
     scratch.only(counts)
     return counts
 
@@ -161,6 +234,8 @@ def audit(
     source_col: str = "source",
     min_docs: int = MIN_DOCS,
     top: int = TOP,
+    piece: int = PIECE,
+    bits: int = BITS,
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): gaps between sources, and the terms that set a source apart.
 
@@ -170,13 +245,16 @@ def audit(
     nothing but its group.  A language without kept terms has value 0 for each of its pairs and no
     terms.  Ties are ranked by item.  Other columns are not read.  An empty table gives no rows.
 
+    ``piece`` bytes of text are counted at once, and 2**``bits`` prints of chunks spare the second pass needless
+    ones; neither changes the result.
+
     What grows with pairs of sources is the result itself; pairs are summed up over blocks of terms, and
     a block holds one number per source and term.
     """
     scratch = Scratch(docs.sparkSession, "divergence")
     named = {"text": text_col, "lang": lang_col, "source": source_col}
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in named.items()])
-    counts = count_terms(rows, scratch, min_docs)
+    counts = count_terms(rows, scratch, min_docs, piece, bits)
     whole = scratch.keep(counts.groupBy("lang", "term").agg(F.sum("n").alias("all_n")), "language")
     langs = whole.groupBy("lang").agg(F.sum("all_n").alias("all_total"), F.count(F.lit(1)).alias("terms"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))

@@ -59,11 +59,11 @@ def brute(rows, least, top=10):
     return sorted(out)
 
 
-def check(spark, rows, least=3, parts=3):
+def check(spark, rows, least=3, parts=3, **kw):
     df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
     for name in ("chunk", "n", "docs", "term", "p", "total"):  # columns that clash with those of the operator
         df = df.withColumn(name, F.lit("mine"))
-    got = divergence.audit(df, min_docs=least)
+    got = divergence.audit(df, min_docs=least, **kw)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, least)
 
@@ -93,10 +93,12 @@ def test_documents_are_told_apart_across_chunks(spark):
     assert {(r["term"], r["n"]) for r in counts.collect()} == {("other", 3)}
 
 
-def test_pieces_of_a_task_add_up(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "OUT", 7)
-    monkeypatch.setattr(divergence, "HELD", 20)
-    check(spark, corpus(60), parts=2)
+def test_pieces_of_a_task_add_up(spark):
+    check(spark, corpus(600), parts=2, piece=60)
+
+
+def test_prints_that_fall_together_do_no_harm(spark):
+    check(spark, corpus(60), bits=7)
 
 
 def test_terms_in_many_blocks(spark):
