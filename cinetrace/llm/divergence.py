@@ -31,6 +31,7 @@ TOP = 10
 UNIT = 1_000_000_000
 PIECE = 24 << 20  # bytes of text that a task counts before it passes the sums on
 ROWS = 64  # rows that a piece grows by
+BUCKET = 4 << 20  # bytes of text for each bucket of chunks, so that buckets do not grow with the input
 BLOCK = 256  # terms that are compared between sources at once
 BITS = 24  # of the chunk prints that spare the second pass needless chunks
 
@@ -43,7 +44,6 @@ class _Uses(NamedTuple):
     code: np.ndarray
     n: np.ndarray
     columns: dict[str, tuple[np.ndarray, pa.Array]]  # per document a code, and the values by code
-    first: int  # number of the first document
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[tuple[pa.Table, int]]:
@@ -66,19 +66,21 @@ def _marked(chunks: pa.Array, prints: np.ndarray) -> np.ndarray:
     return prints[np.array([zlib.crc32(c) >> shift for c in chunks.cast(pa.binary()).to_pylist()], np.int64)]
 
 
-def _uses(rows: pa.Table, first: int, wanted: np.ndarray | None = None) -> _Uses:
+def _uses(rows: pa.Table, wanted: np.ndarray | None = None) -> _Uses:
     """Counts of the chunks of every document, of those whose print is ``wanted``."""
     whole = lambda c: c.chunk(0) if c.num_chunks else pa.array([], c.type)
     lists = pc.ascii_split_whitespace(whole(rows.column("text")))
+    lengths = lists.value_lengths().to_numpy()
     coded = lists.flatten().dictionary_encode()
-    chunks, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    if wanted is None:
-        kept = pc.greater(pc.binary_length(chunks), 0).to_numpy(zero_copy_only=False)
-    else:
-        kept = _marked(chunks, wanted)
-    there = kept[code]
-    key = np.sort(doc[there] * len(chunks) + code[there])
+    del lists
+    chunks, code = coded.dictionary, coded.indices.to_numpy()
+    size = max(1, len(chunks))
+    kept = pc.greater(pc.binary_length(chunks), 0).to_numpy(zero_copy_only=False) if wanted is None else _marked(chunks, wanted)
+    key = np.repeat(np.arange(len(lengths)) * size, lengths)
+    key += code
+    if not kept.all():
+        key = key[kept[code]]
+    key.sort()
     fresh = np.flatnonzero(np.diff(key, prepend=-1))
     n = np.diff(fresh, append=len(key))
     columns = {}
@@ -86,62 +88,146 @@ def _uses(rows: pa.Table, first: int, wanted: np.ndarray | None = None) -> _Uses
         if name != "text":
             values = whole(rows.column(name)).dictionary_encode()
             columns[name] = (values.indices.to_numpy().astype(np.int64), values.dictionary)
-    size = max(1, len(chunks))
-    return _Uses(chunks, key[fresh] // size, key[fresh] % size, n, columns, first)
+    return _Uses(chunks, key[fresh] // size, key[fresh] % size, n, columns)
+
+
+def _lists(values: pa.Array, cuts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values)
+
+
+def _by_bucket(chunks: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of chunks by bucket, the buckets that occur, and where each begins and the last ends."""
+    of = np.array([zlib.crc32(c) % buckets for c in chunks.cast(pa.binary()).to_pylist()], np.int64)
+    order = np.argsort(of, kind="stable")
+    first = np.flatnonzero(np.diff(of[order], prepend=-1))
+    return order, of[order][first], np.append(first, len(order))
 
 
-def _document_counts(piece: int):
-    """lang, chunk, docs: in how many documents of a piece each chunk stands."""
+def _document_counts(piece: int, buckets: int):
+    """In how many documents of a piece each chunk stands; one row per bucket of chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, first in _pieces(batches, piece):
-            uses = _uses(rows, first)
+        for rows, _ in _pieces(batches, piece):
+            uses = _uses(rows)
             lang, langs = uses.columns["lang"]
             size = max(1, len(uses.chunks))
             key, docs = np.unique(lang[uses.doc] * size + uses.code, return_counts=True)
-            columns = [langs.take(pa.array(key // size)), uses.chunks.take(pa.array(key % size)), pa.array(docs.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "chunk", "docs"])
+            chunks = uses.chunks.take(pa.array(key % size))
+            order, bucket, cuts = _by_bucket(chunks, buckets)
+            at = pa.array(order)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket),
+                    _lists(langs.take(pa.array((key // size)[order])), cuts),
+                    _lists(chunks.take(at), cuts),
+                    _lists(pa.array(docs[order].astype(np.int64)), cuts),
+                ],
+                ["bucket", "langs", "chunks", "docs"],
+            )
 
     return run
 
 
-def _source_counts(wanted: bytes, doubtful: bytes, piece: int):
-    """lang, chunk, sources, ns, ids: uses of each wanted chunk by source; documents of doubtful ones."""
+def _codes(*columns: pa.Array) -> tuple[list[np.ndarray], pa.Array]:
+    """Columns of one kind as codes of one dictionary."""
+    both = pa.chunked_array([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], pa.string())
+    coded = both.combine_chunks().dictionary_encode()
+    codes = coded.indices.to_numpy().astype(np.int64)
+    return np.split(codes, np.cumsum([len(c) for c in columns])[:-1]), coded.dictionary
+
+
+def _flat(rows: pa.Table, name: str) -> pa.Array:
+    column = rows.column(name).combine_chunks()
+    return (column.chunk(0) if isinstance(column, pa.ChunkedArray) else column).flatten()
+
+
+def _add_up(rows: pa.Table) -> pa.Table:
+    """Documents of every chunk of a bucket."""
+    (lang,), langs = _codes(_flat(rows, "langs"))
+    (chunk,), chunks = _codes(_flat(rows, "chunks"))
+    key, at = np.unique(chunk * len(langs) + lang, return_inverse=True)
+    docs = np.zeros(len(key), np.int64)
+    np.add.at(docs, at, _flat(rows, "docs").to_numpy())
+    columns = [langs.take(pa.array(key % len(langs))), chunks.take(pa.array(key // len(langs))), pa.array(docs)]
+    return pa.Table.from_arrays(columns, ["lang", "chunk", "docs"])
+
+
+def _source_counts(wanted: bytes, doubtful: bytes, piece: int, buckets: int):
+    """Uses of each wanted chunk by source, and the documents of doubtful ones; one row per bucket of chunks.
+
+    ``sizes`` of ``sources`` and ``ns``, and ``told`` of ``ids``, belong to each of ``chunks``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little").astype(bool) for b in (wanted, doubtful)]
         for rows, first in _pieces(batches, piece):
-            uses = _uses(rows, first, bits[0])
+            uses = _uses(rows, bits[0])
             (lang, langs), (source, sources) = uses.columns["lang"], uses.columns["source"]
             size, most = max(1, len(uses.chunks)), max(1, len(sources))
-            key = (lang[uses.doc] * size + uses.code) * most + source[uses.doc]
-            order = np.argsort(key, kind="stable")
-            key, doc, n = key[order], uses.doc[order], uses.n[order]
-            each = np.flatnonzero(np.diff(key, prepend=-1))  # of lang, chunk and source
+            # chunks of a bucket side by side, below them languages, sources and documents
+            order, _, _ = _by_bucket(uses.chunks, buckets)
+            place = np.empty(size, np.int64)
+            place[order] = np.arange(len(order))
+            key = (place[uses.code] * len(langs) + lang[uses.doc]) * most + source[uses.doc]
+            order2 = np.argsort(key, kind="stable")
+            key, doc, n = key[order2], uses.doc[order2], uses.n[order2]
+            each = np.flatnonzero(np.diff(key, prepend=-1))  # of chunk, language and source
             sums = np.add.reduceat(n, each) if len(n) else n
             pair = key[each] // most
-            row = np.flatnonzero(np.diff(pair, prepend=-1))  # of lang and chunk
-            code = pair[row] % size
-            open_ = _marked(uses.chunks.take(pa.array(code)), bits[1])
+            row = np.flatnonzero(np.diff(pair, prepend=-1))  # of chunk and language
+            chunks = uses.chunks.take(pa.array(order[pair[row] // max(1, len(langs))]))
+            _, bucket, cuts = _by_bucket(chunks, buckets)
             spread = np.append(row, len(each))
-            docs = np.append(each[row], len(key))
-            told = np.repeat(open_, np.diff(docs))
-            upto = np.append(0, np.cumsum(np.diff(docs) * open_))
-            offsets = pa.array(spread.astype(np.int32))
+            docs = np.append(each, len(key))[spread]
+            told = np.diff(docs) * _marked(chunks, bits[1])
+            ids = first + doc[np.repeat(told > 0, np.diff(docs))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    langs.take(pa.array(pair[row] // size)),
-                    uses.chunks.take(pa.array(code)),
-                    pa.ListArray.from_arrays(offsets, sources.take(pa.array(key[each] % most))),
-                    pa.ListArray.from_arrays(offsets, pa.array(sums.astype(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(first + doc[told])),
+                    pa.array(bucket),
+                    _lists(langs.take(pa.array(pair[row] % max(1, len(langs)))), cuts),
+                    _lists(chunks, cuts),
+                    _lists(pa.array(np.diff(spread).astype(np.int64)), cuts),
+                    _lists(sources.take(pa.array(key[each] % most)), spread[cuts]),
+                    _lists(pa.array(sums.astype(np.int64)), spread[cuts]),
+                    _lists(pa.array(told.astype(np.int64)), cuts),
+                    _lists(pa.array(ids.astype(np.int64)), np.append(0, np.cumsum(told))[cuts]),
                 ],
-                ["lang", "chunk", "sources", "ns", "ids"],
+                ["bucket", "langs", "chunks", "sizes", "sources", "ns", "told", "ids"],
             )
 
     return run
 
 
+def _terms_back(counts: pa.Table, wanted: pa.Table) -> pa.Table:
+    """Join the terms of a bucket's chunks back: uses by language, term and source; documents of open terms."""
+    names = ["lang", "term", "source", "n", "id"]
+    (lang, want_lang), langs = _codes(_flat(counts, "langs"), wanted.column("lang"))
+    (chunk, want_chunk), _ = _codes(_flat(counts, "chunks"), wanted.column("chunk"))
+    (source,), sources = _codes(_flat(counts, "sources"))
+    (term,), terms = _codes(wanted.column("term"))
+    key, want = chunk * len(langs) + lang, want_chunk * len(langs) + want_lang
+    order = np.argsort(want, kind="stable")
+    want, term, open_ = want[order], term[order], wanted.column("open").to_numpy()[order]
+
+    def matches(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.searchsorted(want, keys, "left"), np.searchsorted(want, keys, "right")
+        own = np.repeat(np.arange(len(keys)), high - low)
+        return own, np.arange(len(own)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[own]
+
+    own, hit = matches(np.repeat(key, _flat(counts, "sizes").to_numpy()))
+    group, at = np.unique((term[hit] * len(langs) + want[hit] % len(langs)) * max(1, len(sources)) + source[own], return_inverse=True)
+    n = np.zeros(len(group), np.int64)
+    np.add.at(n, at, _flat(counts, "ns").to_numpy()[own])
+    pair = group // max(1, len(sources))
+    uses = [langs.take(pa.array(pair % len(langs))), terms.take(pa.array(pair // len(langs))), sources.take(pa.array(group % max(1, len(sources))))]
+    uses = pa.Table.from_arrays([*uses, pa.array(n), pa.nulls(len(n), pa.int64())], names)
+    own, hit = matches(np.repeat(key, _flat(counts, "told").to_numpy()))
+    own, hit = own[open_[hit]], hit[open_[hit]]
+    who = np.unique(np.stack([term[hit], want[hit] % len(langs), _flat(counts, "ids").to_numpy()[own]]), axis=1)
+    told = [langs.take(pa.array(who[1])), terms.take(pa.array(who[0])), pa.nulls(who.shape[1], pa.string())]
+    return pa.concat_tables([uses, pa.Table.from_arrays([*told, pa.nulls(who.shape[1], pa.int64()), pa.array(who[2])], names)])
+
+
 def _prints(chunks: DataFrame, bits: int) -> bytes:
     """The prints of all chunks as a bitmap of 2**bits bits, whatever their number."""
     at = F.shiftrightunsigned(F.crc32(F.col("chunk").cast("binary")), 32 - bits)
@@ -179,8 +265,12 @@ def count_terms(
     Its documents are at least max(docs(c)) and at most sum(docs(c)); where the threshold lies
     between the two, the documents of its chunks, all of them rare, are told apart by their numbers.
     """
-    counted = docs.select("text", "lang").mapInArrow(_document_counts(piece), "lang string, chunk string, docs long")
-    counted = counted.repartition("chunk").groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"))
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(16, total // BUCKET)
+    packed = "bucket long, langs array<string>, chunks array<string>"
+    counted = docs.select("text", "lang").mapInArrow(_document_counts(piece, buckets), f"{packed}, docs array<long>")
+    counted = counted.groupBy("bucket").applyInArrow(_add_up, "lang string, chunk string, docs long")
+    counted = scratch.keep(counted, "counted")
     vocabulary = counted.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs"))
     vocabulary = vocabulary.withColumn("terms", terms_of(F.col("chunk"))).filter(F.size("terms") > 0)
     found = vocabulary.select("chunk", "terms", F.inline("langs")).select("lang", "chunk", "docs", F.explode("terms").alias("term"))
@@ -188,22 +278,20 @@ def count_terms(
     bounds = found.groupBy("lang", "term").agg(F.sum("docs").alias("most"), F.max("docs").alias("least"))
     bounds = scratch.keep(bounds.filter(F.col("most") >= min_docs), "bounds")
     wanted = found.join(bounds, ["lang", "term"]).select("lang", "chunk", "term", (F.col("least") < min_docs).alias("open"))
-    wanted = scratch.keep(wanted, "wanted")
+    wanted = scratch.keep(wanted.withColumn("bucket", F.pmod(F.crc32(F.col("chunk").cast("binary")), F.lit(buckets))), "wanted")
     counts = docs.select("text", "lang", "source").mapInArrow(
-        _source_counts(_prints(wanted, bits), _prints(wanted.filter("open"), bits), piece),
-        "lang string, chunk string, sources array<string>, ns array<long>, ids array<long>",
+        _source_counts(_prints(wanted, bits), _prints(wanted.filter("open"), bits), piece, buckets),
+        f"{packed}, sizes array<long>, sources array<string>, ns array<long>, told array<long>, ids array<long>",
     )
-    counts = scratch.keep(counts, "by-source")
-    told = counts.filter(F.size("ids") > 0).select("lang", "chunk", "ids").join(wanted.filter("open").distinct(), ["lang", "chunk"])
-    told = told.select("lang", "term", F.explode("ids").alias("id")).distinct().groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
-    uses = counts.drop("ids").join(wanted, ["lang", "chunk"])
-    uses = uses.select("lang", "term", "open", F.inline(F.arrays_zip("sources", "ns")))
-    uses = uses.groupBy("lang", "term", "open", F.col("sources").alias("source")).agg(F.sum("ns").alias("n"))
+    uses = counts.groupBy("bucket").cogroup(wanted.groupBy("bucket"))
+    uses = uses.applyInArrow(_terms_back, "lang string, term string, source string, n long, id long")
     uses = scratch.keep(uses, "uses")
-    kept = scratch.keep(told.filter(F.col("n") >= min_docs).select("lang", "term"), "told")
-    sure = uses.filter("NOT open").drop("open")
-    counts = sure.unionByName(uses.filter("open").drop("open").join(kept, ["lang", "term"]))
-    counts = scratch.keep(counts, "counts")
+    term = ["lang", "term"]
+    told = uses.filter("id IS NOT NULL").select(*term, "id").distinct().groupBy(*term).agg(F.count(F.lit(1)).alias("docs"))
+    sure = bounds.filter(F.col("least") >= min_docs).select(*term)
+    kept = scratch.keep(sure.unionByName(told.filter(F.col("docs") >= min_docs).select(*term)), "kept")
+    counts = uses.filter("id IS NULL").groupBy(*term, "source").agg(F.sum("n").alias("n"))
+    counts = scratch.keep(counts.join(kept, term), "counts")
     scratch.only(counts)
     return counts
 
