@@ -40,6 +40,7 @@ class _Uses(NamedTuple):
     """Chunk uses of one piece: a row per document and distinct chunk."""
 
     chunks: pa.Array  # by code
+    crcs: np.ndarray  # by code
     doc: np.ndarray
     code: np.ndarray
     n: np.ndarray
@@ -60,10 +61,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[tuple[pa.
         yield pa.Table.from_batches(held).combine_chunks(), number
 
 
-def _marked(chunks: pa.Array, prints: np.ndarray) -> np.ndarray:
+def _crcs(chunks: pa.Array) -> np.ndarray:
+    return np.array([zlib.crc32(c) for c in chunks.cast(pa.binary()).to_pylist()], np.int64)
+
+
+def _marked(crcs: np.ndarray, prints: np.ndarray) -> np.ndarray:
     """Which chunks have their print in a bitmap of a power of two bits."""
-    shift = 33 - len(prints).bit_length()
-    return prints[np.array([zlib.crc32(c) >> shift for c in chunks.cast(pa.binary()).to_pylist()], np.int64)]
+    return prints[crcs >> (33 - len(prints).bit_length())]
 
 
 def _uses(rows: pa.Table, wanted: np.ndarray | None = None) -> _Uses:
@@ -75,7 +79,8 @@ def _uses(rows: pa.Table, wanted: np.ndarray | None = None) -> _Uses:
     del lists
     chunks, code = coded.dictionary, coded.indices.to_numpy()
     size = max(1, len(chunks))
-    kept = pc.greater(pc.binary_length(chunks), 0).to_numpy(zero_copy_only=False) if wanted is None else _marked(chunks, wanted)
+    crcs = _crcs(chunks)
+    kept = pc.greater(pc.binary_length(chunks), 0).to_numpy(zero_copy_only=False) if wanted is None else _marked(crcs, wanted)
     key = np.repeat(np.arange(len(lengths)) * size, lengths)
     key += code
     if not kept.all():
@@ -88,16 +93,16 @@ def _uses(rows: pa.Table, wanted: np.ndarray | None = None) -> _Uses:
         if name != "text":
             values = whole(rows.column(name)).dictionary_encode()
             columns[name] = (values.indices.to_numpy().astype(np.int64), values.dictionary)
-    return _Uses(chunks, key[fresh] // size, key[fresh] % size, n, columns)
+    return _Uses(chunks, crcs, key[fresh] // size, key[fresh] % size, n, columns)
 
 
 def _lists(values: pa.Array, cuts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values)
 
 
-def _by_bucket(chunks: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_bucket(crcs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of chunks by bucket, the buckets that occur, and where each begins and the last ends."""
-    of = np.array([zlib.crc32(c) % buckets for c in chunks.cast(pa.binary()).to_pylist()], np.int64)
+    of = crcs % buckets
     order = np.argsort(of, kind="stable")
     first = np.flatnonzero(np.diff(of[order], prepend=-1))
     return order, of[order][first], np.append(first, len(order))
@@ -113,7 +118,7 @@ def _document_counts(piece: int, buckets: int):
             size = max(1, len(uses.chunks))
             key, docs = np.unique(lang[uses.doc] * size + uses.code, return_counts=True)
             chunks = uses.chunks.take(pa.array(key % size))
-            order, bucket, cuts = _by_bucket(chunks, buckets)
+            order, bucket, cuts = _by_bucket(uses.crcs[key % size], buckets)
             at = pa.array(order)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -165,7 +170,7 @@ def _source_counts(wanted: bytes, doubtful: bytes, piece: int, buckets: int):
             (lang, langs), (source, sources) = uses.columns["lang"], uses.columns["source"]
             size, most = max(1, len(uses.chunks)), max(1, len(sources))
             # chunks of a bucket side by side, below them languages, sources and documents
-            order, _, _ = _by_bucket(uses.chunks, buckets)
+            order, _, _ = _by_bucket(uses.crcs, buckets)
             place = np.empty(size, np.int64)
             place[order] = np.arange(len(order))
             key = (place[uses.code] * len(langs) + lang[uses.doc]) * most + source[uses.doc]
@@ -175,17 +180,17 @@ def _source_counts(wanted: bytes, doubtful: bytes, piece: int, buckets: int):
             sums = np.add.reduceat(n, each) if len(n) else n
             pair = key[each] // most
             row = np.flatnonzero(np.diff(pair, prepend=-1))  # of chunk and language
-            chunks = uses.chunks.take(pa.array(order[pair[row] // max(1, len(langs))]))
-            _, bucket, cuts = _by_bucket(chunks, buckets)
+            code = order[pair[row] // max(1, len(langs))]
+            _, bucket, cuts = _by_bucket(uses.crcs[code], buckets)
             spread = np.append(row, len(each))
             docs = np.append(each, len(key))[spread]
-            told = np.diff(docs) * _marked(chunks, bits[1])
+            told = np.diff(docs) * _marked(uses.crcs[code], bits[1])
             ids = first + doc[np.repeat(told > 0, np.diff(docs))]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(bucket),
                     _lists(langs.take(pa.array(pair[row] % max(1, len(langs)))), cuts),
-                    _lists(chunks, cuts),
+                    _lists(uses.chunks.take(pa.array(code)), cuts),
                     _lists(pa.array(np.diff(spread).astype(np.int64)), cuts),
                     _lists(sources.take(pa.array(key[each] % most)), spread[cuts]),
                     _lists(pa.array(sums.astype(np.int64)), spread[cuts]),
