@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cinetrace.catalog import query
 from cinetrace.operators import folds as fo
+from cinetrace.operators import passes
 
 _HIGH = """WITH RECURSIVE rk AS (SELECT run_id, timestamp_ms AS ts, row_number() OVER (PARTITION BY run_id ORDER BY delta_score DESC, frame_idx) AS rn FROM b_frames),
  cand AS (SELECT run_id, rn, greatest(0, ts-1500) AS s, ts+1500 AS e FROM rk),
@@ -51,9 +52,24 @@ _PASS = """WITH RECURSIVE u AS (SELECT *, prompt_tokens+completion_tokens AS tot
 
 @query("win14_token_passes", _PASS + "SELECT run_id, chunk_id, pass_id, cumulative FROM f WHERE chunk_id>=0")
 def _win14(t):
-    return fo.token_passes(t.usage(), 400_000).select("run_id", "chunk_id", "pass_id", "cumulative")
+    return passes.token_passes(t.usage(), 400_000).select("run_id", "chunk_id", "pass_id", "cumulative")
 
 
 @query("win15_calibration", _PASS + "SELECT run_id, chunk_id, image_tokens, reply_tokens, chunk_size FROM f WHERE chunk_id>=0")
 def _win15(t):
-    return fo.token_passes(t.usage(), 400_000).select("run_id", "chunk_id", "image_tokens", "reply_tokens", "chunk_size")
+    return passes.token_passes(t.usage(), 400_000).select("run_id", "chunk_id", "image_tokens", "reply_tokens", "chunk_size")
+
+
+# The description of a run's first entities stands in for its entity list; 650 becomes 600 + max(50, length / 3).
+_OWN = """(SELECT u.*, coalesce(e.n, 0) AS entity_length FROM b_usage u LEFT JOIN (SELECT run_id, sum(length(description))*12 AS n FROM b_entities GROUP BY 1) e ON e.run_id=u.run_id)"""
+_ENTITY_PASS = (
+    _PASS.replace("FROM b_usage", f"FROM {_OWN}").replace("650", "(600+greatest(50, u.entity_length//3))").replace("400000", "90000")
+)
+
+
+@query("win14_entity_budget", _ENTITY_PASS + "SELECT run_id, chunk_id, pass_id, cumulative, chunk_size FROM f WHERE chunk_id>=0")
+def _win14e(t):
+    """Long entity lists leave less room for images."""
+    length = t.entities().groupBy("run_id").agg((F.sum(F.length("description")) * 12).alias("entity_length"))
+    usage = t.usage().join(length, "run_id", "left")
+    return passes.token_passes(usage, 90_000).select("run_id", "chunk_id", "pass_id", "cumulative", "chunk_size")

@@ -29,7 +29,8 @@ def carried_fold(
     """Fold every key's rows in ``order``.
 
     ``step(state, first, rows)`` gets the entry state (None: unknown or start), whether the block
-    opens its key, and the block's rows in order; it returns the output rows and the exit state.
+    opens its key, and the block's rows in order; it returns the output rows and the exit state
+    (None: as it was on entry).
     ``out`` is the schema of the output rows, ``columns`` the input columns it reads.  Each output
     row also gets ``block``, the number of its block.  Rounds are few where states from different
     guesses fall into step inside a block.
@@ -62,9 +63,9 @@ def carried_fold(
     exit_ddl = f"{key_ddl}, __blk bigint, exit array<double>"
     folded = rows.withColumn("__entry", nothing).groupBy(*block).applyInPandas(exits, exit_ddl)
     states = checkpointed(folded.withColumn("entry", nothing))
-    before = Window.partitionBy(*keys).orderBy("__blk")
+    before = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     while True:
-        linked = states.withColumn("new_entry", F.lag("exit").over(before))
+        linked = states.withColumn("new_entry", F.last("exit", True).over(before))
         stale = linked.filter(~F.col("entry").eqNullSafe(F.col("new_entry"))).select(*block, "new_entry")
         stale = checkpointed(stale)
         if stale.isEmpty():
@@ -124,58 +125,6 @@ def prune_redundant(thumbs: DataFrame, threshold: float = 0.92, scale: float = 2
     ).drop("block")
 
 
-# First guesses and template sizes of the token bookkeeping.
-IMAGE_TOKENS, TEMPLATE_TOKENS, REPLY_TOKENS, ENTITY_TOKENS = 1500, 600, 500, 50
-
-
-def token_passes(usage: DataFrame, budget: int) -> DataFrame:
-    """Token bookkeeping along a run's chunks: calibrated estimates, chunk size, pass number.
-
-    ``usage``: run_id, chunk_id, prompt_tokens, completion_tokens, n_images, and optionally
-    entity_length, the characters of the entity list in the prompt.  A pass ends when the next chunk
-    would exceed the budget.
-
-    Only the estimates and the tokens spent in the pass are carried from block to block.  They do not
-    depend on how many passes came before, so passes begun at different rows soon end at the same
-    one; the pass number is a sum of block counts afterwards.
-    """
-    if "entity_length" not in usage.columns:
-        usage = usage.withColumn("entity_length", F.lit(0))
-
-    def step(state: State, first: bool, rows: pd.DataFrame) -> tuple[pd.DataFrame, State]:
-        image, reply, spent = (IMAGE_TOKENS, REPLY_TOKENS, 0) if state is None else (int(x) for x in state)
-        ended, records = 0, []
-        for r in rows.itertuples(index=False):
-            fixed = TEMPLATE_TOKENS + max(ENTITY_TOKENS, int(r.entity_length) // 3)
-            size = max(2, min(50, (budget - fixed - reply) // max(1, image)))
-            if r.prompt_tokens > 0 and r.n_images > 0:
-                image = int(0.3 * image + 0.7 * max(500, (r.prompt_tokens - fixed) / r.n_images))
-            if r.completion_tokens > 0:
-                reply = int(0.3 * reply + 0.7 * r.completion_tokens)
-            spent += r.prompt_tokens + r.completion_tokens
-            over = spent + fixed + size * image + reply > budget
-            records.append((r.run_id, r.chunk_id, ended, spent, image, reply, size, ended + over))
-            if over:
-                ended, spent = ended + 1, 0
-        names = ["run_id", "chunk_id", "pass_id", "cumulative", "image_tokens", "reply_tokens", "chunk_size", "ended"]
-        return pd.DataFrame(records, columns=names), [float(x) for x in (image, reply, spent)]
-
-    rows = carried_fold(
-        usage, ["run_id"], "chunk_id", step,
-        "run_id bigint, chunk_id bigint, pass_id bigint, cumulative bigint, image_tokens bigint, "
-        "reply_tokens bigint, chunk_size bigint, ended bigint",
-        ["chunk_id", "prompt_tokens", "completion_tokens", "n_images", "entity_length"],
-    )
-    before = Window.partitionBy("run_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("run_id", "block").agg(F.max("ended").alias("ended"))
-    blocks = blocks.select("run_id", "block", F.coalesce(F.sum("ended").over(before), F.lit(0)).alias("earlier"))
-    return (
-        rows.drop("ended").join(blocks, ["run_id", "block"])
-        .withColumn("pass_id", F.col("pass_id") + F.col("earlier"))
-        .drop("block", "earlier")
-    )
-
-
 def highlight_spans(
     frames: DataFrame, target_s: float = 60.0, gap_s: float = 3.0, pad_s: float = 1.5, at_once: int = 1000
 ) -> DataFrame:

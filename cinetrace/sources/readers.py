@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -42,6 +43,70 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Intermediate tables of one job, as Parquet files in the shared folder.
+
+    Written tables cut lineage, survive lost executors and keep column pruning.  What no later step
+    reads is removed with ``only``; nothing unfinished may read it.
+    """
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark = spark
+        self.home = scratch_dir(spark, job)
+        self._kept: dict[str, DataFrame] = {}
+        self._files = 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self._files += 1
+        path = f"{self.home}/{self._files}-{name}"
+        df.write.parquet(path)
+        kept = self._kept[path] = self.spark.read.schema(df.schema).parquet(path)
+        return kept
+
+    def only(self, *kept: DataFrame) -> None:
+        for path, df in list(self._kept.items()):
+            if all(df is not k for k in kept):
+                remove(self.spark, path)
+                del self._kept[path]
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _at(spark, path)
+    return files.exists(target)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it is not there."""
+    files, target = _at(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(target)) if files.exists(target) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, target = _at(spark, path)
+    files.delete(target, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> bool:
+    """Give a folder its name; False if that is taken."""
+    files, target = _at(spark, new)
+    return not files.exists(target) and files.rename(_at(spark, old)[1], target)
+
+
+def print_of(df: DataFrame) -> str:
+    """A print of the files that a table reads: their names, sizes and times."""
+    spark, parts = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        files, target = _at(spark, name)
+        status = files.getFileStatus(target)
+        parts.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:16]
+
+
 # Fixed value: file name endings of recordings.
 MEDIA_ENDINGS = ("mp4", "mov", "mkv", "avi", "webm", "m4v", "mpg")
 
@@ -68,8 +133,7 @@ def artifacts(spark: SparkSession, root: str) -> DataFrame:
 
 def read_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """A stored table in its declared shape; a missing folder is an empty table."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    if not exists(spark, path):
         return spark.createDataFrame([], ddl)
     return conform(spark.read.option("mergeSchema", "true").parquet(path), ddl)
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from cinetrace.operators import folds, ordering
+from cinetrace.operators import folds, ordering, passes
 from cinetrace.operators.intervals import interval_join, merge_spans
 
 
@@ -121,7 +121,7 @@ def test_token_passes_of_many_blocks(spark, monkeypatch):
     rounds = []
     real = folds.checkpointed
     monkeypatch.setattr(folds, "checkpointed", lambda d: rounds.append(1) or real(d))
-    got = folds.token_passes(df, 60_000).collect()
+    got = passes.token_passes(df, 60_000).collect()
     assert len(rounds) <= 2 + 2 * 8
     image, reply, spent, number, want = 1500, 500, 0, 0, []
     for run, chunk, prompt, said, n, length in rows:
