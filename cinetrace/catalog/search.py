@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cinetrace.catalog import query
 from cinetrace.operators import search as se
 from cinetrace.operators.spans import play_positions
+from cinetrace.sources.readers import print_of, scratch_dir, shared_dir
 
 _QUERIES = [
     (1, "click purchase"),
@@ -59,6 +60,18 @@ def _docs(t, clean=False):
     return se.documents(t.captions(), audio.unionByName(long_texts), det, t.visual(), clean)
 
 
+def _index(t, clean=False):
+    """The stored index that all searches share; built by the first of them."""
+    docs = _docs(t, clean)
+    kind = "clean" if clean else "compat"
+    return se.ensure_index(docs, f"{shared_dir(t.spark)}/search-{kind}-{print_of(docs)}", clean)
+
+
+def _search(t, queries, clean=False, **kw):
+    index = _index(t, clean)
+    return se.search(index.docs, index.postings, queries, runs=index.runs, **kw)
+
+
 def _queries(t):
     return t.spark.createDataFrame(_QUERIES, "query_id long, query string")
 
@@ -75,8 +88,7 @@ def _txt1c(t):
 
 @query("txt1_index", f"WITH {_COMPAT}, {_IDX.format(text=_ALL)} SELECT run_id, term, count(*) AS docs, sum(tf)::BIGINT AS words FROM pt GROUP BY 1,2")
 def _txt1(t):
-    per_doc = se.postings(_docs(t)).filter("term IS NOT NULL").groupBy("run_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return per_doc.groupBy("run_id", "term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("words"))
+    return _index(t).postings.groupBy("run_id", "term").agg(F.sum("n").alias("docs"), F.sum("words").alias("words"))
 
 
 _OUT = "SELECT query_id, run_id, rank, doc_id, coalesce(timestamp_ms,0) AS timestamp_ms, round(score,6) AS score FROM rk WHERE rank<=20"
@@ -88,14 +100,12 @@ def _shown(df):
 
 @query("txt2_search", f"WITH {_COMPAT}, {_IDX.format(text=_ALL)}, {_TERMS}, {_RANK.format(where='')} {_OUT}")
 def _txt2(t):
-    docs = _docs(t)
-    return _shown(se.search(docs, se.postings(docs), _queries(t)))
+    return _shown(_search(t, _queries(t)))
 
 
 @query("txt2_search_clean", f"WITH {_CLEAN}, {_IDX.format(text='content')}, {_TERMS}, {_RANK.format(where='')} {_OUT}")
 def _txt2c(t):
-    docs = _docs(t, True)
-    return _shown(se.search(docs, se.postings(docs, True), _queries(t)))
+    return _shown(_search(t, _queries(t), clean=True))
 
 
 _EVENTS_ONLY = " WHERE d.source_type='event'"
@@ -103,8 +113,7 @@ _EVENTS_ONLY = " WHERE d.source_type='event'"
 
 @query("flt8_search_source", f"WITH {_COMPAT}, {_IDX.format(text=_ALL)}, {_TERMS}, {_RANK.format(where=_EVENTS_ONLY)} {_OUT}")
 def _flt8(t):
-    docs = _docs(t)
-    return _shown(se.search(docs, se.postings(docs), _queries(t), source="event"))
+    return _shown(_search(t, _queries(t), source="event"))
 
 
 _BENCH = """qt AS (SELECT DISTINCT query_id, row_number() OVER (PARTITION BY query_id ORDER BY term) AS clause, term FROM (SELECT DISTINCT item_id AS query_id,
@@ -114,12 +123,11 @@ _BENCH = """qt AS (SELECT DISTINCT query_id, row_number() OVER (PARTITION BY que
 @query("txt3_any_word_fallback", f"WITH {_COMPAT}, {_IDX.format(text=_ALL)}, {_BENCH}, {_RANK.format(where='')} {_OUT}")
 def _txt3(t):
     """Whole passages as queries: their punctuation is not query syntax, so any word may match."""
-    docs = _docs(t)
     words = t.read("benchmark").select(
         F.col("item_id").alias("query_id"),
         F.concat(F.array_join(se.tokens(F.col("text")), " "), F.lit(" ?")).alias("query"),
     )
-    return _shown(se.search(docs, se.postings(docs), words))
+    return _shown(_search(t, words))
 
 
 @query(
@@ -127,10 +135,11 @@ def _txt3(t):
     f"SELECT query_id, run_id, rank, doc_id FROM (WITH {_COMPAT}, {_IDX.format(text=_ALL)}, {_TERMS}, {_RANK.format(where='')} {_OUT})",
 )
 def _txt4(t):
-    from cinetrace.sources.readers import scratch_dir
-
-    docs, index = se.ensure_index(_docs(t), scratch_dir(t.spark, "index"))
-    return se.search(docs, index, _queries(t)).select("query_id", "run_id", "rank", "doc_id")
+    """Built on the first call, found on the second."""
+    path = scratch_dir(t.spark, "index")
+    for _ in range(2):
+        index = se.ensure_index(_docs(t), path)
+    return se.search(index.docs, index.postings, _queries(t), runs=index.runs).select("query_id", "run_id", "rank", "doc_id")
 
 
 _SYN_PLAIN = "qt(query_id, clause, term) AS (VALUES (1,0,'click'),(2,0,'view'),(3,0,'assistant'))"
@@ -146,10 +155,10 @@ _WIDE_SQL = "qt(query_id, clause, term) AS (VALUES (1,0,'click'),(1,0,'purchase'
     SELECT * FROM w UNION ALL SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.query_id=p.query_id AND w.run_id=p.run_id)""",
 )
 def _txt5(t):
-    docs = _docs(t)
+    index = _index(t)
     queries = t.spark.createDataFrame([(1, "click"), (2, "view"), (3, "assistant")], "query_id long, query string")
     synonyms = t.spark.createDataFrame([("click", "purchase"), ("view", "transcript")], "word string, synonym string")
-    return _shown(se.search_expanded(docs, se.postings(docs), queries, synonyms))
+    return _shown(se.search_expanded(index.docs, index.postings, queries, synonyms, runs=index.runs))
 
 
 @query(
@@ -158,6 +167,5 @@ def _txt5(t):
     SELECT query_id, r.run_id, rank, coalesce(f.timestamp_ms, r.timestamp_ms, 0) AS play_ms FROM rk r LEFT JOIN b_frames f ON f.run_id=r.run_id AND f.frame_idx=r.frame_idx WHERE rank<=20""",
 )
 def _jon20(t):
-    docs = _docs(t)
-    hits = se.search(docs, se.postings(docs), _queries(t))
+    hits = _search(t, _queries(t))
     return play_positions(hits, t.frames()).select("query_id", "run_id", "rank", "play_ms")

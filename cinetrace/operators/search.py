@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
+from collections.abc import Iterator
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cinetrace.functions.text import clean_query
 from cinetrace.functions.times import mmss_to_ms
 from cinetrace.operators.ordering import first_n
-from cinetrace.sources.readers import checkpointed
+from cinetrace.sources.readers import Scratch, exists, remove, rename
 
 K1, B = 1.2, 0.75  # Fixed values: BM25 parameters.
 FIELDS = ("content", "source_type", "timestamp_ms", "frame_idx")
@@ -31,6 +37,14 @@ _FROM, _TO = _accents()
 _LETTERS = r"[\p{L}\p{N}]+"
 
 
+class Index(NamedTuple):
+    """A stored index: its documents, postings and run statistics."""
+
+    docs: DataFrame
+    postings: DataFrame
+    runs: DataFrame
+
+
 def tokens(text: Column) -> Column:
     """Case-folded words without accents."""
     return F.regexp_extract_all(F.translate(F.lower(text), _FROM, _TO), F.lit(_LETTERS), F.lit(0))
@@ -84,42 +98,119 @@ def documents(
     return union.filter("content <> ''").withColumn("len", words)
 
 
+def index_counts(docs: DataFrame) -> DataFrame:
+    """Documents per run and source."""
+    return docs.groupBy("run_id", "source_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def run_statistics(docs: DataFrame) -> DataFrame:
+    """Documents per run and their average length."""
+    return docs.groupBy("run_id").agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
+
+
+BLOCK_DOCS = 1024  # documents of a run that share an index row, on average
+BUCKETS = 32  # folders of the stored index, by word
+_ENTRY = "struct<doc_id:string,len:bigint,source_type:string,places:array<struct<field:int,pos:int>>>"
+_SAID = f"term string, run_id bigint, block bigint, entry {_ENTRY}"
+
+
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document and distinct word, with all places of the word in it."""
+    for batch in batches:
+        fields = batch.column("words")
+        per_doc = np.diff(fields.offsets.to_numpy())
+        lists = fields.flatten()
+        sizes = lists.value_lengths().fill_null(0).to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        doc = np.repeat(np.repeat(np.arange(len(batch)), per_doc), sizes)
+        field = np.repeat(np.concatenate([np.arange(n) for n in per_doc] or [np.zeros(0, np.int64)]), sizes)
+        pos = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = doc * max(1, len(coded.dictionary)) + code
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        places = pa.StructArray.from_arrays(
+            [pa.array(field[order].astype(np.int32)), pa.array(pos[order].astype(np.int32))], ["field", "pos"]
+        )
+        at = pa.array(doc[order][first])
+        entry = [batch.column(c).take(at) for c in ("doc_id", "len", "source_type")]
+        entry.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), places))
+        yield pa.RecordBatch.from_arrays(
+            [
+                coded.dictionary.take(pa.array(code[order][first])),
+                batch.column("run_id").take(at),
+                batch.column("block").take(at),
+                pa.StructArray.from_arrays(entry, ["doc_id", "len", "source_type", "places"]),
+            ],
+            ["term", "run_id", "block", "entry"],
+        )
+
+
 def postings(docs: DataFrame, clean: bool = False) -> DataFrame:
-    """Positional index: one row per word.  ``clean`` indexes the content only.
+    """Positional inverted index: one row per word, run and block of documents.
 
-    Otherwise all four fields are searchable, so a source name or a time is a word too.
+    A row has the number of its documents ``n`` and of the word's places ``words``, the highest weight
+    ``top`` that the word has in one of them (without its idf), and an entry per document.  Blocks hold
+    some BLOCK_DOCS documents of like length, as short ones weigh most.  ``clean`` indexes the
+    content only; otherwise all four fields are searchable, so a source name or a time is a word too.
     """
     fields = FIELDS[:1] if clean else FIELDS
-    listed = F.array(
-        *[F.struct(F.lit(f).alias("field"), tokens(F.col(f).cast("string")).alias("words")) for f in fields]
+    shape = F.floor(F.log2(F.col("len") + 1) * 2)
+    groups = docs.groupBy("run_id", shape.alias("shape")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts"))
+    placed = docs.withColumn("shape", shape).join(groups, ["run_id", "shape"])
+    block = (F.col("shape") * (1 << 32) + F.pmod(F.xxhash64("doc_id"), "parts")).cast("bigint")
+    listed = F.array(*[F.coalesce(tokens(F.col(f).cast("string")), F.array().cast("array<string>")) for f in fields])
+    said = placed.select(
+        F.col("run_id").cast("bigint"), "doc_id", F.col("len").cast("bigint"), "source_type", block.alias("block"), listed.alias("words")
     )
+    said = said.mapInArrow(_words_of, _SAID)
+    tf, long = F.size("entry.places"), F.col("entry.len")
+    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * long / F.col("avg_len")))
     return (
-        docs.select("run_id", "doc_id", F.inline(listed))
-        .select("run_id", "doc_id", "field", F.posexplode_outer("words").alias("pos", "term"))
+        said.join(run_statistics(docs).select("run_id", "avg_len"), "run_id")
+        .groupBy("term", "run_id", "block")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(tf).alias("words"),
+            F.max(weight).alias("top"),
+            F.collect_list("entry").alias("entries"),
+        )
     )
 
 
-def index_counts(docs: DataFrame) -> DataFrame:
-    """Documents per run and source."""
-    return docs.groupBy("run_id", "source_type").agg(F.count(F.lit(1)).alias("rows"))
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def write_index(docs: DataFrame, path: str, clean: bool = False) -> None:
-    """Store the index ordered by run and word, so that a search reads few row groups."""
-    index = postings(docs, clean)
-    index.repartitionByRange("run_id", "term").sortWithinPartitions("run_id", "term").write.mode(
-        "overwrite"
-    ).parquet(f"{path}/postings")
-    docs.write.mode("overwrite").parquet(f"{path}/documents")
+    """Store documents, run statistics and postings; these in folders by word, ordered by word.
 
-
-def ensure_index(docs: DataFrame, path: str, clean: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Documents and postings from ``path``; built first if they are not there."""
+    A search for some words opens their folders only, and reads the row groups that may hold them.
+    The frequent word of a large run fills several files.  The folder appears under its name once
+    it is whole; whoever comes second keeps the first one.
+    """
     spark = docs.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/documents/_SUCCESS")
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    part = f"{path}-{uuid.uuid4().hex[:12]}"
+    docs.write.parquet(f"{part}/documents")
+    stored = spark.read.schema(docs.schema).parquet(f"{part}/documents")
+    run_statistics(stored).write.parquet(f"{part}/runs")
+    order = ["bucket", "term", "run_id", "block"]
+    ordered = postings(stored, clean).withColumn("bucket", _bucket(F.col("term"))).repartitionByRange(*order)
+    ordered.sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{part}/postings")
+    if not rename(spark, part, path):
+        remove(spark, part)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Index(read("documents"), read("postings"), read("runs"))
+
+
+def ensure_index(docs: DataFrame, path: str, clean: bool = False) -> Index:
+    """The index at ``path``; built first if it is not there."""
+    if not exists(docs.sparkSession, path):
         write_index(docs, path, clean)
-    return spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings")
+    return open_index(docs.sparkSession, path)
 
 
 _WORD = r"^((content|source_type|timestamp_ms|frame_idx):)?[\p{L}\p{N}_]+\*?$"
@@ -162,62 +253,74 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return keyed.select("*", F.posexplode("phrase").alias("offset", "term"), F.size("phrase").alias("length")).drop("phrase")
 
 
-def _hits(index: DataFrame, terms: DataFrame, prefixes: bool) -> DataFrame:
-    """Occurrences of each phrase per document.
+MOST_WORDS = 1000  # asked words up to which the index is filtered by their list
+FIRST_BLOCKS = 4  # blocks of a run that are scored before others are left out
 
-    Prefix words are first matched against the distinct words by their own first letters.
-    """
+
+def _asked(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The index rows that the words of the queries may need; all words where one is a prefix."""
+    if not terms.filter("prefix").isEmpty():
+        return index
+    words = [r["term"] for r in terms.select("term").distinct().limit(MOST_WORDS + 1).collect()]
+    if len(words) > MOST_WORDS:
+        return index.join(terms.select("term").distinct(), "term", "left_semi")
+    if "bucket" in index.columns:
+        index = index.filter(F.col("bucket").isin([r[0] for r in _bucket_numbers(terms, words)]))
+    return index.filter(F.col("term").isin(words))
+
+
+def _bucket_numbers(terms: DataFrame, words: list[str]) -> list:
+    return terms.select(_bucket(F.col("term")).alias("bucket")).distinct().collect() if words else []
+
+
+def _with_prefixes(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """Words to look up per phrase; prefixes are first matched against the distinct words by their first letters."""
     asked = terms.select("phrase_id", "only_field", "prefix", "offset", "term", "length").distinct()
     starts = asked.filter("prefix").withColumnRenamed("term", "start")
-    vocabulary = index.select("term").distinct()
-    spelled = vocabulary.select(
-        "term",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("start"),
+    letters = F.sequence(F.lit(1), F.length("term"))
+    spelled = index.select("term").distinct().select(
+        "term", F.explode(F.transform(letters, lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("start")
     )
-    exact = asked.filter("NOT prefix").select("phrase_id", "only_field", "offset", "term", "length")
-    if not prefixes:
-        return _phrase_counts(index, exact)
     wide = starts.join(spelled, "start").select("phrase_id", "only_field", "offset", "term", "length")
-    return _phrase_counts(index, exact.union(wide))
+    return asked.filter("NOT prefix").drop("prefix").unionByName(wide)
 
 
-def _phrase_counts(index: DataFrame, words: DataFrame) -> DataFrame:
-    found = index.join(words, "term").filter("only_field IS NULL OR only_field = field")
-    starts_at = found.groupBy(
-        "run_id", "doc_id", "phrase_id", "length", "field", (F.col("pos") - F.col("offset")).alias("at")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        starts_at.filter("n = length")
-        .groupBy("run_id", "doc_id", "phrase_id")
-        .agg(F.count(F.lit(1)).alias("tf"))
+def _phrase_hits(index: DataFrame, words: DataFrame) -> DataFrame:
+    """Occurrences of each phrase per document: the places where all its words follow each other."""
+    named = F.element_at(F.array(*[F.lit(f) for f in FIELDS]), F.col("place.field") + 1)
+    found = (
+        index.join(words, "term")
+        .select("run_id", "phrase_id", "only_field", "length", "offset", F.explode("entries").alias("entry"))
+        .select("*", F.explode("entry.places").alias("place"))
+        .filter(F.col("only_field").isNull() | (F.col("only_field") == named))
     )
+    doc = ["run_id", F.col("entry.doc_id").alias("doc_id"), F.col("entry.len").alias("len"), F.col("entry.source_type").alias("source_type")]
+    starts_at = found.groupBy(*doc, "phrase_id", "length", "place.field", (F.col("place.pos") - F.col("offset")).alias("at")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return starts_at.filter("n = length").groupBy("run_id", "doc_id", "len", "source_type", "phrase_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def search(docs: DataFrame, index: DataFrame, queries: DataFrame, limit: int = 20, source: str | None = None) -> DataFrame:
-    """Best documents per query and run by BM25; lower scores are better.
+def _idf(found_in: DataFrame, runs: DataFrame) -> DataFrame:
+    """run_id, phrase_id, idf, avg_len of phrases with their document counts ``df``."""
+    raw = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return found_in.join(runs, "run_id").select(
+        "run_id", "phrase_id", "avg_len", F.when(raw <= 0, 1e-6).otherwise(raw).alias("idf")
+    )
 
-    All queries run in one job: their words meet the index in one join.
+
+def _scored(hits: DataFrame, idf: DataFrame, wanted: DataFrame, source: str | None) -> DataFrame:
+    """query_id, run_id, doc_id, source_type, score of the documents that match a query.
+
+    ``hits``: query_id, run_id, doc_id, len, source_type, phrase_id, tf.
     """
-    terms = query_terms(queries)
-    prefixes = not queries.filter(F.col("query").contains("*")).isEmpty()
-    # Read twice below, and far smaller than the index it is cut from: written once.
-    hits = checkpointed(_hits(index, terms, prefixes))
-    lengths = docs.select("run_id", "doc_id", "len")
-    runs = lengths.groupBy("run_id").agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
-    found_in = hits.groupBy("run_id", "phrase_id").agg(F.count(F.lit(1)).alias("df"))
-    raw_idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(raw_idf <= 0, 1e-6).otherwise(raw_idf)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    weighed = (
-        hits.join(found_in, ["run_id", "phrase_id"])
-        .join(runs, "run_id")
-        .join(lengths, ["run_id", "doc_id"])
-        .select("run_id", "doc_id", "phrase_id", (idf * F.col("tf") * (K1 + 1) / norm).alias("weight"))
-    )
-    wanted = terms.select("query_id", "clause", "excluded", "phrase_id").distinct()
+    weighed = hits.join(idf, ["run_id", "phrase_id"]).withColumn("weight", F.col("idf") * F.col("tf") * (K1 + 1) / norm)
+    if source is not None:
+        weighed = weighed.filter(F.col("source_type") == source)
     sizes = wanted.groupBy("query_id", "clause", "excluded").agg(F.count(F.lit(1)).alias("size"))
     matched = (
-        weighed.join(wanted.join(sizes, ["query_id", "clause", "excluded"]), "phrase_id")
+        weighed.join(wanted.join(sizes, ["query_id", "clause", "excluded"]), ["query_id", "phrase_id"])
         .groupBy("query_id", "run_id", "doc_id", "clause", "excluded", "size")
         .agg(F.count(F.lit(1)).alias("n"), F.map_from_entries(F.collect_list(F.struct("phrase_id", "weight"))).alias("w"))
     )
@@ -226,7 +329,7 @@ def search(docs: DataFrame, index: DataFrame, queries: DataFrame, limit: int = 2
     shared = F.map_from_entries(
         F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("excluded"), F.map_entries("w")))))
     )
-    ranked = (
+    return (
         matched.groupBy("query_id", "run_id", "doc_id")
         .agg(
             F.max(~F.col("excluded") & complete).alias("hit"),
@@ -239,10 +342,82 @@ def search(docs: DataFrame, index: DataFrame, queries: DataFrame, limit: int = 2
             (-F.aggregate(F.map_values("weights"), F.lit(0.0), lambda acc, x: acc + x)).alias("score"),
         )
     )
-    shown = docs if source is None else docs.filter(F.col("source_type") == source)
-    hits_shown = ranked.join(shown, ["run_id", "doc_id"])
-    best = first_n(hits_shown, ["query_id", "run_id"], [F.round("score", 9), F.col("doc_id")], limit)
-    return best.select(
+
+
+def _best(scored: DataFrame, limit: int) -> DataFrame:
+    return first_n(scored, ["query_id", "run_id"], [F.round("score", 9), F.col("doc_id")], limit)
+
+
+def _word_search(index: DataFrame, terms: DataFrame, wanted: DataFrame, runs: DataFrame, limit: int, source: str | None) -> DataFrame:
+    """Best documents of queries of plain words, scored block by block.
+
+    The highest weights of a block's words bound the score of all its documents.  Per query and
+    run the blocks with the highest bounds are scored first; of the others only those are read
+    whose bound reaches the last place so far, so no better document is missed.
+    """
+    scratch = Scratch(index.sparkSession, "search")
+    words = terms.select("phrase_id", "term").distinct()
+    blocks = index.select("term", "run_id", "block", "n", "top").join(words, "term").drop("term")
+    blocks = scratch.keep(blocks, "blocks")
+    idf = _idf(blocks.groupBy("run_id", "phrase_id").agg(F.sum("n").alias("df")), runs)
+    scoring = wanted.filter("NOT excluded").select("query_id", "phrase_id").distinct()
+    bounds = (
+        blocks.join(idf, ["run_id", "phrase_id"]).join(scoring, "phrase_id").groupBy("query_id", "run_id", "block")
+        .agg(F.sum(F.col("idf") * F.col("top")).alias("bound"))
+    )
+    by_bound = W.partitionBy("query_id", "run_id").orderBy(F.desc("bound"), "block")
+    bounds = scratch.keep(bounds.withColumn("turn", F.row_number().over(by_bound)), "bounds")
+    every = wanted.select("query_id", "phrase_id").distinct().join(words, "phrase_id")
+
+    def score(chosen: DataFrame) -> DataFrame:
+        rows = chosen.select("query_id", "run_id", "block").join(every, "query_id")
+        hits = index.select("term", "run_id", "block", "entries").join(rows, ["term", "run_id", "block"])
+        hits = hits.select("query_id", "run_id", "phrase_id", F.inline("entries")).withColumn("tf", F.size("places"))
+        return _scored(hits.drop("places"), idf, wanted, source)
+
+    later = bounds.filter(F.col("turn") > FIRST_BLOCKS)
+    if later.isEmpty():
+        return _best(score(bounds), limit)
+    first = scratch.keep(_best(score(bounds.filter(F.col("turn") <= FIRST_BLOCKS)), limit).drop("rank"), "first")
+    last = first.groupBy("query_id", "run_id").agg(F.count(F.lit(1)).alias("have"), F.max("score").alias("last"))
+    reach = F.col("last").isNull() | (F.col("have") < limit) | (-F.col("bound") <= F.col("last") + 1e-6)
+    later = later.join(last, ["query_id", "run_id"], "left").filter(reach)
+    return _best(first.unionByName(score(later)), limit)
+
+
+def _phrase_search(index: DataFrame, terms: DataFrame, wanted: DataFrame, runs: DataFrame, limit: int, source: str | None) -> DataFrame:
+    """Best documents of queries with phrases, fields or prefixes, whose counts are known only once they are found."""
+    scratch = Scratch(index.sparkSession, "search")
+    hits = scratch.keep(_phrase_hits(index, _with_prefixes(index, terms)), "hits")
+    idf = _idf(hits.groupBy("run_id", "phrase_id").agg(F.count(F.lit(1)).alias("df")), runs)
+    asked = wanted.select("query_id", "phrase_id").distinct()
+    return _best(_scored(hits.join(asked, "phrase_id"), idf, wanted, source), limit)
+
+
+def search(
+    docs: DataFrame, index: DataFrame, queries: DataFrame, limit: int = 20, source: str | None = None, runs: DataFrame | None = None
+) -> DataFrame:
+    """Best documents per query and run by BM25; lower scores are better.
+
+    All queries run together: their words meet the index in one join.  ``index`` is that of
+    ``postings``, best a stored one; ``runs`` are its run statistics.
+    """
+    runs = run_statistics(docs) if runs is None else runs
+    terms = query_terms(queries)
+    simple = ~F.col("prefix") & F.col("only_field").isNull() & (F.col("length") == 1)
+    plain = terms.groupBy("query_id").agg(F.min(simple).alias("plain"))
+    terms = terms.join(plain, "query_id")
+    found = []
+    for kind, find in ((F.col("plain"), _word_search), (~F.col("plain"), _phrase_search)):
+        own = terms.filter(kind)
+        if not own.isEmpty():
+            wanted = own.select("query_id", "clause", "excluded", "phrase_id").distinct()
+            found.append(find(_asked(index, own), own, wanted, runs, limit, source))
+    if not found:
+        none = terms.select("query_id", F.lit(0).cast("bigint").alias("run_id"), F.lit("").alias("doc_id"), F.lit(0.0).alias("score"))
+        found = [_best(none.filter("false"), limit)]
+    best = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return best.join(docs, ["run_id", "doc_id"]).select(
         "query_id", "run_id", "rank", "doc_id", "source_type",
         F.coalesce("timestamp_ms", F.lit(0)).alias("timestamp_ms"), "frame_idx",
         F.col("content").alias("snippet"), "score",
@@ -262,9 +437,11 @@ def expanded_queries(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     )
 
 
-def search_expanded(docs: DataFrame, index: DataFrame, queries: DataFrame, synonyms: DataFrame, limit: int = 20) -> DataFrame:
+def search_expanded(
+    docs: DataFrame, index: DataFrame, queries: DataFrame, synonyms: DataFrame, limit: int = 20, runs: DataFrame | None = None
+) -> DataFrame:
     """Search with synonyms; a query that then finds nothing in a run is searched as typed."""
-    wide = search(docs, index, expanded_queries(queries, synonyms), limit)
-    plain = search(docs, index, queries, limit)
+    wide = search(docs, index, expanded_queries(queries, synonyms), limit, runs=runs)
+    plain = search(docs, index, queries, limit, runs=runs)
     answered = wide.select("query_id", "run_id").distinct()
     return wide.unionByName(plain.join(answered, ["query_id", "run_id"], "left_anti"))

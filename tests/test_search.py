@@ -83,3 +83,44 @@ def test_limit_and_source(spark, corpus):
 def test_marks(spark, text, want):
     row = spark.createDataFrame([(text,)], "t string").select(se.tokens(F.col("t")), se.word_count(F.col("t"))).first()
     assert row[0] == want and row[1] == len(want)
+
+
+def test_blocks_are_left_out_without_losing_a_document(spark, monkeypatch):
+    """Scores with small blocks equal those with one block, and fewer entries are read."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(600):
+        text = " ".join(rnd.choice(words) for _ in range(rnd.choice([3, 10, 40, 150])))
+        rows.append((1 + i % 7 // 6, f"d{i:03d}", text, "event", 0, i))
+    docs = spark.createDataFrame(rows, "run_id long, doc_id string, content string, source_type string, timestamp_ms long, frame_idx long")
+    docs = docs.withColumn("len", F.size(se.tokens(F.col("content")))).cache()
+    queries = spark.createDataFrame([(1, "w1 w2"), (2, "w3 OR w4 OR w5"), (3, "w6 NOT w7")], "query_id long, query string")
+    found = lambda index: sorted(tuple(r) for r in se.search(docs, index, queries, 5).select("query_id", "run_id", "rank", "doc_id").collect())
+    want = found(se.postings(docs, True))
+    monkeypatch.setattr(se, "BLOCK_DOCS", 8)
+    index = se.postings(docs, True).cache()
+    assert index.groupBy("term", "run_id").count().agg(F.max("count")).first()[0] > 2 * se.FIRST_BLOCKS
+    read = []
+    real = se._scored
+    monkeypatch.setattr(se, "_scored", lambda hits, *a: read.append(hits.count()) or real(hits, *a))
+    assert found(index) == want
+    terms = se.query_terms(queries).select("term", "query_id").distinct()
+    assert sum(read) < index.join(terms, "term").agg(F.sum("n")).first()[0]
+
+
+def test_stored_index_is_built_once_and_read_by_word(spark, corpus, tmp_path):
+    _, docs, _, _ = corpus
+    path = str(tmp_path / "index")
+    first = se.ensure_index(docs, path)
+    files = sorted(str(p) for p in (tmp_path / "index").rglob("*.parquet"))
+    again = se.ensure_index(docs, path)
+    assert files == sorted(str(p) for p in (tmp_path / "index").rglob("*.parquet"))
+    assert [p.name for p in tmp_path.iterdir()] == ["index"]
+    queries = spark.createDataFrame([(1, "dog"), (2, "qu*")], "query_id long, query string")
+    one = lambda i: sorted(tuple(r) for r in se.search(i.docs, i.postings, queries, runs=i.runs).collect())
+    assert one(first) == one(again) == sorted(tuple(r) for r in se.search(docs, se.postings(docs), queries).collect())
+    asked = se._asked(again.postings, se.query_terms(queries.filter("query_id = 1")))
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,dog)]" in plan
