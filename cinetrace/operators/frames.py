@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cinetrace.functions.geometry import iou
 from cinetrace.operators.ordering import (
     frame_position,
     neighbour,
     percentiles,
-    position,
-    score_buckets,
+    ranked,
 )
 from cinetrace.settings import block_rows
 from cinetrace.sources.readers import checkpointed
@@ -49,55 +49,64 @@ def _items(frames: DataFrame, detections: DataFrame) -> DataFrame:
     )
 
 
-def frame_features(frames: DataFrame, detections: DataFrame) -> DataFrame:
-    """Change against the previous frame: classes, tracks, box overlap.
+def _frame_sets_of(detections: DataFrame, block: Column) -> DataFrame:
+    """Per frame its classes, its tracks and the last box by id of each track.
 
-    Each class and track looks at its own previous and next frame, and reports to the frame
-    where it appears, stays or is gone; no sets are collected and no self-join is made.
+    All steps keep the layout by run and block: one shuffle of the detections in all.
     """
-    keys = ["run_id", "kind", "item"]
-    around = neighbour(
-        _items(frames, detections).drop("frame_idx"),
-        keys,
-        {"p_pos": ("pos", -1), "p_box": ("box", -1), "n_pos": ("pos", 1)},
-    )
-    pos = F.col("pos")
-    stays = F.coalesce(F.col("p_pos") == pos - 1, F.lit(False))
-    goes_on = F.coalesce(F.col("n_pos") == pos + 1, F.lit(False))
-    is_class = F.col("kind") == "class"
-    overlap = F.when(stays & ~is_class, iou(F.col("p_box"), F.col("box")))
-    here = F.struct(
-        pos.alias("pos"),
-        (is_class & ~stays).cast("bigint").alias("c"),
-        (~is_class & ~stays).cast("bigint").alias("t"),
-        overlap.alias("iou"),
+    box = F.struct("x1", "y1", "x2", "y2")
+    kinds = F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("class_name").cast("string").alias("item")),
+        F.struct(F.lit(1).alias("kind"), F.col("track_id").cast("string").alias("item")),
     )
-    gone = F.struct(
-        (pos + 1).alias("pos"),
-        is_class.cast("bigint").alias("c"),
-        (~is_class).cast("bigint").alias("t"),
-        F.lit(None).cast("double").alias("iou"),
+    frame = ["run_id", "blk", "frame_idx"]
+    laid = detections.select("run_id", "frame_idx", "class_name", "track_id", "detection_id", box.alias("box"))
+    laid = laid.withColumn("blk", block).repartition("run_id", "blk")
+    items = laid.select(*frame, "detection_id", "box", F.inline(kinds)).filter("item IS NOT NULL")
+    last = items.groupBy(*frame, "kind", "item").agg(F.max_by("box", "detection_id").alias("box"))
+    of = lambda kind, what: F.collect_list(F.when(F.col("kind") == kind, what))
+    return last.groupBy(*frame).agg(
+        of(0, F.col("item")).alias("classes"), F.map_from_entries(of(1, F.struct("item", "box"))).alias("boxes")
     )
-    changes = (
-        around.select("run_id", F.inline(F.when(goes_on, F.array(here)).otherwise(F.array(here, gone))))
-        .groupBy("run_id", "pos")
-        .agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.avg("iou").alias("iou"))
-    )
-    later = pos > 0
-    count = lambda c: F.when(later, F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint")
-    return (
-        frame_position(frames)
-        .join(changes, ["run_id", "pos"], "left")
-        .select(
-            "run_id",
-            "frame_idx",
-            "timestamp_ms",
-            "is_keyframe",
-            F.coalesce("delta_score", F.lit(0.0)).alias("delta_score"),
-            count("c").alias("class_change"),
-            count("t").alias("track_churn"),
-            F.when(later, F.coalesce(1.0 - F.col("iou"), F.lit(0.0))).otherwise(0.0).alias("iou_drop"),
-        )
+
+
+def frame_features(frames: DataFrame, detections: DataFrame) -> DataFrame:
+    """Change against the previous frame: classes, tracks, box overlap.
+
+    Frames and detections are laid out once by run and block of frames; each frame is compared with the
+    one before it inside its block, and the first frame of a block with the last one of an
+    earlier block, which one summary row per block carries over.
+    """
+    block = F.floor(F.col("frame_idx") / block_rows(frames))
+    keys = ["run_id", "blk"]
+    own = frames.select("run_id", "frame_idx", "timestamp_ms", "is_keyframe", "delta_score", block.alias("blk")).repartition(*keys)
+    rows = own.join(_frame_sets_of(detections, block), [*keys, "frame_idx"], "left")
+    none = {"classes": F.array().cast("array<string>"), "boxes": F.create_map().cast("map<string,struct<x1:double,y1:double,x2:double,y2:double>>")}
+    seen = F.struct(*[F.coalesce(c, empty).alias(c) for c, empty in none.items()])
+    rows = rows.select(*own.columns, seen.alias("now"))
+    inside = Window.partitionBy(*keys).orderBy("frame_idx")
+    carried = rows.groupBy(*keys).agg(F.max_by("now", "frame_idx").alias("last"))
+    carried = carried.select(*keys, F.lag("last").over(Window.partitionBy("run_id").orderBy("blk")).alias("earlier"))
+    rows = rows.withColumn("before", F.lag("now").over(inside)).join(carried, keys)
+    rows = rows.withColumn("before", F.coalesce("before", "earlier"))
+
+    def changed(now: Column, before: Column) -> Column:
+        return F.size(F.array_except(now, before)) + F.size(F.array_except(before, now))
+
+    was, now = F.col("before.boxes"), F.col("now.boxes")
+    both = F.array_intersect(F.map_keys(now), F.map_keys(was))
+    overlap = F.aggregate(both, F.lit(0.0), lambda acc, k: acc + iou(F.element_at(was, k), F.element_at(now, k)))
+    later = F.col("before").isNotNull()
+    count = lambda c: F.when(later, c).otherwise(0).cast("bigint")
+    return rows.select(
+        "run_id",
+        "frame_idx",
+        "timestamp_ms",
+        "is_keyframe",
+        F.coalesce("delta_score", F.lit(0.0)).alias("delta_score"),
+        count(changed(F.col("now.classes"), F.col("before.classes"))).alias("class_change"),
+        count(changed(F.map_keys(now), F.map_keys(was))).alias("track_churn"),
+        F.when(later & (F.size(both) > 0), 1.0 - overlap / F.size(both)).otherwise(0.0).alias("iou_drop"),
     )
 
 
@@ -113,36 +122,32 @@ def frame_scores(frames: DataFrame, detections: DataFrame) -> DataFrame:
 
 
 def select_scored(
-    scored: DataFrame, frames_per_second: float | None = None, k: int | None = None
+    scored: DataFrame,
+    frames_per_second: float | None = None,
+    k: int | None = None,
+    durations: DataFrame | None = None,
 ) -> DataFrame:
     """All keyframes, then the best others up to ``k`` frames per run.
 
-    Without ``k`` it is ``max(1, round(duration * frames_per_second))``, the duration being
-    the last timestamp in seconds and at least 1.
+    Without ``k`` it is ``max(1, round(duration * frames_per_second))``, a duration being at least one
+    second.  It comes from ``durations`` (run_id, duration_s), as from the media table; runs that are
+    not there, or all without such a table, last up to their last timestamp.
 
-    Ranking reads the scores twice.  They cost a pass over the detections, so the narrow score
-    table is written once instead.
+    The scores cost a pass over the detections; they are written once, in the order of their ranks.
     """
-    scored = checkpointed(scored.select("run_id", "frame_idx", "timestamp_ms", "is_keyframe", "score"))
-    seconds = F.greatest(F.lit(1.0), F.max("timestamp_ms") / 1000.0)
-    room = F.lit(k) if k is not None else F.bround(seconds * frames_per_second, 0)
-    runs = scored.groupBy("run_id").agg(
-        F.greatest(F.lit(1), room.cast("bigint"), F.count_if("is_keyframe")).alias("keep")
-    )
+    scored = scored.select("run_id", "frame_idx", "timestamp_ms", "is_keyframe", "score")
     forced = F.col("is_keyframe").cast("int")
-    tie = F.floor(F.col("frame_idx") / block_rows(scored))
-    ranked = position(
-        scored,
-        ["run_id"],
-        [forced.desc(), F.col("score").desc(), F.col("frame_idx")],
-        [-forced, *score_buckets(F.col("score"), tie)],
-        "rank",
-    )
-    return (
-        ranked.join(runs, "run_id")
-        .filter("rank < keep")
-        .select("run_id", "frame_idx", "score", "is_keyframe")
+    placed = ranked(scored, ["run_id"], [forced.desc(), F.col("score").desc(), F.col("frame_idx")])
+    runs = placed.groupBy("run_id").agg(
+        (F.max("timestamp_ms") / 1000.0).alias("reach"), F.count_if("is_keyframe").alias("forced")
     )
+    seconds = F.col("reach")
+    if durations is not None:
+        runs = runs.join(durations.select("run_id", "duration_s"), "run_id", "left")
+        seconds = F.coalesce("duration_s", "reach")
+    room = F.lit(k) if k is not None else F.bround(F.greatest(F.lit(1.0), seconds) * frames_per_second, 0)
+    runs = runs.select("run_id", F.greatest(F.lit(1), room.cast("bigint"), F.col("forced")).alias("keep"))
+    return placed.join(runs, "run_id").filter("rank < keep").select("run_id", "frame_idx", "score", "is_keyframe")
 
 
 def keyframes_or_all(frames: DataFrame) -> DataFrame:

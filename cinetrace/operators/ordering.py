@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cinetrace.settings import block_rows, part_rows
+from cinetrace.sources.readers import Scratch
 
 
 def _sum_before(spec) -> Column:
@@ -204,58 +205,82 @@ def islands(
     ).drop(*previous)
 
 
+CELLS = 65_536  # of a histogram of one round of percentiles
+
+
 def percentiles(
     df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float]
 ) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per ``keys``.
+    """Exact percentiles with linear interpolation, one row per ``keys``; nulls and NaN are left out.
 
-    Works on counts per distinct value, ranked through a million-cell histogram over the
-    group's own range, so no task ever holds the values of a whole group.
+    The value of each wanted rank is searched in rounds.  A round cuts the range between the least and
+    the greatest candidate into CELLS cells, counts them and keeps the one that holds the rank, with its
+    own least and greatest value; a rank is found once these are one.  So only the cell that matters is
+    ever split, wherever outliers lie, and the only window runs over the cells of one rank.
     """
     keys = list(keys)
-    data = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    bounds = data.groupBy(*keys).agg(
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__all")
+    scratch = Scratch(df.sparkSession, "percentiles")
+    v = F.col(value).cast("double")
+    data = df.filter(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("__v")).groupBy(*keys, "__v")
+    data = scratch.keep(data.agg(F.count(F.lit(1)).alias("__n")), "values")
+    sides = [f(F.lit(float(p)) * (F.col("__all") - 1)) for p in wanted.values() for f in (F.floor, F.ceil)]
+    searched = scratch.keep(
+        data.groupBy(*keys)
+        .agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__all"))
+        .select("*", F.explode(F.array_distinct(F.array(*sides))).alias("__rank"), F.lit(0).cast("bigint").alias("__before")),
+        "ranks",
     )
-    counts = (
-        data.groupBy(*keys, "__v")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .join(bounds, keys)
-        .withColumn(
-            "__cell",
-            F.when(
-                F.col("__hi") > F.col("__lo"),
-                F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 1_048_576),
-            ).otherwise(0),
+    here = [*keys, "__all", "__rank"]
+    open_ = F.col("__lo") < F.col("__hi")
+    found = []
+    while True:
+        found.append(searched.filter(~open_).select(*here, F.col("__lo").alias("__at")))
+        left = searched.filter(open_)
+        if left.isEmpty():
+            break
+        # halves, as the distance of two doubles may exceed the largest one
+        share = (F.col("__v") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2)
+        cells = (
+            data.join(left, keys)
+            .filter("__v BETWEEN __lo AND __hi")
+            .withColumn("__cell", F.least(F.lit(CELLS - 1), F.floor(share * CELLS)))
+            .groupBy(*here, "__before", "__cell")
+            .agg(F.sum("__n").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
         )
-    )
-    offsets = (
-        counts.groupBy(*keys, "__cell")
-        .agg(F.sum("__n").alias("__n"))
-        .select(
-            *keys, "__cell", _sum_before(Window.partitionBy(*keys).orderBy("__cell")).alias("__before")
-        )
-    )
-    inside = _sum_before(Window.partitionBy(*keys, "__cell").orderBy("__v"))
-    ranked = (
-        counts.select("*", inside.alias("__in"))
-        .join(offsets, keys + ["__cell"])
-        .withColumn("__first", F.col("__before") + F.col("__in"))
-        .withColumn("__last", F.col("__first") + F.col("__n") - 1)
-    )
-    picks = []
+        before = F.col("__before") + _sum_before(Window.partitionBy(*here).orderBy("__cell"))
+        cells = cells.withColumn("__before", before).filter("__before <= __rank AND __rank < __before + __n")
+        searched = scratch.keep(cells.select(*here, "__lo", "__hi", "__before"), "ranks")
+    values = reduce(lambda a, b: a.unionByName(b), found)
+    picks, out = [], []
     for name, p in wanted.items():
-        target = (F.col("__all") - 1) * F.lit(float(p))
+        target = F.lit(float(p)) * (F.col("__all") - 1)
         for side, rank in (("lo", F.floor(target)), ("hi", F.ceil(target))):
-            hit = (F.col("__first") <= rank) & (rank <= F.col("__last"))
-            picks.append(F.max(F.when(hit, F.col("__v"))).alias(f"__{name}_{side}"))
-    out = ranked.groupBy(*keys).agg(F.max("__all").alias("__all"), *picks)
-    values = []
-    for name, p in wanted.items():
-        target = (F.col("__all") - 1) * F.lit(float(p))
+            picks.append(F.max(F.when(F.col("__rank") == rank, F.col("__at"))).alias(f"__{name}_{side}"))
         lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
-        values.append((lo + (hi - lo) * (target - F.floor(target))).alias(name))
-    return out.select(*keys, *values)
+        out.append((lo + (hi - lo) * (target - F.floor(target))).alias(name))
+    return values.groupBy(*keys, "__all").agg(*picks).select(*keys, *out)
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """0-based rank of every row inside ``keys``, in an ``order`` without ties; ``df`` is written once, sorted.
+
+    Spark's range partitions cut any distribution evenly, so neither a large key nor a score that all
+    rows share fills a task.  Rows are numbered within their partition; what lies before it in the
+    key is summed over partitions.
+    """
+    keys = list(keys)
+    spread = [*[F.col(k) for k in keys], *order]
+    cut = df.repartitionByRange(*spread).sortWithinPartitions(*spread)
+    cut = Scratch(df.sparkSession, "ranked").keep(cut.withColumn("__id", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("__id", 33)
+    parts = cut.groupBy(*keys, part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = _sum_before(Window.partitionBy(*keys).orderBy("__part")) - F.col("__first")
+    offsets = parts.select(*keys, "__part", before.alias("__before"))
+    return (
+        cut.withColumn("__part", part)
+        .join(offsets, [*keys, "__part"])
+        .select(*df.columns, (F.col("__before") + F.col("__id")).cast("bigint").alias(name))
+    )
 
 
 def text_parts(
