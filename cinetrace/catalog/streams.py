@@ -15,11 +15,14 @@ from cinetrace.streaming import live
 
 
 
-def _delivered(spark, rows, parts, path):
-    """A stream that takes ``parts`` one after the other, a micro-batch each."""
+def _deliver(spark, rows, parts, root, start):
+    """Deliver ``parts`` one after the other; after each the stream takes what is there and stops.
+
+    ``start(stream, checkpoint)`` starts the query; it goes on where it stopped.
+    """
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.write.mode("append").parquet(f"{root}/in")
+        start(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), f"{root}/ckpt").awaitTermination()
 
 
 def _thirds(rows):
@@ -46,20 +49,25 @@ def _str1f(t):
     """The same rows through a stream of caption files: four deliveries, the last one repeated."""
     root = scratch_dir(t.spark, "feed")
     caps = t.captions()
-    stream = _delivered(t.spark, caps, _thirds(caps), f"{root}/in")
-    feed = live.live_feed(stream, lambda: caps, t.audio, f"{root}/out", f"{root}/ckpt", None)
-    feed.awaitTermination()
+    _deliver(
+        t.spark, caps, _thirds(caps), root, lambda stream, ckpt: live.live_feed(stream, lambda: caps, t.audio, f"{root}/out", ckpt, None)
+    )
     return t.spark.read.parquet(f"{root}/out")
 
 
 @query("str2_walker", f"WITH {_SIM} SELECT run_id, frame_idx, (delta_score>=9.0 OR coalesce(similarity<0.3,false)) AS escalate FROM sm")
 def _str2(t):
+    """Later frames first, and some of them twice; repeated deliveries are dropped before the walk."""
     root = scratch_dir(t.spark, "walk")
-    rows = t.captions().select("run_id", "frame_idx", "caption", "delta_score", F.lit(9.0).alias("threshold"))
-    # later frames first, and some of them twice
-    stream = _delivered(t.spark, rows, _thirds(rows)[::-1], f"{root}/in")
-    live.catch_up(live.walk(stream, size=4), f"{root}/out", f"{root}/ckpt")
-    return live.latest_rows(t.spark, f"{root}/out", ["run_id", "frame_idx"], "version")
+    at = F.timestamp_millis("created_ms").alias("at")
+    rows = t.captions().select("run_id", "frame_idx", "caption", "delta_score", F.lit(9.0).alias("threshold"), at)
+    out = live.Publication(f"{root}/out", ["run_id", "frame_idx"], every=2)
+
+    def start(stream, ckpt):
+        return out.start(live.walk(live.deduplicated(stream, "at"), size=4), ckpt, None)
+
+    _deliver(t.spark, rows, _thirds(rows)[::-1], root, start)
+    return out.read(t.spark)
 
 
 _TRIES = "tries AS (SELECT run_id, frame_idx, count(*) AS n FROM (SELECT run_id, frame_idx, unnest(range(length(caption)%5)) FROM b_captions) GROUP BY 1,2)"
@@ -88,14 +96,48 @@ def _str3d(t):
     return live.review_queue(t.captions(), _attempts(t), None).select("run_id", "frame_idx")
 
 
+def _review_stream(t, batch):
+    """Captions in three deliveries and again the second, with the tries one by one beside them."""
+    root = scratch_dir(t.spark, "reviews")
+    at = F.timestamp_millis("created_ms").alias("at")
+    caps = t.captions().select("run_id", "frame_idx", "escalated", "verifier_agrees", at)
+    tries = _attempts(t).join(caps.select("run_id", "frame_idx", "at"), ["run_id", "frame_idx"])
+    none = tries.filter("false")
+    parts = [
+        live.review_events(caption, tries.filter(F.col("attempt") == n) if n else none)
+        for caption, n in zip(_thirds(caps), (4, 1, 3, 2))
+    ]
+    out = live.Publication(f"{root}/out", ["run_id", "block"], every=3)
+
+    def start(stream, ckpt):
+        return out.start(live.review_stream(stream.withWatermark("at", "2 minutes"), batch, size=4), ckpt, None)
+
+    _deliver(t.spark, parts[0], parts, root, start)
+    return live.next_reviews(out.read(t.spark), batch)
+
+
+_QUEUE = f"""WITH {_TRIES} SELECT run_id, frame_idx, row_number() OVER (PARTITION BY run_id ORDER BY frame_idx) AS rank FROM b_captions c
+    WHERE escalated AND verifier_agrees IS NULL AND NOT EXISTS (SELECT 1 FROM tries a WHERE a.run_id=c.run_id AND a.frame_idx=c.frame_idx AND a.n>=3)"""
+
+
+@query("str3_review_stream", f"SELECT * FROM ({_QUEUE}) WHERE rank<=2")
+def _str3s(t):
+    return _review_stream(t, 2).select("run_id", "frame_idx", "rank")
+
+
+@query("str3_review_stream_drain", f"SELECT run_id, frame_idx FROM ({_QUEUE})")
+def _str3sd(t):
+    return _review_stream(t, None)
+
+
 @query("str3_attempt_counts", f"WITH {_TRIES} SELECT * FROM tries")
 def _str3a(t):
     root = scratch_dir(t.spark, "attempts")
     tries = _attempts(t)
     parts = [tries.filter(F.col("attempt") == n) for n in range(1, 5)]  # a frame's tries come one by one
-    stream = _delivered(t.spark, tries, parts, f"{root}/in")
-    live.publish_status(live.attempt_counts(stream), f"{root}/out", f"{root}/ckpt", None).awaitTermination()
-    return live.latest_rows(t.spark, f"{root}/out", ["run_id", "frame_idx"])
+    out = live.Publication(f"{root}/out", ["run_id", "frame_idx"], every=2)
+    _deliver(t.spark, tries, parts, root, lambda stream, ckpt: out.start(live.attempt_counts(stream), ckpt, None))
+    return out.read(t.spark)
 
 
 _STATUS = """SELECT run_id, stage, max(event_id) AS seq, arg_max(CASE WHEN n_units=0 THEN 'error' ELSE 'done' END, event_id) AS status, arg_max(n_units, event_id) AS n_units, count(*) AS updates
@@ -118,9 +160,9 @@ def _str4s(t):
     events = _stage_events(t)
     # the newest third comes first: late events count, but do not hide newer ones
     parts = [events.filter(F.pmod("seq", F.lit(3)) == k) for k in (2, 0, 1)]
-    stream = _delivered(t.spark, events, parts, f"{root}/in")
-    live.publish_status(live.stage_status(stream), f"{root}/out", f"{root}/ckpt", None).awaitTermination()
-    return live.latest_rows(t.spark, f"{root}/out", ["run_id", "stage"])
+    out = live.Publication(f"{root}/out", ["run_id", "stage"], every=2)
+    _deliver(t.spark, events, parts, root, lambda stream, ckpt: out.start(live.stage_status(stream), ckpt, None))
+    return out.read(t.spark)
 
 
 @query("str5_catch_up", "SELECT run_id, frame_idx, delta_score FROM b_frames")
@@ -165,3 +207,34 @@ def _udf2(t):
 def _udf3(t):
     rows, _seen = hooks.observed(t.frames().select("run_id", "frame_idx"), "frames")
     return rows
+
+
+@query(
+    "udf3_job_metrics",
+    """SELECT 'scores' AS job, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM b_frames
+    UNION ALL SELECT 'scores', 'keyframes', CAST(count(*) FILTER (WHERE is_keyframe) AS DOUBLE) FROM b_frames
+    UNION ALL SELECT 'feed', 'input_rows', CAST(count(*) AS DOUBLE) FROM b_frames
+    UNION ALL SELECT 'feed', 'high', CAST(count(*) FILTER (WHERE delta_score >= 10) AS DOUBLE) FROM b_frames
+    UNION ALL SELECT 'feed', 'state_rows', CAST(0 AS DOUBLE)""",
+)
+def _udf3m(t):
+    """Figures that a batch job and a stream in two deliveries leave in the table of metrics."""
+    root = scratch_dir(t.spark, "metrics")
+    rows = t.frames().select("run_id", "frame_idx", "delta_score", "is_keyframe")
+    seen_rows, seen = hooks.observed(rows, "scores", keyframes=F.count_if("is_keyframe"))
+    seen_rows.write.parquet(f"{root}/scores")
+    hooks.record(t.spark, f"{root}/metrics", "scores", seen.get)
+    progress = hooks.Progress()
+    t.spark.streams.addListener(progress)
+    try:
+        for part in (rows.filter("delta_score < 10"), rows.filter("delta_score >= 10")):
+            part.write.mode("append").parquet(f"{root}/in")
+            stream = t.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+            stream = stream.observe("feed", F.count_if(F.col("delta_score") >= 10).alias("high"))
+            last = live.append_new(stream, f"{root}/out", f"{root}/ckpt")
+            reports = progress.finished(last)
+        for batch, figures in reports:
+            hooks.record(t.spark, f"{root}/metrics", "feed", figures, batch)
+    finally:
+        t.spark.streams.removeListener(progress)
+    return t.spark.read.parquet(f"{root}/metrics").groupBy("job", "metric").agg(F.sum("value").alias("value"))

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from cinetrace.operators.captions import counts, latest, latest_verdicts, speech_around
 from cinetrace.operators.ordering import first_n, first_per_key
+from cinetrace.sources.readers import children, exists, remove
 
 
 def deduplicated(stream: DataFrame, time_column: str, delay: str = "2 minutes") -> DataFrame:
@@ -66,8 +65,7 @@ def live_feed(
 
 def _replace_runs(rows: DataFrame, path: str) -> None:
     """Write the runs in ``rows`` anew and leave all others."""
-    rows = rows.coalesce(1)  # one row per touched run
-    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = rows.repartition("run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("run_id").parquet(path)
 
 
@@ -82,56 +80,168 @@ def _words(text: str | None) -> set[str]:
 
 
 WALK_FRAMES = 1024  # frames of a run that share a state
+IDLE_MS = 600_000  # event time after its last frame for which a state is kept
 
 
-def walk(stream: DataFrame, floor: float = 0.3, size: int = WALK_FRAMES) -> DataFrame:
+class _Expiring(StatefulProcessor):
+    """State of one key with a timer: it goes once the watermark is ``idle`` past the newest row."""
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def touched(self, newest: int) -> None:
+        """Put the timer off to the newest row."""
+        due = newest + self.idle
+        if self.timer.exists():
+            before = self.timer.get()[0]
+            if before >= due:
+                return
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(due)
+        self.timer.update((due,))
+
+    def states(self) -> list:
+        return [self.timer]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in self.states():
+            state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _newest(rows: pd.DataFrame) -> int:
+    return int(rows["at_ms"].max())
+
+
+class _Walker(_Expiring):
+    """The frames of a block by number; only those that arrive are written."""
+
+    def __init__(self, floor: float, idle: int):
+        super().__init__(idle)
+        self.floor = floor
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.frames = handle.getMapState("frames", "frame_idx bigint", "caption string, moved boolean, own boolean")
+
+    def states(self) -> list:
+        return [self.timer, self.frames]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        changed, newest = set(), 0
+        for batch in rows:
+            newest = max(newest, _newest(batch))
+            for r in batch.itertuples(index=False):
+                at, now = (int(r.frame_idx),), (r.caption, bool(r.delta_score >= r.threshold), bool(r.own))
+                if not self.frames.containsKey(at) or tuple(self.frames.getValue(at)) != now:
+                    self.frames.updateValue(at, now)
+                    changed |= {at[0], at[0] + 1}
+        out = []
+        for i in sorted(changed):
+            if not self.frames.containsKey((i,)):
+                continue
+            caption, flag, own = self.frames.getValue((i,))
+            if not own:
+                continue
+            if self.frames.containsKey((i - 1,)):
+                flag = flag or _overlap(caption, self.frames.getValue((i - 1,))[0]) < self.floor
+            out.append((key[0], i, flag))
+        self.touched(newest)
+        yield pd.DataFrame(out, columns=["run_id", "frame_idx", "escalate"])
+
+
+def _overlap(one: str | None, other: str | None) -> float:
+    a, b = _words(one), _words(other)
+    return 1.0 if not a and not b else len(a & b) / len(a | b) if a and b else 0.0
+
+
+def _with_states(keyed, processor: StatefulProcessor, out: str) -> DataFrame:
+    keyed._df.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    return keyed.transformWithStateInPandas(processor, out, "Update", "EventTime")
+
+
+def walk(stream: DataFrame, floor: float = 0.3, size: int = WALK_FRAMES, idle_ms: int = IDLE_MS) -> DataFrame:
     """Escalation flags as captions arrive in any order, against the previous frame of the run.
 
-    ``stream``: run_id, frame_idx, caption, delta_score, threshold.  A run is cut into blocks of
-    ``size`` frames with a state each, so a long run is walked by many tasks; the last frame of a
-    block is sent to the next one too.  A state holds the captions of its block by frame.  A frame is
-    decided against the frame before it; one that arrives late, or twice, decides its successor
-    again.  Rows are published as updates: the highest ``version`` of a frame counts, see
-    ``latest_rows``.
+    ``stream``: run_id, frame_idx, caption, delta_score, threshold and, with a watermark, the event time
+    ``at``.  A run is cut into blocks of ``size`` frames with a state each, so a long run is walked by
+    many tasks; the last frame of a block is sent to the next one too.  A frame is decided against
+    the frame before it; one that arrives late, or twice, decides its successor again.  Rows are
+    updates, see ``Publication``.  A block's state goes once the watermark is ``idle_ms`` past its
+    newest frame, so the state holds the blocks in work and not all that ever were.
     """
     block = F.floor(F.col("frame_idx") / size)
     edge = (F.col("frame_idx") + 1) % size == 0
     sent = stream.withColumn(
         "block", F.explode(F.when(edge, F.array(block, block + 1)).otherwise(F.array(block)))
-    ).withColumn("own", F.col("block") == block)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, known = (state.get[0], json.loads(state.get[1])) if state.exists else (0, {})
-        frames = {int(k): v for k, v in known.items()}
-        changed = set()
-        for rows in batches:
-            for r in rows.itertuples(index=False):
-                now = [r.caption, bool(r.delta_score >= r.threshold), bool(r.own)]
-                if frames.get(r.frame_idx) != now:
-                    frames[r.frame_idx] = now
-                    changed |= {r.frame_idx, r.frame_idx + 1}
-        out = []
-        for i in sorted(changed & frames.keys()):
-            caption, flag, own = frames[i]
-            if not own:
-                continue
-            if i - 1 in frames:
-                a, b = _words(caption), _words(frames[i - 1][0])
-                overlap = 1.0 if not a and not b else len(a & b) / len(a | b) if a and b else 0.0
-                flag = flag or overlap < floor
-            out.append((key[0], i, flag, version + 1))
-        state.update((version + 1, json.dumps(frames)))
-        yield pd.DataFrame(out, columns=["run_id", "frame_idx", "escalate", "version"])
-
-    return sent.groupBy("run_id", "block").applyInPandasWithState(
-        step, "run_id bigint, frame_idx bigint, escalate boolean, version bigint",
-        "version bigint, frames string", "append", GroupStateTimeout.NoTimeout,
-    )
+    ).withColumns({"own": F.col("block") == block, "at_ms": F.unix_millis("at")})
+    return _with_states(sent.groupBy("run_id", "block"), _Walker(floor, idle_ms), "run_id bigint, frame_idx bigint, escalate boolean")
+
 
+class Publication:
+    """Rows published batch by batch, of which the newest of every key counts.
+
+    Every ``every`` batches the newest rows of all keys are written together, and what they replace is
+    removed one round later, when no reader of the snapshot before can need it.  So a reader opens one
+    snapshot and fewer than ``every`` batches, however many there have been.  A batch or snapshot that is
+    tried again is written again under its own number.
+    """
 
-def latest_rows(spark: SparkSession, path: str, keys: list[str], version: str = "batch") -> DataFrame:
-    """Published rows, of each key the one with the highest version."""
-    return first_per_key(spark.read.parquet(path), keys, [F.col(version).desc()]).drop(version)
+    def __init__(self, path: str, keys: list[str], every: int = 8):
+        self.path, self.keys, self.every = path, keys, every
+
+    def _folder(self, kind: str, number: int) -> str:
+        return f"{self.path}/{kind}-{number:012d}"
+
+    def _numbers(self, spark: SparkSession, kind: str) -> list[int]:
+        """Numbers of the folders of a kind that are whole."""
+        names = [n for n in children(spark, self.path) if n.startswith(f"{kind}-")]
+        return sorted(int(n.rsplit("-", 1)[1]) for n in names if exists(spark, f"{self.path}/{n}/_SUCCESS"))
+
+    def folders(self, spark: SparkSession, upto: int | None = None) -> list[str]:
+        """What a reader opens: the last snapshot and the batches after it."""
+        whole = [n for n in self._numbers(spark, "snapshot") if upto is None or n <= upto]
+        last = whole[-1] if whole else -1
+        later = [n for n in self._numbers(spark, "batch") if n > last and (upto is None or n <= upto)]
+        return [self._folder("snapshot", n) for n in whole[-1:]] + [self._folder("batch", n) for n in later]
+
+    def _newest(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
+        rows = spark.read.parquet(*self.folders(spark, upto))
+        return first_per_key(rows, self.keys, [F.col("published").desc()])
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        """The sink of a stream, for ``foreachBatch``."""
+        spark = batch.sparkSession
+        rows = batch.withColumn("published", F.lit(batch_id).cast("bigint"))
+        rows.write.mode("overwrite").parquet(self._folder("batch", batch_id))
+        if (batch_id + 1) % self.every == 0:
+            self.compact(spark, batch_id)
+
+    def compact(self, spark: SparkSession, upto: int) -> None:
+        earlier = [n for n in self._numbers(spark, "snapshot") if n < upto]
+        self._newest(spark, upto).write.mode("overwrite").parquet(self._folder("snapshot", upto))
+        if earlier:
+            for kind, numbers in (("snapshot", earlier[:-1]), ("batch", self._numbers(spark, "batch"))):
+                for n in numbers:
+                    if n <= earlier[-1]:
+                        remove(spark, self._folder(kind, n))
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self._newest(spark).drop("published")
+
+    def start(self, rows: DataFrame, checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
+        """Publish the changed rows of each trigger."""
+        return _started(rows.writeStream.outputMode("update").foreachBatch(self.write), checkpoint, every)
 
 
 def review_queue(captions: DataFrame, attempts: DataFrame, batch: int | None = 8, retries: int = 3) -> DataFrame:
@@ -145,6 +255,69 @@ def review_queue(captions: DataFrame, attempts: DataFrame, batch: int | None = 8
     return waiting if batch is None else first_n(waiting, ["run_id"], [F.col("frame_idx")], batch)
 
 
+class _Queue(_Expiring):
+    """Frames of a block that wait for a review, with their failed attempts."""
+
+    def __init__(self, batch: int | None, retries: int, idle: int):
+        super().__init__(idle)
+        self.batch, self.retries = batch, retries
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.frames = handle.getMapState("frames", "frame_idx bigint", "waiting boolean, failed int")
+
+    def states(self) -> list:
+        return [self.timer, self.frames]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest = 0
+        for batch in rows:
+            newest = max(newest, _newest(batch))
+            for r in batch.itertuples(index=False):
+                at = (int(r.frame_idx),)
+                waiting, failed = self.frames.getValue(at) if self.frames.containsKey(at) else (False, 0)
+                if r.kind == "failed":
+                    failed += 1
+                else:
+                    waiting = r.kind == "escalated"
+                self.frames.updateValue(at, (waiting, failed))
+        ready = sorted(k[0] for k, v in self.frames.iterator() if v[0] and v[1] < self.retries)
+        self.touched(newest)
+        yield pd.DataFrame({"run_id": [key[0]], "block": [key[1]], "frames": [ready[: self.batch]]})
+
+
+def review_events(captions: DataFrame, attempts: DataFrame) -> DataFrame:
+    """What happens to the queue: frames are escalated, settled by a verdict or found fine, and attempts fail.
+
+    Both inputs carry their event time ``at``.
+    """
+    kind = F.when(F.col("escalated") & F.col("verifier_agrees").isNull(), "escalated").otherwise("settled")
+    return captions.select("run_id", "frame_idx", "at", kind.alias("kind")).unionByName(
+        attempts.select("run_id", "frame_idx", "at", F.lit("failed").alias("kind"))
+    )
+
+
+def review_stream(
+    events: DataFrame, batch: int | None = 8, retries: int = 3, size: int = WALK_FRAMES, idle_ms: int = IDLE_MS
+) -> DataFrame:
+    """The review queue kept up to date: per run and block of frames the first ``batch`` that wait.
+
+    ``events``: run_id, frame_idx, kind and, with a watermark, ``at``.  A frame leaves the queue with its
+    verdict or with its ``retries``-th failure, whichever order they come in.  Published with keys run_id
+    and block; ``next_reviews`` puts the blocks together.
+    """
+    rows = events.withColumns({"block": F.floor(F.col("frame_idx") / size), "at_ms": F.unix_millis("at")})
+    return _with_states(
+        rows.groupBy("run_id", "block"), _Queue(batch, retries, idle_ms), "run_id bigint, block bigint, frames array<bigint>"
+    )
+
+
+def next_reviews(published: DataFrame, batch: int | None = 8) -> DataFrame:
+    """The next reviews of every run from the published blocks; all of them without ``batch``."""
+    waiting = published.select("run_id", F.explode("frames").alias("frame_idx"))
+    return waiting if batch is None else first_n(waiting, ["run_id"], [F.col("frame_idx")], batch)
+
+
 def attempt_counts(attempts: DataFrame) -> DataFrame:
     """Failed attempts per frame, as a running aggregate over a stream of attempts."""
     return attempts.groupBy("run_id", "frame_idx").agg(F.count(F.lit(1)).alias("n"))
@@ -163,25 +336,11 @@ def stage_status_batch(events: DataFrame) -> DataFrame:
     return first_per_key(events, ["run_id", "stage"], [F.col("seq").desc()]).join(counted, ["run_id", "stage"])
 
 
-def publish_status(status: DataFrame, path: str, checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
-    """Write the changed statuses of each trigger; ``latest_rows`` reads the last of every key.
-
-    A trigger that is tried again writes its own folder again.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return _started(status.writeStream.outputMode("update").foreachBatch(write), checkpoint, every)
+def append_new(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what arrived since the last call, then stop."""
+    return _started(stream.writeStream.format("parquet").option("path", path), checkpoint, None)
 
 
 def catch_up(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Append what arrived since the last call and stop."""
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    """``append_new``, and wait for its end."""
+    append_new(stream, path, checkpoint).awaitTermination()
