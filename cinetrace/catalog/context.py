@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cinetrace.catalog import query
 from cinetrace.catalog.detections import _ROUNDED, _TEXT, _rounded
 from cinetrace.functions import text as tx
+from cinetrace.operators import captions as ca
 from cinetrace.operators.ordering import frame_position, text_parts
 from cinetrace.plans import context as cx
 
@@ -199,6 +200,63 @@ def _ctx5(t):
     return cx.fit_blocks(prompts, 300, 40)
 
 
+_MARK = "chr(10)||'[... trimmed to fit context ...]'||chr(10)"
+
+
+def _cut_sql(text: str, limit: str) -> str:
+    room = f"greatest(0, {limit}-length({_MARK}))"
+    return f"""CASE WHEN {limit}<=0 THEN '' WHEN length({text})<={limit} THEN {text} WHEN {room}=0 THEN ''
+      ELSE left({text}, CAST({room}//2 AS INTEGER))||{_MARK}||right({text}, CAST({room}-{room}//2 AS INTEGER)) END"""
+
+
+# The same steps on whole texts: timeline of 24 lines, speech and log of every run, halved and cut.
+_FIT = f"""WITH RECURSIVE {_SM},
+ cp AS (SELECT run_id, frame_idx, timestamp_ms, behavior||' k'||k AS caption, k%5=0 AS escalated FROM b_events WHERE k%11<>3),
+ sz AS (SELECT run_id, count(*) AS total, count(*) FILTER (WHERE escalated) AS kept FROM cp GROUP BY 1),
+ ps AS (SELECT c.*, row_number() OVER (PARTITION BY run_id, escalated ORDER BY timestamp_ms, frame_idx)-1 AS pos FROM cp c),
+ pk AS (SELECT DISTINCT run_id, least(CAST(round_even(i*((total-kept)/(24-kept)::DOUBLE),0) AS BIGINT), total-kept-1) AS pos, 1 AS hit
+   FROM sz, range(24) r(i) WHERE 24-kept>0 AND i<24-kept AND total-kept>24-kept),
+ dt AS (SELECT p.run_id, p.frame_idx, p.timestamp_ms, CASE WHEN escalated THEN '*' ELSE '' END||{_CLOCK.format('timestamp_ms')}||' '||caption AS line
+   FROM ps p JOIN sz USING (run_id) LEFT JOIN pk ON pk.run_id=p.run_id AND pk.pos=p.pos AND NOT p.escalated
+   WHERE escalated OR total<=24 OR (24-kept>0 AND (total-kept<=24-kept OR hit=1))),
+ dl AS (SELECT run_id, list(line ORDER BY timestamp_ms, frame_idx) AS l FROM dt GROUP BY 1),
+ tr AS (SELECT run_id, string_agg('['||{_CLOCK.format('start_ms')}||'-'||{_CLOCK.format('end_ms')}||'] '||trim(text), chr(10) ORDER BY start_ms, segment_id) AS t FROM b_audio WHERE trim(text)<>'' GROUP BY 1),
+ lg AS (SELECT run_id, chunk_id, 0 AS kind, '[frame '||(chunk_id*10)||'] '||description AS line FROM mn
+   UNION ALL SELECT run_id, chunk_id, 1, '[chunk '||chunk_id||' summary] '||summary FROM sm WHERE summary<>''),
+ cl AS (SELECT run_id, string_agg(line, chr(10) ORDER BY chunk_id, kind) AS c FROM lg GROUP BY 1),
+ b AS (SELECT run_id, 300+(run_id%9)*260 AS budget FROM (SELECT DISTINCT run_id FROM b_events)),
+ h AS (SELECT b.run_id, b.budget, coalesce(l, []) AS l, coalesce(t,'') AS t, coalesce(c,'') AS c, 0 AS step FROM b LEFT JOIN dl USING (run_id) LEFT JOIN tr USING (run_id) LEFT JOIN cl USING (run_id)
+   UNION ALL SELECT run_id, budget, list_transform(list_sort(list_distinct(list_concat([0, len(l)-1],
+     list_transform(range(1, greatest(6, len(l)//2)-1), lambda i: least(len(l)-1, CAST(round_even(i*(len(l)/(greatest(6, len(l)//2)-1)::DOUBLE),0) AS BIGINT)))))), lambda i: l[i+1]), t, c, step+1
+   FROM h WHERE len(l)>6 AND 40+length(array_to_string(l,chr(10)))//3+length(t)//3+length(c)//3>budget),
+ d1 AS (SELECT run_id, budget, coalesce(array_to_string(l, chr(10)),'') AS d, t, c FROM h QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY step DESC)=1),
+ d2 AS (SELECT *, 40+length(d)//3+length(t)//3+length(c)//3-budget AS over FROM d1),
+ d3 AS (SELECT run_id, budget, d, c, CASE WHEN t<>'' AND over>0 THEN {_cut_sql('t', '(greatest(0, length(t)//3-over)*3)')} ELSE t END AS t FROM d2),
+ d4 AS (SELECT *, 40+length(d)//3+length(t)//3+length(c)//3-budget AS over FROM d3),
+ d5 AS (SELECT run_id, d, t, CASE WHEN over>0 THEN {_cut_sql('c', '(greatest(1, length(c)//3-over)*3)')} ELSE c END AS c FROM d4)
+ SELECT run_id, 'dense' AS block, d AS text FROM d5 WHERE d<>'' UNION ALL SELECT run_id, 'transcript', t FROM d5 WHERE t<>'' UNION ALL SELECT run_id, 'captions', c FROM d5 WHERE c<>''"""
+
+
+@query("ctx5_fit_runs", _FIT)
+def _ctx5r(t):
+    """The timeline, the speech lines and the caption log of every run, fitted to a budget of its own."""
+    said = t.events().filter("k % 11 <> 3").select(
+        "run_id", "frame_idx", "timestamp_ms", F.concat("behavior", F.lit(" k"), F.col("k").cast("string")).alias("caption"),
+        (F.col("k") % 5 == 0).alias("escalated"), F.lit(None).cast("string").alias("verifier_caption"), F.lit(None).cast("boolean").alias("verifier_agrees"),
+    )
+    mentions = _mentions(t).select("run_id", "chunk_id", (F.col("chunk_id") * 10).alias("frame_idx"), F.col("description").alias("line"))
+    blocks = {
+        "dense": ca.timeline_lines(ca.dense_timeline(said, 24)),
+        "transcript": cx.transcript_lines(t.audio()),
+        "captions": cx.caption_log_lines(mentions, _summaries(t)),
+    }
+    lines = [df.select("run_id", F.lit(name).alias("block"), "pos", "line") for name, df in blocks.items()]
+    budgets = t.events().select("run_id", (300 + F.col("run_id") % 9 * 260).alias("budget")).distinct()
+    fitted = cx.fit_run_blocks(lines[0].unionByName(lines[1]).unionByName(lines[2]), budgets, 40)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part", "line"))), lambda s: s["line"]), "\n")
+    return fitted.groupBy("run_id", "block").agg(text.alias("text")).filter("text <> ''")
+
+
 @query(
     "agg16_transcript_text",
     """WITH o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY start_ms, segment_id)-1 AS pos FROM b_audio)

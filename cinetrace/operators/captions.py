@@ -144,6 +144,11 @@ def timeline_text(timeline: DataFrame) -> DataFrame:
     return text_parts(_in_time(timeline), ["run_id"], timeline_line())
 
 
+def timeline_lines(timeline: DataFrame) -> DataFrame:
+    """The lines of the timeline with their position."""
+    return _in_time(timeline).select("run_id", "pos", timeline_line().alias("line"))
+
+
 def _in_time(rows: DataFrame, column: str = "timestamp_ms") -> DataFrame:
     return position(rows, ["run_id"], [F.col(column), F.col("frame_idx")], time_buckets(column))
 

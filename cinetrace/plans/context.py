@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinetrace.functions.text import token_estimate, truncate_middle
+from cinetrace.functions.text import TRIM_MARK, token_estimate, truncate_middle
 from cinetrace.functions.times import clock_text
 from cinetrace.operators.detections import frame_texts
 from cinetrace.operators.frames import _any_near
@@ -20,6 +20,7 @@ from cinetrace.operators.ordering import (
     time_buckets,
 )
 from cinetrace.settings import block_rows
+from cinetrace.sources.readers import Scratch
 
 START = "this is the start"  # Fixed value: the seed of the first chunk.
 
@@ -43,7 +44,12 @@ def chunk_blocks(frames: DataFrame, detections: DataFrame, size: int = 10) -> Da
 
 
 def caption_log(frame_lines: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Frame lines in order, each chunk followed by its summary, as text parts.
+    """``caption_log_lines`` as text parts."""
+    return text_parts(caption_log_lines(frame_lines, summaries), ["run_id"], F.col("line"))
+
+
+def caption_log_lines(frame_lines: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Frame lines in order, each chunk followed by its summary, with their position.
 
     ``frame_lines``: run_id, chunk_id, frame_idx, line; ``summaries``: run_id, chunk_id, summary.
     """
@@ -55,10 +61,9 @@ def caption_log(frame_lines: DataFrame, summaries: DataFrame) -> DataFrame:
         "run_id", "chunk_id", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("frame_idx"),
         F.format_string("[chunk %d summary] %s", "chunk_id", "summary").alias("line"),
     )
-    rows = position(
+    return position(
         frames.union(ends), ["run_id"], [F.col(c) for c in ("chunk_id", "kind", "frame_idx")], [F.floor(F.col("chunk_id") / 1024)]
     )
-    return text_parts(rows, ["run_id"], F.col("line"))
 
 
 def summary_groups(summaries: DataFrame, size: int = 10, single_pass: int = 30) -> DataFrame:
@@ -229,6 +234,108 @@ def fit_blocks(prompts: DataFrame, budget: int, overhead: int = 0) -> DataFrame:
     )
 
 
+LEAST_LINES = 6  # Fixed value: a dense timeline is not thinned below this.
+BLOCKS = ("dense", "transcript", "captions")
+
+
+def _thinned(dense: DataFrame) -> DataFrame:
+    """Dense lines with ``depth``, how many halvings they survive; run_id, pos, line, total in.
+
+    A line follows its own position through the halvings: the list of one level is never needed.
+    """
+
+    def step(at: Column, _n: Column) -> Column:
+        keep = F.greatest(F.lit(LEAST_LINES), F.floor(at["total"] / 2)).cast("bigint")
+        gap = at["total"] / (keep - 1)
+        guess = F.floor(at["pos"] / gap)
+        hit = lambda i: (i >= 1) & (i < keep - 1) & (F.least(at["total"] - 1, F.bround(i * gap, 0).cast("bigint")) == at["pos"])
+        inner = F.try_element_at(F.filter(F.sequence(guess - 1, guess + 2), hit), F.lit(1))
+        moved = F.when(at["pos"] == 0, F.lit(0)).when(at["pos"] == at["total"] - 1, keep - 1).otherwise(inner).cast("bigint")
+        on = at["on"] & (at["total"] > LEAST_LINES) & moved.isNotNull()
+        return F.struct(
+            F.when(on, moved).otherwise(at["pos"]).alias("pos"),
+            F.when(on, keep).otherwise(at["total"]).alias("total"),
+            (at["depth"] + on.cast("int")).alias("depth"),
+            on.alias("on"),
+        )
+
+    start = F.struct(F.col("pos").cast("bigint").alias("pos"), F.col("total").cast("bigint").alias("total"), F.lit(0).alias("depth"), F.lit(True).alias("on"))
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.col("total") + 1)).cast("int"))
+    return dense.withColumn("depth", F.aggregate(rounds, start, step)["depth"])
+
+
+def fit_run_blocks(blocks: DataFrame, budgets: DataFrame, overhead: int = 0) -> DataFrame:
+    """Shrink the prompt blocks of every run to its token budget, without ever holding a block as one text.
+
+    ``blocks``: run_id, block (of BLOCKS), pos (0-based), line; ``budgets``: run_id, budget.  Returned are the
+    lines that stay, in order of run_id, block, pos, part; joined by newlines they are the block.  The dense lines
+    are thinned by halves: sums of line lengths per level tell the first level that fits.  Then the
+    transcript loses its middle, then the captions do: running sums of lengths tell where the cuts fall.
+    """
+    scratch = Scratch(blocks.sparkSession, "fit")
+    size = F.length("line").cast("bigint")
+    lines = blocks.select("run_id", "block", "pos", "line")
+    sizes = lines.groupBy("run_id", "block").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("chars"))
+    text = F.col("chars") + F.col("n") - 1
+    of = lambda name: F.coalesce(F.max(F.when(F.col("block") == name, text)), F.lit(0)).alias(name)
+    runs = sizes.groupBy("run_id").agg(
+        of("transcript"), of("captions"), F.coalesce(F.max(F.when(F.col("block") == "dense", F.col("n"))), F.lit(0)).alias("total")
+    )
+    runs = scratch.keep(runs.join(budgets.select("run_id", "budget"), "run_id"), "runs")
+    tokens = lambda c: F.floor(F.col(c) / 3)
+
+    dense = lines.filter("block = 'dense'").join(runs.select("run_id", "total"), "run_id")
+    dense = scratch.keep(_thinned(dense), "dense")
+    levels = dense.select("run_id", "line", F.explode(F.sequence(F.lit(0), "depth")).alias("level"))
+    levels = levels.groupBy("run_id", "level").agg((F.sum(size) + F.count(F.lit(1)) - 1).alias("chars"))
+    room = F.col("budget") - overhead - tokens("captions") - tokens("transcript")
+    chosen = levels.join(runs, "run_id").groupBy("run_id").agg(
+        F.coalesce(F.min(F.when(tokens("chars") <= room, F.struct("level", "chars"))), F.max(F.struct("level", "chars"))).alias("best")
+    )
+    runs = runs.join(chosen, "run_id", "left").select(
+        "run_id", "budget", "transcript", "captions", "best.level", F.coalesce("best.chars", F.lit(0)).alias("dense")
+    )
+
+    def limit(own: Column, over: Column, least: int) -> Column:
+        """Characters that a block may keep, null for all."""
+        keep = F.greatest(F.lit(least), F.floor(own / 3) - over) * 3
+        return F.when((over > 0) & (own > keep), keep)
+
+    over = overhead + tokens("dense") + tokens("captions") + tokens("transcript") - F.col("budget")
+    runs = runs.withColumn("transcript_keeps", F.when(F.col("transcript") > 0, limit(F.col("transcript"), over, 0)))
+    mark = len(TRIM_MARK)
+    room = lambda keep: F.greatest(F.lit(0), keep - mark)
+    left = F.when(F.col("transcript_keeps").isNull(), F.col("transcript")).otherwise(
+        F.when(room(F.col("transcript_keeps")) > 0, F.col("transcript_keeps")).otherwise(0)
+    )
+    over = overhead + tokens("dense") + tokens("captions") + F.floor(left / 3) - F.col("budget")
+    runs = runs.withColumn("captions_keeps", limit(F.col("captions"), over, 1))
+    runs = scratch.keep(runs, "limits")
+
+    kept = dense.join(runs.select("run_id", "level"), "run_id").filter("depth >= level")
+    kept = kept.select("run_id", "block", "pos", F.lit(0).alias("part"), "line")
+    rest = lines.filter("block <> 'dense'").join(runs, "run_id")
+    is_speech = F.col("block") == "transcript"
+    keeps = F.when(is_speech, F.col("transcript_keeps")).otherwise(F.col("captions_keeps"))
+    whole = F.when(is_speech, F.col("transcript")).otherwise(F.col("captions"))
+    rest = rest.select("run_id", "block", "pos", "line", keeps.alias("keeps"), whole.alias("whole"))
+    rest = running(
+        rest, ["run_id", "block"], F.floor(F.col("pos") / block_rows(blocks)), [F.col("pos")], size + 1, "start", "sum", "before"
+    ).withColumn("start", F.coalesce("start", F.lit(0)))
+    end = F.col("start") + size
+    head = F.floor(room(F.col("keeps")) / 2)
+    tail_from = F.col("whole") - (room(F.col("keeps")) - head)
+    cut = F.col("keeps").isNotNull()
+    shown = room(F.col("keeps")) > 0
+    piece = lambda text, part: F.struct(F.lit(part).alias("part"), text.alias("line"))
+    first = F.when(cut & shown & (F.col("start") <= head), piece(F.left("line", (head - F.col("start")).cast("int")), 0))
+    trimmed = F.when(cut & shown & (F.col("start") <= head) & (end + 1 > head), piece(F.lit(TRIM_MARK.strip()), 1))
+    after = F.greatest(F.lit(0), tail_from - F.col("start")).cast("int")
+    last = F.when(cut & shown & (end >= tail_from), piece(F.right("line", F.length("line") - after), 2))
+    pieces = F.when(~cut, F.array(piece(F.col("line"), 0))).otherwise(F.array_compact(F.array(first, trimmed, last)))
+    return kept.unionByName(rest.select("run_id", "block", "pos", F.inline(pieces)))
+
+
 def entity_lines(entities: DataFrame) -> DataFrame:
     """Summary-prompt lines of entities (descriptions cut at 80)."""
     return entities.select(
