@@ -29,7 +29,7 @@ TERM = r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)"
 MIN_DOCS = 10
 TOP = 10
 UNIT = 1_000_000_000
-PIECE = 24 << 20  # bytes of text that a task counts before it passes the sums on
+PIECE = 12 << 20  # bytes of text that a task counts before it passes the sums on
 ROWS = 64  # rows that a piece grows by
 BUCKET = 4 << 20  # bytes of text for each bucket of chunks, so that buckets do not grow with the input
 BLOCK = 256  # terms that are compared between sources at once
@@ -50,15 +50,23 @@ class _Uses(NamedTuple):
 def _pieces(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[tuple[pa.Table, int]]:
     """Rows of a task in pieces of bounded size, each with the number of its first row; no two rows share one."""
     number, held, size = TaskContext.get().partitionId() << 40, [], 0
+
+    def whole() -> pa.Table:
+        table = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        pa.default_memory_pool().release_unused()
+        return table
+
     for batch in batches:
         for at in range(0, len(batch), ROWS):
             held.append(batch.slice(at, ROWS))
             size += pc.sum(pc.binary_length(held[-1].column("text"))).as_py() or 0
             if size > piece:
-                yield pa.Table.from_batches(held).combine_chunks(), number
-                number, held, size = number + sum(map(len, held)), [], 0
+                rows = whole()
+                yield rows, number
+                number, size = number + len(rows), 0
     if held:
-        yield pa.Table.from_batches(held).combine_chunks(), number
+        yield whole(), number
 
 
 def _crcs(chunks: pa.Array) -> np.ndarray:
@@ -93,7 +101,8 @@ def _uses(rows: pa.Table, wanted: np.ndarray | None = None) -> _Uses:
         if name != "text":
             values = whole(rows.column(name)).dictionary_encode()
             columns[name] = (values.indices.to_numpy().astype(np.int64), values.dictionary)
-    return _Uses(chunks, crcs, key[fresh] // size, key[fresh] % size, n, columns)
+    key = key[fresh]
+    return _Uses(chunks, crcs, (key // size).astype(np.int32), (key % size).astype(np.int32), n, columns)
 
 
 def _lists(values: pa.Array, cuts: np.ndarray) -> pa.Array:
@@ -147,14 +156,16 @@ def _flat(rows: pa.Table, name: str) -> pa.Array:
 
 
 def _add_up(rows: pa.Table) -> pa.Table:
-    """Documents of every chunk of a bucket."""
+    """The distinct chunks of a bucket, each with its documents by language."""
     (lang,), langs = _codes(_flat(rows, "langs"))
     (chunk,), chunks = _codes(_flat(rows, "chunks"))
     key, at = np.unique(chunk * len(langs) + lang, return_inverse=True)
     docs = np.zeros(len(key), np.int64)
     np.add.at(docs, at, _flat(rows, "docs").to_numpy())
-    columns = [langs.take(pa.array(key % len(langs))), chunks.take(pa.array(key // len(langs))), pa.array(docs)]
-    return pa.Table.from_arrays(columns, ["lang", "chunk", "docs"])
+    first = np.flatnonzero(np.diff(key // len(langs), prepend=-1))
+    cuts = np.append(first, len(key))
+    columns = [chunks.take(pa.array(key[first] // len(langs))), _lists(langs.take(pa.array(key % len(langs))), cuts), _lists(pa.array(docs), cuts)]
+    return pa.Table.from_arrays(columns, ["chunk", "langs", "docs"])
 
 
 def _source_counts(wanted: bytes, doubtful: bytes, piece: int, buckets: int):
@@ -185,7 +196,7 @@ def _source_counts(wanted: bytes, doubtful: bytes, piece: int, buckets: int):
             spread = np.append(row, len(each))
             docs = np.append(each, len(key))[spread]
             told = np.diff(docs) * _marked(uses.crcs[code], bits[1])
-            ids = first + doc[np.repeat(told > 0, np.diff(docs))]
+            ids = first + doc[np.repeat(told > 0, np.diff(docs))].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(bucket),
@@ -274,12 +285,10 @@ def count_terms(
     buckets = max(16, total // BUCKET)
     packed = "bucket long, langs array<string>, chunks array<string>"
     counted = docs.select("text", "lang").mapInArrow(_document_counts(piece, buckets), f"{packed}, docs array<long>")
-    counted = counted.groupBy("bucket").applyInArrow(_add_up, "lang string, chunk string, docs long")
-    counted = scratch.keep(counted, "counted")
-    vocabulary = counted.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs"))
-    vocabulary = vocabulary.withColumn("terms", terms_of(F.col("chunk"))).filter(F.size("terms") > 0)
-    found = vocabulary.select("chunk", "terms", F.inline("langs")).select("lang", "chunk", "docs", F.explode("terms").alias("term"))
-    found = scratch.keep(found, "found")
+    vocabulary = counted.groupBy("bucket").applyInArrow(_add_up, "chunk string, langs array<string>, docs array<long>")
+    vocabulary = scratch.keep(vocabulary.withColumn("terms", terms_of(F.col("chunk"))).filter(F.size("terms") > 0), "vocabulary")
+    found = vocabulary.select("chunk", "terms", F.inline(F.arrays_zip(F.col("langs").alias("lang"), F.col("docs").alias("docs"))))
+    found = found.select("lang", "chunk", "docs", F.explode("terms").alias("term"))
     bounds = found.groupBy("lang", "term").agg(F.sum("docs").alias("most"), F.max("docs").alias("least"))
     bounds = scratch.keep(bounds.filter(F.col("most") >= min_docs), "bounds")
     wanted = found.join(bounds, ["lang", "term"]).select("lang", "chunk", "term", (F.col("least") < min_docs).alias("open"))
