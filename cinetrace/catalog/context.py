@@ -30,6 +30,18 @@ def _mentions(t):
     )
 
 
+_FEW = """few AS (SELECT run_id, frame_idx AS chunk_id, 'E'||k%9 AS id, behavior||' '||k AS description FROM b_events)"""
+
+
+def _few_entities(t):
+    """Nine entities a run, described anew again and again."""
+    k = F.col("k")
+    return t.events().select(
+        "run_id", F.col("frame_idx").alias("chunk_id"), F.concat(F.lit("E"), (k % 9).cast("string")).alias("id"),
+        F.concat("behavior", F.lit(" "), k.cast("string")).alias("description"),
+    )
+
+
 @query("ctx1_chunks", "SELECT run_id, frame_idx, (row_number() OVER (PARTITION BY run_id ORDER BY frame_idx)-1)//10 AS chunk_id FROM b_frames")
 def _ctx1(t):
     return cx.assign_chunks(t.frames()).select("run_id", "frame_idx", "chunk_id")
@@ -92,6 +104,17 @@ def _win13a(t):
     return cx.registry_at(cx.registry_versions(_mentions(t)), _summaries(t))
 
 
+@query(
+    "win13_registry_snapshots",
+    f"""WITH {_FEW}, lg AS (SELECT m.*, row_number() OVER (PARTITION BY run_id ORDER BY chunk_id, id, description)-1 AS pos, k.known
+      FROM few m JOIN (SELECT run_id, count(DISTINCT id) AS known FROM few GROUP BY 1) k USING (run_id)),
+    bl AS (SELECT DISTINCT run_id, pos//known AS block, (pos//known)*known AS start FROM lg)
+    SELECT b.run_id, b.block, l.id, arg_max(l.description, l.pos) AS description FROM bl b JOIN lg l ON l.run_id=b.run_id AND l.pos<b.start GROUP BY 1,2,3""",
+)
+def _win13s(t):
+    return cx.registry_snapshots(cx.registry_log(_few_entities(t)))
+
+
 @query(
     "ctx7_registry_blocks",
     f"""WITH {_SM}, {_VER}, {_KNOWN}, l AS (SELECT run_id, chunk_id, string_agg('  '||id||': '||description, chr(10) ORDER BY id) AS lines FROM kn GROUP BY 1,2)

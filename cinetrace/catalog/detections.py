@@ -191,6 +191,28 @@ def _prj3(t):
     )
 
 
+@query(
+    "prj3_repair_corners",
+    f"""WITH {_LEGACY} SELECT run_id, detection_id, rescaled, round(CASE WHEN rescaled THEN x1/640 ELSE x1 END,6) AS x1, round(CASE WHEN rescaled THEN y1/360 ELSE y1 END,6) AS y1,
+    round(CASE WHEN rescaled THEN x2/640 ELSE x2 END,6) AS x2, round(CASE WHEN rescaled THEN y2/360 ELSE y2 END,6) AS y2 FROM raw JOIN fl USING (run_id)""",
+)
+def _prj3c(t):
+    corners = [F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")]
+    return det.repair_boxes(_legacy(t), 640.0, 360.0).select("run_id", "detection_id", "rescaled", *corners)
+
+
+@query(
+    "prj2_normalised_corners",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity*10/640,6) AS x1, round(l_quantity*5/360,6) AS y1,
+    round((l_quantity*10+60)/640,6) AS x2, round((l_quantity*5+40)/360,6) AS y2 FROM lineitem""",
+)
+def _prj2c(t):
+    q = F.col("l_quantity")
+    raw = t.read("lineitem").withColumns({"x1": q * 10, "y1": q * 5, "x2": q * 10 + 60, "y2": q * 5 + 40})
+    corners = zip(normalise_box(F.lit(640.0), F.lit(360.0)), ("x1", "y1", "x2", "y2"))
+    return raw.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.round(c, 6).alias(n) for c, n in corners])
+
+
 @query(
     "prj3_repair_report",
     f"""WITH {_LEGACY} SELECT run_id, count(DISTINCT frame_idx) AS frames, count(*) AS detections, bool_or(rescaled) AS rescaled

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cinetrace.catalog import query
 from cinetrace.catalog.keyed import _LINES, _chunk_docs
+from cinetrace.operators import behavior as be
 from cinetrace.operators.captions import dense_timeline
 from cinetrace.operators.frames import keyframes_or_all
 from cinetrace.sources import export as ex
@@ -45,6 +46,69 @@ def _snk10(t):
     )
 
 
+_DOCUMENT = """run_id bigint, part bigint, images array<struct<id:bigint,file_name:string,width:bigint,height:bigint,frame_idx:bigint,timestamp_ms:bigint>>,
+annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,area:double,iscrowd:bigint,confidence:double,mean_depth:double>>,
+categories array<struct<id:bigint,name:string,supercategory:string>>"""
+
+
+@query(
+    "snk10_annotation_documents",
+    f"""WITH {_ANN} SELECT run_id, 'annotation' AS kind, id, image_id, category_id, round_even(px,1) AS x, round_even(py,1) AS y, round_even(w,1) AS w, round_even(h,1) AS h,
+      round_even(w*h,1) AS area, 0::BIGINT AS iscrowd, round_even(confidence,4) AS confidence, mean_depth, NULL AS name, NULL::BIGINT AS width, NULL::BIGINT AS height, NULL::BIGINT AS frame_idx, NULL::BIGINT AS timestamp_ms FROM an
+    UNION ALL SELECT run_id, 'image', id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, image_path, 640, 360, frame_idx, timestamp_ms FROM im
+    UNION ALL SELECT run_id, 'category', id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, class_name||'/object', NULL, NULL, NULL, NULL FROM ct""",
+)
+def _snk10d(t):
+    """The documents of all runs, written, and every field of every list read back."""
+    path, spark = rd.scratch_dir(t.spark, "annotation-documents"), t.spark
+    ex.write_json(ex.annotation_documents(ex.images(t.frames()), _ann(t), ex.categories(t.detections())), path)
+    docs = rd.read_json(spark, path, _DOCUMENT)
+    names = ["id", "image_id", "category_id", "x", "y", "w", "h", "area", "iscrowd", "confidence", "mean_depth", "name", "width", "height", "frame_idx", "timestamp_ms"]
+    kinds = {"id": "bigint", "image_id": "bigint", "category_id": "bigint", "iscrowd": "bigint", "name": "string", "width": "bigint", "height": "bigint", "frame_idx": "bigint", "timestamp_ms": "bigint"}
+
+    def rows(column, kind, given):
+        own = docs.select("run_id", F.explode(column).alias("e"))
+        fields = [(given[n] if n in given else F.lit(None)).cast(kinds.get(n, "double")).alias(n) for n in names]
+        return own.select("run_id", F.lit(kind).alias("kind"), *fields)
+
+    e = lambda n: F.col(f"e.{n}")
+    boxes = {n: e("bbox")[i] for i, n in enumerate("xywh")}
+    plain = lambda *ns: {n: e(n) for n in ns}
+    return (
+        rows("annotations", "annotation", boxes | plain("id", "image_id", "category_id", "area", "iscrowd", "confidence", "mean_depth"))
+        .unionByName(rows("images", "image", plain("id", "width", "height", "frame_idx", "timestamp_ms") | {"name": e("file_name")}))
+        .unionByName(rows("categories", "category", {"id": e("id"), "name": F.concat(e("name"), F.lit("/"), e("supercategory"))}))
+    )
+
+
+_LABELS = """SELECT l.run_id, profile_name, l.frame_idx AS frame, round_even(coalesce(f.timestamp_ms,0)/1000.0,2) AS "t (s)", behavior AS behaviour,
+    round_even(confidence,2) AS confidence, coalesce(note||', "'||l.frame_idx||'"'||chr(10)||'end','') AS note FROM b_labels l LEFT JOIN b_frames f USING (run_id, frame_idx)"""
+_LABEL_FIELDS = "frame bigint, `t (s)` double, behaviour string, confidence double, note string"
+
+
+def _labels_out(t):
+    """Labels with notes that need quoting; frames that are unknown have the time 0."""
+    note = F.concat("note", F.lit(', "'), F.col("frame_idx").cast("string"), F.lit('"\nend'))
+    return be.export_rows(t.labels().withColumn("note", note), t.frames())
+
+
+@query("snk14_label_csv", _LABELS)
+def _snk14c(t):
+    path, rows = rd.scratch_dir(t.spark, "labels-csv"), _labels_out(t)
+    ex.write_csv(rows, path, ["run_id", "profile_name"])
+    back = ex.read_csv(t.spark, path, f"{_LABEL_FIELDS}, run_id bigint, profile_name string")
+    return back.withColumn("note", F.coalesce("note", F.lit(""))).select(*rows.columns)
+
+
+@query("snk14_label_json", _LABELS)
+def _snk14j(t):
+    path, rows = rd.scratch_dir(t.spark, "labels-json"), _labels_out(t)
+    ex.write_json(ex.label_documents(rows), path)
+    docs = rd.read_json(t.spark, path, "run_id bigint, profile_name string, part bigint, labels string")
+    entries = F.from_json("labels", f"array<struct<{_LABEL_FIELDS.replace(' bigint', ':bigint').replace(' double', ':double').replace(' string', ':string')}>>")
+    return docs.select("run_id", "profile_name", F.inline(entries)).select(*rows.columns)
+
+
 @query("prj6_pixel_boxes", f"WITH {_ANN} SELECT run_id, id, round_even(w,1) AS w, round_even(h,1) AS h, round_even(w*h,1) AS area FROM an")
 def _prj6(t):
     return _ann(t).select("run_id", "id", F.col("bbox")[2].alias("w"), F.col("bbox")[3].alias("h"), "area")

@@ -85,6 +85,18 @@ def _top1(t):
     return fr.select_scored(scored, RATE).withColumn("score", round_to(F.col("score"), 6))
 
 
+_MEDIA = _SELECT.replace(
+    "greatest(1.0, max(timestamp_ms)/1000.0)*{rate}", "greatest(1.0, coalesce(max(duration_s), max(timestamp_ms)/1000.0))*{rate}"
+).replace("FROM scored GROUP BY 1", "FROM scored LEFT JOIN (SELECT run_id, duration_s FROM b_media) USING (run_id) GROUP BY 1")
+
+
+@query("top1_media_length", f"WITH {_FEATURES}, {_MEDIA.format(rate=0.02, room='k-forced')}")
+def _top1m(t):
+    """Run lengths from the media table; runs without one last up to their last frame."""
+    scored = fr.frame_scores(t.frames(), t.detections())
+    return fr.select_scored(scored, 0.02, durations=t.media()).withColumn("score", round_to(F.col("score"), 6))
+
+
 @query("top1_fixed_k", f"WITH {_FEATURES}, {_SELECT.format(rate=RATE, room='12-forced')}")
 def _top1k(t):
     scored = fr.frame_scores(t.frames(), t.detections())

@@ -172,6 +172,82 @@ def _jon11s(t):
     return wanted.join(led.filter("n_units > 0"), ["run_id", "stage_name"], "left_anti")
 
 
+# --- stores in folders by run and key range ----------------------------------------------
+
+
+def _stored(t, name, keys, order, old, new):
+    """A store that is written whole, then gets the new rows in two upserts; its rows."""
+    store = kw.KeyedStore(t.spark, rd.scratch_dir(t.spark, name), keys, order, rows=32)
+    store.upsert(old.withColumn("seq", F.lit(0).cast("bigint")), old)
+    for k in (0, 1):
+        store.upsert(new.filter(F.pmod("run_id", F.lit(2)) == k), old)
+    return store.read(old)
+
+
+@query(
+    "snk1_store",
+    """WITH a AS (SELECT run_id, frame_idx, timestamp_ms, delta_score, -1 AS seq FROM b_frames
+      UNION ALL SELECT run_id, frame_idx, timestamp_ms, 1.0, 1 FROM b_frames WHERE is_keyframe
+      UNION ALL SELECT run_id, frame_idx+1, timestamp_ms, 2.0, 2 FROM b_frames WHERE is_keyframe)
+    SELECT run_id, frame_idx, arg_max(timestamp_ms, seq) AS timestamp_ms, arg_max(delta_score, seq) AS delta_score FROM a GROUP BY 1,2""",
+)
+def _snk1t(t):
+    got = _stored(t, "frame-store", ["run_id", "frame_idx"], "frame_idx", t.frames().select(*FR), _new_frames(t))
+    return got.select("run_id", "frame_idx", "timestamp_ms", "delta_score")
+
+
+@query(
+    "snk3_store",
+    "SELECT run_id, frame_idx, CASE WHEN delta_score>=20 THEN 'new/'||frame_idx ELSE 'depth/'||frame_idx||'.npy' END AS depth_path FROM b_frames WHERE is_keyframe OR delta_score>=20",
+)
+def _snk3t(t):
+    new = t.frames().filter("delta_score >= 20").select(
+        "run_id", "frame_idx", F.concat(F.lit("new/"), F.col("frame_idx").cast("string")).alias("depth_path"), F.lit(1).cast("bigint").alias("seq")
+    )
+    return _stored(t, "depth-store", ["run_id", "frame_idx"], "frame_idx", t.depth(), new)
+
+
+@query(
+    "snk5_store",
+    """SELECT run_id, frame_idx, CASE WHEN escalated THEN 'again' ELSE caption END AS caption, CASE WHEN escalated THEN NULL ELSE verifier_agrees END AS verifier_agrees FROM b_captions""",
+)
+def _snk5t(t):
+    """A caption written again replaces the whole row, its verdict too."""
+    c = t.captions()
+    new = c.filter("escalated").select("run_id", "frame_idx", F.lit("again").alias("caption"), F.lit(1).cast("bigint").alias("seq"))
+    for field in c.schema.fields:
+        if field.name not in new.columns:
+            new = new.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return _stored(t, "caption-store", ["run_id", "frame_idx"], "frame_idx", c, new).select("run_id", "frame_idx", "caption", "verifier_agrees")
+
+
+@query("snk7_store", f"WITH {_LEDGER} SELECT * FROM lg")
+def _snk7t(t):
+    """Stages in the order they finish, a third of all runs at a time."""
+    rows = t.timings().select("run_id", F.col("stage").alias("stage_name"), "elapsed_s", "n_units", F.col("event_id").alias("seq"))
+    like = rows.drop("seq")
+    store = kw.KeyedStore(t.spark, rd.scratch_dir(t.spark, "ledger-store"), ["run_id", "stage_name"])
+    for k in range(3):
+        store.upsert(rows.filter(F.pmod("run_id", F.lit(3)) == k), like)
+    return store.read(like)
+
+
+@query(
+    "snk8_store",
+    """SELECT run_id, stage AS key, arg_max(CASE WHEN n_units=0 THEN '' ELSE CAST(n_units AS VARCHAR) END, event_id) AS value FROM b_timings GROUP BY 1,2
+    HAVING arg_max(n_units, event_id)<>0""",
+)
+def _snk8t(t):
+    """Set once with a value for every key, then with the true ones, among which NULL deletes."""
+    n = F.col("n_units")
+    rows = t.timings().select("run_id", F.col("stage").alias("key"), F.when(n != 0, n.cast("string")).alias("value"), F.col("event_id").alias("seq"))
+    like = rows.drop("seq")
+    store = kw.KeyedStore(t.spark, rd.scratch_dir(t.spark, "meta-store"), ["run_id", "key"])
+    store.set_values(rows.withColumn("value", F.lit("first")), like)
+    store.set_values(rows, like)
+    return store.read(like)
+
+
 # --- readers ---------------------------------------------------------------------------
 
 
@@ -299,3 +375,8 @@ def _jon5(t):
 @query("jon5_displayed_lines", f"SELECT l.run_id, l.chunk_id, l.frame_idx, l.line, coalesce(f.timestamp_ms,0) AS timestamp_ms FROM {_LINES} l LEFT JOIN b_frames f USING (run_id, frame_idx)")
 def _jon5d(t):
     return ex.chunk_lines(_chunk_docs(t), t.frames())
+
+
+@query("src9_timing_rows", "SELECT run_id, stage, elapsed_s, n_units FROM b_timings")
+def _src9r(t):
+    return _written_log(t).select("run_id", "stage", "elapsed_s", "n_units")

@@ -4,22 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cinetrace.functions import round_to
 from cinetrace.operators.ordering import (
     drop_halo,
     first_n,
-    frame_position,
     halo_window,
     islands,
-    neighbour,
     percentiles,
     position,
     time_buckets,
     with_halo,
 )
 from cinetrace.settings import block_rows
-from cinetrace.sources.readers import checkpointed
+from cinetrace.sources.readers import Scratch
 
 KEYS = ["run_id", "profile_name"]
 
@@ -30,9 +29,53 @@ def _ordered(labels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _in_bouts(labels: DataFrame) -> DataFrame:
-    """Labels with the position their bout starts at and the time of the next label."""
-    rows = neighbour(_ordered(labels, KEYS), KEYS, {"next_ms": ("timestamp_ms", 1)})
-    return islands(rows, KEYS, ["behavior"], name="bout")
+    """Labels with their position, the label after them (``next_*``) and the position their bout starts at.
+
+    Labels are laid out once by profile and block of frames.  What a block needs of its neighbours (how
+    many rows came before, the label on either side, where the last bout began) crosses in one
+    summary row per block, all of it in one pass over the summaries.
+    """
+    keys = [*KEYS, "blk"]
+    frame = "frame_idx"
+    block = F.floor(F.col(frame) / block_rows(labels)).alias("blk")
+    inside = Window.partitionBy(*keys).orderBy(frame)
+    after = F.struct("behavior", frame, "timestamp_ms")
+    rows = labels.select("*", block).repartition(*keys)
+    rows = rows.select(
+        "*",
+        (F.row_number().over(inside) - 1).cast("bigint").alias("at"),
+        F.lag("behavior").over(inside).alias("said"),
+        F.lead(after).over(inside).alias("next"),
+    )
+    turned = (F.col("at") > 0) & ~F.col("behavior").eqNullSafe(F.col("said"))
+    blocks = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min_by(after, frame).alias("first"),
+        F.max_by("behavior", frame).alias("last"),
+        F.max(F.when(turned, F.col("at"))).alias("turn"),
+    )
+    along = Window.partitionBy(*KEYS).orderBy("blk")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        "*",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"),
+        F.lead("first").over(along).alias("first_after"),
+        (F.lag("n").over(along).isNull() | ~F.col("first.behavior").eqNullSafe(F.lag("last").over(along))).alias("opens"),
+    )
+    began = F.coalesce(F.col("offset") + F.col("turn"), F.when(F.col("opens"), F.col("offset")))
+    blocks = blocks.select(*keys, "offset", "first_after", "opens", F.max(began).over(earlier).alias("bout_before"))
+    rows = rows.join(blocks, keys)
+    starts = F.when(turned | ((F.col("at") == 0) & F.col("opens")), F.col("offset") + F.col("at"))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    then = F.coalesce("next", "first_after")
+    return rows.select(
+        *labels.columns,
+        (F.col("offset") + F.col("at")).alias("pos"),
+        then["timestamp_ms"].alias("next_ms"),
+        then["behavior"].alias("next_behavior"),
+        then[frame].alias("next_frame"),
+        F.coalesce(F.max(starts).over(so_far), F.col("bout_before")).alias("bout"),
+    )
 
 
 def bouts(labels: DataFrame) -> DataFrame:
@@ -61,7 +104,8 @@ def bout_statistics(labels: DataFrame) -> DataFrame:
 
     The figures read the bouts several times, so the (much smaller) bout table is written once.
     """
-    spans = checkpointed(bouts(labels).select(*KEYS, "behavior", (F.col("end_ms") - F.col("start_ms")).alias("ms")))
+    spans = bouts(labels).select(*KEYS, "behavior", (F.col("end_ms") - F.col("start_ms")).alias("ms"))
+    spans = Scratch(labels.sparkSession, "bouts").keep(spans, "bouts")
     keys = [*KEYS, "behavior"]
     seconds = lambda c: round_to(c / 1000.0, 2)
     basic = spans.groupBy(*keys).agg(
@@ -91,11 +135,9 @@ def budget(labels: DataFrame) -> DataFrame:
 
 
 def _changes(labels: DataFrame) -> DataFrame:
-    shifted = {"to_behavior": ("behavior", 1), "to_frame": ("frame_idx", 1)}
-    return (
-        neighbour(_ordered(labels, KEYS), KEYS, shifted)
-        .filter("to_behavior IS NOT NULL AND to_behavior <> behavior")
-        .withColumnRenamed("behavior", "from_behavior")
+    rows = _in_bouts(labels).filter("next_behavior IS NOT NULL AND next_behavior <> behavior")
+    return rows.select(
+        *KEYS, F.col("behavior").alias("from_behavior"), F.col("next_behavior").alias("to_behavior"), F.col("next_frame").alias("to_frame")
     )
 
 

@@ -9,7 +9,6 @@ from cinetrace.functions.text import TRIM_MARK, token_estimate, truncate_middle
 from cinetrace.functions.times import clock_text
 from cinetrace.operators.detections import frame_texts
 from cinetrace.operators.frames import _any_near
-from cinetrace.operators.intervals import interval_join
 from cinetrace.operators.ordering import (
     first_n,
     frame_position,
@@ -101,18 +100,60 @@ def registry_versions(mentions: DataFrame) -> DataFrame:
     )
 
 
-def registry_at(versions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The entities known to each given chunk.
+def registry_log(mentions: DataFrame) -> DataFrame:
+    """The changes of a run's registry in order, cut into blocks of as many changes as it has entities.
+
+    run_id, chunk_id, id, description, pos (0-based, by chunk and id), next_pos (of the same entity's next
+    change, null for none), known (entities of the run), block.
+    """
+    known = mentions.groupBy("run_id").agg(F.countDistinct("id").alias("known"))
+    order = [F.col("chunk_id"), F.col("id"), F.col("description")]
+    rows = position(mentions, ["run_id"], order, [F.floor(F.col("chunk_id") / block_rows(mentions))])
+    own = ["run_id", "id"]
+    rows = position(rows, own, [F.col("pos")], [F.floor(F.col("pos") / block_rows(mentions))], "nth")
+    rows = neighbour(rows, own, {"next_pos": ("pos", 1)}, "nth").drop("nth")
+    return rows.join(known, "run_id").withColumn("block", F.floor(F.col("pos") / F.col("known")))
+
+
+def registry_snapshots(log: DataFrame) -> DataFrame:
+    """run_id, block, id, description: the registry as each block of changes finds it.
+
+    A change is in the snapshots of the blocks that begin after it and not after the entity's next one.
+    As a block has as many changes as there are entities, all snapshots together are no longer than
+    the log; the registry of a chunk is one snapshot and the changes since.
+    """
+    ends = log.groupBy("run_id").agg(F.max("block").alias("last"))
+    first = F.floor(F.col("pos") / F.col("known")) + 1
+    last = F.coalesce(F.floor(F.col("next_pos") / F.col("known")), F.col("last"))
+    rows = log.join(ends, "run_id").withColumns({"from": first, "to": last}).filter(F.col("from") <= F.col("to"))
+    return rows.select("run_id", F.explode(F.sequence("from", "to")).alias("block"), "id", "description")
+
+
+def registry_of(log: DataFrame, snapshots: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The entities known to each given chunk: what changed before it, each with its latest description.
 
-    A version still in force ends with the last chunk of its run that is asked for.
+    A chunk finds its block by the number of changes before it; snapshot and changes then meet it by
+    run and block, in pieces no longer than the registry.
     """
-    last = chunks.groupBy("run_id").agg(F.max("chunk_id").alias("last"))
-    open_end = versions.join(last, "run_id").withColumn("to", F.coalesce("valid_to", "last")).drop("last")
-    open_end = open_end.filter("valid_from <= to")
-    probes = chunks.select("run_id", "chunk_id", F.col("chunk_id").alias("p0"), F.col("chunk_id").alias("p1"))
-    return interval_join(
-        probes, open_end, ["run_id"], ("p0", "p1"), ("valid_from", "to"), "both", 64
-    ).select("run_id", "chunk_id", "id", "description")
+    asked = chunks.select("run_id", "chunk_id").distinct()
+    both = log.select("run_id", "chunk_id", F.lit(1).alias("change")).unionByName(asked.withColumn("change", F.lit(0)))
+    order = [F.col("chunk_id"), F.col("change")]  # a chunk comes before its own changes
+    before = running(both, ["run_id"], F.floor(F.col("chunk_id") / block_rows(log)), order, F.col("change"), "upto", "sum", "before")
+    sizes = log.select("run_id", "known").distinct()
+    found = before.filter("change = 0 AND upto > 0").join(sizes, "run_id")
+    # the block in which the last change before the chunk lies
+    found = found.select("run_id", "chunk_id", "upto", F.floor((F.col("upto") - 1) / F.col("known")).alias("block"))
+    old = found.join(snapshots, ["run_id", "block"]).select("run_id", "chunk_id", "id", "description", F.lit(-1).cast("bigint").alias("pos"))
+    new = found.withColumnRenamed("chunk_id", "asked").join(log, ["run_id", "block"]).filter("pos < upto")
+    new = new.select("run_id", F.col("asked").alias("chunk_id"), "id", "description", "pos")
+    return old.unionByName(new).groupBy("run_id", "chunk_id", "id").agg(F.max_by("description", "pos").alias("description"))
+
+
+def registry_at(versions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The entities known to each given chunk, from their versions."""
+    mentions = versions.select("run_id", (F.col("valid_from") - 1).alias("chunk_id"), "id", "description")
+    log = Scratch(versions.sparkSession, "registry").keep(registry_log(mentions), "log")
+    return registry_of(log, registry_snapshots(log), chunks)
 
 
 def registry_blocks(known: DataFrame, chunks: DataFrame) -> DataFrame:

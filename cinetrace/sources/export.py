@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinetrace.functions import round_to
 from cinetrace.operators.detections import confident
-from cinetrace.operators.ordering import frame_position
+from cinetrace.operators.ordering import frame_position, position
+from cinetrace.settings import block_rows, part_rows
 
 
 def categories(detections: DataFrame) -> DataFrame:
@@ -57,6 +58,54 @@ def annotations(
     )
 
 
+def annotation_documents(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
+    """The annotation document of every run in numbered parts: run_id, part, images, annotations, categories.
+
+    A part holds at most ``partRows`` entries of each list; together the parts are the document, and
+    none of them grows with the run.
+    """
+    size = part_rows(annotations)
+    kinds = {
+        "images": (images.withColumn("pos", F.col("id")), ["id", "file_name", "width", "height", "frame_idx", "timestamp_ms"]),
+        "annotations": (
+            position(annotations, ["run_id"], [F.col("id")], [F.floor(F.col("id") / block_rows(annotations))]),
+            [c for c in annotations.columns if c != "run_id"],
+        ),
+        "categories": (
+            categories.withColumns({"pos": F.col("id") - 1, "supercategory": F.lit("object")}),
+            ["id", "name", "supercategory"],
+        ),
+    }
+    out = None
+    for name, (rows, fields) in kinds.items():
+        listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct(*fields).alias("entry")))), lambda s: s["entry"])
+        part = rows.groupBy("run_id", F.floor(F.col("pos") / size).alias("part")).agg(listed.alias(name))
+        out = part if out is None else out.join(part, ["run_id", "part"], "full")
+    return out.select("run_id", "part", *[F.coalesce(k, F.array()).alias(k) for k in kinds])
+
+
+def label_documents(rows: DataFrame) -> DataFrame:
+    """Exported labels as a JSON array per run and profile, in numbered parts."""
+    fields = [c for c in rows.columns if c not in ("run_id", "profile_name")]
+    keys = ["run_id", "profile_name"]
+    placed = position(rows, keys, [F.col("frame")], [F.floor(F.col("frame") / block_rows(rows))])
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct(*fields).alias("entry")))), lambda s: s["entry"])
+    part = F.floor(F.col("pos") / part_rows(rows)).alias("part")
+    return placed.groupBy(*keys, part).agg(F.to_json(listed, {"ignoreNullFields": "false"}).alias("labels"))
+
+
+def write_csv(df: DataFrame, path: str, by: list[str]) -> None:
+    """CSV files with a header; fields with separators, quotes or line ends are quoted, quotes doubled."""
+    df.write.mode("overwrite").partitionBy(*by).option("header", True).options(**_CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    return spark.read.schema(ddl).option("header", True).option("multiLine", True).options(**_CSV).csv(path)
+
+
+_CSV = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "enforceSchema": "false"}
+
+
 def caption_lines(
     chunks: DataFrame, visual: DataFrame, audio: DataFrame, correlations: DataFrame, video: str = "unknown"
 ) -> DataFrame:

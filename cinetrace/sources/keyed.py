@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinetrace.operators.ordering import first_per_key, position
 from cinetrace.settings import block_rows
+from cinetrace.sources.readers import exists
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,3 +95,77 @@ def write_runs(df: DataFrame, path: str, order: str) -> None:
         .partitionBy("run_id")
         .parquet(path)
     )
+
+
+RUNS = 256  # runs of neighbouring numbers that share a folder
+MOST_PARTS = 2000  # touched folders up to which they are named in the scan
+
+
+class KeyedStore:
+    """A stored table with a key, in folders by runs and, within them, by a range of keys.
+
+    A folder holds RUNS runs and, where ``order`` names a number in the key, one block of it, so a run
+    with most of the rows lies in many folders.  Writing reads and rewrites the folders that the new rows
+    fall into; the scan names them, and the files of all others stay as they are.  A write that is cut
+    off leaves the old folders, and can be tried again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: str | None = None, rows: int | None = None):
+        self.spark, self.path, self.keys, self.order, self.rows = spark, path, keys, order, rows
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        part = F.floor(F.col("run_id") / RUNS)
+        block = F.lit(0) if self.order is None else F.floor(F.col(self.order) / (self.rows or block_rows(df)))
+        return df.withColumns({"__runs": part.cast("bigint"), "__keys": block.cast("bigint")})
+
+    def _stored(self, ddl_of: DataFrame) -> DataFrame:
+        if not exists(self.spark, self.path):
+            return self._placed(ddl_of.filter("false"))
+        schema = self._placed(ddl_of).schema
+        return self.spark.read.schema(schema).parquet(self.path)
+
+    def read(self, like: DataFrame) -> DataFrame:
+        """All rows, in the shape of ``like``."""
+        return self._stored(like).filter("run_id IS NOT NULL").select(*like.columns)
+
+    def touched(self, changes: DataFrame, like: DataFrame) -> DataFrame:
+        """Stored rows of the folders that the changes fall into."""
+        parts = self._placed(changes.select("run_id", *([self.order] if self.order else []))).select("__runs", "__keys").distinct()
+        named = parts.limit(MOST_PARTS + 1).collect()
+        stored = self._stored(like).filter("run_id IS NOT NULL")
+        if len(named) > MOST_PARTS:
+            return stored.join(parts, ["__runs", "__keys"], "left_semi")
+        by_runs: dict[int, list[int]] = {}
+        for r in named:
+            by_runs.setdefault(r["__runs"], []).append(r["__keys"])
+        where: Column = F.lit(False)
+        for runs, keys in by_runs.items():
+            where = where | ((F.col("__runs") == runs) & F.col("__keys").isin(keys))
+        return stored.filter(where)
+
+    def upsert(self, new: DataFrame, like: DataFrame) -> None:
+        """Whole-row replace: the row of the highest ``seq`` per key takes the place of the stored one."""
+        old = self.touched(new, like).select(*like.columns)
+        self._rewrite(upsert(old, new, self.keys))
+
+    def set_values(self, changes: DataFrame, like: DataFrame) -> None:
+        """As ``upsert`` of key and value; a key whose newest value is NULL goes."""
+        old = self.touched(changes, like).select(*like.columns)
+        self._rewrite(upsert(old, changes, self.keys), F.col("value").isNotNull())
+
+    def _rewrite(self, rows: DataFrame, stays: Column | None = None) -> None:
+        """Write whole folders.  Only a folder that is written is replaced, so one that loses rows gets a row without a run."""
+        placed = self._placed(rows)
+        if stays is not None:
+            gone = placed.filter(~stays).select("__runs", "__keys").distinct()
+            empty = [F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("__runs", "__keys") else F.col(f.name) for f in placed.schema.fields]
+            placed = placed.filter(stays).unionByName(gone.select(*empty))
+        spread = ["__runs", "__keys", *[k for k in self.keys if k in placed.columns]]
+        (
+            placed.repartitionByRange(*spread)
+            .sortWithinPartitions(*spread)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("__runs", "__keys")
+            .parquet(self.path)
+        )

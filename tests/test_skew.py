@@ -134,3 +134,71 @@ def test_token_passes_of_many_blocks(spark, monkeypatch):
         if spent + fixed + size * image + reply > 60_000:
             number, spent = number + 1, 0
     assert sorted(tuple(r) for r in got) == want
+
+
+def test_percentiles_with_an_outlier_split_only_the_cell_that_matters(spark, monkeypatch):
+    """One far value puts all others into one cell: it is cut again, and no window sees more than its cells."""
+    rnd = random.Random(12)
+    values = [rnd.random() for _ in range(3000)] + [1e12, -1e300]
+    df = spark.createDataFrame([(1, v) for v in values] + [(2, 5.0)] * 50 + [(3, float("nan")), (3, None), (3, 1.0)], "run_id long, v double")
+    monkeypatch.setattr(ordering, "CELLS", 16)
+    rounds = []
+    real = ordering.Scratch.keep
+    monkeypatch.setattr(ordering.Scratch, "keep", lambda self, d, name: rounds.append(name) or real(self, d, name))
+    got = {r.run_id: r for r in ordering.percentiles(df, ["run_id"], "v", {"a": 0.5, "b": 0.9, "c": 1.0, "d": 0.0}).collect()}
+    assert np.isclose(got[1].a, np.percentile(values, 50)) and np.isclose(got[1].b, np.percentile(values, 90))
+    assert (got[1].c, got[1].d) == (1e12, -1e300) and (got[2].a, got[3].a) == (5.0, 1.0)
+    assert rounds.count("ranks") < 12
+
+
+def test_ranks_of_a_constant_score_are_spread(spark):
+    """All rows of a run share a score off any grid; range partitions cut the run all the same."""
+    rows = [(1, i, 0.123456789) for i in range(2000)] + [(2, i, float(i % 3)) for i in range(50)]
+    df = spark.createDataFrame(rows, "run_id long, frame_idx long, score double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ordering.ranked(df, ["run_id"], [F.col("score").desc(), F.col("frame_idx")]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for run, part in by_run(rows).items():
+        want = [r[1] for r in sorted(part, key=lambda r: (-r[2], r[1]))]
+        assert [r.frame_idx for r in sorted((r for r in got if r.run_id == run), key=lambda r: r["rank"])] == want
+
+
+def test_frame_comparison_has_few_exchanges(spark):
+    """Frames and detections are laid out once each; one row per block crosses a block edge."""
+    from conftest import DATA
+
+    from cinetrace.bindings import Tables
+    from cinetrace.operators import frames
+
+    t = Tables(spark, DATA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = frames.frame_scores(t.frames(), t.detections())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    lines = [x for x in plan.splitlines() if "Exchange" in x and "Reused" not in x]
+    assert len(lines) <= 6 and sum("Scan parquet" in x for x in plan.splitlines()) <= 4, plan
+
+
+def test_registry_log_is_no_longer_than_its_changes(spark):
+    """Snapshots grow with the changes, not with chunks times entities."""
+    from cinetrace.plans import context
+
+    rnd = random.Random(8)
+    rows = [(1, c, f"E{rnd.randrange(12)}", f"v{c}") for c in range(0, 900, 3)] + [(2, 5, "E1", "x")]
+    mentions = spark.createDataFrame(rows, "run_id long, chunk_id long, id string, description string")
+    chunks = spark.createDataFrame([(r, c) for r in (1, 2, 3) for c in range(0, 905, 7)], "run_id long, chunk_id long")
+    log = context.registry_log(mentions)
+    snapshots = context.registry_snapshots(log)
+    assert snapshots.count() <= len(rows)
+    got = {(r.run_id, r.chunk_id, r.id): r.description for r in context.registry_of(log, snapshots, chunks).collect()}
+    want = {}
+    for run, chunk in ((r, c) for r in (1, 2, 3) for c in range(0, 905, 7)):
+        for r, c, i, d in rows:
+            if r == run and c < chunk:
+                want[run, chunk, i] = d
+    assert got == want
