@@ -29,7 +29,7 @@ TERM = r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)"
 MIN_DOCS = 10
 TOP = 10
 UNIT = 1_000_000_000
-PIECE = 12 << 20  # bytes of text that a task counts before it passes the sums on
+PIECE = 8 << 20  # bytes of text that a task counts before it passes the sums on
 ROWS = 64  # rows that a piece grows by
 BUCKET = 4 << 20  # bytes of text for each bucket of chunks, so that buckets do not grow with the input
 BLOCK = 256  # terms that are compared between sources at once
@@ -93,9 +93,10 @@ def _uses(rows: pa.Table, wanted: np.ndarray | None = None) -> _Uses:
     key += code
     if not kept.all():
         key = key[kept[code]]
+    del code
     key.sort()
-    fresh = np.flatnonzero(np.diff(key, prepend=-1))
-    n = np.diff(fresh, append=len(key))
+    fresh = _starts(key)
+    n = np.diff(fresh, append=len(key)).astype(np.int32)
     columns = {}
     for name in rows.column_names:
         if name != "text":
@@ -105,6 +106,17 @@ def _uses(rows: pa.Table, wanted: np.ndarray | None = None) -> _Uses:
     return _Uses(chunks, crcs, (key // size).astype(np.int32), (key % size).astype(np.int32), n, columns)
 
 
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal sorted keys begin."""
+    first = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=first[1:])
+    return np.flatnonzero(first)
+
+
+def _ints(values: np.ndarray) -> pa.Array:
+    return pa.array(values.astype(np.int32))
+
+
 def _lists(values: pa.Array, cuts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values)
 
@@ -113,10 +125,15 @@ def _by_bucket(crcs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray,
     """Order of chunks by bucket, the buckets that occur, and where each begins and the last ends."""
     of = crcs % buckets
     order = np.argsort(of, kind="stable")
-    first = np.flatnonzero(np.diff(of[order], prepend=-1))
+    first = _starts(of[order])
     return order, of[order][first], np.append(first, len(order))
 
 
+def _repeated(names: pa.Array, n: int) -> pa.Array:
+    """The same names in every row."""
+    return _lists(names.take(_ints(np.tile(np.arange(len(names)), n))), np.arange(n + 1) * len(names))
+
+
 def _document_counts(piece: int, buckets: int):
     """In how many documents of a piece each chunk stands; one row per bucket of chunks."""
 
@@ -132,11 +149,12 @@ def _document_counts(piece: int, buckets: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(bucket),
-                    _lists(langs.take(pa.array((key // size)[order])), cuts),
+                    _repeated(langs, len(bucket)),
+                    _lists(_ints((key // size)[order]), cuts),
                     _lists(chunks.take(at), cuts),
-                    _lists(pa.array(docs[order].astype(np.int64)), cuts),
+                    _lists(_ints(docs[order]), cuts),
                 ],
-                ["bucket", "langs", "chunks", "docs"],
+                ["bucket", "langs", "lang", "chunks", "docs"],
             )
 
     return run
@@ -155,14 +173,21 @@ def _flat(rows: pa.Table, name: str) -> pa.Array:
     return (column.chunk(0) if isinstance(column, pa.ChunkedArray) else column).flatten()
 
 
+def _named(rows: pa.Table, names: str, codes: str) -> tuple[np.ndarray, pa.Array]:
+    """Codes that hold for all rows, and their names; each row has numbered its own."""
+    (own,), dictionary = _codes(_flat(rows, names))
+    sizes = [pc.list_value_length(rows.column(c)).to_numpy() for c in (names, codes)]
+    return own[_flat(rows, codes).to_numpy() + np.repeat(np.cumsum(sizes[0]) - sizes[0], sizes[1])], dictionary
+
+
 def _add_up(rows: pa.Table) -> pa.Table:
     """The distinct chunks of a bucket, each with its documents by language."""
-    (lang,), langs = _codes(_flat(rows, "langs"))
+    lang, langs = _named(rows, "langs", "lang")
     (chunk,), chunks = _codes(_flat(rows, "chunks"))
     key, at = np.unique(chunk * len(langs) + lang, return_inverse=True)
     docs = np.zeros(len(key), np.int64)
     np.add.at(docs, at, _flat(rows, "docs").to_numpy())
-    first = np.flatnonzero(np.diff(key // len(langs), prepend=-1))
+    first = _starts(key // len(langs))
     cuts = np.append(first, len(key))
     columns = [chunks.take(pa.array(key[first] // len(langs))), _lists(langs.take(pa.array(key % len(langs))), cuts), _lists(pa.array(docs), cuts)]
     return pa.Table.from_arrays(columns, ["chunk", "langs", "docs"])
@@ -171,7 +196,7 @@ def _add_up(rows: pa.Table) -> pa.Table:
 def _source_counts(wanted: bytes, doubtful: bytes, piece: int, buckets: int):
     """Uses of each wanted chunk by source, and the documents of doubtful ones; one row per bucket of chunks.
 
-    ``sizes`` of ``sources`` and ``ns``, and ``told`` of ``ids``, belong to each of ``chunks``.
+    ``sizes`` of ``source`` and ``ns``, and ``told`` of ``ids``, belong to each of ``chunks``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +212,10 @@ def _source_counts(wanted: bytes, doubtful: bytes, piece: int, buckets: int):
             key = (place[uses.code] * len(langs) + lang[uses.doc]) * most + source[uses.doc]
             order2 = np.argsort(key, kind="stable")
             key, doc, n = key[order2], uses.doc[order2], uses.n[order2]
-            each = np.flatnonzero(np.diff(key, prepend=-1))  # of chunk, language and source
+            each = _starts(key)  # of chunk, language and source
             sums = np.add.reduceat(n, each) if len(n) else n
             pair = key[each] // most
-            row = np.flatnonzero(np.diff(pair, prepend=-1))  # of chunk and language
+            row = _starts(pair)  # of chunk and language
             code = order[pair[row] // max(1, len(langs))]
             _, bucket, cuts = _by_bucket(uses.crcs[code], buckets)
             spread = np.append(row, len(each))
@@ -200,15 +225,17 @@ def _source_counts(wanted: bytes, doubtful: bytes, piece: int, buckets: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(bucket),
-                    _lists(langs.take(pa.array(pair[row] % max(1, len(langs)))), cuts),
+                    _repeated(langs, len(bucket)),
+                    _lists(_ints(pair[row] % max(1, len(langs))), cuts),
                     _lists(uses.chunks.take(pa.array(code)), cuts),
-                    _lists(pa.array(np.diff(spread).astype(np.int64)), cuts),
-                    _lists(sources.take(pa.array(key[each] % most)), spread[cuts]),
-                    _lists(pa.array(sums.astype(np.int64)), spread[cuts]),
-                    _lists(pa.array(told.astype(np.int64)), cuts),
-                    _lists(pa.array(ids.astype(np.int64)), np.append(0, np.cumsum(told))[cuts]),
+                    _lists(_ints(np.diff(spread)), cuts),
+                    _repeated(sources, len(bucket)),
+                    _lists(_ints(key[each] % most), spread[cuts]),
+                    _lists(_ints(sums), spread[cuts]),
+                    _lists(_ints(told), cuts),
+                    _lists(pa.array(ids), np.append(0, np.cumsum(told))[cuts]),
                 ],
-                ["bucket", "langs", "chunks", "sizes", "sources", "ns", "told", "ids"],
+                ["bucket", "langs", "lang", "chunks", "sizes", "sources", "source", "ns", "told", "ids"],
             )
 
     return run
@@ -217,9 +244,11 @@ def _source_counts(wanted: bytes, doubtful: bytes, piece: int, buckets: int):
 def _terms_back(counts: pa.Table, wanted: pa.Table) -> pa.Table:
     """Join the terms of a bucket's chunks back: uses by language, term and source; documents of open terms."""
     names = ["lang", "term", "source", "n", "id"]
-    (lang, want_lang), langs = _codes(_flat(counts, "langs"), wanted.column("lang"))
+    own_lang, own_langs = _named(counts, "langs", "lang")
+    (own_names, want_lang), langs = _codes(own_langs, wanted.column("lang"))
+    lang = own_names[own_lang]
     (chunk, want_chunk), _ = _codes(_flat(counts, "chunks"), wanted.column("chunk"))
-    (source,), sources = _codes(_flat(counts, "sources"))
+    source, sources = _named(counts, "sources", "source")
     (term,), terms = _codes(wanted.column("term"))
     key, want = chunk * len(langs) + lang, want_chunk * len(langs) + want_lang
     order = np.argsort(want, kind="stable")
@@ -283,8 +312,8 @@ def count_terms(
     """
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(16, total // BUCKET)
-    packed = "bucket long, langs array<string>, chunks array<string>"
-    counted = docs.select("text", "lang").mapInArrow(_document_counts(piece, buckets), f"{packed}, docs array<long>")
+    packed = "bucket long, langs array<string>, lang array<int>, chunks array<string>"
+    counted = docs.select("text", "lang").mapInArrow(_document_counts(piece, buckets), f"{packed}, docs array<int>")
     vocabulary = counted.groupBy("bucket").applyInArrow(_add_up, "chunk string, langs array<string>, docs array<long>")
     vocabulary = scratch.keep(vocabulary.withColumn("terms", terms_of(F.col("chunk"))).filter(F.size("terms") > 0), "vocabulary")
     found = vocabulary.select("chunk", "terms", F.inline(F.arrays_zip(F.col("langs").alias("lang"), F.col("docs").alias("docs"))))
@@ -295,7 +324,7 @@ def count_terms(
     wanted = scratch.keep(wanted.withColumn("bucket", F.pmod(F.crc32(F.col("chunk").cast("binary")), F.lit(buckets))), "wanted")
     counts = docs.select("text", "lang", "source").mapInArrow(
         _source_counts(_prints(wanted, bits), _prints(wanted.filter("open"), bits), piece, buckets),
-        f"{packed}, sizes array<long>, sources array<string>, ns array<long>, told array<long>, ids array<long>",
+        f"{packed}, sizes array<int>, sources array<string>, source array<int>, ns array<int>, told array<int>, ids array<long>",
     )
     uses = counts.groupBy("bucket").cogroup(wanted.groupBy("bucket"))
     uses = uses.applyInArrow(_terms_back, "lang string, term string, source string, n long, id long")
