@@ -3,7 +3,9 @@
 Every text becomes the set of its distinct five-word shingles (64-bit hashes).  Under each of
 ``PERMUTATIONS`` permutations both the smallest and the largest shingle are kept, so a signature of
 ``2 * PERMUTATIONS`` values costs half the hash evaluations.  The values are banded; texts that
-agree in a band are candidates, and every candidate link is confirmed on the full sets.
+agree in a band are candidates, and every candidate link is confirmed on the full sets.  In small
+sets minimum and maximum depend on each other and bands miss more, so these are also filed under
+their first shingles in the order of hashes, as many as one of which any linked set must share.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from cinetrace.llm.graph import components
 WORDS = 5
 PERCENT = 75  # of the union, for a link
 PERMUTATIONS = 64  # a minimum and a maximum each: 128 values
-ROWS = 4  # values per band: 32 bands; a pair at 0.75 shares none with probability 5e-6
+ROWS = 4  # values per band: 32 bands; a pair of large sets at 0.75 shares none with probability 5e-6
+SMALL = 32  # sets of fewer shingles are joined exactly
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,6 +79,16 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return _mixed(acc + np.arange(parts.shape[1], dtype=np.uint64) * _MIX)
 
 
+def first_shingles(shingles: np.ndarray) -> np.ndarray:
+    """Keys of the least shingles of a sorted set, of which every linked set has one among its own.
+
+    A linked set shares PERCENT of this one's shingles at least, so it misses fewer than are kept here;
+    and the least shared shingle of two sets lies among the first of both.
+    """
+    n = len(shingles)
+    return _mixed(shingles[: n - -(-n * PERCENT // 100) + 1] + _MIX)
+
+
 _SIGNED = "id long, text_hash long, n_shingles long, set_key binary, bands array<long>"
 
 
@@ -87,7 +100,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if full:
             found = bands(signatures([sets[i] for i in full])).view(np.int64)
             for i, row in zip(full, found):
-                rows[i] = row
+                rows[i] = row if len(sets[i]) >= SMALL else np.concatenate([row, first_shingles(sets[i]).view(np.int64)])
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("id"),
@@ -301,10 +314,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     linked = roots.withColumnRenamed("node", "set_key")
     best = best.join(linked, "set_key", "left").groupBy(F.coalesce("root", "set_key")).agg(F.min("best").alias("best"))
     best = best.select(F.col("best.id").alias("__id"), F.col("best.text_hash").alias("__hash"), F.lit(True).alias("__best"))
-    own = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(text_col, F.lit("")))).withColumn(
-        "__none", F.length(F.translate(F.coalesce(text_col, F.lit("")), SPACE, "")) == 0
-    )
+    none = F.length(F.translate(F.coalesce(text_col, F.lit("")), SPACE, "")) == 0
+    own = docs.filter(~none).withColumn("__text_hash", F.xxhash64(text_col))
     same = (F.col("__text_hash") == F.col("__hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
     again = W.partitionBy(id_col, "__text_hash").orderBy(F.lit(0))
-    kept = own.join(best, same, "left").filter("__none or __best").withColumn("__n", F.row_number().over(again))
-    return kept.filter("__none or __n = 1").select(docs.columns)
+    kept = own.join(best, same).withColumn("__n", F.row_number().over(again)).filter("__n = 1")
+    return kept.select(docs.columns).unionByName(docs.filter(none))

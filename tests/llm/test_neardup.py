@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cinetrace.llm import neardup
@@ -87,3 +88,27 @@ def test_one_very_long_text(docs):
     text = " ".join(f"x{i % 9973} y{i}" for i in range(150_000))
     got = neardup.groups(docs([(1, text), (2, text + " tail"), (3, "short one")])).collect()
     assert sorted((r[0], r[2]) for r in got) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_small_sets_at_the_threshold_always_share_a_key():
+    """20,000 pairs at or just above 0.75: the least shared shingle is among the first of both."""
+    r = np.random.default_rng(3)
+    for _ in range(20_000):
+        n = int(r.integers(2, neardup.SMALL))
+        common = r.integers(0, 2**63, n, dtype=np.uint64)
+        more = int(r.integers(0, n // 3 + 1))  # 100 n >= 75 (n + more)
+        one = int(r.integers(0, more + 1))
+        a = np.unique(np.concatenate([common, r.integers(0, 2**63, one, dtype=np.uint64)]))
+        b = np.unique(np.concatenate([common, r.integers(0, 2**63, more - one, dtype=np.uint64)]))
+        assert 100 * len(common) >= 75 * len(np.union1d(a, b))
+        assert len(np.intersect1d(neardup.first_shingles(a), neardup.first_shingles(b)))
+
+
+def test_short_texts_with_three_of_four_shingles(docs):
+    """Seven and eight words: three of four shingles in common, each pair a group."""
+    rows = []
+    for i in range(400):
+        words = [f"w{i}x{k}" for k in range(8)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:7]))]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(docs(rows)).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(400))
