@@ -9,6 +9,9 @@ beyond the radius are found by anchors: a window of similarity SIMILARITY holds
 item's shingles at least, so it holds one of any shingles that make up more than the rest, and those
 of each item are looked up exactly.  All these windows are verified by the weighted Jaccard
 similarity of their bags of five-word shingles.
+
+Items of fewer than MIN_WORDS words have no windows of their own; as any edit takes them below
+SIMILARITY, their whole word sequences are looked up exactly.
 """
 
 from __future__ import annotations
@@ -26,13 +29,14 @@ from cinetrace.llm.common import slices, text_bytes, texts_of
 
 SHINGLE = 5
 SIMILARITY = 0.75
-MIN_WORDS = 8  # shorter items would hit ordinary prose and are not searched
+MIN_WORDS = 8  # shorter items are looked up as they are
 GROWTH = 1.5  # from one length class to the next
 BLOCKS, RADIUS = 4, 7
 SLICE_WORDS = 500_000  # benchmark words that travel to the tasks at once; more are searched in turn
 _STEP = 1 << 13  # windows fingerprinted together
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_ORDERED = np.random.default_rng(22).integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = np.random.default_rng(21).integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -50,6 +54,14 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return (acc ^ (acc >> np.uint64(32))) * _MIX
 
 
+def sequences(words: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the ``n`` words from each word on that has so many."""
+    acc = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for j in range(n):
+        acc += words[j : len(words) - n + 1 + j] * _ORDERED[j]
+    return (acc ^ (acc >> np.uint64(32))) * _MIX
+
+
 def bag(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles and their weights, the times they occur."""
     return np.unique(shingles(words), return_counts=True)
@@ -150,12 +162,21 @@ class Index:
     items: list[tuple[int, np.ndarray]]
 
     def __post_init__(self):
+        # short items by length: sorted hashes and the items that have them
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({len(w) for _, w in self.items if 0 < len(w) < MIN_WORDS}):
+            own = np.array([i for i, (_, w) in enumerate(self.items) if len(w) == n])
+            keys = np.concatenate([sequences(self.items[i][1], n) for i in own])
+            order = np.argsort(keys, kind="stable")
+            self.short[n] = keys[order], own[order]
+        self.long = np.array([i for i, (_, w) in enumerate(self.items) if len(w) >= MIN_WORDS], np.int64)
         self.bags = [bag(w) for _, w in self.items]
         sizes = [MIN_WORDS]
         while sizes[-1] * GROWTH <= max((len(w) for _, w in self.items), default=0):
             sizes.append(int(sizes[-1] * GROWTH))
         parts: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
-        for i, (_, w) in enumerate(self.items):
+        for i in self.long.tolist():
+            w = self.items[i][1]
             size = max(s for s in sizes if s <= len(w))
             at = np.unique([0, (len(w) - size) // 2, len(w) - size])
             parts.setdefault(size, []).append((fingerprints(w, size)[at], at, i))
@@ -168,10 +189,14 @@ class Index:
             )
             for size, own in sorted(parts.items())
         ]
-        self.sizes = [max(s for s in sizes if s <= len(w)) for _, w in self.items]
-        times = _times([codes for codes, _ in self.bags])
+        self.sizes = {i: max(s for s in sizes if s <= len(self.items[i][1])) for i in self.long.tolist()}
         anchors = []
-        for (codes, n), of in zip(self.bags, times):
+        if len(self.long):
+            self._file_anchors(anchors)
+
+    def _file_anchors(self, anchors: list[np.ndarray]) -> None:
+        bags = [self.bags[i] for i in self.long.tolist()]
+        for (codes, n), of in zip(bags, _times([codes for codes, _ in bags])):
             order = np.argsort(of, kind="stable")  # those of fewest items first
             total = int(n.sum())
             # without these, less than SIMILARITY of the item is left
@@ -179,7 +204,7 @@ class Index:
             anchors.append(codes[order[:enough]])
         keys = np.concatenate(anchors)
         order = np.argsort(keys, kind="stable")
-        self.owners = np.repeat(np.arange(len(anchors)), [len(a) for a in anchors])[order]
+        self.owners = np.repeat(self.long, [len(a) for a in anchors])[order]
         self.anchors, first = np.unique(keys[order], return_index=True)
         self.firsts = np.append(first, len(keys))
         self.used = np.zeros(1 << 20, bool)
@@ -187,7 +212,7 @@ class Index:
 
     def anchored(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Columns (document, item, first word, distance) of all windows that may be similar enough."""
-        if len(words) < SHINGLE:
+        if len(words) < SHINGLE or not len(self.long):
             return np.empty((4, 0), np.int64)
         own = shingles(words)
         hit = np.flatnonzero(self.used[own >> np.uint64(44)])
@@ -216,6 +241,22 @@ class Index:
             found += [(d, i, p, self._distance(words[p : bounds[d + 1]], i)) for p in start.tolist()]
         return np.array(found, np.int64).reshape(-1, 4).T
 
+    def short_hits(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Columns (document, item, first word, distance) of every place where a short item stands word for word."""
+        found = [np.empty((4, 0), np.int64)]
+        for n, (keys, items) in self.short.items():
+            own = sequences(words, n)
+            low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            hit = np.flatnonzero(high > low)
+            doc = np.searchsorted(bounds, hit, side="right") - 1
+            inside = hit + n <= bounds[doc + 1]
+            hit, doc = hit[inside], doc[inside]
+            many = high[hit] - low[hit]
+            row = np.repeat(np.arange(len(hit)), many)
+            item = items[low[hit][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]
+            found.append(np.stack([doc[row], item, hit[row], np.zeros(len(row), np.int64)]))
+        return np.concatenate(found, axis=1)
+
     def _distance(self, words: np.ndarray, i: int) -> int:
         """Bits that differ between the beginnings of a window and of an item."""
         size = min(self.sizes[i], len(words))
@@ -249,6 +290,7 @@ class Index:
                 start = np.maximum(window + at - c.offsets[entry], bounds[doc])
                 hits.append(np.stack([doc, item, start, distance])[:, inside])
         hits.append(self.anchored(words, bounds))
+        hits.append(self.short_hits(words, bounds))
         best: list[dict[int, tuple]] = [{} for _ in docs]
         if hits:
             rows = np.concatenate(hits, axis=1)
@@ -274,7 +316,7 @@ def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "te
     for k in range(slices):
         part = own.filter(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k).distinct()
         items = [(r["item"], words_of(r["text"].encode())) for r in part.orderBy("item", "text").collect()]
-        items = [x for x in items if len(x[1]) >= MIN_WORDS]
+        items = [x for x in items if len(x[1])]
         if items:
             yield Index(items)
 
@@ -292,8 +334,8 @@ def find_leaks(
 ) -> DataFrame:
     """(id, item_id, first_word, words, similarity, distance): the best window per document and item.
 
-    Null and empty texts have no windows; items that are null or shorter than MIN_WORDS are not
-    searched.  Repeated documents are reported row by row, repeated items once per id and text.
+    Null and empty texts have no windows, null and empty items are not searched.  Repeated documents are
+    reported row by row, repeated items once per id and text.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -321,7 +363,11 @@ def find_leaks(
 def without_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` without the rows that hold an item; the columns stay as they are."""
+    """``docs`` without the rows that hold an item; the columns stay as they are.
+
+    An item of fewer than SHINGLE words is part of ordinary prose: it takes a document with it only if the
+    document has no other word.
+    """
     kept = docs
     for index in indexes(benchmark, text_col=item_text_col):
         kept = kept.filter(_clean(docs.sparkSession.sparkContext.broadcast(index))(text_col))  # bounded by SLICE_WORDS
@@ -333,7 +379,8 @@ def _clean(sent):
     def clean(texts: pa.Array) -> pa.Array:
         out: list[bool] = []
         for part in slices(texts):
-            out += [not m for m in sent.value.matches([words_of(t) for t in text_bytes(part)])]
+            words = [words_of(t) for t in text_bytes(part)]
+            out += [not any(m[2] >= SHINGLE or m[2] == len(w) for m in found) for w, found in zip(words, sent.value.matches(words))]
         return pa.array(out, pa.bool_())
 
     return clean

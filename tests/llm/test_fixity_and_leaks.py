@@ -127,3 +127,31 @@ def test_no_edit_within_the_similarity_hides_a_leak(size):
                 truth.append({k} if best >= 0.75 else set())
     assert any(truth) or size < 11
     assert [{m[0] for m in own} for own in index.matches(docs)] == truth
+
+
+def test_short_items_are_found_word_for_word(spark, docs):
+    """Items of one to seven words: every place is found, and only exact ones."""
+    france = "what is the capital of France ?"
+    bench = spark.createDataFrame(
+        [(1, france), (2, "yes"), (3, "a b c d"), (4, "one two three four five"), (5, "ONE two three four five")], "item_id long, text string"
+    )
+    rows = [
+        (1, f"Quiz: {france.upper()} Paris ."),
+        (2, "what is the capital of Spain ?"),
+        (3, "well yes , of course"),
+        (4, " YES\n"),
+        (5, "x a b c d y a b c d"),
+        (6, "zero one two three four five six"),
+        (7, "one two three four 5"),
+        (8, " ".join(f"w{i}" for i in range(60_000)) + " " + france),  # a very long text
+        (9, None),
+        (10, "a b c"),
+    ]
+    found = decontaminate.find_leaks(docs(rows), bench).collect()
+    got = {(r["doc_id"], r["item_id"], r["first_word"], r["words"], r["similarity"], r["distance"]) for r in found}
+    assert got == {
+        (1, 1, 1, 7, 1.0, 0), (3, 2, 1, 1, 1.0, 0), (4, 2, 0, 1, 1.0, 0), (5, 3, 1, 4, 1.0, 0),
+        (6, 4, 1, 5, 1.0, 0), (6, 5, 1, 5, 1.0, 0), (8, 1, 60_000, 7, 1.0, 0),
+    }
+    kept = {r["doc_id"] for r in decontaminate.without_leaks(docs(rows), bench).collect()}
+    assert kept == {2, 3, 5, 7, 9, 10}
