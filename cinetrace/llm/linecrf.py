@@ -21,7 +21,7 @@ from cinetrace.llm.common import slices, text_bytes
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of the words
 MIN_CONTENT = 0.5  # share of the words in content lines
-MAX_LABELLED, MAX_LINES = 4_000, 400  # documents of the fit, and lines of the longest one
+MAX_LABELLED, MAX_LINES = 4_000, 400  # documents and spans of the fit, and lines of the longest span
 EPOCHS, RATE, DECAY = 120, 0.1, 1e-3
 SYMBOLS = b"#*$%&|<>"
 _SPACES, _UPPER, _DIGITS = b" \t\n\x0b\f\r", bytes(range(65, 91)), bytes(range(48, 58))
@@ -203,20 +203,26 @@ def train(
 ) -> Chain:
     """Fit on at most ``max_labelled`` labelled documents, chosen by the hash of their ids.
 
-    Training documents of more than MAX_LINES lines are left out; only feature bits reach the driver.
+    Only labels that have a document count.  Documents of more than MAX_LINES lines are cut into spans of
+    so many, and of all spans as many are taken as of documents, the first of each document before the
+    others; only their feature bits reach the driver.
     """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     known = labels.filter("doc_id is not null and quality is not null")
     known = known.groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
+    known = known.join(rows.select("id"), "id", "left_semi")
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    rows = rows.filter(F.size(F.split("text", "\n", MAX_LINES + 1)) <= MAX_LINES).join(chosen, "id")
 
-    @F.arrow_udf("array<long>")
-    def bits_of(texts: pa.Array) -> pa.Array:
-        return pa.array([line_features(t)[0] for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
+    @F.arrow_udf("array<array<long>>")
+    def spans_of(texts: pa.Array) -> pa.Array:
+        found = (line_features(t)[0] for t in texts.cast(pa.binary()).to_pylist())
+        return pa.array([[b[i : i + MAX_LINES] for i in range(0, len(b), MAX_LINES)] for b in found], pa.list_(pa.list_(pa.int64())))
 
-    rows = rows.select("id", F.struct("quality", bits_of("text").alias("bits")).alias("r"))
-    got = [r["r"] for r in sorted(rows.groupBy("id").agg(F.min("r").alias("r")).collect(), key=lambda r: r["id"])]
+    rows = rows.join(chosen, "id").select("id", "quality", spans_of("text").alias("spans"))
+    rows = rows.groupBy("id").agg(F.min(F.struct("quality", "spans")).alias("r"))  # of repeated ids one
+    rows = rows.select("id", "r.quality", F.posexplode("r.spans").alias("at", "bits"))
+    rows = rows.orderBy((F.col("at") > 0).cast("int"), F.xxhash64("id", "at"), "id", "at").limit(max_labelled)
+    got = sorted(rows.collect(), key=lambda r: (r["id"], r["at"]))
     bits = [np.array(r["bits"], np.int64) for r in got]
     return fit(bits, [np.where(b & _BOILER_BITS, 0, r["quality"]) for b, r in zip(bits, got)])
 

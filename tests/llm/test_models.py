@@ -1,6 +1,7 @@
 """Toxicity, quality, line labels: parts by brute force, models by held-out accuracy."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -166,3 +167,50 @@ def test_line_labels(spark, docs):
     by = {r["doc_id"]: r for r in got}
     assert by[903]["n_words"] == by[903]["n_repeat_words"] == 60_000 and by[903]["base_failed"]
     assert all(by[k]["kept"] == (k % 3 != 0) for k in range(150, 240)) and not by[None]["kept"]
+
+
+def test_long_labelled_documents_reach_the_fit(docs, monkeypatch):
+    """A document of 1,000 lines is trained as spans, and labels without a document take no place in the sample."""
+    taken = []
+    real = linecrf.fit
+    monkeypatch.setattr(linecrf, "fit", lambda bits, marks: taken.append([len(b) for b in bits]) or real(bits, marks))
+    rows = [(1, "\n".join(f"line {i} of a long text" for i in range(1000))), (2, "short\ntext"), (3, None)]
+    lab = docs([]).sparkSession.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)] + [(k, 1, 0) for k in range(100, 200)], "doc_id long, quality int, toxic int")
+    linecrf.train(docs(rows), lab)
+    assert sorted(taken[0]) == [2, 200, 400, 400]
+    linecrf.train(docs(rows), lab, max_labelled=3)  # the first span of each document before others
+    assert sorted(taken[1])[:2] == [2, 400] or sorted(taken[1]) == [2, 200, 400]
+    assert len(taken[1]) == 3
+
+
+def test_ordinal_fit_follows_the_likelihood_of_plain_loops(monkeypatch):
+    """A few steps of the fit against the same steps along differences of the penalised likelihood, row by row."""
+    size, steps = 12, 4
+    monkeypatch.setattr(quality, "BUCKETS", size)
+    monkeypatch.setattr(quality, "EPOCHS", steps)
+    rnd = np.random.default_rng(5)
+    rows = [rnd.choice(size, rnd.integers(1, 6), replace=False) for _ in range(25)]
+    values = [rnd.random(len(r)) for r in rows]
+    grades = rnd.integers(0, 3, 25)
+
+    def loss(p):
+        """Minus the mean log-likelihood of the grades plus the penalty; p: weights, first cut, log of the step."""
+        w, cuts = p[:size], [p[size], p[size] + math.exp(p[size + 1])]
+        total = 0.0
+        for row, x, g in zip(rows, values, grades):
+            score = sum(w[j] * v for j, v in zip(row, x))
+            reach = [1.0] + [1 / (1 + math.exp(c - score)) for c in cuts] + [0.0]
+            total -= math.log(reach[g] - reach[g + 1])
+        return total / len(rows) + quality.DECAY / 2 * sum(v * v for v in w)
+
+    p = np.array([0.0] * size + [-0.5, 0.0])
+    m, v = np.zeros_like(p), np.zeros_like(p)
+    for t in range(1, steps + 1):
+        g = np.array([(loss(p + e) - loss(p - e)) / 2e-5 for e in np.eye(len(p)) * 1e-5])
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        p = p - quality.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    starts = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    got = quality.fit(starts, np.concatenate(rows), np.concatenate(values), grades)
+    assert got.weights == pytest.approx(p[:size], abs=1e-4)
+    assert got.thresholds == pytest.approx([p[size], p[size] + math.exp(p[size + 1])], abs=1e-4)
