@@ -134,13 +134,17 @@ def _tallied(found: Iterator[np.ndarray], name: str) -> Iterator[pa.RecordBatch]
 
 
 class _Table:
-    """Values by 64-bit key in open slots; look-ups of many keys at once."""
+    """Rows of numbers by 64-bit key in open slots; look-ups of many keys at once.
+
+    Slots hold row numbers, so the numbers keep their full width: counts are exact up to 2**53.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, (2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, np.uint64(2**64 - 1))
-        self.values = np.zeros((1 << bits,) + values.shape[1:], np.float32)
+        self.rows = np.full(1 << bits, len(keys), np.int32)
+        self.numbers = np.concatenate([values, np.zeros((1,) + values.shape[1:])])  # last: of no key
         slots, left = self._slot(keys), np.arange(len(keys))
         while len(left):
             at = slots[left]
@@ -148,13 +152,16 @@ class _Table:
             first = np.zeros(len(left), bool)
             first[np.unique(at, return_index=True)[1]] = True
             put = free & first
-            self.keys[at[put]], self.values[at[put]] = keys[left[put]], values[left[put]]
+            self.keys[at[put]], self.rows[at[put]] = keys[left[put]], left[put]
             left = left[~put]
             slots[left] = (slots[left] + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
+    def values(self, slots: np.ndarray) -> np.ndarray:
+        return self.numbers[self.rows[slots]]
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, slot) of every key."""
         slots = self._slot(keys)
@@ -172,14 +179,19 @@ class _Table:
 
 @dataclass
 class Trie:
-    """Counts of kept grams by order: (codes, counts) for contexts of 0 to ORDER bytes."""
+    """Counts of kept grams by order: (codes, counts) for contexts of 0 to ORDER bytes.
+
+    ``base`` has the tables of the first orders, where they were built before.
+    """
 
     grams: list[tuple[np.ndarray, np.ndarray]]
+    base: Trie | None = None
 
     def __post_init__(self):
-        self.symbols, self.contexts = [], []
-        lower: tuple[np.ndarray, np.ndarray] | None = None
-        for k, (codes, n) in enumerate(self.grams):
+        self.symbols, self.contexts = (list(self.base.symbols), list(self.base.contexts)) if self.base else ([], [])
+        lower: tuple[np.ndarray, np.ndarray] | None = self.base.grams[-1] if self.base else None
+        for k in range(len(self.symbols), len(self.grams)):
+            codes, n = self.grams[k]
             own = (codes >> np.uint64(8)) | np.uint64(k << 56)
             contexts, at = np.unique(own, return_inverse=True)
             total, distinct = np.bincount(at, n).astype(np.float64), np.bincount(at).astype(np.float64)
@@ -197,7 +209,7 @@ class Trie:
                 excluded = np.bincount(at, low_n[np.searchsorted(low_codes, codes & np.uint64((1 << 8 * k) - 1))])
                 suffix = name & np.uint64((1 << 8 * (k - 1)) - 1)
                 _, slot = self.contexts[-1].find(suffix | np.uint64((k - 1) << 56))
-                below = self.contexts[-1].values[slot].astype(np.float64)
+                below = self.contexts[-1].values(slot)
                 rest = (below[:, 0] - excluded) + (below[:, 1] - distinct)
             values = np.stack([total, escape, np.maximum(rest, 1.0), distinct], axis=1)
             self.contexts.append(_Table(contexts, values))
@@ -220,10 +232,10 @@ class Trie:
             tag = np.uint64(k << 56)
             hit, slot = self.symbols[k].find(gram | tag)
             there, at = self.contexts[k].find((gram >> np.uint64(8)) | tag)
-            total, escape, rest = (self.contexts[k].values[at, j].astype(np.float64) for j in range(3))
+            total, escape, rest = self.contexts[k].values(at)[:, :3].T
             fresh = np.isnan(after[left])
             base = np.where(fresh, total + escape, after[left])
-            out[left[hit]] += np.log10(self.symbols[k].values[slot[hit]] / base[hit])
+            out[left[hit]] += np.log10(self.symbols[k].values(slot[hit]) / base[hit])
             # symbols of the longer context, if one escaped before, no longer weigh
             lost = there & ~hit
             own = escape - self._skipped(k, codes[left], fresh)
@@ -241,7 +253,7 @@ class Trie:
             return np.zeros(len(codes))
         context = (codes >> np.uint64(8)) & np.uint64((1 << 8 * (k + 1)) - 1)
         found, slot = self.contexts[k + 1].find(context | np.uint64((k + 1) << 56))
-        return np.where(found & ~fresh, self.contexts[k + 1].values[slot, 3], 0.0)
+        return np.where(found & ~fresh, self.contexts[k + 1].values(slot)[:, 3], 0.0)
 
 
 def held_out(id_col: Column) -> Column:
@@ -369,6 +381,16 @@ def _columns(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
 
 
+_BASE: list = [None, None]
+
+
+def _base_of(low: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
+    """The tables of the low orders, built once per worker."""
+    if _BASE[0] is not low:
+        _BASE[:] = [low, Trie(low)]
+    return _BASE[1]
+
+
 def _resolved(low: list[tuple[np.ndarray, np.ndarray]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents as they are; for each part, one row of the sums of its logarithms by document."""
     bucket, table, trie = None, [], None
@@ -387,7 +409,7 @@ def _resolved(low: list[tuple[np.ndarray, np.ndarray]], batches: Iterator[pa.Rec
                 continue
             if trie is None:
                 own = _merged(table) if table else (np.empty(0, np.uint64), np.empty(0, np.int64))
-                trie, table = Trie(low + _orders(*own, NEAR)), []
+                trie, table = Trie(low + _orders(*own, NEAR), _base_of(low)), []
             codes, back = np.unique(codes, return_inverse=True)
             owners = _unpacked(raw, np.uint32)
             sums = np.bincount(owners, trie._logs(codes)[back])
@@ -470,7 +492,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
             for codes, starts, owners in _blocks(texts):
                 hit, slot = logs.find(codes)
                 own = np.repeat(owners, np.diff(np.append(starts, len(codes))))
-                scores += np.bincount(own[hit], logs.values[slot[hit]], len(texts))
+                scores += np.bincount(own[hit], logs.values(slot[hit]), len(texts))
                 held.append((codes[~hit], (own[~hit] + (at_doc - first)).astype(np.uint32)))
                 size += len(held[-1][0])
                 if size >= CHUNK:

@@ -83,6 +83,21 @@ def test_next_bytes_sum_to_one(context):
     assert (10 ** trie._logs(np.array(each, np.uint64))).sum() == pytest.approx(1, abs=1e-5)
 
 
+@pytest.mark.parametrize("scale", [1, 10**9, 10**11])
+def test_next_bytes_sum_to_one_at_any_size_of_the_counts(scale):
+    """Frequent short contexts above rare long ones: what is left after an escape is exact."""
+    texts = [t.encode() for _, t in corpus()] + [b"qat", b"qaz zu"]
+    codes = np.concatenate([c for c, _, _ in ppm._blocks(texts)])
+    grams = [np.unique(codes & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True) for k in range(ppm.ORDER + 1)]
+    # every gram of up to three bytes was seen so many times more, the long ones only here
+    low = [(c, n * scale) for c, n in grams[: ppm.NEAR]]
+    trie = ppm.Trie(low + grams[ppm.NEAR :], ppm.Trie(low))
+    for context in (b"qat", b"qa", b"abra", b" the", b"", b"zu"):
+        raw = bytes([ppm.PAD] * ppm.ORDER) + context
+        each = [int.from_bytes(raw[-ppm.ORDER :] + bytes([b]), "big") for b in range(256) if b != ppm.PAD]
+        assert (10 ** trie._logs(np.array(each, np.uint64))).sum() == pytest.approx(1, abs=1e-6)
+
+
 def test_spans_of_a_long_text_are_one_text(monkeypatch):
     texts = [b"abc" * 50, b"", b"q", b"hello world " * 30]
     want = [np.concatenate([c for c, _, _ in ppm._blocks([t])]) for t in texts]
