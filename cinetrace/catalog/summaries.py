@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cinetrace.catalog import query
 from cinetrace.operators import summaries as su
+from cinetrace.sources import readers as rd
 
 _N = "(SELECT run_id, count(*) AS n FROM {0} GROUP BY 1)"
 
@@ -46,6 +47,21 @@ def _src1(t):
     return su.newest_runs(files)
 
 
+@query(
+    "src1_run_folders",
+    """SELECT run_id, run_id%3=0 AS has_document, CASE WHEN run_id%3=0 THEN 2 ELSE 1 END AS files FROM (SELECT DISTINCT run_id FROM b_frames)""",
+)
+def _src1f(t):
+    """Folders of runs, listed: stores, documents of every third run, and documents of runs without a store."""
+    root = rd.scratch_dir(t.spark, "runs")
+    frames = t.frames().select("run_id", "frame_idx", "timestamp_ms")
+    frames.repartition("run_id").write.partitionBy("run_id").parquet(f"{root}/frames")
+    runs = frames.select("run_id").distinct()
+    documents = runs.filter("run_id % 3 = 0").unionByName(runs.select((F.col("run_id") + 10**6).alias("run_id")))
+    documents.select("run_id", F.lit("{}").alias("value")).repartition("run_id").write.partitionBy("run_id").text(f"{root}/analysis")
+    return su.run_catalogue(rd.run_files(t.spark, root)).select("run_id", "has_document", "files")
+
+
 @query(
     "agg5_table_counts",
     """SELECT run_id, 'frames' AS name, count(*) AS n FROM b_frames GROUP BY 1 UNION ALL SELECT run_id, 'detections', count(*) FROM b_detections GROUP BY 1

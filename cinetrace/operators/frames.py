@@ -49,44 +49,39 @@ def _items(frames: DataFrame, detections: DataFrame) -> DataFrame:
     )
 
 
-def _frame_sets_of(detections: DataFrame, block: Column) -> DataFrame:
-    """Per frame its classes, its tracks and the last box by id of each track.
+def _laid_out(frames: DataFrame, detections: DataFrame) -> DataFrame:
+    """run_id, blk, frame_idx, frame, now: per frame its columns, its classes and the last box by id of each track.
 
-    All steps keep the layout by run and block: one shuffle of the detections in all.
+    Frames and detections travel together in one shuffle by run and block; all steps keep that layout.
+    Detections of unknown frames fall away.
     """
+    block = F.floor(F.col("frame_idx") / block_rows(frames))
+    info = F.struct("timestamp_ms", "is_keyframe", "delta_score")
     box = F.struct("x1", "y1", "x2", "y2")
-    kinds = F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("class_name").cast("string").alias("item")),
-        F.struct(F.lit(1).alias("kind"), F.col("track_id").cast("string").alias("item")),
-    )
-    frame = ["run_id", "blk", "frame_idx"]
-    laid = detections.select("run_id", "frame_idx", "class_name", "track_id", "detection_id", box.alias("box"))
-    laid = laid.withColumn("blk", block).repartition("run_id", "blk")
-    items = laid.select(*frame, "detection_id", "box", F.inline(kinds)).filter("item IS NOT NULL")
-    last = items.groupBy(*frame, "kind", "item").agg(F.max_by("box", "detection_id").alias("box"))
+    item = lambda kind, name: F.struct(F.lit(kind).alias("kind"), F.col(name).cast("string").alias("item"))
+    seen = detections.select("run_id", "frame_idx", "detection_id", box.alias("box"), "class_name", "track_id")
+    rows = frames.select("run_id", "frame_idx", info.alias("frame")).unionByName(seen, allowMissingColumns=True)
+    rows = rows.withColumn("blk", block).repartition("run_id", "blk")
+    own = ["run_id", "blk", "frame_idx"]
+    kinds = F.when(F.col("frame").isNull(), F.array(item(0, "class_name"), item(1, "track_id")))
+    items = rows.select(*own, "frame", "detection_id", "box", F.inline_outer(kinds)).filter("frame IS NOT NULL OR item IS NOT NULL")
+    last = items.groupBy(*own, "kind", "item").agg(F.max_by("box", "detection_id").alias("box"), F.first("frame", True).alias("frame"))
     of = lambda kind, what: F.collect_list(F.when(F.col("kind") == kind, what))
-    return last.groupBy(*frame).agg(
-        of(0, F.col("item")).alias("classes"), F.map_from_entries(of(1, F.struct("item", "box"))).alias("boxes")
-    )
+    now = F.struct(of(0, F.col("item")).alias("classes"), F.map_from_entries(of(1, F.struct("item", "box"))).alias("boxes"))
+    return last.groupBy(*own).agg(F.first("frame", True).alias("frame"), now.alias("now")).filter("frame IS NOT NULL")
 
 
 def frame_features(frames: DataFrame, detections: DataFrame) -> DataFrame:
     """Change against the previous frame: classes, tracks, box overlap.
 
-    Frames and detections are laid out once by run and block of frames; each frame is compared with the
-    one before it inside its block, and the first frame of a block with the last one of an
-    earlier block, which one summary row per block carries over.
+    Each frame is compared with the one before it inside its block, and the first frame of a block with the
+    last one of an earlier block, which one summary row per block carries over.
     """
-    block = F.floor(F.col("frame_idx") / block_rows(frames))
     keys = ["run_id", "blk"]
-    own = frames.select("run_id", "frame_idx", "timestamp_ms", "is_keyframe", "delta_score", block.alias("blk")).repartition(*keys)
-    rows = own.join(_frame_sets_of(detections, block), [*keys, "frame_idx"], "left")
-    none = {"classes": F.array().cast("array<string>"), "boxes": F.create_map().cast("map<string,struct<x1:double,y1:double,x2:double,y2:double>>")}
-    seen = F.struct(*[F.coalesce(c, empty).alias(c) for c, empty in none.items()])
-    rows = rows.select(*own.columns, seen.alias("now"))
-    inside = Window.partitionBy(*keys).orderBy("frame_idx")
+    rows = _laid_out(frames, detections)
     carried = rows.groupBy(*keys).agg(F.max_by("now", "frame_idx").alias("last"))
     carried = carried.select(*keys, F.lag("last").over(Window.partitionBy("run_id").orderBy("blk")).alias("earlier"))
+    inside = Window.partitionBy(*keys).orderBy("frame_idx")
     rows = rows.withColumn("before", F.lag("now").over(inside)).join(carried, keys)
     rows = rows.withColumn("before", F.coalesce("before", "earlier"))
 
@@ -101,9 +96,9 @@ def frame_features(frames: DataFrame, detections: DataFrame) -> DataFrame:
     return rows.select(
         "run_id",
         "frame_idx",
-        "timestamp_ms",
-        "is_keyframe",
-        F.coalesce("delta_score", F.lit(0.0)).alias("delta_score"),
+        "frame.timestamp_ms",
+        "frame.is_keyframe",
+        F.coalesce("frame.delta_score", F.lit(0.0)).alias("delta_score"),
         count(changed(F.col("now.classes"), F.col("before.classes"))).alias("class_change"),
         count(changed(F.map_keys(now), F.map_keys(was))).alias("track_churn"),
         F.when(later & (F.size(both) > 0), 1.0 - overlap / F.size(both)).otherwise(0.0).alias("iou_drop"),

@@ -47,6 +47,19 @@ def newest_runs(files: DataFrame) -> DataFrame:
     return runs.orderBy(F.col("finished_ms").desc(), F.col("run_id"))
 
 
+def run_catalogue(files: DataFrame, store: str = "frames", document: str = "analysis") -> DataFrame:
+    """Runs whose folder has a store, newest first: whether they have a document, their files and bytes."""
+    of = lambda name: F.max((F.col("table") == name).cast("int"))
+    runs = files.groupBy("run_id").agg(
+        of(store).alias("stored"),
+        (of(document) == 1).alias("has_document"),
+        F.max(F.when(F.col("table") == store, F.col("modified_ms"))).alias("finished_ms"),
+        F.count(F.lit(1)).alias("files"),
+        F.sum("length").alias("bytes"),
+    )
+    return runs.filter("stored = 1").drop("stored").orderBy(F.col("finished_ms").desc(), F.col("run_id"))
+
+
 def stage_costs(timings: DataFrame, last: int = 50) -> DataFrame:
     """Seconds per unit of each stage over its last records."""
     recent = first_n(timings, ["stage"], [F.col("at_ms").desc(), F.col("event_id").desc()], last)

@@ -131,6 +131,23 @@ def artifacts(spark: SparkSession, root: str) -> DataFrame:
     return _listing(spark, root, True).select("path", "length").orderBy("path")
 
 
+def run_files(spark: SparkSession, root: str) -> DataFrame:
+    """Every file in a run's folder: run_id, name (path below the run), length, modified_ms.
+
+    Runs lie in folders ``run_id=<number>`` below any table's folder under ``root``.  Contents are not read.
+    """
+    found = _listing(spark, root, True)
+    run = F.regexp_extract("path", r"/run_id=(\d+)/", 1)
+    table = F.regexp_extract("path", r"/([^/]+)/run_id=\d+/", 1)
+    return found.filter(run != "").select(
+        run.cast("bigint").alias("run_id"),
+        table.alias("table"),
+        F.regexp_extract("path", r"/run_id=\d+/(.*)$", 1).alias("name"),
+        "length",
+        F.unix_millis("modificationTime").alias("modified_ms"),
+    )
+
+
 def read_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """A stored table in its declared shape; a missing folder is an empty table."""
     if not exists(spark, path):
