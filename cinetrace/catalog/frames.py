@@ -247,6 +247,22 @@ def _agg13(t):
     return fr.camera_mode(matches).withColumn("median_move", F.round("median_move", 6))
 
 
+@query(
+    "agg13_camera_mode_long",
+    """WITH pr AS (SELECT run_id, frame_idx AS pair, avg(value/(1+frame_idx%7)) AS mean_move FROM b_events WHERE frame_idx<30 GROUP BY 1,2),
+    md AS (SELECT run_id, median(mean_move) AS m FROM pr GROUP BY 1),
+    rn AS (SELECT DISTINCT run_id FROM b_events)
+    SELECT run_id, round(coalesce(m,0.0),6) AS median_move, CASE WHEN m>0.05*1920 THEN 'moving' ELSE 'static' END AS camera_mode
+    FROM rn LEFT JOIN md USING (run_id)""",
+)
+def _agg13l(t):
+    """Runs of 64 pairs, of which the first 30 count."""
+    matches = t.events().select(
+        "run_id", F.col("frame_idx").alias("pair"), (F.col("value") / (1 + F.col("frame_idx") % 7)).alias("displacement"), F.lit(1920.0).alias("width")
+    )
+    return fr.camera_mode(matches).withColumn("median_move", F.round("median_move", 6))
+
+
 @query("prj1_frame_time", """SELECT run_id, frame_idx, CAST(floor(frame_idx*1000.0/greatest(fps,1)) AS BIGINT) AS timestamp_ms FROM
   (SELECT m.run_id, f.frame_idx, m.fps FROM b_frames f JOIN b_media m USING (run_id))""")
 def _prj1(t):

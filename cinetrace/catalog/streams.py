@@ -10,6 +10,7 @@ from cinetrace.catalog.captions import _SIM
 from cinetrace.catalog.summaries import _FACTS, _facts
 from cinetrace.operators import summaries as su
 from cinetrace.plans import hooks
+from cinetrace.sources import keyed as kw
 from cinetrace.sources.readers import scratch_dir
 from cinetrace.streaming import live
 
@@ -46,11 +47,18 @@ def _str1(t):
 
 @query("str1_live_feed", f"WITH {_LIVE}")
 def _str1f(t):
-    """The same rows through a stream of caption files: four deliveries, the last one repeated."""
-    root = scratch_dir(t.spark, "feed")
-    caps = t.captions()
+    """The same rows through a stream of caption files: four deliveries, the last one repeated.
+
+    Captions and speech lie in stores by run, of which each micro-batch reads the touched ones.
+    """
+    root, spark = scratch_dir(t.spark, "feed"), t.spark
+    caps, said = t.captions(), t.audio()
+    kw.write_runs(caps, f"{root}/captions", "frame_idx")
+    kw.write_runs(said, f"{root}/audio", "segment_id")
+    stored = lambda name, like: spark.read.schema(like.schema).parquet(f"{root}/{name}")
     _deliver(
-        t.spark, caps, _thirds(caps), root, lambda stream, ckpt: live.live_feed(stream, lambda: caps, t.audio, f"{root}/out", ckpt, None)
+        spark, caps, _thirds(caps), root,
+        lambda stream, ckpt: live.live_feed(stream, lambda: stored("captions", caps), lambda: stored("audio", said), f"{root}/out", ckpt, None),
     )
     return t.spark.read.parquet(f"{root}/out")
 

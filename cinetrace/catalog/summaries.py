@@ -243,6 +243,20 @@ def _agg21(t):
     return su.answers(asked, _facts(t), t.entities(), t.visual())
 
 
+@query(
+    "agg21_answers_of_runs",
+    f"""WITH {_FACTS} SELECT run_id*2 AS question_id, run_id, 'There are '||n_entities||' entity/entities detected in this run.' AS text FROM fc WHERE run_id%3=0
+    UNION ALL SELECT run_id*2+1, run_id, 'There are '||n_events||' visual events detected.' FROM fc WHERE run_id%3=1""",
+)
+def _agg21r(t):
+    """Questions put to one run each: one about entities, others about events."""
+    facts, run = _facts(t), F.col("run_id")
+    asked = facts.filter("run_id % 3 < 2").select(
+        (run * 2 + run % 3).alias("question_id"), F.when(run % 3 == 0, _ASKED[0][1]).otherwise(_ASKED[-1][1]).alias("question"), "run_id"
+    )
+    return su.answers(asked, facts, t.entities(), t.visual()).select("question_id", "run_id", "text")
+
+
 @query(
     "agg22_query_context",
     """SELECT run_id, 'entities' AS section, id AS key, id||' ('||type||'): '||description||' [first_seen='||first_seen||', last_seen='||last_seen||']' AS text FROM b_entities

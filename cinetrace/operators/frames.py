@@ -14,7 +14,6 @@ from cinetrace.operators.ordering import (
     ranked,
 )
 from cinetrace.settings import block_rows
-from cinetrace.sources.readers import checkpointed
 
 # Weights of the frame score.
 DELTA_WEIGHT, CLASS_WEIGHT, TRACK_WEIGHT, OVERLAP_WEIGHT = 1.0, 2.0, 2.0, 0.5

@@ -253,26 +253,26 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return keyed.select("*", F.posexplode("phrase").alias("offset", "term"), F.size("phrase").alias("length")).drop("phrase")
 
 
-MOST_WORDS = 1000  # asked words up to which the index is filtered by their list
+MOST_TERMS = 5000  # words of all queries up to which they are looked at on the driver
+MOST_WORDS = 1000  # distinct words up to which the index is filtered by their list
 FIRST_BLOCKS = 4  # blocks of a run that are scored before others are left out
 
 
-def _asked(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index rows that the words of the queries may need; all words where one is a prefix."""
-    if not terms.filter("prefix").isEmpty():
+def _asked(index: DataFrame, terms: DataFrame, few: list | None) -> DataFrame:
+    """The index rows that the words of the queries may need; all words where one is a prefix.
+
+    ``few`` are the rows of ``terms`` if there are few: then their words and folders are named in the scan.
+    """
+    if any(r["prefix"] for r in few) if few is not None else not terms.filter("prefix").isEmpty():
         return index
-    words = [r["term"] for r in terms.select("term").distinct().limit(MOST_WORDS + 1).collect()]
-    if len(words) > MOST_WORDS:
+    words = sorted({r["term"] for r in few}) if few is not None else []
+    if few is None or len(words) > MOST_WORDS:
         return index.join(terms.select("term").distinct(), "term", "left_semi")
     if "bucket" in index.columns:
-        index = index.filter(F.col("bucket").isin([r[0] for r in _bucket_numbers(terms, words)]))
+        index = index.filter(F.col("bucket").isin(sorted({r["bucket"] for r in few})))
     return index.filter(F.col("term").isin(words))
 
 
-def _bucket_numbers(terms: DataFrame, words: list[str]) -> list:
-    return terms.select(_bucket(F.col("term")).alias("bucket")).distinct().collect() if words else []
-
-
 def _with_prefixes(index: DataFrame, terms: DataFrame) -> DataFrame:
     """Words to look up per phrase; prefixes are first matched against the distinct words by their first letters."""
     asked = terms.select("phrase_id", "only_field", "prefix", "offset", "term", "length").distinct()
@@ -406,13 +406,18 @@ def search(
     terms = query_terms(queries)
     simple = ~F.col("prefix") & F.col("only_field").isNull() & (F.col("length") == 1)
     plain = terms.groupBy("query_id").agg(F.min(simple).alias("plain"))
-    terms = terms.join(plain, "query_id")
+    terms = terms.join(plain, "query_id").withColumn("bucket", _bucket(F.col("term")))
+    told = terms.limit(MOST_TERMS + 1).toArrow()
+    few = None
+    if told.num_rows <= MOST_TERMS:
+        few, terms = told.to_pylist(), terms.sparkSession.createDataFrame(told, terms.schema)
     found = []
-    for kind, find in ((F.col("plain"), _word_search), (~F.col("plain"), _phrase_search)):
-        own = terms.filter(kind)
-        if not own.isEmpty():
+    for plain, find in ((True, _word_search), (False, _phrase_search)):
+        own = terms.filter(F.col("plain") == plain)
+        rows = None if few is None else [r for r in few if r["plain"] == plain]
+        if rows or rows is None and not own.isEmpty():
             wanted = own.select("query_id", "clause", "excluded", "phrase_id").distinct()
-            found.append(find(_asked(index, own), own, wanted, runs, limit, source))
+            found.append(find(_asked(index, own, rows), own, wanted, runs, limit, source))
     if not found:
         none = terms.select("query_id", F.lit(0).cast("bigint").alias("run_id"), F.lit("").alias("doc_id"), F.lit(0.0).alias("score"))
         found = [_best(none.filter("false"), limit)]

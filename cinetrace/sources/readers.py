@@ -32,7 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder for intermediate tables, in the one of this application."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application, once no result is read any more."""
+    remove(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

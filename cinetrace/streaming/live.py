@@ -44,20 +44,31 @@ def live_state(captions: DataFrame, segments: DataFrame, recent: int = 5, pad_ms
     )
 
 
+MOST_RUNS = 2000  # touched runs up to which they are named in the scans
+
+
+def of_runs(rows: DataFrame, touched: DataFrame) -> DataFrame:
+    """Rows of the touched runs.
+
+    Few runs are named in the scan: of a store in folders by run only theirs are read, of another one the
+    row groups that may hold them.
+    """
+    named = [r[0] for r in touched.select("run_id").limit(MOST_RUNS + 1).collect()]
+    return rows.filter(F.col("run_id").isin(named)) if len(named) <= MOST_RUNS else rows.join(touched, "run_id", "left_semi")
+
+
 def live_feed(
     stream: DataFrame, read_captions: Callable[[], DataFrame], read_segments: Callable[[], DataFrame],
     path: str, checkpoint: str, every: str | None = "1 second",
 ) -> StreamingQuery:
     """Recompute the live state of the runs that each micro-batch touches.
 
-    Results of other runs stay as they are.  Where the stores are partitioned by run, only the
-    partitions of touched runs are read.
+    Results of other runs stay as they are, and their captions and segments are not read.
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select("run_id").distinct()
-        captions = read_captions().join(touched, "run_id", "left_semi")
-        state = live_state(captions, read_segments().join(touched, "run_id", "left_semi"))
+        state = live_state(of_runs(read_captions(), touched), of_runs(read_segments(), touched))
         _replace_runs(state, path)
 
     return _started(stream.writeStream.foreachBatch(refresh), checkpoint, every)

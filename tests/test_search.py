@@ -120,7 +120,8 @@ def test_stored_index_is_built_once_and_read_by_word(spark, corpus, tmp_path):
     queries = spark.createDataFrame([(1, "dog"), (2, "qu*")], "query_id long, query string")
     one = lambda i: sorted(tuple(r) for r in se.search(i.docs, i.postings, queries, runs=i.runs).collect())
     assert one(first) == one(again) == sorted(tuple(r) for r in se.search(docs, se.postings(docs), queries).collect())
-    asked = se._asked(again.postings, se.query_terms(queries.filter("query_id = 1")))
+    terms = se.query_terms(queries.filter("query_id = 1")).withColumn("bucket", se._bucket(F.col("term")))
+    asked = se._asked(again.postings, terms, terms.collect())
     plan = asked._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,dog)]" in plan
