@@ -78,7 +78,7 @@ def test_run_and_empty_input(spark, tables, tmp_path):
 
 def test_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in catalog.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in catalog.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(catalog.QUERIES) | {"pipeline"} <= set(names) and set(catalog.ORACLES) <= set(entry.oracle_sql())
     assert len(corpus_pipeline.STAGES) == 5
 
